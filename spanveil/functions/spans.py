@@ -89,3 +89,27 @@ def safe_lookup(mapping: dict, key: Column) -> Column:
     """Like ``map_lookup`` but null keys and absent keys both give null."""
     m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     return F.when(key.isNull(), F.lit(None).cast("string")).otherwise(F.try_element_at(m, key))
+
+
+CTX_TYPE = "array<struct<o:int,t:string>>"
+
+
+def stitch(pieces: Column) -> Column:
+    """Join overlapping or touching text pieces ``array<struct<o int, t string>>``
+    (offset, text) into one contiguous string; returns struct<o, t>.
+
+    Used to rebuild the text of a merged span from the small contexts of its
+    members, so that shuffled rows never carry whole documents.
+    """
+    srt = F.array_sort(pieces)
+    first = F.element_at(srt, 1)
+
+    def step(acc, x):
+        acc_end = acc["o"] + F.length(acc["t"])
+        x_end = x["o"] + F.length(x["t"])
+        grown = F.struct(acc["o"].alias("o"),
+                         F.concat(acc["t"], x["t"].substr(acc_end - x["o"] + 1, x_end - acc_end)).alias("t"))
+        return F.when(x_end > acc_end, grown).otherwise(acc)
+
+    return F.aggregate(F.slice(srt, 2, F.greatest(F.size(srt) - 1, F.lit(0))),
+                       F.struct(first["o"].alias("o"), first["t"].alias("t")), step)

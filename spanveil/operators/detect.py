@@ -35,43 +35,73 @@ def _pattern_rows(patterns: Sequence) -> list[tuple]:
     return rows
 
 
-def _tagger(i: int, ptype: str, conf: float, reason: str):
+def _tagger(i: int, ptype: str, conf: float, reason: str, text: Column | None):
     def tag(x, j):
-        return F.struct(F.lit(i).alias("pat_idx"), j.alias("match_idx"), x["s"].alias("s"), x["e"].alias("e"),
-                        x["m"].alias("m"), F.lit(ptype).alias("type"), F.lit(float(conf)).alias("base_conf"),
-                        F.lit(reason).alias("base_reason"))
+        fields = [F.lit(i).alias("pat_idx"), j.alias("match_idx"), x["s"].alias("s"), x["e"].alias("e"),
+                  x["m"].alias("m"), F.lit(ptype).alias("type"), F.lit(float(conf)).alias("base_conf"),
+                  F.lit(reason).alias("base_reason")]
+        if text is not None:
+            lo, hi = run_start(text, x["s"]), run_end(text, x["e"])
+            fields += [lo.alias("ctx_o"), sp.cut(text, lo, hi).alias("ctx")]
+        return F.struct(*fields)
     return tag
 
 
+_WINDOW = 256
+
+
+def run_start(text: Column, pos: Column) -> Column:
+    """Start of the whitespace-free run that ends at ``pos`` (exclusive).
+
+    Looks at most 256 characters back first and only scans the whole prefix
+    when the run is longer than that (exact, and linear in the normal case).
+    """
+    lo = F.greatest(pos - _WINDOW, F.lit(0))
+    near = F.length(F.regexp_extract(text.substr(lo + 1, pos - lo), r"\S*$", 0))
+    far = F.length(F.regexp_extract(text.substr(F.lit(1), pos), r"\S*$", 0))
+    return pos - F.when((near == pos - lo) & (lo > 0), far).otherwise(near)
+
+
+def run_end(text: Column, pos: Column) -> Column:
+    """End of the whitespace-free run that starts at ``pos``."""
+    near = F.length(F.regexp_extract(text.substr(pos + 1, F.lit(_WINDOW)), r"^\S*", 0))
+    far = F.length(F.regexp_extract(text.substr(pos + 1, F.length(text)), r"^\S*", 0))
+    return pos + F.when(near == _WINDOW, far).otherwise(near)
+
+
 def pattern_spans(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATTERNS, text_col: str = "text",
-                  id_col: str = "doc_id") -> DataFrame:
+                  id_col: str = "doc_id", with_context: bool = False) -> DataFrame:
     """All matches of every pattern (C1, C2): one row per span.
 
     Output: doc_id, pat_idx, match_idx, char_start, char_end, text, type, base_conf, base_reason.
     Spans are produced per pattern with leftmost non-overlapping semantics;
     matches whose trimmed text is shorter than 3 characters are dropped.
+    ``with_context`` adds ``ctx_o``/``ctx``: the whitespace-free runs around
+    the span, cut while the document is at hand (map side), so later
+    shuffles move spans and not documents.
     """
     text = F.col(text_col)
     arrays = []
     for i, (name, regex, ptype, conf, reason) in enumerate(_pattern_rows(patterns)):
         found = sp.regex_spans(text, regex)
-        tagged = F.transform(found, _tagger(i, ptype, conf, reason))
+        tagged = F.transform(found, _tagger(i, ptype, conf, reason, text if with_context else None))
         arrays.append(F.filter(tagged, lambda x: F.length(F.trim(x["m"])) >= tb.HEURISTIC_MIN_TRIMMED_LENGTH))
     all_spans = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+    ctx = ["ctx_o", "ctx"] if with_context else []
     return (docs.select(F.col(id_col).alias("doc_id"), F.inline(all_spans))
             .select("doc_id", "pat_idx", "match_idx",
                     F.col("s").cast("bigint").alias("char_start"), F.col("e").cast("bigint").alias("char_end"),
-                    F.col("m").alias("text"), "type", "base_conf", "base_reason"))
+                    F.col("m").alias("text"), "type", "base_conf", "base_reason", *ctx))
 
 
 def heuristic_detections(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATTERNS,
-                         text_col: str = "text") -> DataFrame:
+                         text_col: str = "text", with_context: bool = False) -> DataFrame:
     """Pattern detector with status bands and reasons.
 
     Keeps ``h_rank`` (pattern order, then match order): the list order that
     the source merge depends on.
     """
-    s = pattern_spans(docs, patterns, text_col)
+    s = pattern_spans(docs, patterns, text_col, with_context=with_context)
     conf = F.col("base_conf")
     return s.select(
         "doc_id",
@@ -81,6 +111,7 @@ def heuristic_detections(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATT
         sp.heuristic_status(conf).alias("status"),
         F.concat(F.lit(tb.HEURISTIC_REASON_PREFIX), F.col("base_reason")).alias("reason"),
         F.lit("heuristic").alias("source"),
+        *(["ctx_o", "ctx"] if with_context else []),
     )
 
 
@@ -93,17 +124,17 @@ def with_det_id(df: DataFrame) -> DataFrame:
 # Model side: stand-in raw entities + policy filter (I1 hook, C4, C6-C9)
 # ---------------------------------------------------------------------------
 
-def standin_raw_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def standin_raw_entities(docs: DataFrame, text_col: str = "text", with_context: bool = False) -> DataFrame:
     """Reproducible stand-in for model output (no weights are available).
 
     raw_entities(doc_id, label, text, char_start, char_end, score): pattern
     candidates scored by ``round(0.40 + ((doc_id*37 + char_start) % 60)/100, 2)``.
     """
     pats = [(label, regex, label, 0.0, "") for label, regex in tb.STANDIN_ENTITY_PATTERNS]
-    s = pattern_spans(docs, pats, text_col)
+    s = pattern_spans(docs, pats, text_col, with_context=with_context)
     score = F.round(F.lit(0.40) + F.pmod(F.col("doc_id") * 37 + F.col("char_start"), F.lit(60)) / 100.0, 2)
     return s.select("doc_id", F.col("type").alias("label"), "text", "char_start", "char_end",
-                    score.cast("double").alias("score"))
+                    score.cast("double").alias("score"), *(["ctx_o", "ctx"] if with_context else []))
 
 
 def model_reason(label: Column, conf: Column, policy: Column) -> Column:
@@ -173,6 +204,7 @@ def policy_filter(raw_entities: DataFrame, resolved: DataFrame) -> DataFrame:
         model_reason(F.col("label"), conf, F.col("policy")).alias("reason"),
         F.lit(tb.MODEL_SOURCE).alias("source"),
         "policy", "rule",
+        *[c for c in ("ctx_o", "ctx") if c in raw_entities.columns],
     )
 
 
@@ -184,6 +216,23 @@ def label_groups(spark, raw_entities: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_entities"), F.countDistinct("doc_id").alias("n_docs")))
 
 
+# ---------------------------------------------------------------------------
+# Context for spans that arrive without it (external model output)
+# ---------------------------------------------------------------------------
+
+def attach_context(spans: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``ctx_o``/``ctx`` to spans produced elsewhere (e.g. a model hook).
+
+    This joins on doc_id and therefore moves documents; spans produced by
+    this package get their context map side instead.
+    """
+    d = docs.select("doc_id", F.col(text_col).alias("_doc"))
+    s, e = F.col("char_start").cast("int"), F.col("char_end").cast("int")
+    lo, hi = run_start(F.col("_doc"), s), run_end(F.col("_doc"), e)
+    return (spans.join(d, "doc_id").withColumn("ctx_o", lo)
+            .withColumn("ctx", sp.cut(F.col("_doc"), F.col("ctx_o"), hi)).drop("_doc"))
+
+
 # ---------------------------------------------------------------------------
 # Merge of model and heuristic spans
 # ---------------------------------------------------------------------------
@@ -192,46 +241,54 @@ def merge_sources(model: DataFrame, heuristic: DataFrame) -> DataFrame:
     """Each heuristic span joins the first overlapping model span (by model
     order): union of bounds, max confidence, one reason suffix per strict
     raise, source ``dual``, promotion to redacted.  Heuristic spans without
-    an overlapping model span are appended.  Output carries ``m_rank``: the
-    stable list order (start, then model before appended heuristics).
+    an overlapping model span are appended.  Output carries ``grp``/``ord``:
+    the stable list order (model spans first, then appended heuristics).
+
+    Both inputs carry ``ctx_o``/``ctx``; a merged span's context is the
+    stitched union of its members' contexts.
     """
     mw = Window.partitionBy("doc_id").orderBy("char_start", "char_end", "type", "text")
     m = model.withColumn("m_ord", F.row_number().over(mw))
-    mj = m.select("doc_id", "m_ord", F.col("char_start").alias("ms"), F.col("char_end").alias("me"))
+    mj = m.select("doc_id", "m_ord", F.col("char_start").alias("ms"), F.col("char_end").alias("me"),
+                  F.col("confidence").alias("mc"))
     h = heuristic.select("doc_id", "h_rank", F.col("char_start").alias("hs"), F.col("char_end").alias("he"),
-                         F.col("confidence").alias("hc"), F.col("status").alias("hst"))
+                         F.col("confidence").alias("hc"), F.col("status").alias("hst"),
+                         F.col("ctx_o").alias("hco"), F.col("ctx").alias("hct"))
     pairs = h.join(mj, (h.doc_id == mj.doc_id) & (F.col("hs") < F.col("me")) & (F.col("ms") < F.col("he"))) \
         .drop(mj.doc_id)
     first = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "h_rank").orderBy("m_ord"))) \
         .filter("_r = 1").drop("_r")
     seq = Window.partitionBy("doc_id", "m_ord").orderBy("h_rank").rowsBetween(Window.unboundedPreceding, -1)
-    mconf = m.select("doc_id", "m_ord", F.col("confidence").alias("mc"))
-    first = first.join(mconf, ["doc_id", "m_ord"])
     first = first.withColumn("_prev", F.greatest(F.col("mc"), F.coalesce(F.max("hc").over(seq), F.col("mc"))))
     first = first.withColumn("_raise", F.col("hc") > F.col("_prev"))
     per_model = first.groupBy("doc_id", "m_ord").agg(
         F.min("hs").alias("hmin"), F.max("he").alias("hmax"), F.max("hc").alias("hcmax"),
         F.count_if(F.col("_raise")).alias("n_raise"),
-        F.bool_or(F.col("_raise") & (F.col("hst") == "redacted")).alias("promote"))
+        F.bool_or(F.col("_raise") & (F.col("hst") == "redacted")).alias("promote"),
+        F.collect_list(F.struct(F.col("hco").alias("o"), F.col("hct").alias("t"))).alias("hctx"))
     mm = m.join(per_model, ["doc_id", "m_ord"], "left")
     matched = F.col("hmin").isNotNull()
-    merged_model = mm.select(
+    own = F.array(F.struct(F.col("ctx_o").alias("o"), F.col("ctx").alias("t")))
+    ctx = F.when(matched, sp.stitch(F.concat(own, F.col("hctx")))).otherwise(F.element_at(own, 1))
+    merged_model = mm.withColumn("_ctx", ctx).select(
         "doc_id",
         F.when(matched, F.least("char_start", "hmin")).otherwise(F.col("char_start")).alias("char_start"),
         F.when(matched, F.greatest("char_end", "hmax")).otherwise(F.col("char_end")).alias("char_end"),
         "type",
         F.when(matched, F.greatest("confidence", "hcmax")).otherwise(F.col("confidence")).alias("confidence"),
         F.when(F.coalesce(F.col("promote"), F.lit(False)), F.lit("redacted")).otherwise(F.col("status")).alias("status"),
-        F.concat(F.col("reason"), F.repeat(F.lit(tb.MERGE_REASON_SUFFIX), F.coalesce(F.col("n_raise"), F.lit(0)).cast("int"))).alias("reason"),
+        F.concat(F.col("reason"), F.repeat(F.lit(tb.MERGE_REASON_SUFFIX),
+                                           F.coalesce(F.col("n_raise"), F.lit(0)).cast("int"))).alias("reason"),
         F.when(matched, F.lit("dual")).otherwise(F.coalesce(F.col("source"), F.lit(tb.MODEL_SOURCE))).alias("source"),
         "policy", "rule",
         F.lit(0).alias("grp"), F.col("m_ord").cast("bigint").alias("ord"),
+        F.col("_ctx.o").alias("ctx_o"), F.col("_ctx.t").alias("ctx"),
     )
-    taken = first.select("doc_id", "h_rank").distinct()
+    taken = first.select("doc_id", "h_rank")
     lone = heuristic.join(taken, ["doc_id", "h_rank"], "left_anti").select(
         "doc_id", "char_start", "char_end", "type", "confidence", "status", "reason", "source",
         F.lit(None).cast("string").alias("policy"), F.lit(None).cast("string").alias("rule"),
-        F.lit(1).alias("grp"), F.col("h_rank").alias("ord"))
+        F.lit(1).alias("grp"), F.col("h_rank").alias("ord"), "ctx_o", "ctx")
     return merged_model.unionByName(lone)
 
 
@@ -239,92 +296,75 @@ def merge_sources(model: DataFrame, heuristic: DataFrame) -> DataFrame:
 # Word alignment (C13) and overlap union (C14)
 # ---------------------------------------------------------------------------
 
-_WINDOW = 256
-
-
-def _run_start(text: Column, pos: Column) -> Column:
-    """Start of the whitespace-free run that ends at ``pos`` (exclusive)."""
-    lo = F.greatest(pos - _WINDOW, F.lit(0))
-    near = F.length(F.regexp_extract(F.substring(text, lo + 1, pos - lo), r"\S*$", 0))
-    far = F.length(F.regexp_extract(F.substring(text, 1, pos), r"\S*$", 0))
-    return pos - F.when((near == pos - lo) & (lo > 0), far).otherwise(near)
-
-
-def _run_end(text: Column, pos: Column) -> Column:
-    """End of the whitespace-free run that starts at ``pos``."""
-    near = F.length(F.regexp_extract(F.substring(text, pos + 1, _WINDOW), r"^\S*", 0))
-    far = F.length(F.regexp_extract(F.substring(text, pos + 1, F.length(text)), r"^\S*", 0))
-    return pos + F.when(near == _WINDOW, far).otherwise(near)
-
-
-def align_words(dets: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+def align_words(dets: DataFrame) -> DataFrame:
     """Expand every span to the tokens it touches; drop one trailing
     punctuation token when more than one token matched; re-cut the text.
 
-    Tokenisation is local: tokens never cross whitespace, so only the
-    whitespace-free runs around the span are tokenised (linear in the span,
-    not in the document).
+    Tokens never cross whitespace, so tokenising the whitespace-free runs
+    around the span (``ctx``, starting at ``ctx_o``) gives the same tokens as
+    tokenising the whole document.  Spans without tokens keep their bounds.
+    ``pre_start`` keeps the start before alignment (the stable sort key).
     """
-    d = docs.select("doc_id", F.col(text_col).alias("_doc"))
-    j = dets.join(d, "doc_id")
-    s, e, doc = F.col("char_start").cast("int"), F.col("char_end").cast("int"), F.col("_doc")
-    j = j.withColumn("_L", _run_start(doc, s)).withColumn("_R", _run_end(doc, e))
-    region = sp.cut(doc, F.col("_L"), F.col("_R"))
-    toks = F.filter(sp.regex_spans(region, tb.TOKEN_PATTERN),
-                    lambda t: (t["s"] + F.col("_L") < e) & (t["e"] + F.col("_L") > s))
-    j = j.withColumn("_t", toks)
+    s, e, base = F.col("char_start").cast("int"), F.col("char_end").cast("int"), F.col("ctx_o")
+    toks = F.filter(sp.regex_spans(F.col("ctx"), tb.TOKEN_PATTERN),
+                    lambda t: (t["s"] + base < e) & (t["e"] + base > s))
+    j = dets.withColumn("pre_start", F.col("char_start")).withColumn("_t", toks)
     punct = F.array(*[F.lit(x) for x in tb.TRAILING_PUNCTUATION])
     drop_last = (F.size("_t") > 1) & F.array_contains(punct, F.element_at("_t", -1)["m"])
     j = j.withColumn("_t", F.when(drop_last, F.slice("_t", 1, F.size("_t") - 1)).otherwise(F.col("_t")))
     has = F.size("_t") > 0
-    ns = F.when(has, F.element_at("_t", 1)["s"] + F.col("_L")).otherwise(s)
-    ne = F.when(has, F.element_at("_t", -1)["e"] + F.col("_L")).otherwise(e)
+    ns = F.when(has, F.element_at("_t", 1)["s"] + base).otherwise(s)
+    ne = F.when(has, F.element_at("_t", -1)["e"] + base).otherwise(e)
     j = j.withColumn("char_start", ns.cast("bigint")).withColumn("char_end", ne.cast("bigint"))
-    j = j.withColumn("text", sp.cut(doc, F.col("char_start").cast("int"), F.col("char_end").cast("int")))
-    return j.drop("_L", "_R", "_t", "_doc")
+    j = j.withColumn("text", sp.cut(F.col("ctx"), F.col("char_start").cast("int") - base,
+                                    F.col("char_end").cast("int") - base))
+    return j.drop("_t")
 
 
-def merge_overlaps(dets: DataFrame, order_cols: Iterable[str] = ("grp", "ord"),
-                   docs: DataFrame | None = None, text_col: str = "text") -> DataFrame:
+def merge_overlaps(dets: DataFrame, order_cols: Iterable[str] = ("grp", "ord")) -> DataFrame:
     """Union of strictly overlapping spans, transitively (gaps and islands).
 
     Rows are taken in (char_start, *order_cols) order.  Start from the first
     span, end = max end, confidence and type from the strictly highest
     confidence (first wins ties), everything else from the first span.
-    Touching spans stay apart.  When ``docs`` is given the text is re-cut.
+    Touching spans stay apart.  The text of an island is stitched from its
+    members' texts (they overlap, so their union is contiguous).
     """
+    order_cols = list(order_cols)
     keys = [F.col("char_start")] + [F.col(c) for c in order_cols]
     w = Window.partitionBy("doc_id").orderBy(*keys)
     prev_end = F.max("char_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     x = dets.withColumn("_rn", F.row_number().over(w))
     x = x.withColumn("_brk", F.when(prev_end.isNull() | (F.col("char_start") >= prev_end), 1).otherwise(0))
     x = x.withColumn("_isl", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    other = [c for c in dets.columns if c not in ("doc_id", "char_start", "char_end", "confidence", "type", "text")
-             and c not in order_cols]
+    skip = {"doc_id", "char_start", "char_end", "confidence", "type", "text", "ctx", "ctx_o", *order_cols}
+    other = [c for c in dets.columns if c not in skip]
     aggs = [F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"),
             F.max("confidence").alias("confidence"),
             F.max_by("type", F.struct(F.col("confidence"), -F.col("_rn"))).alias("type"),
-            F.min_by("text", "_rn").alias("_first_text"), F.max("_rn").alias("_last")]
-    aggs += [F.min_by(c, "_rn").alias(c) for c in other]
-    aggs += [F.min_by(c, "_rn").alias(c) for c in order_cols]
-    out = x.groupBy("doc_id", "_isl").agg(*aggs)
-    if docs is not None:
-        d = docs.select("doc_id", F.col(text_col).alias("_doc"))
-        out = out.join(d, "doc_id").withColumn(
-            "text", sp.cut(F.col("_doc"), F.col("char_start").cast("int"), F.col("char_end").cast("int"))).drop("_doc")
-    else:
-        out = out.withColumnRenamed("_first_text", "text")
-    return out.drop("_isl", "_first_text", "_last")
+            sp.stitch(F.collect_list(F.struct(F.col("char_start").cast("int").alias("o"),
+                                              F.col("text").alias("t"))))["t"].alias("text")]
+    aggs += [F.min_by(c, "_rn").alias(c) for c in other + order_cols]
+    return x.groupBy("doc_id", "_isl").agg(*aggs).drop("_isl")
 
 
 def detect_pipeline(docs: DataFrame, doc_policies: DataFrame, policies: DataFrame,
                     raw_entities: DataFrame | None = None, patterns: Sequence = tb.HEURISTIC_PATTERNS,
                     text_col: str = "text") -> DataFrame:
-    """Model spans, pattern spans, merge, align, union (C17) -> detections."""
-    raw = raw_entities if raw_entities is not None else standin_raw_entities(docs, text_col)
+    """Model spans, pattern spans, merge, align, union (C17) -> detections.
+
+    One map-side pass over the documents extracts all spans with their
+    contexts; everything after that shuffles spans only.
+    """
+    if raw_entities is None:
+        raw = standin_raw_entities(docs, text_col, with_context=True)
+    elif "ctx" not in raw_entities.columns:
+        raw = attach_context(raw_entities, docs, text_col)
+    else:
+        raw = raw_entities
     model = policy_filter(raw, resolve_policies(doc_policies, policies))
-    heur = heuristic_detections(docs, patterns, text_col)
+    heur = heuristic_detections(docs, patterns, text_col, with_context=True)
     merged = merge_sources(model, heur)
-    aligned = align_words(merged, docs, text_col)
-    final = merge_overlaps(aligned, ("grp", "ord"), docs=docs, text_col=text_col)
+    aligned = align_words(merged)
+    final = merge_overlaps(aligned, ("pre_start", "grp", "ord"))
     return with_det_id(final).select(*DETECTION_COLUMNS)

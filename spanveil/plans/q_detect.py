@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import spans as sp
@@ -133,3 +134,65 @@ def taxonomy_rollup(spark, sf_dir):
 """)
 def model_reason(spark, sf_dir):
     return cm.model_detections(spark, sf_dir).select("doc_id", "char_start", "type", "reason")
+
+
+def _model_and_heur(spark, sf_dir):
+    docs = cm.documents(spark, sf_dir)
+    raw = dt.standin_raw_entities(docs, with_context=True)
+    model = dt.policy_filter(raw, dt.resolve_policies(cm.doc_policies(spark, sf_dir), tb.policies_df(spark)))
+    heur = dt.heuristic_detections(docs, with_context=True)
+    return model, heur
+
+
+_MERGED_COLS = ["doc_id", "char_start", "char_end", "type", "confidence", "status", "reason", "source", "policy", "rule"]
+
+
+@register("merge_sources", f"WITH {sk.merged_sql()} SELECT {', '.join(_MERGED_COLS)} FROM MG")
+def merge_sources(spark, sf_dir):
+    """Model spans absorb overlapping heuristic spans; the rest are appended."""
+    model, heur = _model_and_heur(spark, sf_dir)
+    return dt.merge_sources(model, heur).select(*_MERGED_COLS)
+
+
+_ALIGNED_COLS = ["doc_id", "pre_start", "char_start", "char_end", "text", "type", "source"]
+
+
+@register("align_words", f"WITH {sk.merged_sql()}, {sk.aligned_sql('MG')} SELECT {', '.join(_ALIGNED_COLS)} FROM AL")
+def align_words(spark, sf_dir):
+    """Merged spans expanded to token boundaries, trailing punctuation dropped."""
+    model, heur = _model_and_heur(spark, sf_dir)
+    return dt.align_words(dt.merge_sources(model, heur)).select(*_ALIGNED_COLS)
+
+
+_UNION_SRC_SQL = f"""
+    U AS (SELECT r.doc_id, r.char_start, r.char_end, upper(r.label) AS type, r.score AS confidence,
+                 'missed' AS status, '' AS reason, 'model' AS source, NULL AS policy, NULL AS rule, 0 AS grp,
+                 row_number() OVER (PARTITION BY r.doc_id ORDER BY r.char_start, r.char_end, r.label) AS ord, d.text AS doc
+          FROM ({sk.standin_sql()}) r JOIN documents d ON r.doc_id = d.doc_id
+          UNION ALL
+          SELECT h.doc_id, h.char_start, h.char_end, h.type, h.confidence, h.status, h.reason, h.source, NULL, NULL, 1,
+                 h.h_rank, d.text
+          FROM ({sk.heuristic_sql()}) h JOIN documents d ON h.doc_id = d.doc_id)
+"""
+
+
+@register("merge_overlaps", f"""WITH {_UNION_SRC_SQL}, {sk.islands_sql('U', 'grp, ord')}
+    SELECT doc_id, char_start, char_end, type, confidence, status, source, text FROM FI""")
+def merge_overlaps(spark, sf_dir):
+    """C14 on raw candidate spans of both sources: transitive union of strict overlaps."""
+    docs = cm.documents(spark, sf_dir)
+    raw = dt.standin_raw_entities(docs)
+    w = F.row_number().over(Window.partitionBy("doc_id").orderBy("char_start", "char_end", "label"))
+    model = raw.select("doc_id", "char_start", "char_end", F.upper("label").alias("type"),
+                       F.col("score").alias("confidence"), F.lit("missed").alias("status"),
+                       F.lit("model").alias("source"), "text", F.lit(0).alias("grp"), w.cast("bigint").alias("ord"))
+    heur = dt.heuristic_detections(docs).select("doc_id", "char_start", "char_end", "type", "confidence", "status",
+                                                "source", "text", F.lit(1).alias("grp"), F.col("h_rank").alias("ord"))
+    return dt.merge_overlaps(model.unionByName(heur), ("grp", "ord")).select(
+        "doc_id", "char_start", "char_end", "type", "confidence", "status", "source", "text")
+
+
+@register("detect_pipeline", f"WITH {sk.pipeline_sql()} SELECT * FROM DET")
+def detect_pipeline(spark, sf_dir):
+    """C17: model + patterns, merge, align, union -> final detections."""
+    return cm.detections(spark, sf_dir)

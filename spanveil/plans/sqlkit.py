@@ -136,3 +136,93 @@ def model_sql() -> str:
     JOIN ({policies_sql()}) p ON p.policy = CASE WHEN d.policy IN (SELECT policy FROM ({policies_sql()})) THEN d.policy ELSE {q(tb.DEFAULT_POLICY)} END
     WHERE list_contains(p.labels, r.label) AND r.score >= p.threshold
     """
+
+
+PUNCT_SQL = "(" + ", ".join(q(x) for x in tb.TRAILING_PUNCTUATION) + ")"
+
+
+def merged_sql() -> str:
+    """C12 in SQL: model spans M, heuristic spans H, merged list MG (grp, ord)."""
+    return f"""
+    M AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY char_start, char_end, type, text) AS m_ord
+          FROM ({model_sql()})),
+    H AS ({heuristic_sql()}),
+    P AS (SELECT h.doc_id, h.h_rank, h.char_start AS hs, h.char_end AS he, h.confidence AS hc, h.status AS hst,
+                 m.m_ord, m.confidence AS mc
+          FROM H h JOIN M m ON h.doc_id = m.doc_id AND h.char_start < m.char_end AND m.char_start < h.char_end
+          QUALIFY row_number() OVER (PARTITION BY h.doc_id, h.h_rank ORDER BY m.m_ord) = 1),
+    P2 AS (SELECT *, hc > greatest(mc, coalesce(max(hc) OVER (PARTITION BY doc_id, m_ord ORDER BY h_rank
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), mc)) AS rz FROM P),
+    PM AS (SELECT doc_id, m_ord, min(hs) AS hmin, max(he) AS hmax, max(hc) AS hcmax,
+                  sum(CASE WHEN rz THEN 1 ELSE 0 END) AS nr, bool_or(rz AND hst = 'redacted') AS pr
+           FROM P2 GROUP BY doc_id, m_ord),
+    MG AS (
+      SELECT m.doc_id,
+             CASE WHEN pm.hmin IS NULL THEN m.char_start ELSE least(m.char_start, pm.hmin) END AS char_start,
+             CASE WHEN pm.hmin IS NULL THEN m.char_end ELSE greatest(m.char_end, pm.hmax) END AS char_end,
+             m.type,
+             CASE WHEN pm.hmin IS NULL THEN m.confidence ELSE greatest(m.confidence, pm.hcmax) END AS confidence,
+             CASE WHEN coalesce(pm.pr, false) THEN 'redacted' ELSE m.status END AS status,
+             m.reason || repeat({q(tb.MERGE_REASON_SUFFIX)}, CAST(coalesce(pm.nr, 0) AS INTEGER)) AS reason,
+             CASE WHEN pm.hmin IS NULL THEN m.source ELSE 'dual' END AS source,
+             m.policy, m.rule, 0 AS grp, CAST(m.m_ord AS BIGINT) AS ord
+      FROM M m LEFT JOIN PM pm ON m.doc_id = pm.doc_id AND m.m_ord = pm.m_ord
+      UNION ALL
+      SELECT h.doc_id, h.char_start, h.char_end, h.type, h.confidence, h.status, h.reason, h.source,
+             NULL, NULL, 1, h.h_rank
+      FROM H h WHERE NOT EXISTS (SELECT 1 FROM P WHERE P.doc_id = h.doc_id AND P.h_rank = h.h_rank))
+    """
+
+
+def aligned_sql(src_cte: str = "MG") -> str:
+    """C13 in SQL over CTE ``src_cte``: adds pre_start, re-bounds, re-cut text (CTE AL)."""
+    tok_src = "SELECT k, region FROM A2"
+    return f"""
+    A1 AS (SELECT x.*, row_number() OVER () AS k, d.text AS doc,
+                  x.char_start - length(regexp_extract(substr(d.text, 1, CAST(x.char_start AS INTEGER)), '\\S*$')) AS L,
+                  x.char_end + length(regexp_extract(substr(d.text, CAST(x.char_end AS INTEGER) + 1), '^\\S*')) AS R
+           FROM {src_cte} x JOIN documents d ON x.doc_id = d.doc_id),
+    A2 AS (SELECT k, L, substr(doc, CAST(L AS INTEGER) + 1, CAST(R - L AS INTEGER)) AS region FROM A1),
+    TF AS (SELECT a.k, t.s + a.L AS ts, t.e + a.L AS te, t.m
+           FROM ({spans_sql(tok_src, tb.TOKEN_PATTERN, 'k', 'region')}) t JOIN A1 a ON a.k = t.doc_id
+           WHERE t.s + a.L < a.char_end AND t.e + a.L > a.char_start),
+    TA AS (SELECT k, list(struct_pack(s := ts, e := te, m := m) ORDER BY ts) AS tl FROM TF GROUP BY k),
+    TB AS (SELECT k, CASE WHEN len(tl) > 1 AND tl[-1].m IN {PUNCT_SQL} THEN tl[1:len(tl) - 1] ELSE tl END AS tl FROM TA),
+    AL0 AS (SELECT a.* EXCLUDE (k, L, R),
+                   a.char_start AS pre_start,
+                   CAST(CASE WHEN tb.tl IS NULL THEN a.char_start ELSE tb.tl[1].s END AS BIGINT) AS ns,
+                   CAST(CASE WHEN tb.tl IS NULL THEN a.char_end ELSE tb.tl[-1].e END AS BIGINT) AS ne
+            FROM A1 a LEFT JOIN TB tb ON a.k = tb.k),
+    AL AS (SELECT * EXCLUDE (char_start, char_end, ns, ne, doc), ns AS char_start, ne AS char_end,
+                  substr(doc, CAST(ns AS INTEGER) + 1, CAST(ne - ns AS INTEGER)) AS text, doc FROM AL0)
+    """
+
+
+def islands_sql(src_cte: str, order: str) -> str:
+    """C14 in SQL over CTE ``src_cte`` (must have doc text column ``doc``): CTE FI."""
+    return f"""
+    I0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY char_start, {order}) AS rn,
+                  max(char_end) OVER (PARTITION BY doc_id ORDER BY char_start, {order}
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe
+           FROM {src_cte}),
+    I1 AS (SELECT *, sum(CASE WHEN pe IS NULL OR char_start >= pe THEN 1 ELSE 0 END)
+                      OVER (PARTITION BY doc_id ORDER BY char_start, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl
+           FROM I0),
+    FI AS (SELECT doc_id, min(char_start) AS char_start, max(char_end) AS char_end, max(confidence) AS confidence,
+                  first(type ORDER BY confidence DESC, rn) AS type, first(status ORDER BY rn) AS status,
+                  first(reason ORDER BY rn) AS reason, first(source ORDER BY rn) AS source,
+                  first(policy ORDER BY rn) AS policy, first(rule ORDER BY rn) AS rule,
+                  substr(first(doc), CAST(min(char_start) AS INTEGER) + 1, CAST(max(char_end) - min(char_start) AS INTEGER)) AS text
+           FROM I1 GROUP BY doc_id, isl)
+    """
+
+
+def pipeline_sql() -> str:
+    """Full detection pipeline (C17) as CTEs, final CTE ``DET``."""
+    return f"""
+    {merged_sql()},
+    {aligned_sql('MG')},
+    {islands_sql('AL', 'pre_start, grp, ord')},
+    DET AS (SELECT doc_id, {det_id_sql()} AS det_id, text, char_start, char_end, type, confidence, status, reason,
+                   source, policy, rule FROM FI)
+    """
