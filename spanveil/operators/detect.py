@@ -70,7 +70,7 @@ def run_end(text: Column, pos: Column) -> Column:
 
 
 def pattern_spans(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATTERNS, text_col: str = "text",
-                  id_col: str = "doc_id", with_context: bool = False) -> DataFrame:
+                  id_col: str = "doc_id", with_context: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """All matches of every pattern (C1, C2): one row per span.
 
     Output: doc_id, pat_idx, match_idx, char_start, char_end, text, type, base_conf, base_reason.
@@ -88,8 +88,8 @@ def pattern_spans(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATTERNS, t
         arrays.append(F.filter(tagged, lambda x: F.length(F.trim(x["m"])) >= tb.HEURISTIC_MIN_TRIMMED_LENGTH))
     all_spans = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
     ctx = ["ctx_o", "ctx"] if with_context else []
-    return (docs.select(F.col(id_col).alias("doc_id"), F.inline(all_spans))
-            .select("doc_id", "pat_idx", "match_idx",
+    return (docs.select(F.col(id_col).alias("doc_id"), *keep, F.inline(all_spans))
+            .select("doc_id", *keep, "pat_idx", "match_idx",
                     F.col("s").cast("bigint").alias("char_start"), F.col("e").cast("bigint").alias("char_end"),
                     F.col("m").alias("text"), "type", "base_conf", "base_reason", *ctx))
 
