@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import q_chunk, q_detect  # noqa: F401
+from . import q_chunk, q_detect, q_redact  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

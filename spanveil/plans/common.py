@@ -34,3 +34,25 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full detection pipeline output over the documents table."""
     docs = documents(spark, sf_dir)
     return dt.detect_pipeline(docs, doc_policies(spark, sf_dir), tb.policies_df(spark))
+
+
+MODES = ["redact", "anonymize", "highlight_red"]
+GLOBAL_MODES = ["redact", "anonymize", "highlight"]
+
+
+def with_review_modes(dets: DataFrame) -> DataFrame:
+    """Derive per-detection action modes, custom replacements and the
+    document's export mode from the offsets (reproducible scenario data)."""
+    k4 = F.pmod(F.col("char_start"), F.lit(4))
+    k7 = F.pmod(F.col("char_start"), F.lit(7))
+    k3 = F.pmod(F.col("doc_id"), F.lit(3))
+    return dets.select(
+        "*",
+        F.when(k4 == 0, "redact").when(k4 == 1, "anonymize").when(k4 == 2, "highlight_red").alias("action_mode"),
+        F.when(k7 == 0, "  [Hidden]  ").when(k7 == 1, "   ").alias("custom_replacement"),
+        F.when(k3 == 0, "redact").when(k3 == 1, "anonymize").otherwise("highlight").alias("global_mode"))
+
+
+MODES_SQL = """CASE char_start % 4 WHEN 0 THEN 'redact' WHEN 1 THEN 'anonymize' WHEN 2 THEN 'highlight_red' END AS action_mode,
+    CASE char_start % 7 WHEN 0 THEN '  [Hidden]  ' WHEN 1 THEN '   ' END AS custom_replacement,
+    CASE doc_id % 3 WHEN 0 THEN 'redact' WHEN 1 THEN 'anonymize' ELSE 'highlight' END AS global_mode"""

@@ -226,3 +226,48 @@ def pipeline_sql() -> str:
     DET AS (SELECT doc_id, {det_id_sql()} AS det_id, text, char_start, char_end, type, confidence, status, reason,
                    source, policy, rule FROM FI)
     """
+
+
+def case_map_sql(mapping: dict, key: str) -> str:
+    whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in mapping.items())
+    return f"(CASE {key} {whens} END)"
+
+
+def initcap_sql(x: str) -> str:
+    return (f"array_to_string(list_transform(string_split(lower({x}), ' '), "
+            f"lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')")
+
+
+def anon_label_sql(t: str) -> str:
+    clean = f"replace(regexp_replace({t}, '^(US|IN|UK|AU|CA|EU|SG)_', '', 'i'), '_', ' ')"
+    return f"coalesce({case_map_sql(tb.ANONYMIZED_REPLACEMENTS, t)}, '[' || {initcap_sql(clean)} || ']')"
+
+
+def block_sql(text: str) -> str:
+    return f"repeat({q(tb.BLOCK_CHAR)}, greatest(length({text}), {tb.MIN_BLOCK}))"
+
+
+def mode_sql(am: str, gm: str) -> str:
+    return (f"(CASE WHEN {am} = 'highlight_red' THEN 'highlight_red' WHEN {gm} = 'highlight' THEN 'highlight' "
+            f"WHEN {am} IN ('redact', 'anonymize') THEN {am} ELSE {gm} END)")
+
+
+def replacement_sql(text: str, t: str, am: str, custom: str, gm: str) -> str:
+    c = f"regexp_replace({custom}, '^\\s+|\\s+$', '', 'g')"
+    m = mode_sql(am, gm)
+    return f"""(CASE WHEN length({c}) > 0 THEN {c}
+                 WHEN {m} IN ('highlight_red', 'highlight') THEN {text}
+                 WHEN {m} = 'anonymize' THEN {anon_label_sql(t)}
+                 ELSE {block_sql(text)} END)"""
+
+
+def rewrite_sql(spans_cte: str) -> str:
+    """Documents with sorted, non-overlapping spans (doc_id, char_start, char_end, rep) rewritten."""
+    return f"""
+    SELECT d.doc_id, CASE WHEN g.doc_id IS NULL THEN d.text ELSE g.body || substr(d.text, CAST(g.last_e AS INTEGER) + 1) END AS text
+    FROM documents d LEFT JOIN (
+      SELECT r.doc_id, string_agg(substr(d2.text, CAST(r.prev AS INTEGER) + 1, CAST(r.char_start - r.prev AS INTEGER)) || r.rep, '' ORDER BY r.char_start) AS body,
+             max(r.char_end) AS last_e
+      FROM (SELECT *, coalesce(lag(char_end) OVER (PARTITION BY doc_id ORDER BY char_start), 0) AS prev FROM {spans_cte}) r
+      JOIN documents d2 ON d2.doc_id = r.doc_id GROUP BY r.doc_id) g ON g.doc_id = d.doc_id
+    """
