@@ -56,3 +56,79 @@ def with_review_modes(dets: DataFrame) -> DataFrame:
 MODES_SQL = """CASE char_start % 4 WHEN 0 THEN 'redact' WHEN 1 THEN 'anonymize' WHEN 2 THEN 'highlight_red' END AS action_mode,
     CASE char_start % 7 WHEN 0 THEN '  [Hidden]  ' WHEN 1 THEN '   ' END AS custom_replacement,
     CASE doc_id % 3 WHEN 0 THEN 'redact' WHEN 1 THEN 'anonymize' ELSE 'highlight' END AS global_mode"""
+
+
+def doc_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review sessions: one reviewer session per block of 10 documents."""
+    return read_table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("s"), F.floor(F.col("doc_id") / 10).cast("string")).alias("session_id"))
+
+
+def with_review_status(dets: DataFrame) -> DataFrame:
+    """Scenario statuses: some missed detections were marked false positive."""
+    fp = (F.col("status") == "missed") & (F.pmod(F.col("char_start"), F.lit(5)) == 0)
+    return dets.withColumn("status", F.when(fp, F.lit("false_positive")).otherwise(F.col("status")))
+
+
+def corrections_log(spark: SparkSession, sf_dir: str, dets: DataFrame | None = None) -> DataFrame:
+    """Reproducible corrections log derived from the detections and documents."""
+    dets = dets if dets is not None else with_review_status(detections(spark, sf_dir))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    sess = F.concat(F.lit("s"), F.floor(F.col("doc_id") / 10).cast("string"))
+    h = F.pmod(F.col("char_start") + F.col("doc_id"), F.lit(10))
+    base_seq = F.col("doc_id") * 1000000 + F.col("char_start") * 10
+    nul = F.lit(None)
+    per_det = dets.select(
+        "doc_id", "det_id", "char_start", h.alias("h"), base_seq.alias("bseq"))
+    one = per_det.filter(F.col("h") <= 7).select(
+        sess.alias("session_id"), F.col("bseq").alias("seq"), "doc_id",
+        F.when(F.col("h") == 5, "delete").when(F.col("h") == 7, "undo").otherwise("update").alias("action"),
+        F.when(F.col("h") != 7, F.col("det_id")).alias("det_id"),
+        F.when(F.col("h") <= 2, "redacted").when(F.col("h") == 3, "dismissed").when(F.col("h") == 4, "false_positive")
+        .when(F.col("h") == 6, "missed").alias("status"),
+        F.when(F.col("h") == 4, "anonymize").alias("action_mode"),
+        F.when(F.col("h") == 4, " [Masked] ").alias("custom_replacement"))
+    undo_after = per_det.filter(F.col("h") == 6).select(
+        sess.alias("session_id"), (F.col("bseq") + 1).alias("seq"), "doc_id", F.lit("undo").alias("action"),
+        nul.cast("string").alias("det_id"), nul.cast("string").alias("status"),
+        nul.cast("string").alias("action_mode"), nul.cast("string").alias("custom_replacement"))
+    dseq = F.col("doc_id") * 1000000 + 999000
+    word = F.regexp_extract(F.col("text"), "[A-Za-z]{6,}", 0)
+    sid = F.floor(F.col("doc_id") / 10)
+    per_doc = docs.select(
+        "doc_id", word.alias("w"), (F.instr(F.col("text"), word) - 1).cast("bigint").alias("ws"))
+    doc_rows = per_doc.select(
+        sess.alias("session_id"), "doc_id",
+        F.array(
+            F.when(F.pmod("doc_id", F.lit(5)) == 0, F.struct(F.lit(0).alias("k"), F.lit("bulk_accept").alias("a"))),
+            F.when((F.pmod("doc_id", F.lit(7)) == 0) & (F.length("w") > 0), F.struct(F.lit(1).alias("k"), F.lit("add").alias("a"))),
+            F.when(F.pmod("doc_id", F.lit(11)) == 0, F.struct(F.lit(2).alias("k"), F.lit("bulk_update").alias("a"))),
+            F.when((F.pmod("doc_id", F.lit(10)) == 9) & (F.pmod(sid, F.lit(3)) == 0),
+                   F.struct(F.lit(3).alias("k"), F.lit("bulk_accept_global").alias("a"))),
+            F.when((F.pmod("doc_id", F.lit(10)) == 9) & (F.pmod(sid, F.lit(3)) == 1),
+                   F.struct(F.lit(4).alias("k"), F.lit("bulk_reject_global").alias("a"))),
+            F.when(F.pmod("doc_id", F.lit(13)) == 0, F.struct(F.lit(5).alias("k"), F.lit("delete").alias("a"))),
+            F.when(F.pmod("doc_id", F.lit(17)) == 0, F.struct(F.lit(6).alias("k"), F.lit("undo").alias("a"))),
+        ).alias("acts"), "w", "ws")
+    doc_acts = doc_rows.select("session_id", "doc_id", "w", "ws", F.explode(F.filter("acts", lambda x: x.isNotNull())).alias("x"))
+    k, a = F.col("x.k"), F.col("x.a")
+    doc_log = doc_acts.select(
+        "session_id", (dseq + k).alias("seq"), "doc_id", a.alias("action"),
+        F.when(a == "delete", F.concat(F.lit("missing-"), F.col("doc_id").cast("string")))
+        .when(a == "add", sp_det_id(F.col("doc_id"), F.col("ws"), F.col("ws") + F.length("w"), F.lit("CUSTOM")))
+        .alias("det_id"),
+        F.when(a == "bulk_update", "dismissed").alias("status"),
+        nul.cast("string").alias("action_mode"), nul.cast("string").alias("custom_replacement"),
+        F.when(a == "bulk_accept", 0.5).when(a == "bulk_accept_global", 0.45).cast("double").alias("threshold"),
+        F.when(a == "add", F.col("ws")).alias("char_start"),
+        F.when(a == "add", F.col("ws") + F.length("w")).cast("bigint").alias("char_end"),
+        F.when(a == "add", F.col("w")).alias("text"), F.when(a == "add", F.lit("CUSTOM")).alias("type"))
+    det_log = one.unionByName(undo_after).select(
+        "*", nul.cast("double").alias("threshold"), nul.cast("bigint").alias("char_start"),
+        nul.cast("bigint").alias("char_end"), nul.cast("string").alias("text"), nul.cast("string").alias("type"))
+    return det_log.unionByName(doc_log)
+
+
+def sp_det_id(doc, s, e, t):
+    from ..functions.spans import det_id
+    return det_id(doc, s, e, t)
