@@ -132,3 +132,16 @@ def corrections_log(spark: SparkSession, sf_dir: str, dets: DataFrame | None = N
 def sp_det_id(doc, s, e, t):
     from ..functions.spans import det_id
     return det_id(doc, s, e, t)
+
+
+def reviewed_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections after a review pass: scenario statuses, some items
+    dismissed, and the manual additions of the corrections log as 'added'."""
+    rd = with_review_status(detections(spark, sf_dir))
+    dismiss = F.col("status").isin("missed", "false_positive") & (F.pmod(F.col("char_start"), F.lit(7)) == 3)
+    base = rd.withColumn("status", F.when(dismiss, F.lit("dismissed")).otherwise(F.col("status")))
+    cols = ["doc_id", "det_id", "text", "char_start", "char_end", "type", "confidence", "status", "source"]
+    adds = corrections_log(spark, sf_dir, rd).filter(F.col("action") == "add").select(
+        "doc_id", "det_id", "text", "char_start", "char_end", "type", F.lit(1.0).alias("confidence"),
+        F.lit("added").alias("status"), F.lit("manual").alias("source"))
+    return base.select(*cols).unionByName(adds)
