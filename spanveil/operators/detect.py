@@ -101,7 +101,10 @@ def heuristic_detections(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATT
     Keeps ``h_rank`` (pattern order, then match order): the list order that
     the source merge depends on.
     """
-    s = pattern_spans(docs, patterns, text_col, with_context=with_context)
+    return heuristic_from_spans(pattern_spans(docs, patterns, text_col, with_context=with_context))
+
+
+def heuristic_from_spans(s: DataFrame) -> DataFrame:
     conf = F.col("base_conf")
     return s.select(
         "doc_id",
@@ -111,7 +114,7 @@ def heuristic_detections(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATT
         sp.heuristic_status(conf).alias("status"),
         F.concat(F.lit(tb.HEURISTIC_REASON_PREFIX), F.col("base_reason")).alias("reason"),
         F.lit("heuristic").alias("source"),
-        *(["ctx_o", "ctx"] if with_context else []),
+        *[c for c in ("ctx_o", "ctx") if c in s.columns],
     )
 
 
@@ -130,11 +133,16 @@ def standin_raw_entities(docs: DataFrame, text_col: str = "text", with_context:
     raw_entities(doc_id, label, text, char_start, char_end, score): pattern
     candidates scored by ``round(0.40 + ((doc_id*37 + char_start) % 60)/100, 2)``.
     """
-    pats = [(label, regex, label, 0.0, "") for label, regex in tb.STANDIN_ENTITY_PATTERNS]
-    s = pattern_spans(docs, pats, text_col, with_context=with_context)
+    return standin_from_spans(pattern_spans(docs, STANDIN_PATTERNS, text_col, with_context=with_context))
+
+
+STANDIN_PATTERNS = [(label, regex, label, 0.0, "") for label, regex in tb.STANDIN_ENTITY_PATTERNS]
+
+
+def standin_from_spans(s: DataFrame) -> DataFrame:
     score = F.round(F.lit(0.40) + F.pmod(F.col("doc_id") * 37 + F.col("char_start"), F.lit(60)) / 100.0, 2)
     return s.select("doc_id", F.col("type").alias("label"), "text", "char_start", "char_end",
-                    score.cast("double").alias("score"), *(["ctx_o", "ctx"] if with_context else []))
+                    score.cast("double").alias("score"), *[c for c in ("ctx_o", "ctx") if c in s.columns])
 
 
 def model_reason(label: Column, conf: Column, policy: Column) -> Column:
@@ -348,22 +356,39 @@ def merge_overlaps(dets: DataFrame, order_cols: Iterable[str] = ("grp", "ord"))
     return x.groupBy("doc_id", "_isl").agg(*aggs).drop("_isl")
 
 
+def candidate_spans(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATTERNS, text_col: str = "text",
+                    with_standin: bool = True) -> DataFrame:
+    """One map-side pass over the documents: every heuristic pattern and
+    (optionally) every stand-in entity pattern, with span contexts.
+    ``pat_idx`` < len(patterns) marks heuristic spans."""
+    pats = list(_pattern_rows(patterns)) + (STANDIN_PATTERNS if with_standin else [])
+    return pattern_spans(docs, pats, text_col, with_context=True)
+
+
 def detect_pipeline(docs: DataFrame, doc_policies: DataFrame, policies: DataFrame,
                     raw_entities: DataFrame | None = None, patterns: Sequence = tb.HEURISTIC_PATTERNS,
-                    text_col: str = "text") -> DataFrame:
+                    text_col: str = "text", materialize: bool = True) -> DataFrame:
     """Model spans, pattern spans, merge, align, union (C17) -> detections.
 
     One map-side pass over the documents extracts all spans with their
-    contexts; everything after that shuffles spans only.
+    contexts; with ``materialize`` that small span table is written to the
+    shared checkpoint folder, so the scan and the regex work run once
+    although the merge reads the spans several times.  Everything
+    after the scan shuffles spans only.
     """
+    from ..session import cut_lineage
+    n_heur = len(_pattern_rows(patterns))
+    cands = candidate_spans(docs, patterns, text_col, with_standin=raw_entities is None)
+    if materialize:
+        cands = cut_lineage(cands)
+    heur = heuristic_from_spans(cands.filter(F.col("pat_idx") < n_heur))
     if raw_entities is None:
-        raw = standin_raw_entities(docs, text_col, with_context=True)
+        raw = standin_from_spans(cands.filter(F.col("pat_idx") >= n_heur))
     elif "ctx" not in raw_entities.columns:
         raw = attach_context(raw_entities, docs, text_col)
     else:
         raw = raw_entities
     model = policy_filter(raw, resolve_policies(doc_policies, policies))
-    heur = heuristic_detections(docs, patterns, text_col, with_context=True)
     merged = merge_sources(model, heur)
     aligned = align_words(merged)
     final = merge_overlaps(aligned, ("pre_start", "grp", "ord"))

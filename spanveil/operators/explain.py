@@ -82,28 +82,31 @@ def first_overlapping(words: DataFrame, dets: DataFrame) -> DataFrame:
 def explain_words(words: DataFrame, dets: DataFrame, external: DataFrame | None = None) -> DataFrame:
     """E1+E2+E5: flagged words explain from the stored detection ('cached');
     others from an external explanation table when given (source as named
-    there), else from the rules ('rules')."""
+    there), else from the rules ('rules').
+
+    The rule is computed in its own projection and referenced by name, so
+    the explanation templates do not repeat the rule expression.
+    """
     x = first_overlapping(words, dets)
-    is_det = F.col("det").isNotNull()
-    conf = F.coalesce(F.col("det.d_conf"), F.lit(0.0))
-    cached = F.coalesce(F.col("det.d_reason"), F.concat(F.lit("Detected as "), F.coalesce(F.col("det.d_type"), F.lit("UNKNOWN")),
-                                                          F.lit(" with "), sp.pct0(conf), F.lit(" confidence.")))
-    rule = unflagged_rule(F.col("word"))
-    rtext, rrisk = unflagged_explanation(F.col("word"), rule)
     if external is not None:
         x = x.join(external.select("doc_id", "word_idx", F.col("explanation").alias("_ext"),
                                    F.col("risk_level").alias("_erisk"), F.col("source").alias("_esrc")),
                    ["doc_id", "word_idx"], "left")
-        ext = F.col("_ext")
     else:
-        ext = F.lit(None).cast("string")
-    out = x.select(
+        x = x.select("*", F.lit(None).cast("string").alias("_ext"), F.lit(None).cast("string").alias("_erisk"),
+                     F.lit(None).cast("string").alias("_esrc"))
+    is_det = F.col("det").isNotNull()
+    x = x.withColumn("rule", F.when(is_det, F.lit("detection")).when(F.col("_ext").isNotNull(), F.lit("external"))
+                     .otherwise(unflagged_rule(F.col("word"))))
+    conf = F.coalesce(F.col("det.d_conf"), F.lit(0.0))
+    cached = F.coalesce(F.col("det.d_reason"), F.concat(F.lit("Detected as "), F.coalesce(F.col("det.d_type"), F.lit("UNKNOWN")),
+                                                          F.lit(" with "), sp.pct0(conf), F.lit(" confidence.")))
+    rule = F.col("rule")
+    rtext, rrisk = unflagged_explanation(F.col("word"), rule)
+    return x.select(
         "doc_id", "word_idx", "char_start", "char_end", "word",
         is_det.alias("is_detection"), F.col("det.det_id").alias("det_id"),
-        F.when(is_det, F.lit("cached")).when(ext.isNotNull(), F.col("_esrc") if external is not None else F.lit(None))
-        .otherwise(F.lit("rules")).alias("source"),
-        F.when(is_det, F.lit("detection")).when(ext.isNotNull(), F.lit("external")).otherwise(rule).alias("rule"),
-        F.when(is_det, sp.risk_level(conf)).when(ext.isNotNull(), F.col("_erisk") if external is not None else F.lit(None))
-        .otherwise(rrisk).alias("risk_level"),
-        F.when(is_det, cached).when(ext.isNotNull(), ext).otherwise(rtext).alias("explanation"))
-    return out
+        F.when(is_det, F.lit("cached")).when(rule == "external", F.col("_esrc")).otherwise(F.lit("rules")).alias("source"),
+        rule,
+        F.when(is_det, sp.risk_level(conf)).when(rule == "external", F.col("_erisk")).otherwise(rrisk).alias("risk_level"),
+        F.when(is_det, cached).when(rule == "external", F.col("_ext")).otherwise(rtext).alias("explanation"))

@@ -42,11 +42,24 @@ def span_to_node(spans: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Non-whitespace pieces with offsets: doc_id, word_idx, char_start, char_end, word."""
-    w = docs.select("doc_id", F.posexplode(sp.regex_spans(F.col(text_col), r"\S+")).alias("word_idx", "x"))
-    return w.select("doc_id", F.col("word_idx").cast("int").alias("word_idx"),
-                    F.col("x.s").cast("bigint").alias("char_start"), F.col("x.e").cast("bigint").alias("char_end"),
-                    F.col("x.m").alias("word"))
+    """Non-whitespace pieces with offsets: doc_id, word_idx, char_start, char_end, word.
+
+    Words and the whitespace runs before them are exploded to rows and the
+    offsets are a running sum per document (linear in the words; a fold
+    over an array would be quadratic for long documents).  The window
+    hash-partitions by doc_id, which the joins with detections on doc_id
+    reuse.
+    """
+    t = F.col(text_col)
+    words = F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0))
+    gaps = F.split(t, r"\S+", -1)
+    pairs = F.zip_with(gaps, words, lambda g, w: F.struct(F.length(g).alias("g"), w.alias("w")))
+    x = docs.select("doc_id", F.posexplode(pairs).alias("word_idx", "p")).filter(F.col("p.w").isNotNull())
+    w = Window.partitionBy("doc_id").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("p.g") + F.length("p.w")).over(w)
+    return x.select("doc_id", F.col("word_idx").cast("int").alias("word_idx"),
+                    (end - F.length("p.w")).cast("bigint").alias("char_start"), end.cast("bigint").alias("char_end"),
+                    F.col("p.w").alias("word"))
 
 
 def segments(docs: DataFrame, dets: DataFrame, text_col: str = "text") -> DataFrame:

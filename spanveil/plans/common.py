@@ -8,11 +8,22 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as tb
 from ..operators import detect as dt
-from ..session import read_table
+from ..session import cut_lineage, read_table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    """doc_id, text.  A scan with fewer splits than cores (small inputs, one
+    parquet row group) is spread over the cores by doc_id; large inputs
+    already have many splits and are not shuffled."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(docs, "doc_id")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
 
 
 def doc_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +42,11 @@ def model_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full detection pipeline output over the documents table."""
+    """Full detection pipeline output over the documents table, written once
+    to the shared checkpoint folder: review and report queries read it in
+    several branches without recomputing the pipeline."""
     docs = documents(spark, sf_dir)
-    return dt.detect_pipeline(docs, doc_policies(spark, sf_dir), tb.policies_df(spark))
+    return cut_lineage(dt.detect_pipeline(docs, doc_policies(spark, sf_dir), tb.policies_df(spark)), "detections")
 
 
 MODES = ["redact", "anonymize", "highlight_red"]

@@ -143,7 +143,8 @@ _GRID = [round(0.40 + 0.05 * i, 2) for i in range(12)]
     WHERE r.status = 'missed' GROUP BY r.doc_id, g.threshold""")
 def threshold_sweep(spark, sf_dir):
     """Per document, how many missed items each threshold would accept."""
-    grid = spark.createDataFrame([(x,) for x in _GRID], "threshold double")
+    from ..functions.tables import literal_table
+    grid = literal_table(spark, ["threshold"], [(float(x),) for x in _GRID])
     return rv.threshold_sweep(_rd(spark, sf_dir), grid)
 
 
