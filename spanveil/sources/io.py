@@ -64,7 +64,10 @@ def flatten_csv_text(text: Column) -> Column:
     """A3 over a decoded CSV file: every line parsed as CSV (quotes honoured),
     flattened, lines joined by newline.  One file is one row, so this is a
     per-row expression (no grouping)."""
-    lines = F.split(text, r"\r?\n", -1)
+    # line breaks as in Python's str.splitlines (no trailing empty line)
+    breaks = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+    body = F.regexp_replace(text, f"({breaks})$", "")
+    lines = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(body, breaks, -1))
     return F.array_join(F.transform(lines, _csv_line), "\n")
 
 
