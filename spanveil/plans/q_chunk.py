@@ -75,9 +75,12 @@ def _chunk_spans_sql() -> str:
     """
 
 
-@register("detect_chunked", f"""WITH {chunks_sql()}, {_chunk_spans_sql()}
+ORACLE_DETECT_CHUNKED = f"""WITH {chunks_sql()}, {_chunk_spans_sql()}
     SELECT doc_id, label, char_start, char_end, text,
-           CAST(round(0.40 + ((doc_id * 37 + char_start) % 60) / 100.0, 2) AS DOUBLE) AS score FROM KEEP""")
+           CAST(round(0.40 + ((doc_id * 37 + char_start) % 60) / 100.0, 2) AS DOUBLE) AS score FROM KEEP"""
+
+
+@register("detect_chunked", ORACLE_DETECT_CHUNKED)
 def detect_chunked(spark, sf_dir):
     """C15 / I1 on chunks: the entity hook runs per chunk, offsets move to the
     document (B2), cut fragments are dropped and overlap duplicates removed."""
@@ -91,3 +94,18 @@ def detect_chunked(spark, sf_dir):
     out = shifted.select("doc_id", F.col("type").alias("label"), "char_start", "char_end", "text").distinct()
     score = F.round(F.lit(0.40) + F.pmod(F.col("doc_id") * 37 + F.col("char_start"), F.lit(60)) / 100.0, 2)
     return out.withColumn("score", score.cast("double"))
+
+
+@register("model_hook", ORACLE_DETECT_CHUNKED)
+def model_hook(spark, sf_dir):
+    """The model hook (mapInPandas over chunks, scorer loaded once per
+    worker) with the stand-in scorer; after offsets, cut filter and
+    de-duplication it equals the SQL form of chunked detection."""
+    from ..operators import model_hook as mh
+    docs = cm.documents(spark, sf_dir)
+    chunks = ch.chunk_documents(docs, neighbours=True)
+    raw = mh.score_chunks(chunks)
+    shifted = ch.to_document_offsets(ch.drop_cut_spans(raw))
+    out = shifted.select("doc_id", "label", "char_start", "char_end", "text").distinct()
+    score = F.round(F.lit(0.40) + F.pmod(F.col("doc_id") * 37 + F.col("char_start"), F.lit(60)) / 100.0, 2)
+    return out.withColumn("score", score.cast("double"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import spans as sp
 from ..functions import tables as tb
 from ..operators import detect as dt
+from ..session import read_table
 from . import common as cm
 from . import sqlkit as sk
 from .registry import register
@@ -196,3 +197,64 @@ def merge_overlaps(spark, sf_dir):
 def detect_pipeline(spark, sf_dir):
     """C17: model + patterns, merge, align, union -> final detections."""
     return cm.detections(spark, sf_dir)
+
+
+def banded_reason(type_, conf):
+    """C11: three-band reason: type template (or default) + band suffix."""
+    base = F.coalesce(sp.safe_lookup(tb.REASON_TEMPLATES, type_), F.concat(F.lit(tb.REASON_DEFAULT_PREFIX), type_))
+    suffix = (F.when(conf >= 0.85, F.lit(tb.REASON_BAND_SUFFIX["high"]))
+              .when(conf >= 0.50, F.lit(tb.REASON_BAND_SUFFIX["medium"]))
+              .otherwise(F.lit(tb.REASON_BAND_SUFFIX["low"])))
+    status = F.when(conf >= 0.85, "redacted").when(conf >= 0.50, "missed").otherwise("fp")
+    return F.concat(base, suffix), status
+
+
+def _banded_sql() -> str:
+    base = f"coalesce({sk.case_map_sql(tb.REASON_TEMPLATES, 'type')}, {sk.q(tb.REASON_DEFAULT_PREFIX)} || type)"
+    sfx = tb.REASON_BAND_SUFFIX
+    return f"""{base} || CASE WHEN confidence >= 0.85 THEN {sk.q(sfx['high'])} WHEN confidence >= 0.5 THEN {sk.q(sfx['medium'])}
+                             ELSE {sk.q(sfx['low'])} END"""
+
+
+@register("banded_reason", f"""WITH {sk.pipeline_sql()},
+    X AS (SELECT doc_id, det_id, type, confidence FROM DET
+          UNION ALL SELECT doc_id, 'raw-' || CAST(char_start AS VARCHAR), upper(label), score FROM ({sk.standin_sql()}))
+    SELECT doc_id, det_id, {_banded_sql()} AS banded_reason,
+           CASE WHEN confidence >= 0.85 THEN 'redacted' WHEN confidence >= 0.5 THEN 'missed' ELSE 'fp' END AS banded_status
+    FROM X""")
+def banded_reason_q(spark, sf_dir):
+    """C11: three-band reason text and status (high / medium / low = 'fp')
+    for final detections and raw candidates (all three bands occur)."""
+    d = cm.detections(spark, sf_dir).select("doc_id", "det_id", "type", "confidence")
+    raw = dt.standin_raw_entities(cm.documents(spark, sf_dir)).select(
+        "doc_id", F.concat(F.lit("raw-"), F.col("char_start").cast("string")).alias("det_id"),
+        F.upper("label").alias("type"), F.col("score").alias("confidence"))
+    x = d.unionByName(raw)
+    reason, status = banded_reason(F.col("type"), F.col("confidence"))
+    return x.select("doc_id", "det_id", reason.alias("banded_reason"), status.alias("banded_status"))
+
+
+def _modes_json(batch):
+    """Upload form per batch of 10 documents: position 0 anonymize, the file
+    of position 3 by name highlight_red, position 5 an empty mode."""
+    return F.concat(F.lit('{"0": "anonymize", "5": "", "doc_'), (batch * 10 + 3).cast("string"),
+                    F.lit('.txt": "highlight_red"}'))
+
+
+@register("action_mode", f"""WITH {sk.pipeline_sql()},
+    DM AS (SELECT doc_id, doc_id % 10 AS idx, 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS filename,
+                  '{{"0": "anonymize", "5": "", "doc_' || CAST((doc_id // 10) * 10 + 3 AS VARCHAR) || '.txt": "highlight_red"}}' AS modes
+           FROM documents),
+    AMODE AS (SELECT doc_id, coalesce(nullif(json_extract_string(modes, '$."' || CAST(idx AS VARCHAR) || '"'), ''),
+                                  nullif(json_extract_string(modes, '$."' || filename || '"'), ''), 'redact') AS mode FROM DM)
+    SELECT d.doc_id, d.det_id, m.mode AS action_mode FROM DET d JOIN AMODE m ON m.doc_id = d.doc_id""")
+def action_mode(spark, sf_dir):
+    """Each detection takes its document's mode: by upload position,
+    then by file name, then 'redact' (empty modes fall through)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id")
+    modes = F.from_json(_modes_json(F.floor(F.col("doc_id") / 10)), "map<string,string>")
+    idx = F.pmod(F.col("doc_id"), F.lit(10)).cast("string")
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    pick = lambda k: F.nullif(F.element_at(modes, k), F.lit(""))
+    dm = docs.select("doc_id", F.coalesce(pick(idx), pick(name), F.lit("redact")).alias("action_mode"))
+    return cm.detections(spark, sf_dir).select("doc_id", "det_id").join(dm, "doc_id")

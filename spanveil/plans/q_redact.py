@@ -216,3 +216,28 @@ def detach_links(spark, sf_dir):
     return p.select("page_id", F.posexplode("uris").alias("link_idx", "uri"), "n_after").select(
         "page_id", F.col("link_idx").cast("int").alias("link_idx"), "uri",
         F.concat(F.lit(parts[0]), F.col("uri"), F.lit(parts[1])).alias("audit"), F.col("n_after").cast("bigint").alias("n_after"))
+
+
+@register("live_preview", f"""{_DET}, RS AS (SELECT doc_id, char_start, char_end, {sk.replacement_sql('text', 'type', 'NULL', 'NULL', "'redact'")} AS rep
+                                      FROM DET WHERE status IN ('redacted', 'added')),
+    PV AS ({sk.rewrite_sql('RS')}),
+    Q AS (SELECT doc_id, regexp_extract(text, '[A-Za-z]{{6,}}', 0) AS query FROM documents
+          WHERE length(regexp_extract(text, '[A-Za-z]{{6,}}', 0)) > 0),
+    S AS (SELECT q.doc_id, q.query, p.text FROM Q q JOIN PV p ON p.doc_id = q.doc_id)
+    SELECT doc_id, 'preview' AS kind, CAST(0 AS BIGINT) AS char_start, CAST(length(text) AS BIGINT) AS char_end, text FROM PV
+    UNION ALL
+    SELECT s.doc_id, 'highlight', CAST(x.s AS BIGINT), CAST(x.e AS BIGINT), x.m
+    FROM ({sk.spans_sql('SELECT doc_id, text, query FROM S', '__P__')}) x JOIN S s ON s.doc_id = x.doc_id""".replace(
+    "'__P__'", "'(?i)\\Q' || query || '\\E'"))
+def live_preview(spark, sf_dir):
+    """redacted preview of every document plus the highlight entries of
+    the reviewer's search string found in the preview."""
+    from ..operators import structure as st
+    prev = _redact(spark, sf_dir, "redact")
+    docs = cm.documents(spark, sf_dir)
+    qs = docs.select("doc_id", F.regexp_extract("text", "[A-Za-z]{6,}", 0).alias("query")).filter(F.length("query") > 0)
+    hl = st.search_highlight(prev, qs).select("doc_id", F.lit("highlight").alias("kind"), "char_start", "char_end",
+                                              F.col("match").alias("text"))
+    pv = prev.select("doc_id", F.lit("preview").alias("kind"), F.lit(0).cast("bigint").alias("char_start"),
+                     F.length("text").cast("bigint").alias("char_end"), "text")
+    return pv.unionByName(hl)
