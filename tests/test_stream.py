@@ -17,3 +17,52 @@ def test_stream_detect_equals_batch(spark):
 def test_stream_progress_equals_batch(spark):
     q = entry.queries()
     assert _rows(q["stream_progress"](spark, SF_SMALL)) == _rows(q["batch_progress"](spark, SF_SMALL))
+
+
+def test_handover_is_idempotent(spark):
+    import tempfile
+    from pyspark.sql import functions as F
+    from spanveil.streaming import stream as sm
+    out = tempfile.mkdtemp(prefix="spanveil-handover-") + "/store"
+    prog = spark.createDataFrame([(1, "COMPLETED"), (2, "PROCESSING"), (3, "COMPLETED")], "doc_id long, status string")
+    write = sm.handover_batch(out)
+    write(prog, 7)
+    write(prog, 7)                     # a replayed batch rewrites its own partition only
+    write(prog.filter(F.col("doc_id") == 3), 8)
+    got = sorted((r.doc_id, r.batch_id) for r in spark.read.parquet(out).collect())
+    assert got == [(1, 7), (3, 7), (3, 8)]
+
+
+def test_corrections_stream_equals_batch(spark):
+    import os
+    import tempfile
+    from pyspark.sql import functions as F
+    from spanveil.operators import review as rv
+    from spanveil.streaming import stream as sm
+    from tests.test_review import _mock
+    root = tempfile.mkdtemp(prefix="spanveil-corr-")
+    src = os.path.join(root, "in")
+    dets = _mock(spark)
+    sess = spark.createDataFrame([(1, "s1")], "doc_id long, session_id string")
+    rows = [("s1", 1, 1, "update", "d2", "redacted", None, None, None),
+            ("s1", 2, 1, "update", "d3", "dismissed", "anonymize", None, None),
+            ("s1", 3, 1, "undo", None, None, None, None, None),
+            ("s1", 3, 1, "undo", None, None, None, None, None),       # replayed duplicate
+            ("s1", 4, 1, "bulk_accept", None, None, None, None, 0.3)]
+    log = spark.createDataFrame(rows, "session_id string, seq long, doc_id long, action string, det_id string, "
+                                      "status string, action_mode string, custom_replacement string, threshold double")
+    for c in ("char_start", "char_end"):
+        log = log.withColumn(c, F.lit(None).cast("long"))
+    log = log.withColumn("text", F.lit(None).cast("string")).withColumn("type", F.lit(None).cast("string")) \
+        .withColumn("event_time", F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.expr("make_interval(0,0,0,0,0,0,seq)"))
+    log.coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(log.schema).parquet(src)
+    q = (sm.dedup_corrections(stream).writeStream
+         .foreachBatch(sm.corrections_batch(os.path.join(root, "log"), os.path.join(root, "status"), dets, sess))
+         .option("checkpointLocation", os.path.join(root, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    streamed = {r.det_id: r.status for r in spark.read.parquet(os.path.join(root, "status")).collect()}
+    batch = {r.det_id: r.status for r in rv.replay(dets, log.dropDuplicates(["session_id", "seq"]).drop("event_time"),
+                                                   sess).collect()}
+    assert streamed == batch
+    assert streamed["d3"] == "false_positive" and streamed["d2"] == "redacted"
