@@ -17,41 +17,34 @@ from ..functions import tables as tb
 _CUTS = "array<struct<s:int,e:int>>"
 
 
-def _last_in_tail(text: Column, end: Column, width: int, ch: str) -> Column:
-    """Distance from ``end`` back to the last ``ch`` among the ``width-1``
-    characters before ``end`` (0 when absent)."""
-    w = width - 1
-    return F.instr(F.reverse(text.substr(end - w + 1, F.lit(w))), ch)
-
-
-def chunk_bounds(text: Column, max_chars: int = tb.CHUNK_MAX_CHARS, overlap: int = tb.CHUNK_OVERLAP,
-                 nl_window: int = tb.CHUNK_NEWLINE_WINDOW, sp_window: int = tb.CHUNK_SPACE_WINDOW) -> Column:
-    """array<struct<s int, e int>> of chunk bounds.
+def chunk_bounds_sql(text: str, max_chars: int = tb.CHUNK_MAX_CHARS, overlap: int = tb.CHUNK_OVERLAP,
+                     nl_window: int = tb.CHUNK_NEWLINE_WINDOW, sp_window: int = tb.CHUNK_SPACE_WINDOW) -> str:
+    """array<struct<s int, e int>> of chunk bounds, as SQL text.
 
     Length <= max_chars: one chunk (also for empty text).  Otherwise cut at
     start+max_chars, moved back to the last newline when it lies less than
     ``nl_window`` before the cut, else to the last space when less than
-    ``sp_window`` before; next start = end - overlap; stop at the end.
+    ``sp_window`` before; next start = end - overlap; stop at the end.  The
+    last newline/space is found by ``instr`` on the reversed tail window.
     """
-    n = F.coalesce(F.length(text), F.lit(0))
+    n = f"coalesce(length({text}), 0)"
     # each step advances by at least max_chars - nl_window + 1 - overlap characters
     step_min = max_chars - nl_window + 1 - overlap
-    iters = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / step_min).cast("int") + 1))
+    e0 = f"least(_a.st + {max_chars}, {n})"
+    wn, ws = nl_window - 1, sp_window - 1
+    nl = f"instr(reverse(substring({text}, {e0} - {wn} + 1, {wn})), '\n')"
+    spc = f"instr(reverse(substring({text}, {e0} - {ws} + 1, {ws})), ' ')"
+    end = f"(CASE WHEN {e0} >= {n} THEN {e0} WHEN {nl} > 0 THEN {e0} - {nl} WHEN {spc} > 0 THEN {e0} - {spc} ELSE {e0} END)"
+    step = (f"CASE WHEN _a.done THEN _a ELSE named_struct('st', greatest({end} - {overlap}, 0), 'done', {end} >= {n}, "
+            f"'out', array_append(_a.out, named_struct('s', _a.st, 'e', {end}))) END")
+    folded = (f"aggregate(sequence(1, greatest(1, CAST(ceil({n} / {step_min}) AS INT) + 1)), "
+              f"named_struct('st', 0, 'done', false, 'out', CAST(array() AS {_CUTS})), (_a, _i) -> {step}, _a -> _a.out)")
+    return f"(CASE WHEN {n} <= {max_chars} THEN array(named_struct('s', 0, 'e', CAST({n} AS INT))) ELSE {folded} END)"
 
-    def step(acc, _):
-        start = acc["st"]
-        end0 = F.least(start + max_chars, n)
-        nl = _last_in_tail(text, end0, nl_window, "\n")
-        spc = _last_in_tail(text, end0, sp_window, " ")
-        end = (F.when(end0 >= n, end0).when(nl > 0, end0 - nl).when(spc > 0, end0 - spc).otherwise(end0))
-        nxt = F.struct(F.greatest(end - overlap, F.lit(0)).alias("st"), (end >= n).alias("done"),
-                       F.array_append(acc["out"], F.struct(start.alias("s"), end.alias("e"))).alias("out"))
-        return F.when(acc["done"], acc).otherwise(nxt)
 
-    init = F.struct(F.lit(0).alias("st"), F.lit(False).alias("done"), F.array().cast(_CUTS).alias("out"))
-    folded = F.aggregate(iters, init, step, lambda acc: acc["out"])
-    single = F.array(F.struct(F.lit(0).alias("s"), n.cast("int").alias("e")))
-    return F.when(n <= max_chars, single).otherwise(folded)
+def chunk_bounds(text: str = "text", **kw) -> Column:
+    """Column of chunk bounds for the text column named ``text``."""
+    return F.expr(chunk_bounds_sql(f"`{text}`", **kw))
 
 
 def chunk_documents(docs: DataFrame, text_col: str = "text", keep_text: bool = True, neighbours: bool = False,
@@ -61,7 +54,7 @@ def chunk_documents(docs: DataFrame, text_col: str = "text", keep_text: bool = T
     ``neighbours`` adds the document characters just before and after the
     chunk (needed by ``drop_cut_spans``), cut in the same map-side pass.
     """
-    b = docs.select("doc_id", F.col(text_col).alias("_t"), chunk_bounds(F.col(text_col), **kw).alias("_b"))
+    b = docs.select("doc_id", F.col(text_col).alias("_t"), chunk_bounds(text_col, **kw).alias("_b"))
     out = b.select("doc_id", "_t", F.size("_b").alias("n_chunks"), F.posexplode("_b").alias("chunk_idx", "_c"))
     cols = ["doc_id", F.col("chunk_idx").cast("int").alias("chunk_idx"),
             F.col("_c.s").cast("bigint").alias("start_offset"), F.col("_c.e").cast("bigint").alias("end_offset"),

@@ -12,6 +12,7 @@ Plan shape rules (checked with ``explain`` in the tests):
 
 from __future__ import annotations
 
+import uuid
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,38 +36,44 @@ def _pattern_rows(patterns: Sequence) -> list[tuple]:
     return rows
 
 
-def _tagger(i: int, ptype: str, conf: float, reason: str, text: Column | None):
-    def tag(x, j):
-        fields = [F.lit(i).alias("pat_idx"), j.alias("match_idx"), x["s"].alias("s"), x["e"].alias("e"),
-                  x["m"].alias("m"), F.lit(ptype).alias("type"), F.lit(float(conf)).alias("base_conf"),
-                  F.lit(reason).alias("base_reason")]
-        if text is not None:
-            lo, hi = run_start(text, x["s"]), run_end(text, x["e"])
-            fields += [lo.alias("ctx_o"), sp.cut(text, lo, hi).alias("ctx")]
-        return F.struct(*fields)
-    return tag
-
-
 _WINDOW = 256
 
 
-def run_start(text: Column, pos: Column) -> Column:
+def run_start_sql(text: str, pos: str) -> str:
     """Start of the whitespace-free run that ends at ``pos`` (exclusive).
 
     Looks at most 256 characters back first and only scans the whole prefix
     when the run is longer than that (exact, and linear in the normal case).
     """
-    lo = F.greatest(pos - _WINDOW, F.lit(0))
-    near = F.length(F.regexp_extract(text.substr(lo + 1, pos - lo), r"\S*$", 0))
-    far = F.length(F.regexp_extract(text.substr(F.lit(1), pos), r"\S*$", 0))
-    return pos - F.when((near == pos - lo) & (lo > 0), far).otherwise(near)
+    lo = f"greatest({pos} - {_WINDOW}, 0)"
+    near = f"length(regexp_extract(substring({text}, {lo} + 1, {pos} - {lo}), r'\\S*$', 0))"
+    far = f"length(regexp_extract(substring({text}, 1, {pos}), r'\\S*$', 0))"
+    return f"({pos} - CASE WHEN {near} = {pos} - {lo} AND {lo} > 0 THEN {far} ELSE {near} END)"
 
 
-def run_end(text: Column, pos: Column) -> Column:
+def run_end_sql(text: str, pos: str) -> str:
     """End of the whitespace-free run that starts at ``pos``."""
-    near = F.length(F.regexp_extract(text.substr(pos + 1, F.lit(_WINDOW)), r"^\S*", 0))
-    far = F.length(F.regexp_extract(text.substr(pos + 1, F.length(text)), r"^\S*", 0))
-    return pos + F.when(near == _WINDOW, far).otherwise(near)
+    near = f"length(regexp_extract(substring({text}, {pos} + 1, {_WINDOW}), r'^\\S*', 0))"
+    far = f"length(regexp_extract(substring({text}, {pos} + 1, length({text})), r'^\\S*', 0))"
+    return f"({pos} + CASE WHEN {near} = {_WINDOW} THEN {far} ELSE {near} END)"
+
+
+def _pattern_array_sql(text: str, i: int, regex: str, ptype: str, conf: float, reason: str,
+                       with_context: bool) -> str:
+    fields = (f"'pat_idx', {i}, 'match_idx', _j, 's', _x.s, 'e', _x.e, 'm', _x.m, "
+              f"'type', {sp.sql_lit(ptype)}, 'base_conf', CAST({float(conf)!r} AS DOUBLE), "
+              f"'base_reason', {sp.sql_lit(reason)}")
+    tagged = f"transform({sp.regex_spans_sql(text, regex)}, (_x, _j) -> named_struct({fields}))"
+    kept = f"filter({tagged}, _y -> length(trim(_y.m)) >= {tb.HEURISTIC_MIN_TRIMMED_LENGTH})"
+    if not with_context:
+        return kept
+    keys = ["pat_idx", "match_idx", "s", "e", "m", "type", "base_conf", "base_reason"]
+    carry = ", ".join(f"'{k}', _z.{k}" for k in keys)
+    lo, hi = run_start_sql(text, "_z.s"), run_end_sql(text, "_z.e")
+    bounded = f"transform({kept}, _z -> named_struct({carry}, 'ctx_o', {lo}, 'ctx_e', {hi}))"
+    carry2 = ", ".join(f"'{k}', _w.{k}" for k in keys)
+    ctx = f"CASE WHEN _w.ctx_e > _w.ctx_o THEN substring({text}, _w.ctx_o + 1, _w.ctx_e - _w.ctx_o) ELSE '' END"
+    return f"transform({bounded}, _w -> named_struct({carry2}, 'ctx_o', _w.ctx_o, 'ctx', {ctx}))"
 
 
 def pattern_spans(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATTERNS, text_col: str = "text",
@@ -78,15 +85,14 @@ def pattern_spans(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATTERNS, t
     matches whose trimmed text is shorter than 3 characters are dropped.
     ``with_context`` adds ``ctx_o``/``ctx``: the whitespace-free runs around
     the span, cut while the document is at hand (map side), so later
-    shuffles move spans and not documents.
+    shuffles move spans and not documents.  All patterns compile into one
+    projection and one generator, written as SQL text (one call into the
+    JVM instead of one per function).
     """
-    text = F.col(text_col)
-    arrays = []
-    for i, (name, regex, ptype, conf, reason) in enumerate(_pattern_rows(patterns)):
-        found = sp.regex_spans(text, regex)
-        tagged = F.transform(found, _tagger(i, ptype, conf, reason, text if with_context else None))
-        arrays.append(F.filter(tagged, lambda x: F.length(F.trim(x["m"])) >= tb.HEURISTIC_MIN_TRIMMED_LENGTH))
-    all_spans = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+    text = f"`{text_col}`"
+    arrays = [_pattern_array_sql(text, i, regex, ptype, conf, reason, with_context)
+              for i, (name, regex, ptype, conf, reason) in enumerate(_pattern_rows(patterns))]
+    all_spans = F.expr(f"concat({', '.join(arrays)})" if len(arrays) > 1 else arrays[0])
     ctx = ["ctx_o", "ctx"] if with_context else []
     return (docs.select(F.col(id_col).alias("doc_id"), *keep, F.inline(all_spans))
             .select("doc_id", *keep, "pat_idx", "match_idx",
@@ -105,22 +111,18 @@ def heuristic_detections(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATT
 
 
 def heuristic_from_spans(s: DataFrame) -> DataFrame:
-    conf = F.col("base_conf")
-    return s.select(
-        "doc_id",
-        (F.col("pat_idx").cast("bigint") * F.lit(1 << 32) + F.col("match_idx")).alias("h_rank"),
-        "text", "char_start", "char_end", "type",
-        conf.alias("confidence"),
-        sp.heuristic_status(conf).alias("status"),
-        F.concat(F.lit(tb.HEURISTIC_REASON_PREFIX), F.col("base_reason")).alias("reason"),
-        F.lit("heuristic").alias("source"),
+    return s.selectExpr(
+        "doc_id", f"CAST(pat_idx AS BIGINT) * {1 << 32} + match_idx AS h_rank",
+        "text", "char_start", "char_end", "type", "base_conf AS confidence",
+        f"CASE WHEN base_conf >= {tb.REDACT_AT} THEN 'redacted' WHEN base_conf >= {tb.REVIEW_AT} THEN 'missed' "
+        "ELSE 'false_positive' END AS status",
+        f"concat({sp.sql_lit(tb.HEURISTIC_REASON_PREFIX)}, base_reason) AS reason", "'heuristic' AS source",
         *[c for c in ("ctx_o", "ctx") if c in s.columns],
     )
 
 
 def with_det_id(df: DataFrame) -> DataFrame:
-    return df.withColumn("det_id", sp.det_id(F.col("doc_id"), F.col("char_start"), F.col("char_end"),
-                                             F.col("type")))
+    return df.withColumn("det_id", F.expr(sp.DET_ID_SQL))
 
 
 # ---------------------------------------------------------------------------
@@ -139,81 +141,107 @@ def standin_raw_entities(docs: DataFrame, text_col: str = "text", with_context:
 STANDIN_PATTERNS = [(label, regex, label, 0.0, "") for label, regex in tb.STANDIN_ENTITY_PATTERNS]
 
 
+STANDIN_SCORE_SQL = "CAST(round(0.40 + pmod(doc_id * 37 + char_start, 60) / 100.0, 2) AS DOUBLE)"
+
+
 def standin_from_spans(s: DataFrame) -> DataFrame:
-    score = F.round(F.lit(0.40) + F.pmod(F.col("doc_id") * 37 + F.col("char_start"), F.lit(60)) / 100.0, 2)
-    return s.select("doc_id", F.col("type").alias("label"), "text", "char_start", "char_end",
-                    score.cast("double").alias("score"), *[c for c in ("ctx_o", "ctx") if c in s.columns])
+    return s.selectExpr("doc_id", "type AS label", "text", "char_start", "char_end", f"{STANDIN_SCORE_SQL} AS score",
+                        *[c for c in ("ctx_o", "ctx") if c in s.columns])
+
+
+def _view(df: DataFrame, prefix: str) -> str:
+    """Register ``df`` under a unique temporary name (for SQL-text operators)."""
+    name = f"_sv_{prefix}_{uuid.uuid4().hex[:10]}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
+def stitch_sql(arr: str) -> str:
+    """SQL text of ``spans.stitch``: join overlapping (offset, text) pieces."""
+    srt = f"array_sort({arr})"
+    step = ("CASE WHEN _p.o + length(_p.t) > _sa.o + length(_sa.t) THEN named_struct('o', _sa.o, 't', "
+            "concat(_sa.t, substring(_p.t, _sa.o + length(_sa.t) - _p.o + 1, _p.o + length(_p.t) - _sa.o - length(_sa.t)))) "
+            "ELSE _sa END")
+    return (f"aggregate(slice({srt}, 2, greatest(size({arr}) - 1, 0)), "
+            f"named_struct('o', element_at({srt}, 1).o, 't', element_at({srt}, 1).t), (_sa, _p) -> {step})")
+
+
+def _pct_sql(conf: str) -> str:
+    return f"concat(CAST(CAST(bround({conf} * 100, 0) AS BIGINT) AS STRING), '%')"
 
 
-def model_reason(label: Column, conf: Column, policy: Column) -> Column:
+def _fill_sql(template: str, **vals: str) -> str:
+    parts, rest = [], template
+    while rest:
+        hits = [(rest.find("{" + k + "}"), k) for k in vals if rest.find("{" + k + "}") >= 0]
+        if not hits:
+            parts.append(sp.sql_lit(rest))
+            break
+        pos, key = min(hits)
+        if pos:
+            parts.append(sp.sql_lit(rest[:pos]))
+        parts.append(vals[key])
+        rest = rest[pos + len(key) + 2:]
+    return "concat(" + ", ".join(parts) + ")"
+
+
+def model_reason_sql(label: str, conf: str, policy: str) -> str:
     """Reason text for model detections (C9); rule 1 is substring based."""
-    up = F.upper(label)
-    shown = F.regexp_replace(up, "_", " ")
-    pct = sp.pct0(conf)
-
-    def fill(template: str) -> Column:
-        parts = []
-        rest = template
-        while rest:
-            idx = [(rest.find(k), k) for k in ("{label}", "{pct}", "{policy}") if rest.find(k) >= 0]
-            if not idx:
-                parts.append(F.lit(rest))
-                break
-            pos, key = min(idx)
-            if pos:
-                parts.append(F.lit(rest[:pos]))
-            parts.append({"{label}": shown, "{pct}": pct, "{policy}": policy}[key])
-            rest = rest[pos + len(key):]
-        return F.concat(*parts)
-
-    return (F.when(up.contains("PERSON") | up.contains("NAME"), fill(tb.MODEL_REASON_PERSON))
-            .when(up.contains("IBAN") | up.contains("ACCOUNT") | up.contains("CARD"), fill(tb.MODEL_REASON_FINANCIAL))
-            .when(up.contains("PASSWORD") | up.contains("KEY") | up.contains("TOKEN"), fill(tb.MODEL_REASON_SECRET))
-            .otherwise(fill(tb.MODEL_REASON_DEFAULT)))
-
-
-def resolve_policies(doc_policies: DataFrame, policies: DataFrame) -> DataFrame:
-    """Per document: effective policy (unknown -> mixed_general), labels
-    (non-empty custom list replaces them, C7), threshold and rule.
+    up = f"upper({label})"
+    shown = f"replace({up}, '_', ' ')"
+    pct = _pct_sql(conf)
+    return (f"CASE WHEN contains({up}, 'PERSON') OR contains({up}, 'NAME') THEN "
+            f"{_fill_sql(tb.MODEL_REASON_PERSON, label=shown, pct=pct, policy=policy)} "
+            f"WHEN contains({up}, 'IBAN') OR contains({up}, 'ACCOUNT') OR contains({up}, 'CARD') THEN "
+            f"{_fill_sql(tb.MODEL_REASON_FINANCIAL, label=shown, pct=pct)} "
+            f"WHEN contains({up}, 'PASSWORD') OR contains({up}, 'KEY') OR contains({up}, 'TOKEN') THEN "
+            f"{_fill_sql(tb.MODEL_REASON_SECRET, label=shown)} "
+            f"ELSE {_fill_sql(tb.MODEL_REASON_DEFAULT, label=shown, pct=pct, policy=policy)} END")
+
+
+def policies_values_sql() -> str:
+    """The fixed 8-row policy table as an inline SQL table (broadcast-sized)."""
+    rows = []
+    for name, (labels, thr, rule) in tb.POLICIES.items():
+        lab = "array(" + ", ".join(sp.sql_lit(x) for x in labels) + ")"
+        rows.append(f"({sp.sql_lit(name)}, {lab}, CAST({thr} AS DOUBLE), {sp.sql_lit(rule)})")
+    return "SELECT * FROM VALUES " + ", ".join(rows) + " AS p(policy, labels, threshold, rule)"
 
-    ``doc_policies``: doc_id, policy, optional custom_labels (JSON text).
-    ``policies`` is the fixed 8-row table: broadcasting it is bounded.
-    """
-    pol = F.broadcast(policies)
-    known = doc_policies.join(pol.select(F.col("policy").alias("_known")),
-                              F.col("policy") == F.col("_known"), "left")
-    eff = known.withColumn("policy", F.when(F.col("_known").isNotNull(), F.col("policy"))
-                           .otherwise(F.lit(tb.DEFAULT_POLICY))).drop("_known")
-    joined = eff.join(pol, "policy")
+
+def resolve_policies(doc_policies: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+    """Per document: effective policy (unknown -> mixed_general), labels
+    (a non-empty custom list replaces them, C7; bad JSON means none),
+    threshold and rule.  ``doc_policies``: doc_id, policy[, custom_labels].
+    The policy table is the fixed 8-row table (``policies`` may override it)."""
+    spark = doc_policies.sparkSession
+    dp = _view(doc_policies, "dp")
+    pol = f"(SELECT * FROM {_view(policies, 'pol')})" if policies is not None else f"({policies_values_sql()})"
+    labels = "p.labels"
     if "custom_labels" in doc_policies.columns:
-        # bad JSON gives null, i.e. no custom labels
-        custom = F.from_json(F.col("custom_labels"), "array<string>")
-        labels = F.when(F.size(F.coalesce(custom, F.array().cast("array<string>"))) > 0, custom) \
-            .otherwise(F.col("labels"))
-        joined = joined.withColumn("labels", labels)
-    return joined.select("doc_id", "policy", "labels", "threshold", "rule")
+        custom = "from_json(d.custom_labels, 'array<string>')"
+        labels = f"CASE WHEN size(coalesce({custom}, array())) > 0 THEN {custom} ELSE p.labels END"
+    return spark.sql(f"""
+        SELECT d.doc_id, p.policy, {labels} AS labels, p.threshold, p.rule
+        FROM {dp} d JOIN {pol} p
+          ON p.policy = CASE WHEN d.policy IN (SELECT policy FROM {pol}) THEN d.policy ELSE {sp.sql_lit(tb.DEFAULT_POLICY)} END""")
 
 
 def policy_filter(raw_entities: DataFrame, resolved: DataFrame) -> DataFrame:
     """Model detections allowed by each document's policy.
 
-    ``resolved`` comes from ``resolve_policies`` (one row per document); the
-    join is an equi join on doc_id, so it shuffles both sides by doc_id (or
-    broadcasts ``resolved`` when AQE measures it small).
-    """
-    j = raw_entities.join(resolved, "doc_id")
-    j = j.filter(F.array_contains(F.col("labels"), F.col("label")) & (F.col("score") >= F.col("threshold")))
-    conf = F.round(F.col("score"), 2)
-    return j.select(
-        "doc_id", "text", "char_start", "char_end",
-        F.upper(F.col("label")).alias("type"),
-        conf.alias("confidence"),
-        sp.model_status(conf).alias("status"),
-        model_reason(F.col("label"), conf, F.col("policy")).alias("reason"),
-        F.lit(tb.MODEL_SOURCE).alias("source"),
-        "policy", "rule",
-        *[c for c in ("ctx_o", "ctx") if c in raw_entities.columns],
-    )
+    Equi join on doc_id with the per-document policy rows (shuffle by
+    doc_id, or a broadcast when AQE measures that side small)."""
+    spark = raw_entities.sparkSession
+    raw, res = _view(raw_entities, "raw"), _view(resolved, "res")
+    ctx = ", r.ctx_o, r.ctx" if "ctx" in raw_entities.columns else ""
+    conf = "round(r.score, 2)"
+    return spark.sql(f"""
+        SELECT r.doc_id, r.text, r.char_start, r.char_end, upper(r.label) AS type, {conf} AS confidence,
+               CASE WHEN {conf} >= {tb.REDACT_AT} THEN 'redacted' ELSE 'missed' END AS status,
+               {model_reason_sql('r.label', conf, 'p.policy')} AS reason,
+               {sp.sql_lit(tb.MODEL_SOURCE)} AS source, p.policy, p.rule{ctx}
+        FROM {raw} r JOIN {res} p ON r.doc_id = p.doc_id
+        WHERE array_contains(p.labels, r.label) AND r.score >= p.threshold""")
 
 
 def label_groups(spark, raw_entities: DataFrame) -> DataFrame:
@@ -235,10 +263,10 @@ def attach_context(spans: DataFrame, docs: DataFrame, text_col: str = "text") ->
     this package get their context map side instead.
     """
     d = docs.select("doc_id", F.col(text_col).alias("_doc"))
-    s, e = F.col("char_start").cast("int"), F.col("char_end").cast("int")
-    lo, hi = run_start(F.col("_doc"), s), run_end(F.col("_doc"), e)
-    return (spans.join(d, "doc_id").withColumn("ctx_o", lo)
-            .withColumn("ctx", sp.cut(F.col("_doc"), F.col("ctx_o"), hi)).drop("_doc"))
+    lo = run_start_sql("_doc", "CAST(char_start AS INT)")
+    hi = run_end_sql("_doc", "CAST(char_end AS INT)")
+    return (spans.join(d, "doc_id").withColumn("ctx_o", F.expr(lo)).withColumn("_hi", F.expr(hi))
+            .withColumn("ctx", sp.cut(F.col("_doc"), F.col("ctx_o"), F.col("_hi"))).drop("_doc", "_hi"))
 
 
 # ---------------------------------------------------------------------------
@@ -253,51 +281,41 @@ def merge_sources(model: DataFrame, heuristic: DataFrame) -> DataFrame:
     the stable list order (model spans first, then appended heuristics).
 
     Both inputs carry ``ctx_o``/``ctx``; a merged span's context is the
-    stitched union of its members' contexts.
+    stitched union of its members' contexts.  The interval join carries the
+    equi key doc_id; all windows are partitioned by doc_id.
     """
-    mw = Window.partitionBy("doc_id").orderBy("char_start", "char_end", "type", "text")
-    m = model.withColumn("m_ord", F.row_number().over(mw))
-    mj = m.select("doc_id", "m_ord", F.col("char_start").alias("ms"), F.col("char_end").alias("me"),
-                  F.col("confidence").alias("mc"))
-    h = heuristic.select("doc_id", "h_rank", F.col("char_start").alias("hs"), F.col("char_end").alias("he"),
-                         F.col("confidence").alias("hc"), F.col("status").alias("hst"),
-                         F.col("ctx_o").alias("hco"), F.col("ctx").alias("hct"))
-    pairs = h.join(mj, (h.doc_id == mj.doc_id) & (F.col("hs") < F.col("me")) & (F.col("ms") < F.col("he"))) \
-        .drop(mj.doc_id)
-    first = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "h_rank").orderBy("m_ord"))) \
-        .filter("_r = 1").drop("_r")
-    seq = Window.partitionBy("doc_id", "m_ord").orderBy("h_rank").rowsBetween(Window.unboundedPreceding, -1)
-    first = first.withColumn("_prev", F.greatest(F.col("mc"), F.coalesce(F.max("hc").over(seq), F.col("mc"))))
-    first = first.withColumn("_raise", F.col("hc") > F.col("_prev"))
-    per_model = first.groupBy("doc_id", "m_ord").agg(
-        F.min("hs").alias("hmin"), F.max("he").alias("hmax"), F.max("hc").alias("hcmax"),
-        F.count_if(F.col("_raise")).alias("n_raise"),
-        F.bool_or(F.col("_raise") & (F.col("hst") == "redacted")).alias("promote"),
-        F.collect_list(F.struct(F.col("hco").alias("o"), F.col("hct").alias("t"))).alias("hctx"))
-    mm = m.join(per_model, ["doc_id", "m_ord"], "left")
-    matched = F.col("hmin").isNotNull()
-    own = F.array(F.struct(F.col("ctx_o").alias("o"), F.col("ctx").alias("t")))
-    ctx = F.when(matched, sp.stitch(F.concat(own, F.col("hctx")))).otherwise(F.element_at(own, 1))
-    merged_model = mm.withColumn("_ctx", ctx).select(
-        "doc_id",
-        F.when(matched, F.least("char_start", "hmin")).otherwise(F.col("char_start")).alias("char_start"),
-        F.when(matched, F.greatest("char_end", "hmax")).otherwise(F.col("char_end")).alias("char_end"),
-        "type",
-        F.when(matched, F.greatest("confidence", "hcmax")).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(F.coalesce(F.col("promote"), F.lit(False)), F.lit("redacted")).otherwise(F.col("status")).alias("status"),
-        F.concat(F.col("reason"), F.repeat(F.lit(tb.MERGE_REASON_SUFFIX),
-                                           F.coalesce(F.col("n_raise"), F.lit(0)).cast("int"))).alias("reason"),
-        F.when(matched, F.lit("dual")).otherwise(F.coalesce(F.col("source"), F.lit(tb.MODEL_SOURCE))).alias("source"),
-        "policy", "rule",
-        F.lit(0).alias("grp"), F.col("m_ord").cast("bigint").alias("ord"),
-        F.col("_ctx.o").alias("ctx_o"), F.col("_ctx.t").alias("ctx"),
-    )
-    taken = first.select("doc_id", "h_rank")
-    lone = heuristic.join(taken, ["doc_id", "h_rank"], "left_anti").select(
-        "doc_id", "char_start", "char_end", "type", "confidence", "status", "reason", "source",
-        F.lit(None).cast("string").alias("policy"), F.lit(None).cast("string").alias("rule"),
-        F.lit(1).alias("grp"), F.col("h_rank").alias("ord"), "ctx_o", "ctx")
-    return merged_model.unionByName(lone)
+    spark = model.sparkSession
+    m, h = _view(model, "model"), _view(heuristic, "heur")
+    hctx = "named_struct('o', ctx_o, 't', ctx)"
+    return spark.sql(f"""
+    WITH M AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY char_start, char_end, type, text) AS m_ord FROM {m}),
+    P AS (SELECT h.doc_id, h.h_rank, h.char_start AS hs, h.char_end AS he, h.confidence AS hc, h.status AS hst,
+                 h.ctx_o AS hco, h.ctx AS hct, m.m_ord, m.confidence AS mc
+          FROM {h} h JOIN M m ON h.doc_id = m.doc_id AND h.char_start < m.char_end AND m.char_start < h.char_end),
+    F1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, h_rank ORDER BY m_ord) AS _r FROM P) WHERE _r = 1),
+    F2 AS (SELECT *, hc > greatest(mc, coalesce(max(hc) OVER (PARTITION BY doc_id, m_ord ORDER BY h_rank
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), mc)) AS rz FROM F1),
+    PM AS (SELECT doc_id, m_ord, min(hs) AS hmin, max(he) AS hmax, max(hc) AS hcmax, count_if(rz) AS nr,
+                  bool_or(rz AND hst = 'redacted') AS pr, collect_list(named_struct('o', hco, 't', hct)) AS hctx
+           FROM F2 GROUP BY doc_id, m_ord),
+    MM AS (SELECT m.*, pm.hmin, pm.hmax, pm.hcmax, pm.nr, pm.pr, pm.hctx,
+                  CASE WHEN pm.hmin IS NULL THEN named_struct('o', m.ctx_o, 't', m.ctx)
+                       ELSE {stitch_sql("concat(array(named_struct('o', m.ctx_o, 't', m.ctx)), pm.hctx)")} END AS _c
+           FROM M m LEFT JOIN PM pm ON m.doc_id = pm.doc_id AND m.m_ord = pm.m_ord)
+    SELECT doc_id,
+           CASE WHEN hmin IS NULL THEN char_start ELSE least(char_start, hmin) END AS char_start,
+           CASE WHEN hmin IS NULL THEN char_end ELSE greatest(char_end, hmax) END AS char_end,
+           type,
+           CASE WHEN hmin IS NULL THEN confidence ELSE greatest(confidence, hcmax) END AS confidence,
+           CASE WHEN coalesce(pr, false) THEN 'redacted' ELSE status END AS status,
+           concat(reason, repeat({sp.sql_lit(tb.MERGE_REASON_SUFFIX)}, CAST(coalesce(nr, 0) AS INT))) AS reason,
+           CASE WHEN hmin IS NULL THEN coalesce(source, {sp.sql_lit(tb.MODEL_SOURCE)}) ELSE 'dual' END AS source,
+           policy, rule, 0 AS grp, CAST(m_ord AS BIGINT) AS ord, _c.o AS ctx_o, _c.t AS ctx
+    FROM MM
+    UNION ALL
+    SELECT h.doc_id, h.char_start, h.char_end, h.type, h.confidence, h.status, h.reason, h.source,
+           CAST(NULL AS STRING) AS policy, CAST(NULL AS STRING) AS rule, 1 AS grp, h.h_rank AS ord, h.ctx_o, h.ctx
+    FROM {h} h LEFT ANTI JOIN F1 f ON h.doc_id = f.doc_id AND h.h_rank = f.h_rank""")
 
 
 # ---------------------------------------------------------------------------
@@ -313,20 +331,23 @@ def align_words(dets: DataFrame) -> DataFrame:
     tokenising the whole document.  Spans without tokens keep their bounds.
     ``pre_start`` keeps the start before alignment (the stable sort key).
     """
-    s, e, base = F.col("char_start").cast("int"), F.col("char_end").cast("int"), F.col("ctx_o")
-    toks = F.filter(sp.regex_spans(F.col("ctx"), tb.TOKEN_PATTERN),
-                    lambda t: (t["s"] + base < e) & (t["e"] + base > s))
-    j = dets.withColumn("pre_start", F.col("char_start")).withColumn("_t", toks)
-    punct = F.array(*[F.lit(x) for x in tb.TRAILING_PUNCTUATION])
-    drop_last = (F.size("_t") > 1) & F.array_contains(punct, F.element_at("_t", -1)["m"])
-    j = j.withColumn("_t", F.when(drop_last, F.slice("_t", 1, F.size("_t") - 1)).otherwise(F.col("_t")))
-    has = F.size("_t") > 0
-    ns = F.when(has, F.element_at("_t", 1)["s"] + base).otherwise(s)
-    ne = F.when(has, F.element_at("_t", -1)["e"] + base).otherwise(e)
-    j = j.withColumn("char_start", ns.cast("bigint")).withColumn("char_end", ne.cast("bigint"))
-    j = j.withColumn("text", sp.cut(F.col("ctx"), F.col("char_start").cast("int") - base,
-                                    F.col("char_end").cast("int") - base))
-    return j.drop("_t")
+    spark = dets.sparkSession
+    v = _view(dets, "algn")
+    punct = ", ".join(sp.sql_lit(x) for x in tb.TRAILING_PUNCTUATION)
+    toks = (f"filter({sp.regex_spans_sql('ctx', tb.TOKEN_PATTERN)}, "
+            f"_t -> _t.s + ctx_o < char_end AND _t.e + ctx_o > char_start)")
+    cols = [c for c in dets.columns if c not in ("char_start", "char_end", "text")]
+    keep = ", ".join(cols)
+    return spark.sql(f"""
+    WITH T AS (SELECT *, char_start AS pre_start, {toks} AS _t FROM {v}),
+    T2 AS (SELECT *, CASE WHEN size(_t) > 1 AND element_at(_t, -1).m IN ({punct}) THEN slice(_t, 1, size(_t) - 1)
+                          ELSE _t END AS _u FROM T),
+    T3 AS (SELECT *, CAST(CASE WHEN size(_u) > 0 THEN element_at(_u, 1).s + ctx_o ELSE char_start END AS BIGINT) AS _s,
+                     CAST(CASE WHEN size(_u) > 0 THEN element_at(_u, -1).e + ctx_o ELSE char_end END AS BIGINT) AS _e
+           FROM T2)
+    SELECT {keep}, pre_start, _s AS char_start, _e AS char_end,
+           CASE WHEN _e > _s THEN substring(ctx, CAST(_s - ctx_o AS INT) + 1, CAST(_e - _s AS INT)) ELSE '' END AS text
+    FROM T3""")
 
 
 def merge_overlaps(dets: DataFrame, order_cols: Iterable[str] = ("grp", "ord")) -> DataFrame:
@@ -338,22 +359,25 @@ def merge_overlaps(dets: DataFrame, order_cols: Iterable[str] = ("grp", "ord"))
     Touching spans stay apart.  The text of an island is stitched from its
     members' texts (they overlap, so their union is contiguous).
     """
+    spark = dets.sparkSession
     order_cols = list(order_cols)
-    keys = [F.col("char_start")] + [F.col(c) for c in order_cols]
-    w = Window.partitionBy("doc_id").orderBy(*keys)
-    prev_end = F.max("char_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    x = dets.withColumn("_rn", F.row_number().over(w))
-    x = x.withColumn("_brk", F.when(prev_end.isNull() | (F.col("char_start") >= prev_end), 1).otherwise(0))
-    x = x.withColumn("_isl", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    v = _view(dets, "isl")
+    order = ", ".join(["char_start"] + order_cols)
     skip = {"doc_id", "char_start", "char_end", "confidence", "type", "text", "ctx", "ctx_o", *order_cols}
     other = [c for c in dets.columns if c not in skip]
-    aggs = [F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"),
-            F.max("confidence").alias("confidence"),
-            F.max_by("type", F.struct(F.col("confidence"), -F.col("_rn"))).alias("type"),
-            sp.stitch(F.collect_list(F.struct(F.col("char_start").cast("int").alias("o"),
-                                              F.col("text").alias("t"))))["t"].alias("text")]
-    aggs += [F.min_by(c, "_rn").alias(c) for c in other + order_cols]
-    return x.groupBy("doc_id", "_isl").agg(*aggs).drop("_isl")
+    firsts = ", ".join(f"min_by({c}, _rn) AS {c}" for c in other + order_cols)
+    firsts = (", " + firsts) if firsts else ""
+    return spark.sql(f"""
+    WITH A AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS _rn,
+                      max(char_end) OVER (PARTITION BY doc_id ORDER BY {order}
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _pe FROM {v}),
+    B AS (SELECT *, sum(CASE WHEN _pe IS NULL OR char_start >= _pe THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY doc_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _isl
+          FROM A)
+    SELECT doc_id, min(char_start) AS char_start, max(char_end) AS char_end, max(confidence) AS confidence,
+           max_by(type, named_struct('c', confidence, 'r', -_rn)) AS type,
+           {stitch_sql("collect_list(named_struct('o', CAST(char_start AS INT), 't', text))")}.t AS text{firsts}
+    FROM B GROUP BY doc_id, _isl""")
 
 
 def candidate_spans(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATTERNS, text_col: str = "text",
@@ -365,7 +389,7 @@ def candidate_spans(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATTERNS,
     return pattern_spans(docs, pats, text_col, with_context=True)
 
 
-def detect_pipeline(docs: DataFrame, doc_policies: DataFrame, policies: DataFrame,
+def detect_pipeline(docs: DataFrame, doc_policies: DataFrame, policies: DataFrame | None = None,
                     raw_entities: DataFrame | None = None, patterns: Sequence = tb.HEURISTIC_PATTERNS,
                     text_col: str = "text", materialize: bool = True) -> DataFrame:
     """Model spans, pattern spans, merge, align, union (C17) -> detections.

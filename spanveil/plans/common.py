@@ -20,8 +20,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    """Repartition by ``key`` only when the input is small (under one split
+    per core by the optimizer's size estimate); large inputs keep their
+    scan splits and are never shuffled here."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) < split * cores:
         return df.repartition(cores, key)
     return df
 
@@ -38,7 +44,7 @@ def doc_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     raw = dt.standin_raw_entities(docs)
-    return dt.policy_filter(raw, dt.resolve_policies(doc_policies(spark, sf_dir), tb.policies_df(spark)))
+    return dt.policy_filter(raw, dt.resolve_policies(doc_policies(spark, sf_dir), None))
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +52,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     to the shared checkpoint folder: review and report queries read it in
     several branches without recomputing the pipeline."""
     docs = documents(spark, sf_dir)
-    return cut_lineage(dt.detect_pipeline(docs, doc_policies(spark, sf_dir), tb.policies_df(spark)), "detections")
+    return cut_lineage(dt.detect_pipeline(docs, doc_policies(spark, sf_dir), None), "detections")
 
 
 MODES = ["redact", "anonymize", "highlight_red"]

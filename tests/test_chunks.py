@@ -43,7 +43,7 @@ def _cases():
 def test_chunk_rules(spark):
     cases = _cases()
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
-    rows = df.select("doc_id", ch.chunk_bounds(F.col("text")).alias("b")).collect()
+    rows = df.select("doc_id", ch.chunk_bounds("text").alias("b")).collect()
     for r in rows:
         assert [(b.s, b.e) for b in r.b] == py_chunks(cases[r.doc_id]), r.doc_id
 
