@@ -35,8 +35,10 @@ def chunk_bounds_sql(text: str, max_chars: int = tb.CHUNK_MAX_CHARS, overlap: in
     nl = f"instr(reverse(substring({text}, {e0} - {wn} + 1, {wn})), '\n')"
     spc = f"instr(reverse(substring({text}, {e0} - {ws} + 1, {ws})), ' ')"
     end = f"(CASE WHEN {e0} >= {n} THEN {e0} WHEN {nl} > 0 THEN {e0} - {nl} WHEN {spc} > 0 THEN {e0} - {spc} ELSE {e0} END)"
-    step = (f"CASE WHEN _a.done THEN _a ELSE named_struct('st', greatest({end} - {overlap}, 0), 'done', {end} >= {n}, "
-            f"'out', array_append(_a.out, named_struct('s', _a.st, 'e', {end}))) END")
+    # the cut is bound once to _v (a one-element transform), not recomputed per use
+    step = (f"CASE WHEN _a.done THEN _a ELSE element_at(transform(array({end}), _v -> named_struct("
+            f"'st', greatest(_v - {overlap}, 0), 'done', _v >= {n}, "
+            f"'out', array_append(_a.out, named_struct('s', _a.st, 'e', _v)))), 1) END")
     folded = (f"aggregate(sequence(1, greatest(1, CAST(ceil({n} / {step_min}) AS INT) + 1)), "
               f"named_struct('st', 0, 'done', false, 'out', CAST(array() AS {_CUTS})), (_a, _i) -> {step}, _a -> _a.out)")
     return f"(CASE WHEN {n} <= {max_chars} THEN array(named_struct('s', 0, 'e', CAST({n} AS INT))) ELSE {folded} END)"
@@ -51,20 +53,23 @@ def chunk_documents(docs: DataFrame, text_col: str = "text", keep_text: bool = T
                     **kw) -> DataFrame:
     """chunks(doc_id, chunk_idx, start_offset, end_offset, n_chunks[, text][, prev_char, next_char]).
 
-    ``neighbours`` adds the document characters just before and after the
-    chunk (needed by ``drop_cut_spans``), cut in the same map-side pass.
+    The bounds array is bound once and turned into chunk rows in the same
+    projection, so the generator carries only the chunk columns (the
+    document text is not copied per output row).  ``neighbours`` adds the
+    document characters just before and after the chunk (needed by
+    ``drop_cut_spans``), cut in the same map-side pass.
     """
-    b = docs.select("doc_id", F.col(text_col).alias("_t"), chunk_bounds(text_col, **kw).alias("_b"))
-    out = b.select("doc_id", "_t", F.size("_b").alias("n_chunks"), F.posexplode("_b").alias("chunk_idx", "_c"))
-    cols = ["doc_id", F.col("chunk_idx").cast("int").alias("chunk_idx"),
-            F.col("_c.s").cast("bigint").alias("start_offset"), F.col("_c.e").cast("bigint").alias("end_offset"),
-            F.col("n_chunks").cast("int").alias("n_chunks")]
+    t = f"`{text_col}`"
+    fields = ["'chunk_idx', _i", "'start_offset', CAST(_c.s AS BIGINT)", "'end_offset', CAST(_c.e AS BIGINT)",
+              "'n_chunks', size(_bb)"]
     if keep_text:
-        cols.append(F.col("_t").substr(F.col("_c.s") + 1, F.col("_c.e") - F.col("_c.s")).alias("text"))
+        fields.append(f"'text', substring({t}, _c.s + 1, _c.e - _c.s)")
     if neighbours:
-        cols.append(F.when(F.col("_c.s") > 0, F.col("_t").substr(F.col("_c.s"), F.lit(1))).alias("prev_char"))
-        cols.append(F.col("_t").substr(F.col("_c.e") + 1, F.lit(1)).alias("next_char"))
-    return out.select(*cols)
+        fields.append(f"'prev_char', CASE WHEN _c.s > 0 THEN substring({t}, _c.s, 1) END")
+        fields.append(f"'next_char', substring({t}, _c.e + 1, 1)")
+    rows = (f"element_at(transform(array({chunk_bounds_sql(t, **kw)}), "
+            f"_bb -> transform(_bb, (_c, _i) -> named_struct({', '.join(fields)}))), 1)")
+    return docs.select("doc_id", F.inline(F.expr(rows)))
 
 
 def to_document_offsets(spans: DataFrame) -> DataFrame:
