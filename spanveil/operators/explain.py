@@ -73,10 +73,11 @@ def first_overlapping(words: DataFrame, dets: DataFrame) -> DataFrame:
     then one aggregate per word."""
     d = dets.select("doc_id", F.col("det_id"), F.col("char_start").alias("ds"), F.col("char_end").alias("de"),
                     F.col("type").alias("d_type"), F.col("confidence").alias("d_conf"), F.col("reason").alias("d_reason"))
-    j = words.join(d, (words.doc_id == d.doc_id) & (words.char_start < d.de) & (words.char_end > d.ds)).drop(d.doc_id)
+    w = words
+    j = w.join(d, (w.doc_id == d.doc_id) & (w.char_start < d.de) & (w.char_end > d.ds)).drop(d.doc_id)
     firsts = j.groupBy("doc_id", "word_idx").agg(F.min_by(F.struct("det_id", "d_type", "d_conf", "d_reason"),
                                                           F.struct("ds", "det_id")).alias("det"))
-    return words.join(firsts, ["doc_id", "word_idx"], "left")
+    return w.join(firsts, ["doc_id", "word_idx"], "left")
 
 
 def explain_words(words: DataFrame, dets: DataFrame, external: DataFrame | None = None) -> DataFrame:

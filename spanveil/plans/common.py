@@ -11,10 +11,20 @@ from ..operators import detect as dt
 from ..session import cut_lineage, read_table
 
 
+def measured_broadcasts_only(spark: SparkSession) -> None:
+    """Join sides are broadcast only when AQE has measured them small: a
+    static estimate (string widths are guessed) once chose to broadcast the
+    corpus-sized word table."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) in (None, "", "-1"):
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10485760")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text.  A scan with fewer splits than cores (small inputs, one
     parquet row group) is spread over the cores by doc_id; large inputs
     already have many splits and are not shuffled."""
+    measured_broadcasts_only(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return spread(docs, "doc_id")
 
@@ -47,12 +57,15 @@ def model_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dt.policy_filter(raw, dt.resolve_policies(doc_policies(spark, sf_dir), None))
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full detection pipeline output over the documents table, written once
-    to the shared checkpoint folder: review and report queries read it in
-    several branches without recomputing the pipeline."""
+def detections(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
+    """Full detection pipeline output over the documents table.  The text
+    scan and regex work are always materialized inside the pipeline
+    (candidate spans).  Queries that read the detections in many branches
+    (review log replay, reports) pass ``materialize`` to write the small
+    detection table once to the shared checkpoint folder."""
     docs = documents(spark, sf_dir)
-    return cut_lineage(dt.detect_pipeline(docs, doc_policies(spark, sf_dir), None), "detections")
+    out = dt.detect_pipeline(docs, doc_policies(spark, sf_dir), None)
+    return cut_lineage(out, "detections") if materialize else out
 
 
 MODES = ["redact", "anonymize", "highlight_red"]
@@ -156,7 +169,7 @@ def sp_det_id(doc, s, e, t):
 def reviewed_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections after a review pass: scenario statuses, some items
     dismissed, and the manual additions of the corrections log as 'added'."""
-    rd = with_review_status(detections(spark, sf_dir))
+    rd = with_review_status(detections(spark, sf_dir, materialize=True))
     dismiss = F.col("status").isin("missed", "false_positive") & (F.pmod(F.col("char_start"), F.lit(7)) == 3)
     base = rd.withColumn("status", F.when(dismiss, F.lit("dismissed")).otherwise(F.col("status")))
     cols = ["doc_id", "det_id", "text", "char_start", "char_end", "type", "confidence", "status", "source"]

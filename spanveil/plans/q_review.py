@@ -54,7 +54,7 @@ _LOG_COLS = ("session_id, seq, doc_id, action, det_id, status, action_mode, cust
 
 
 def _rd(spark, sf_dir):
-    return cm.with_review_status(cm.detections(spark, sf_dir))
+    return cm.with_review_status(cm.detections(spark, sf_dir, materialize=True))
 
 
 @register("corrections_log", f"{_RD}, {_LOG_SQL} SELECT {_LOG_COLS} FROM CLOG")
