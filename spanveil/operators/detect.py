@@ -273,6 +273,9 @@ def attach_context(spans: DataFrame, docs: DataFrame, text_col: str = "text") ->
 # Merge of model and heuristic spans
 # ---------------------------------------------------------------------------
 
+RANGE_BIN = 4096
+
+
 def merge_sources(model: DataFrame, heuristic: DataFrame) -> DataFrame:
     """Each heuristic span joins the first overlapping model span (by model
     order): union of bounds, max confidence, one reason suffix per strict
@@ -281,17 +284,27 @@ def merge_sources(model: DataFrame, heuristic: DataFrame) -> DataFrame:
     the stable list order (model spans first, then appended heuristics).
 
     Both inputs carry ``ctx_o``/``ctx``; a merged span's context is the
-    stitched union of its members' contexts.  The interval join carries the
-    equi key doc_id; all windows are partitioned by doc_id.
+    stitched union of its members' contexts.  The interval join is a binned
+    range join: both sides are keyed by (doc_id, 4096-character bin), so a
+    document with very many spans compares only spans that share a bin, not
+    all pairs of the document (exact: overlapping spans always share a bin;
+    pairs met in several bins are de-duplicated).  All windows are
+    partitioned by doc_id.
     """
     spark = model.sparkSession
     m, h = _view(model, "model"), _view(heuristic, "heur")
+    BIN = RANGE_BIN  # noqa: N806 (used in the SQL text)
     hctx = "named_struct('o', ctx_o, 't', ctx)"
     return spark.sql(f"""
     WITH M AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY char_start, char_end, type, text) AS m_ord FROM {m}),
-    P AS (SELECT h.doc_id, h.h_rank, h.char_start AS hs, h.char_end AS he, h.confidence AS hc, h.status AS hst,
+    HB AS (SELECT *, explode(sequence(CAST(floor(char_start / {BIN}) AS BIGINT),
+                                      CAST(floor(greatest(char_end - 1, char_start) / {BIN}) AS BIGINT))) AS _bin FROM {h}),
+    MB AS (SELECT *, explode(sequence(CAST(floor(char_start / {BIN}) AS BIGINT),
+                                      CAST(floor(greatest(char_end - 1, char_start) / {BIN}) AS BIGINT))) AS _bin FROM M),
+    P AS (SELECT DISTINCT h.doc_id, h.h_rank, h.char_start AS hs, h.char_end AS he, h.confidence AS hc, h.status AS hst,
                  h.ctx_o AS hco, h.ctx AS hct, m.m_ord, m.confidence AS mc
-          FROM {h} h JOIN M m ON h.doc_id = m.doc_id AND h.char_start < m.char_end AND m.char_start < h.char_end),
+          FROM HB h JOIN MB m ON h.doc_id = m.doc_id AND h._bin = m._bin
+                             AND h.char_start < m.char_end AND m.char_start < h.char_end),
     F1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, h_rank ORDER BY m_ord) AS _r FROM P) WHERE _r = 1),
     F2 AS (SELECT *, hc > greatest(mc, coalesce(max(hc) OVER (PARTITION BY doc_id, m_ord ORDER BY h_rank
                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), mc)) AS rz FROM F1),

@@ -67,17 +67,30 @@ def flagged_explanation(text: Column, type_: Column, conf: Column, reason: Colum
                   F.concat(base, F.lit(" Detection basis: "), reason)).otherwise(base)
 
 
-def first_overlapping(words: DataFrame, dets: DataFrame) -> DataFrame:
+def first_overlapping(words: DataFrame, dets: DataFrame, bin_width: int = 4096) -> DataFrame:
     """For every word, the first detection (list order = start order)
-    that strictly overlaps it.  Interval join on doc_id + range condition,
-    then one aggregate per word."""
-    d = dets.select("doc_id", F.col("det_id"), F.col("char_start").alias("ds"), F.col("char_end").alias("de"),
-                    F.col("type").alias("d_type"), F.col("confidence").alias("d_conf"), F.col("reason").alias("d_reason"))
-    w = words
-    j = w.join(d, (w.doc_id == d.doc_id) & (w.char_start < d.de) & (w.char_end > d.ds)).drop(d.doc_id)
+    that strictly overlaps it.
+
+    Binned range join: both sides are keyed by (doc_id, character bin), so
+    a long document compares a word only with detections in the same bin,
+    not with every detection of the document (exact: overlapping spans
+    always share a bin; a pair met in several bins gives the same minimum).
+    """
+    def binned(df, s, e):
+        lo = F.floor(F.col(s) / bin_width).cast("bigint")
+        hi = F.floor(F.greatest(F.col(e) - 1, F.col(s)) / bin_width).cast("bigint")
+        return df.withColumn("_bin", F.explode(F.sequence(lo, hi)))
+
+    d = binned(dets.select("doc_id", F.col("det_id"), F.col("char_start").alias("ds"), F.col("char_end").alias("de"),
+                           F.col("type").alias("d_type"), F.col("confidence").alias("d_conf"),
+                           F.col("reason").alias("d_reason")), "ds", "de") \
+        .withColumnRenamed("doc_id", "_dd").withColumnRenamed("_bin", "_dbin")
+    w = binned(words.select("doc_id", "word_idx", "char_start", "char_end"), "char_start", "char_end")
+    j = w.join(d, (F.col("doc_id") == F.col("_dd")) & (F.col("_bin") == F.col("_dbin"))
+               & (F.col("char_start") < F.col("de")) & (F.col("char_end") > F.col("ds")))
     firsts = j.groupBy("doc_id", "word_idx").agg(F.min_by(F.struct("det_id", "d_type", "d_conf", "d_reason"),
                                                           F.struct("ds", "det_id")).alias("det"))
-    return w.join(firsts, ["doc_id", "word_idx"], "left")
+    return words.join(firsts, ["doc_id", "word_idx"], "left")
 
 
 def explain_words(words: DataFrame, dets: DataFrame, external: DataFrame | None = None) -> DataFrame:
