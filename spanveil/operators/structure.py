@@ -27,16 +27,27 @@ def assemble_nodes(nodes: DataFrame, sep: str = "\n") -> tuple[DataFrame, DataFr
     return placed, docs
 
 
-def span_to_node(spans: DataFrame, nodes: DataFrame) -> DataFrame:
+def span_to_node(spans: DataFrame, nodes: DataFrame, bin_width: int = 4096) -> DataFrame:
     """Every node a span overlaps, with the span's offsets inside the node.
 
-    Interval join with the equi key doc_id (sort-merge with a range
-    condition, never a nested loop over all pairs).
+    Binned range join on (doc_id, character bin) with the overlap as a
+    residual condition: never a nested loop, and a long document compares
+    only spans and nodes that share a bin.  A pair met in several bins is
+    kept once (it is counted in its first common bin).
     """
+    def bins(s, e):
+        lo = F.floor(F.col(s) / bin_width).cast("bigint")
+        hi = F.floor(F.greatest(F.col(e) - 1, F.col(s)) / bin_width).cast("bigint")
+        return F.explode(F.sequence(lo, hi))
+
     n = nodes.select(F.col("doc_id").alias("_nd"), "node_ord", F.col("char_start").alias("ns"),
                      F.col("char_end").alias("ne"))
-    j = spans.join(n, (F.col("doc_id") == F.col("_nd")) & (F.col("ns") < F.col("char_end"))
-                   & (F.col("ne") > F.col("char_start"))).drop("_nd")
+    n = n.withColumn("_nbin", bins("ns", "ne"))
+    sp_ = spans.withColumn("_sbin", bins("char_start", "char_end"))
+    first_common = F.floor(F.greatest(F.col("char_start"), F.col("ns")) / bin_width).cast("bigint")
+    j = sp_.join(n, (F.col("doc_id") == F.col("_nd")) & (F.col("_sbin") == F.col("_nbin"))
+                 & (F.col("ns") < F.col("char_end")) & (F.col("ne") > F.col("char_start")))
+    j = j.filter(F.col("_sbin") == first_common).drop("_nd", "_sbin", "_nbin")
     return j.select("*", (F.greatest("char_start", "ns") - F.col("ns")).alias("local_start"),
                     (F.least("char_end", "ne") - F.col("ns")).alias("local_end"))
 
