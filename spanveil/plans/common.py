@@ -103,62 +103,56 @@ def with_review_status(dets: DataFrame) -> DataFrame:
 
 
 def corrections_log(spark: SparkSession, sf_dir: str, dets: DataFrame | None = None) -> DataFrame:
-    """Reproducible corrections log derived from the detections and documents."""
+    """Reproducible corrections log derived from the detections and documents.
+
+    Written as one Spark SQL statement over two temporary views (few calls
+    into the JVM).  Per detection: accept, dismiss, mark false positive with
+    a mode, delete, update-then-undo, or a bare undo; per document: bulk
+    accept, a manual add of its first long word, bulk update, session-wide
+    bulk accept or reject, a delete of a missing id, an undo.
+    """
+    import uuid
     dets = dets if dets is not None else with_review_status(detections(spark, sf_dir))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    sess = F.concat(F.lit("s"), F.floor(F.col("doc_id") / 10).cast("string"))
-    h = F.pmod(F.col("char_start") + F.col("doc_id"), F.lit(10))
-    base_seq = F.col("doc_id") * 1000000 + F.col("char_start") * 10
-    nul = F.lit(None)
-    per_det = dets.select(
-        "doc_id", "det_id", "char_start", h.alias("h"), base_seq.alias("bseq"))
-    one = per_det.filter(F.col("h") <= 7).select(
-        sess.alias("session_id"), F.col("bseq").alias("seq"), "doc_id",
-        F.when(F.col("h") == 5, "delete").when(F.col("h") == 7, "undo").otherwise("update").alias("action"),
-        F.when(F.col("h") != 7, F.col("det_id")).alias("det_id"),
-        F.when(F.col("h") <= 2, "redacted").when(F.col("h") == 3, "dismissed").when(F.col("h") == 4, "false_positive")
-        .when(F.col("h") == 6, "missed").alias("status"),
-        F.when(F.col("h") == 4, "anonymize").alias("action_mode"),
-        F.when(F.col("h") == 4, " [Masked] ").alias("custom_replacement"))
-    undo_after = per_det.filter(F.col("h") == 6).select(
-        sess.alias("session_id"), (F.col("bseq") + 1).alias("seq"), "doc_id", F.lit("undo").alias("action"),
-        nul.cast("string").alias("det_id"), nul.cast("string").alias("status"),
-        nul.cast("string").alias("action_mode"), nul.cast("string").alias("custom_replacement"))
-    dseq = F.col("doc_id") * 1000000 + 999000
-    word = F.regexp_extract(F.col("text"), "[A-Za-z]{6,}", 0)
-    sid = F.floor(F.col("doc_id") / 10)
-    per_doc = docs.select(
-        "doc_id", word.alias("w"), (F.instr(F.col("text"), word) - 1).cast("bigint").alias("ws"))
-    doc_rows = per_doc.select(
-        sess.alias("session_id"), "doc_id",
-        F.array(
-            F.when(F.pmod("doc_id", F.lit(5)) == 0, F.struct(F.lit(0).alias("k"), F.lit("bulk_accept").alias("a"))),
-            F.when((F.pmod("doc_id", F.lit(7)) == 0) & (F.length("w") > 0), F.struct(F.lit(1).alias("k"), F.lit("add").alias("a"))),
-            F.when(F.pmod("doc_id", F.lit(11)) == 0, F.struct(F.lit(2).alias("k"), F.lit("bulk_update").alias("a"))),
-            F.when((F.pmod("doc_id", F.lit(10)) == 9) & (F.pmod(sid, F.lit(3)) == 0),
-                   F.struct(F.lit(3).alias("k"), F.lit("bulk_accept_global").alias("a"))),
-            F.when((F.pmod("doc_id", F.lit(10)) == 9) & (F.pmod(sid, F.lit(3)) == 1),
-                   F.struct(F.lit(4).alias("k"), F.lit("bulk_reject_global").alias("a"))),
-            F.when(F.pmod("doc_id", F.lit(13)) == 0, F.struct(F.lit(5).alias("k"), F.lit("delete").alias("a"))),
-            F.when(F.pmod("doc_id", F.lit(17)) == 0, F.struct(F.lit(6).alias("k"), F.lit("undo").alias("a"))),
-        ).alias("acts"), "w", "ws")
-    doc_acts = doc_rows.select("session_id", "doc_id", "w", "ws", F.explode(F.filter("acts", lambda x: x.isNotNull())).alias("x"))
-    k, a = F.col("x.k"), F.col("x.a")
-    doc_log = doc_acts.select(
-        "session_id", (dseq + k).alias("seq"), "doc_id", a.alias("action"),
-        F.when(a == "delete", F.concat(F.lit("missing-"), F.col("doc_id").cast("string")))
-        .when(a == "add", sp_det_id(F.col("doc_id"), F.col("ws"), F.col("ws") + F.length("w"), F.lit("CUSTOM")))
-        .alias("det_id"),
-        F.when(a == "bulk_update", "dismissed").alias("status"),
-        nul.cast("string").alias("action_mode"), nul.cast("string").alias("custom_replacement"),
-        F.when(a == "bulk_accept", 0.5).when(a == "bulk_accept_global", 0.45).cast("double").alias("threshold"),
-        F.when(a == "add", F.col("ws")).alias("char_start"),
-        F.when(a == "add", F.col("ws") + F.length("w")).cast("bigint").alias("char_end"),
-        F.when(a == "add", F.col("w")).alias("text"), F.when(a == "add", F.lit("CUSTOM")).alias("type"))
-    det_log = one.unionByName(undo_after).select(
-        "*", nul.cast("double").alias("threshold"), nul.cast("bigint").alias("char_start"),
-        nul.cast("bigint").alias("char_end"), nul.cast("string").alias("text"), nul.cast("string").alias("type"))
-    return det_log.unionByName(doc_log)
+    dv, tv = f"_sv_rd_{uuid.uuid4().hex[:10]}", f"_sv_docs_{uuid.uuid4().hex[:10]}"
+    dets.select("doc_id", "det_id", "char_start").createOrReplaceTempView(dv)
+    docs.createOrReplaceTempView(tv)
+    sess = "concat('s', CAST(floor(doc_id / 10) AS STRING))"
+    add_id = ("substring(sha2(concat_ws('|', CAST(doc_id AS STRING), CAST(ws AS STRING), "
+              "CAST(ws + length(w) AS STRING), 'CUSTOM'), 256), 1, 16)")
+    kinds = ", ".join(f"named_struct('k', {k}, 'a', '{a}')" for k, a in enumerate(
+        ["bulk_accept", "add", "bulk_update", "bulk_accept_global", "bulk_reject_global", "delete", "undo"]))
+    return spark.sql(f"""
+    WITH PD AS (SELECT doc_id, det_id, pmod(char_start + doc_id, 10) AS h,
+                       doc_id * 1000000 + char_start * 10 AS bseq FROM {dv}),
+    DW AS (SELECT doc_id, w, CAST(instr(text, w) - 1 AS BIGINT) AS ws
+           FROM (SELECT doc_id, text, regexp_extract(text, '[A-Za-z]{{6,}}', 0) AS w FROM {tv})),
+    DA AS (SELECT doc_id, w, ws, x.k AS k, x.a AS a FROM DW LATERAL VIEW explode(array({kinds})) t AS x
+           WHERE (x.k = 0 AND pmod(doc_id, 5) = 0) OR (x.k = 1 AND pmod(doc_id, 7) = 0 AND length(w) > 0)
+              OR (x.k = 2 AND pmod(doc_id, 11) = 0)
+              OR (x.k = 3 AND pmod(doc_id, 10) = 9 AND pmod(floor(doc_id / 10), 3) = 0)
+              OR (x.k = 4 AND pmod(doc_id, 10) = 9 AND pmod(floor(doc_id / 10), 3) = 1)
+              OR (x.k = 5 AND pmod(doc_id, 13) = 0) OR (x.k = 6 AND pmod(doc_id, 17) = 0))
+    SELECT {sess} AS session_id, bseq AS seq, doc_id,
+           CASE WHEN h = 5 THEN 'delete' WHEN h = 7 THEN 'undo' ELSE 'update' END AS action,
+           CASE WHEN h <> 7 THEN det_id END AS det_id,
+           CASE WHEN h <= 2 THEN 'redacted' WHEN h = 3 THEN 'dismissed' WHEN h = 4 THEN 'false_positive'
+                WHEN h = 6 THEN 'missed' END AS status,
+           CASE WHEN h = 4 THEN 'anonymize' END AS action_mode,
+           CASE WHEN h = 4 THEN ' [Masked] ' END AS custom_replacement,
+           CAST(NULL AS DOUBLE) AS threshold, CAST(NULL AS BIGINT) AS char_start, CAST(NULL AS BIGINT) AS char_end,
+           CAST(NULL AS STRING) AS text, CAST(NULL AS STRING) AS type
+    FROM PD WHERE h <= 7
+    UNION ALL
+    SELECT {sess}, bseq + 1, doc_id, 'undo', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM PD WHERE h = 6
+    UNION ALL
+    SELECT {sess}, doc_id * 1000000 + 999000 + k, doc_id, a,
+           CASE WHEN a = 'delete' THEN concat('missing-', CAST(doc_id AS STRING)) WHEN a = 'add' THEN {add_id} END,
+           CASE WHEN a = 'bulk_update' THEN 'dismissed' END, NULL, NULL,
+           CAST(CASE WHEN a = 'bulk_accept' THEN 0.5 WHEN a = 'bulk_accept_global' THEN 0.45 END AS DOUBLE),
+           CASE WHEN a = 'add' THEN ws END, CASE WHEN a = 'add' THEN ws + length(w) END,
+           CASE WHEN a = 'add' THEN w END, CASE WHEN a = 'add' THEN 'CUSTOM' END
+    FROM DA""")
 
 
 def sp_det_id(doc, s, e, t):
