@@ -155,11 +155,6 @@ def corrections_log(spark: SparkSession, sf_dir: str, dets: DataFrame | None = N
     FROM DA""")
 
 
-def sp_det_id(doc, s, e, t):
-    from ..functions.spans import det_id
-    return det_id(doc, s, e, t)
-
-
 def reviewed_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections after a review pass: scenario statuses, some items
     dismissed, and the manual additions of the corrections log as 'added'."""
