@@ -116,30 +116,37 @@ def upsert_detections(dets: DataFrame, patches: DataFrame) -> DataFrame:
 # Undo (D10) and log replay
 # ---------------------------------------------------------------------------
 
+def _view(df: DataFrame, prefix: str) -> str:
+    import uuid
+    name = f"_sv_{prefix}_{uuid.uuid4().hex[:10]}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
+def _cancelled_sql(log_view: str, depth: int) -> str:
+    kinds = ", ".join(f"'{a}'" for a in (*UNDOABLE, "undo"))
+    step = (f"CASE WHEN _x.action = 'undo' THEN "
+            f"CASE WHEN size(_acc.st) > 0 THEN named_struct('st', slice(_acc.st, 1, size(_acc.st) - 1), "
+            f"'cx', concat(_acc.cx, array(element_at(_acc.st, -1)))) ELSE _acc END "
+            f"ELSE named_struct('st', slice(concat(_acc.st, array(_x.seq)), greatest(1, size(_acc.st) + 1 - {depth - 1}), "
+            f"{depth}), 'cx', _acc.cx) END")
+    return f"""SELECT session_id, _c AS seq FROM (
+        SELECT session_id, aggregate(acts, named_struct('st', CAST(array() AS array<bigint>), 'cx', CAST(array() AS array<bigint>)),
+                                     (_acc, _x) -> {step}).cx AS cx
+        FROM (SELECT session_id, array_sort(collect_list(named_struct('seq', CAST(seq AS BIGINT), 'action', action))) AS acts
+              FROM {log_view} WHERE action IN ({kinds}) GROUP BY session_id)) LATERAL VIEW explode(cx) t AS _c"""
+
+
 def cancelled_actions(log: DataFrame, depth: int = tb.UNDO_DEPTH) -> DataFrame:
     """Seqs whose status effect is undone, per session.
 
     Fold over the session's actions in seq order carrying (stack, cancelled):
     undoable actions push their seq (the stack keeps the last ``depth``);
     an undo pops the top into ``cancelled``; undo of an empty stack is a
-    no-op; add and delete are not undoable.
+    no-op; add and delete are not undoable.  A session is one reviewer's
+    work, so the folded array is bounded.
     """
-    acts = log.filter(F.col("action").isin(*UNDOABLE, "undo")).select(
-        "session_id", F.struct("seq", "action").alias("a"))
-    per = acts.groupBy("session_id").agg(F.array_sort(F.collect_list("a")).alias("acts"))
-    init = F.struct(F.array().cast("array<bigint>").alias("st"), F.array().cast("array<bigint>").alias("cx"))
-
-    def step(acc, x):
-        st, cx = acc["st"], acc["cx"]
-        pushed = F.concat(st, F.array(x["seq"]))
-        capped = F.slice(pushed, F.greatest(F.lit(1), F.size(pushed) - (depth - 1)), depth)
-        popped = F.struct(F.slice(st, 1, F.greatest(F.size(st) - 1, F.lit(0))).alias("st"),
-                          F.concat(cx, F.array(F.element_at(st, -1))).alias("cx"))
-        return (F.when(x["action"] == "undo", F.when(F.size(st) > 0, popped).otherwise(acc))
-                .otherwise(F.struct(capped.alias("st"), cx.alias("cx"))))
-
-    out = per.select("session_id", F.aggregate("acts", init, step)["cx"].alias("cx"))
-    return out.select("session_id", F.explode("cx").alias("seq"))
+    return log.sparkSession.sql(_cancelled_sql(_view(log, "log"), depth))
 
 
 def replay(dets: DataFrame, log: DataFrame, doc_sessions: DataFrame) -> DataFrame:
@@ -152,45 +159,45 @@ def replay(dets: DataFrame, log: DataFrame, doc_sessions: DataFrame) -> DataFram
       restores the status only); the last non-null value wins.
 
     ``doc_sessions`` (doc_id, session_id) says which session reviews which
-    document; session-wide bulk actions apply to all its documents.
+    document; session-wide bulk actions apply to all its documents.  One
+    Spark SQL statement over temporary views.
     """
-    adds = log.filter(F.col("action") == "add")
-    base = dets.select("doc_id", "det_id", "text", "char_start", "char_end", "type", "confidence", "status",
-                       "reason", "source")
-    base = base.unionByName(manual_detections(adds).select(*base.columns))
-    deletes = log.filter(F.col("action") == "delete").select("det_id").distinct()
-    base = base.join(deletes, "det_id", "left_anti")
-
-    cx = cancelled_actions(log)
-    live = log.filter(F.col("action").isin(*STATUS_ACTIONS)).join(cx, ["session_id", "seq"], "left_anti")
-    # per session: the array of its live status actions (bounded by one reviewer's work)
-    sess_acts = live.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(
-        "seq", "action", "doc_id", "det_id", "status", "threshold"))).alias("acts"))
-    b = base.join(doc_sessions, "doc_id", "left").join(sess_acts, "session_id", "left")
-
-    def applies(a) -> Column:
-        return (((a["action"] == "update") & (a["det_id"] == F.col("det_id")))
-                | (a["action"].isin("bulk_accept", "bulk_update") & (a["doc_id"] == F.col("doc_id")))
-                | a["action"].isin("bulk_accept_global", "bulk_reject_global"))
-
-    def step(st, a):
-        act = a["action"]
-        open_ = st.isin("missed", "false_positive")
-        return (F.when(act == "update", a["status"])
-                .when(act.isin("bulk_accept", "bulk_accept_global"),
-                      F.when((st == "missed") & (F.col("confidence") >= a["threshold"]), F.lit("redacted")).otherwise(st))
-                .when(act == "bulk_update", F.when(open_, a["status"]).otherwise(st))
-                .when(act == "bulk_reject_global", F.when(open_, F.lit("dismissed")).otherwise(st))
-                .otherwise(st))
-
-    mine = F.filter(F.coalesce(F.col("acts"), F.array().cast(sess_acts.schema["acts"].dataType)), applies)
-    b = b.withColumn("status_before_review", F.col("status")).withColumn(
-        "status", F.aggregate(mine, F.col("status"), step))
-    modes = log.filter((F.col("action") == "update")).groupBy("det_id").agg(
-        F.max_by("action_mode", F.when(F.col("action_mode").isNotNull(), F.col("seq"))).alias("action_mode"),
-        F.max_by("custom_replacement", F.when(F.col("custom_replacement").isNotNull(), F.col("seq")))
-        .alias("custom_replacement"))
-    return b.drop("acts").join(modes, "det_id", "left")
+    spark = dets.sparkSession
+    dv = _view(dets.select("doc_id", "det_id", "text", "char_start", "char_end", "type", "confidence", "status",
+                           "reason", "source"), "dets")
+    lv, sv = _view(log, "log"), _view(doc_sessions.select("doc_id", "session_id"), "sess")
+    status_kinds = ", ".join(f"'{a}'" for a in STATUS_ACTIONS)
+    applies = ("(_a.action = 'update' AND _a.det_id = b.det_id) "
+               "OR (_a.action IN ('bulk_accept', 'bulk_update') AND _a.doc_id = b.doc_id) "
+               "OR _a.action IN ('bulk_accept_global', 'bulk_reject_global')")
+    step = ("CASE WHEN _a.action = 'update' THEN _a.status "
+            "WHEN _a.action IN ('bulk_accept', 'bulk_accept_global') THEN "
+            "CASE WHEN _s = 'missed' AND b.confidence >= _a.threshold THEN 'redacted' ELSE _s END "
+            "WHEN _a.action = 'bulk_update' THEN CASE WHEN _s IN ('missed', 'false_positive') THEN _a.status ELSE _s END "
+            "WHEN _a.action = 'bulk_reject_global' THEN CASE WHEN _s IN ('missed', 'false_positive') THEN 'dismissed' ELSE _s END "
+            "ELSE _s END")
+    return spark.sql(f"""
+    WITH ADDS AS (SELECT doc_id, {sp.DET_ID_SQL} AS det_id, text, char_start, char_end, type, 1.0D AS confidence,
+                         'redacted' AS status, 'Manually added by user' AS reason, 'manual' AS source
+                  FROM {lv} WHERE action = 'add'),
+    BASE AS (SELECT * FROM (SELECT * FROM {dv} UNION ALL SELECT * FROM ADDS) x
+             LEFT ANTI JOIN (SELECT DISTINCT det_id FROM {lv} WHERE action = 'delete') d ON x.det_id = d.det_id),
+    CX AS ({_cancelled_sql(lv, tb.UNDO_DEPTH)}),
+    LIVE AS (SELECT l.* FROM {lv} l LEFT ANTI JOIN CX c ON l.session_id = c.session_id AND l.seq = c.seq
+             WHERE l.action IN ({status_kinds})),
+    SA AS (SELECT session_id, array_sort(collect_list(named_struct('seq', CAST(seq AS BIGINT), 'action', action,
+                  'doc_id', doc_id, 'det_id', det_id, 'status', status, 'threshold', threshold))) AS acts
+           FROM LIVE GROUP BY session_id),
+    MODES AS (SELECT det_id, max_by(action_mode, CASE WHEN action_mode IS NOT NULL THEN seq END) AS action_mode,
+                     max_by(custom_replacement, CASE WHEN custom_replacement IS NOT NULL THEN seq END) AS custom_replacement
+              FROM {lv} WHERE action = 'update' GROUP BY det_id),
+    R AS (SELECT b.*, s.session_id, b.status AS status_before_review,
+                 CASE WHEN sa.acts IS NULL THEN b.status
+                      ELSE aggregate(filter(sa.acts, _a -> {applies}), b.status, (_s, _a) -> {step}) END AS _new
+          FROM BASE b LEFT JOIN {sv} s ON b.doc_id = s.doc_id LEFT JOIN SA sa ON s.session_id = sa.session_id)
+    SELECT R.det_id, R.doc_id, R.text, R.char_start, R.char_end, R.type, R.confidence, R._new AS status, R.reason,
+           R.source, R.session_id, R.status_before_review, m.action_mode, m.custom_replacement
+    FROM R LEFT JOIN MODES m ON R.det_id = m.det_id""")
 
 
 def correction_errors(dets: DataFrame, log: DataFrame) -> DataFrame:
