@@ -152,8 +152,10 @@ def standin_from_spans(s: DataFrame) -> DataFrame:
 def _view(df: DataFrame, prefix: str) -> str:
     """Register ``df`` under a unique temporary name (for SQL-text operators)."""
     name = f"_sv_{prefix}_{uuid.uuid4().hex[:10]}"
-    df.createOrReplaceTempView(name)
-    return name
+    # global: visible from every session of the application (a foreachBatch
+    # micro-batch runs in a cloned session)
+    df.createOrReplaceGlobalTempView(name)
+    return f"global_temp.{name}"
 
 
 def stitch_sql(arr: str) -> str:

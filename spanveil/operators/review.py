@@ -119,8 +119,10 @@ def upsert_detections(dets: DataFrame, patches: DataFrame) -> DataFrame:
 def _view(df: DataFrame, prefix: str) -> str:
     import uuid
     name = f"_sv_{prefix}_{uuid.uuid4().hex[:10]}"
-    df.createOrReplaceTempView(name)
-    return name
+    # global: visible from every session of the application (a foreachBatch
+    # micro-batch runs in a cloned session)
+    df.createOrReplaceGlobalTempView(name)
+    return f"global_temp.{name}"
 
 
 def _cancelled_sql(log_view: str, depth: int) -> str:
