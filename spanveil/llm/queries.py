@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, sharding, url_rules
+from . import decontaminate, jaccard_join, mixing, sharding, url_rules
 from .util import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,35 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join.jaccard_components(docs)
+
+
+#: the result that the windows, fingerprints and blocks must come to: every window in line with a shared
+#: shingle, verified exactly
+OP9_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+iw AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+ip AS (SELECT item_id, w, len(w) AS m, unnest(range(0, len(w) - 4)) AS at FROM iw WHERE len(w) >= 5),
+i AS (SELECT item_id, m, at, array_to_string(w[at + 1:at + 5], ' ') AS shingle FROM ip),
+dp AS (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS pos FROM dw WHERE len(w) >= 5),
+d AS (SELECT doc_id, pos, array_to_string(w[pos + 1:pos + 5], ' ') AS shingle FROM dp),
+v AS (SELECT DISTINCT doc_id, item_id, m, greatest(0, pos - at) AS start FROM d JOIN i USING (shingle)),
+c AS (SELECT v.doc_id, v.item_id, v.start, v.m, d.shingle, count(*) AS c
+      FROM v JOIN d ON d.doc_id = v.doc_id AND d.pos >= v.start AND d.pos <= v.start + v.m - 5 GROUP BY ALL),
+n AS (SELECT doc_id, item_id, start, m, sum(c) AS size FROM c GROUP BY ALL),
+ic AS (SELECT item_id, shingle, count(*) AS ci FROM i GROUP BY ALL),
+o AS (SELECT c.doc_id, c.item_id, c.start, c.m, sum(least(c, ci)) AS common FROM c JOIN ic ON c.item_id = ic.item_id AND c.shingle = ic.shingle GROUP BY ALL),
+s AS (SELECT doc_id, item_id, start, m AS n_words, common::DOUBLE / (size + m - 4 - common)::DOUBLE AS similarity
+      FROM o JOIN n USING (doc_id, item_id, start, m) WHERE 100 * common >= 80 * (size + m - 4 - common)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS k FROM s)
+SELECT doc_id, item_id, start::INTEGER AS start, n_words::INTEGER AS n_words, similarity FROM r WHERE k = 1
+"""
+
+
+@register("op9_decontaminate", OP9_SQL)
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
