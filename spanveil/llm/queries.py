@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, sharding, url_rules
+from . import decontaminate, jaccard_join, mixing, sharding, toxicity, url_rules
+from .labelled import crc_mod
 from .util import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +145,15 @@ SELECT doc_id, item_id, start::INTEGER AS start, n_words::INTEGER AS n_words, si
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def _scored(df: DataFrame, mod: int, held_out: int) -> DataFrame:
+    return df.select("doc_id", (crc_mod(F.col("doc_id"), mod) == held_out).alias("held_out"), "score",
+                     (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), mod=5, held_out=0)
+    return _scored(toxicity.score_documents(docs, model, keep_text=False), 5, 0)
