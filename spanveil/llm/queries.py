@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, sharding, toxicity, url_rules
+from . import decontaminate, jaccard_join, mixing, quality, sharding, toxicity, url_rules
 from .labelled import crc_mod
 from .util import read_table
 
@@ -157,3 +157,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), mod=5, held_out=0)
     return _scored(toxicity.score_documents(docs, model, keep_text=False), 5, 0)
+
+
+@register("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"), mod=3, held_out=1)
+    return _scored(quality.score_documents(docs, model, keep_text=False), 3, 1)

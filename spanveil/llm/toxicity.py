@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import sample_ids, sample_rows
+from .labelled import sample_ids, sample_rows, score_rows
 from .trees import Boosted, calibrate, isotonic
-from .util import col, keep_columns
+from .util import col
 
 #: labelled rows fitted on, at most
 SAMPLE = 20_000
@@ -35,7 +35,6 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
                           "usted ustedes ti tus su vosotros os".split())
 #: characters that stand for letters
 LEET = str.maketrans("013457@$!|€", "oieastasile")
-ADDED = ["score"]
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(r"[^\W\d_][\d@$!|€*.\-_+]+[^\W\d_]")
@@ -172,14 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5,
 def score_documents(df: DataFrame, model: ToxicityModel, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``df`` with score (0 to 1): null and empty texts get the score of a text without words; each row
     by itself, so repeated rows agree.  An input column named score (in any case) is replaced."""
-    kept = [c for c in keep_columns(df, ADDED)]
-    names = [c for c in df.columns if c.lower() not in ADDED and (keep_text or c != text_col)]
-    schema = df.select(*kept).select(*[col(c) for c in names]).schema.add("score", "double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scorer():
         odds = Odds(model.lexicon)
-        for batch in batches:
-            x = np.array([features(t, odds) for t in batch.column(batch.num_columns - 1).to_pylist()], dtype=float).reshape(batch.num_rows, -1)
-            score = model.score(x) if len(x) else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], pa.array(score, pa.float64())], names=[*names, "score"])
-    return df.select(*[col(c) for c in names], col(text_col).alias("_text")).mapInArrow(run, schema)
+        return lambda texts: model.score(np.array([features(t, odds) for t in texts.to_pylist()], dtype=float).reshape(len(texts), -1)
+                                         ) if len(texts) else np.empty(0)
+    return score_rows(df, text_col, scorer, keep_text)
