@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, quality, sharding, toxicity, url_rules
+from . import decontaminate, jaccard_join, mixing, neighbours, quality, sharding, toxicity, url_rules
 from .labelled import crc_mod
 from .util import read_table
 
@@ -164,3 +164,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"), mod=3, held_out=1)
     return _scored(quality.score_documents(docs, model, keep_text=False), 3, 1)
+
+
+@register("op8_neighbours")
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
