@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, neighbours, quality, sharding, toxicity, url_rules
+from . import decontaminate, extraction, jaccard_join, mixing, neighbours, quality, sharding, toxicity, url_rules
 from .labelled import crc_mod
 from .util import read_table
 
@@ -170,3 +170,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@register("op3_extract_text")
+def op3_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.extract_text(pages).select("page_id", "url", "text", "n_chars")
