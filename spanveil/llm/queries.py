@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extraction, jaccard_join, mixing, neighbours, quality, sharding, toxicity, url_rules
+from . import decontaminate, extraction, jaccard_join, licenses, mixing, neighbours, quality, sharding, toxicity, url_rules
 from .labelled import crc_mod
 from .util import read_table
 
@@ -176,3 +176,12 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extraction.extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+@register("op4_licenses")
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document lies at source/lang/<a hundred ids>/<id>.txt."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws(
+        "/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.expr("cast(doc_id div 100 AS string)"),
+        F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    return licenses.scan_licenses(docs)
