@@ -222,6 +222,21 @@ def jaccard_links(docs: DataFrame, sketch: DataFrame, id_col: str, text_col: str
     return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "jaccard-components")
 
 
+def _labels(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, limits: dict) -> tuple[DataFrame, DataFrame]:
+    """The sketch table, and (node, label): the smallest doc_id of the node's component."""
+    sketch = cut_lineage(sketch_table(docs, id_col, text_col, words, percent), "jaccard-sketch")
+    roots = jaccard_links(docs, sketch, id_col, text_col, words, percent, **limits)
+    first = cut_lineage(sketch.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("own")), "jaccard-first")
+    best = first.join(roots, "node").groupBy("root").agg(F.min("own").alias("best"))
+    label = first.join(roots, "node", "left").join(best, "root", "left").select("node", F.coalesce("best", "own").alias("label"))
+    return sketch.select("doc_id", "n", "node"), label
+
+
+def _answer(rows: DataFrame, label: DataFrame) -> DataFrame:
+    return rows.join(label, "node", "left").withColumn(
+        "component_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))).drop("label")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT,
                        **limits) -> DataFrame:
     """One row per row of ``docs``: doc_id (long), n_shingles, component_id.
@@ -232,12 +247,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is the smallest doc_id reachable by links, the row's own included.  Rows may
     repeat; rows with a null id link with nothing (component_id null).  Other columns are ignored.
     """
-    sketch = cut_lineage(sketch_table(docs, id_col, text_col, words, percent), "jaccard-sketch")
-    roots = jaccard_links(docs, sketch, id_col, text_col, words, percent, **limits)
-    first = sketch.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("own"))
-    named = first.join(roots, "node")
-    best = named.groupBy("root").agg(F.min("own").alias("best"))
-    label = first.join(roots, "node", "left").join(best, "root", "left").select("node", F.coalesce("best", "own").alias("label"))
-    out = sketch.select("doc_id", "n", "node").join(label, "node", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                      F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows, label = _labels(docs, id_col, text_col, words, percent, limits)
+    return _answer(rows, label).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def _with_nodes(words: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = shingle_sets(b.column(b.num_columns - 1), words)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(map(set_node, sets), pa.int64()), pa.array(map(len, sets), pa.int32())],
+                                             names=[*names, "_node", "_n"])
+    return run
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT,
+                **limits) -> DataFrame:
+    """``docs`` (its columns unchanged) with one row of each component: that of the smallest id.
+
+    Of rows that repeat an id and a shingle set one stays; an id with several texts stays with those that are not in a component
+    of a smaller id.  Rows without words and rows with a null id all stay.
+    """
+    rows, label = _labels(docs, id_col, text_col, words, percent, limits)
+    answer = cut_lineage(_answer(rows, label), "jaccard-answer")
+    repeated = cut_lineage(answer.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "jaccard-repeated")
+    gone = answer.filter("component_id <> doc_id").select("doc_id").unionByName(repeated)
+    once = only_ids(docs, cut_lineage(gone, "jaccard-gone"), id_col, "left_anti")
+    many = only_ids(docs, repeated, id_col)
+    names = many.columns
+    schema = many.withColumns({"_node": F.lit(0).cast("long"), "_n": F.lit(0)}).schema
+    many = many.select(*map(col, names), col(text_col).alias("_text")).mapInArrow(_with_nodes(words, names), schema)
+    kept = answer.filter("component_id = doc_id").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_knode")).distinct()
+    many = many.join(kept, (col(id_col) == F.col("_doc")) & (F.col("_node") == F.col("_knode"))).drop("_doc", "_knode")
+    worded = many.filter("_n > 0").dropDuplicates([id_col, "_node"])
+    return once.unionByName(worded.unionByName(many.filter("_n = 0")).select(*map(col, names)))

@@ -31,15 +31,16 @@ def sample_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", name: s
     return cut_lineage(docs.join(F.broadcast(ids), col(id_col) == F.col("id")).select("id", "y", "text"), name)
 
 
-def score_rows(df: DataFrame, text_col: str, scorer: Callable[[], Callable[[pa.Array], np.ndarray]], keep_text: bool = True) -> DataFrame:
-    """``df`` (without its text if not ``keep_text``) with a column score; ``scorer()`` makes, once a
-    task, the function from a batch of texts to scores.  An input column named score (in any case) is replaced."""
-    names = [c for c in df.columns if c.lower() != "score" and (keep_text or c.lower() != text_col.lower())]
-    schema = df.select(*map(col, names)).withColumn("score", F.lit(0.0)).schema
+def score_rows(df: DataFrame, text_col: str, scorer: Callable[[], Callable[[pa.Array], np.ndarray]], keep_text: bool = True,
+               out: str = "score") -> DataFrame:
+    """``df`` (without its text if not ``keep_text``) with a column ``out``; ``scorer()`` makes, once a
+    task, the function from a batch of texts to scores.  An input column of that name (in any case) is replaced."""
+    names = [c for c in df.columns if c.lower() != out.lower() and (keep_text or c.lower() != text_col.lower())]
+    schema = df.select(*map(col, names)).withColumn(out, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
         for batch in batches:
             got = pa.array(score(batch.column(batch.num_columns - 1)), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], names=[*names, out])
     return df.select(*map(col, names), col(text_col).alias("_text_to_score")).mapInArrow(run, schema)

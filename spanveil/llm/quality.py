@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 3
     return train(data, doc, rows["y"].to_numpy(dtype=float))
 
 
-def score_documents(df: DataFrame, model: ByteConv, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``df`` with score, the probability of label 1: null and empty texts count as zero bytes; each row by
-    itself, so repeated rows agree.  An input column named score (in any case) is replaced."""
-    return score_rows(df, text_col, lambda: model.score, keep_text)
+def score_documents(df: DataFrame, model: ByteConv, text_col: str = "text", keep_text: bool = True, out: str = "score") -> DataFrame:
+    """``df`` with ``out``, the probability of label 1: null and empty texts count as zero bytes; each row by
+    itself, so repeated rows agree.  An input column of that name (in any case) is replaced."""
+    return score_rows(df, text_col, lambda: model.score, keep_text, out)
