@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import slices
 from .util import col, cut_lineage
 
 
@@ -40,7 +41,7 @@ def score_rows(df: DataFrame, text_col: str, scorer: Callable[[], Callable[[pa.A
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
             got = pa.array(score(batch.column(batch.num_columns - 1)), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], names=[*names, out])
     return df.select(*map(col, names), col(text_col).alias("_text_to_score")).mapInArrow(run, schema)

@@ -31,15 +31,15 @@ PIECE = 2048
 
 
 def to_blocks(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All texts end to end, each padded with zero bytes (one unit at least) to whole
-    blocks, two at least; and the number of blocks before each text and in all."""
+    """All texts end to end, each with a unit of zero bytes before and at least one after it (so no
+    filter sees two texts), filled up to whole blocks, two at least; and the number of blocks before each text and in all."""
     data, offsets = text_bytes(column)
     length = np.diff(offsets)
-    blocks = np.maximum(2, -(-(length + UNIT) // (UNIT * BLOCK)))
+    blocks = np.maximum(2, -(-(length + 2 * UNIT) // (UNIT * BLOCK)))
     upto = np.concatenate(([0], np.cumsum(blocks)))
     padded = np.zeros(int(upto[-1]) * UNIT * BLOCK, dtype=np.uint8)
     for a, b, to in zip(offsets[:-1], offsets[1:], upto[:-1] * UNIT * BLOCK, strict=True):
-        padded[to:to + b - a] = data[a:b]
+        padded[to + UNIT:to + UNIT + b - a] = data[a:b]
     return padded, upto
 
 

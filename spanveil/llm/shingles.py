@@ -7,8 +7,11 @@ from prefix sums, so no Python object is made per word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: bytes hashed at a time; a longer word is still hashed whole
 PIECE = 1 << 21
@@ -55,6 +58,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets.astype(np.int64) - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int = 2 * PIECE) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose column ``text`` holds about ``most`` bytes at most (one row at least)."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, i = np.cumsum(lengths), 0
+    while i < len(upto):
+        before = upto[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def _hash_piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of one piece without row boundaries inside words."""
     word = ~_SPACE[data]
