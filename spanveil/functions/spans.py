@@ -75,11 +75,13 @@ def required_literals(pattern: str) -> list[str]:
 
 
 def regex_spans_sql(text: str, pattern: str) -> str:
-    """SQL text of ``regex_spans`` for a column name or SQL expression.
+    """SQL text of array<struct<s int, e int, m string>>: the leftmost, non-overlapping matches in a short
+    text (a column name or SQL expression), with their offsets.
 
-    Building plans from SQL text costs one call into the JVM instead of one
-    per function, which matters when many patterns are compiled into one
-    projection.
+    ``regexp_extract_all`` yields the matched strings and ``split`` with the
+    same regex the gaps between them; walking both arrays once gives the
+    offsets.  The fold copies its result at each step: for the few tokens around a span, not for
+    documents (``operators.detect.pattern_spans``).
     """
     p = sql_lit(pattern)
     lits = required_literals(pattern)
@@ -95,36 +97,6 @@ def regex_spans_sql(text: str, pattern: str) -> str:
       ELSE CAST(array() AS {SPAN_TYPE}) END)"""
 
 
-def regex_spans(text, pattern: str) -> Column:
-    """Leftmost, non-overlapping matches of ``pattern`` with their offsets.
-
-    ``regexp_extract_all`` yields the matched strings and ``split`` with the
-    same regex yields the gaps between them; walking both arrays once gives
-    the offsets.  Returns ``array<struct<s int, e int, m string>>``.
-    The pattern must not match the empty string.  ``text`` is a column name
-    (or SQL expression text) or a Column.
-    """
-    if isinstance(text, str):
-        return F.expr(regex_spans_sql(text, pattern))
-    ms = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gs = F.split(text, pattern, -1)
-    pairs = F.zip_with(gs, ms, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("out"))
-
-    def step(acc, x):
-        s = acc["pos"] + F.length(x["g"])
-        e = s + F.length(x["m"])
-        grown = F.struct(
-            e.alias("pos"),
-            F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))).alias("out"),
-        )
-        return F.when(x["m"].isNull(), acc).otherwise(grown)
-
-    folded = F.aggregate(pairs, init, step, lambda acc: acc["out"])
-    # rlike first: texts without a match never enter the fold.
-    return F.when(text.rlike(pattern), folded).otherwise(F.array().cast(SPAN_TYPE))
-
-
 def cut(text: Column, start: Column, end: Column) -> Column:
     """``text[start:end]`` with 0-based half-open offsets."""
     return F.when(end > start, text.substr(start + 1, end - start)).otherwise(F.lit(""))
@@ -160,11 +132,6 @@ def pct0(conf: Column) -> Column:
     return F.concat(F.bround(conf * 100, 0).cast("bigint").cast("string"), F.lit("%"))
 
 
-def overlaps(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
-    """Strict overlap of two half-open spans (touching spans do not overlap)."""
-    return (s1 < e2) & (s2 < e1)
-
-
 def map_lookup(mapping: dict, key: Column) -> Column:
     """Lookup in a fixed Python dict as a literal MapType (no join needed)."""
     return F.element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), key) \
@@ -175,27 +142,3 @@ def safe_lookup(mapping: dict, key: Column) -> Column:
     """Like ``map_lookup`` but null keys and absent keys both give null."""
     m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     return F.when(key.isNull(), F.lit(None).cast("string")).otherwise(F.try_element_at(m, key))
-
-
-CTX_TYPE = "array<struct<o:int,t:string>>"
-
-
-def stitch(pieces: Column) -> Column:
-    """Join overlapping or touching text pieces ``array<struct<o int, t string>>``
-    (offset, text) into one contiguous string; returns struct<o, t>.
-
-    Used to rebuild the text of a merged span from the small contexts of its
-    members, so that shuffled rows never carry whole documents.
-    """
-    srt = F.array_sort(pieces)
-    first = F.element_at(srt, 1)
-
-    def step(acc, x):
-        acc_end = acc["o"] + F.length(acc["t"])
-        x_end = x["o"] + F.length(x["t"])
-        grown = F.struct(acc["o"].alias("o"),
-                         F.concat(acc["t"], x["t"].substr(acc_end - x["o"] + 1, x_end - acc_end)).alias("t"))
-        return F.when(x_end > acc_end, grown).otherwise(acc)
-
-    return F.aggregate(F.slice(srt, 2, F.greatest(F.size(srt) - 1, F.lit(0))),
-                       F.struct(first["o"].alias("o"), first["t"].alias("t")), step)

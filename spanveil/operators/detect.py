@@ -1,23 +1,26 @@
 """Detection operators: pattern spans, policy filter, source merge, word
 alignment and overlap union.
 
-Plan shape rules (checked with ``explain`` in the tests):
-* every interval join carries the equi key ``doc_id`` so Spark plans a hash
-  or sort-merge join with a residual range condition, never a nested loop;
-* regex extraction is guarded by ``rlike`` so texts without a match never
-  enter the extraction fold;
-* per-document windows are partitioned by ``doc_id`` and reuse the join's
-  hash partitioning (no extra exchange).
+Plan shape: everything about one document happens in one narrow stage over
+its text (Arrow batches, ``functions.docspans``): matching, policy, merge of
+the sources, word alignment and union.  ``detect_pipeline`` has no exchange
+unless policies or model entities come as tables of their own, which are then
+joined on ``doc_id``.  The single steps are also operators over span tables;
+those gather the spans (never the text) of a document.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from typing import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions import docspans as ds
 from ..functions import spans as sp
 from ..functions import tables as tb
 
@@ -36,68 +39,66 @@ def _pattern_rows(patterns: Sequence) -> list[tuple]:
     return rows
 
 
-_WINDOW = 256
+def matcher(patterns: Sequence) -> Callable[[], ds.Matcher]:
+    """A maker of the compiled patterns (compiled once per task).  A pattern that matches the empty
+    string, or none at all, is refused (I2)."""
+    rows = [(r[1], sp.required_literals(r[1])) for r in _pattern_rows(patterns)]
+    for (compiled, _), row in zip(ds.Matcher(rows).patterns, rows, strict=True):
+        if compiled.match(""):
+            raise ValueError(f"pattern matches the empty string: {row[0]}")
+    return lambda: ds.Matcher(rows)
 
 
-def run_start_sql(text: str, pos: str) -> str:
-    """Start of the whitespace-free run that ends at ``pos`` (exclusive).
+def _rows_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    Looks at most 256 characters back first and only scans the whole prefix
-    when the run is longer than that (exact, and linear in the normal case).
-    """
-    lo = f"greatest({pos} - {_WINDOW}, 0)"
-    near = f"length(regexp_extract(substring({text}, {lo} + 1, {pos} - {lo}), r'\\S*$', 0))"
-    far = f"length(regexp_extract(substring({text}, 1, {pos}), r'\\S*$', 0))"
-    return f"({pos} - CASE WHEN {near} = {pos} - {lo} AND {lo} > 0 THEN {far} ELSE {near} END)"
-
-
-def run_end_sql(text: str, pos: str) -> str:
-    """End of the whitespace-free run that starts at ``pos``."""
-    near = f"length(regexp_extract(substring({text}, {pos} + 1, {_WINDOW}), r'^\\S*', 0))"
-    far = f"length(regexp_extract(substring({text}, {pos} + 1, length({text})), r'^\\S*', 0))"
-    return f"({pos} + CASE WHEN {near} = {_WINDOW} THEN {far} ELSE {near} END)"
-
-
-def _pattern_array_sql(text: str, i: int, regex: str, ptype: str, conf: float, reason: str,
-                       with_context: bool) -> str:
-    fields = (f"'pat_idx', {i}, 'match_idx', _j, 's', _x.s, 'e', _x.e, 'm', _x.m, "
-              f"'type', {sp.sql_lit(ptype)}, 'base_conf', CAST({float(conf)!r} AS DOUBLE), "
-              f"'base_reason', {sp.sql_lit(reason)}")
-    tagged = f"transform({sp.regex_spans_sql(text, regex)}, (_x, _j) -> named_struct({fields}))"
-    kept = f"filter({tagged}, _y -> length(trim(_y.m)) >= {tb.HEURISTIC_MIN_TRIMMED_LENGTH})"
-    if not with_context:
-        return kept
-    keys = ["pat_idx", "match_idx", "s", "e", "m", "type", "base_conf", "base_reason"]
-    carry = ", ".join(f"'{k}', _z.{k}" for k in keys)
-    lo, hi = run_start_sql(text, "_z.s"), run_end_sql(text, "_z.e")
-    bounded = f"transform({kept}, _z -> named_struct({carry}, 'ctx_o', {lo}, 'ctx_e', {hi}))"
-    carry2 = ", ".join(f"'{k}', _w.{k}" for k in keys)
-    ctx = f"CASE WHEN _w.ctx_e > _w.ctx_o THEN substring({text}, _w.ctx_o + 1, _w.ctx_e - _w.ctx_o) ELSE '' END"
-    return f"transform({bounded}, _w -> named_struct({carry2}, 'ctx_o', _w.ctx_o, 'ctx', {ctx}))"
+
+_SPAN_FIELDS = [("pat_idx", pa.int32()), ("match_idx", pa.int32()), ("char_start", pa.int64()), ("char_end", pa.int64()),
+                ("text", pa.string()), ("type", pa.string()), ("base_conf", pa.float64()), ("base_reason", pa.string())]
+_SPAN_SQL = ("pat_idx int, match_idx int, char_start bigint, char_end bigint, text string, type string, "
+             "base_conf double, base_reason string")
 
 
 def pattern_spans(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATTERNS, text_col: str = "text",
                   id_col: str = "doc_id", with_context: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """All matches of every pattern (C1, C2): one row per span.
 
-    Output: doc_id, pat_idx, match_idx, char_start, char_end, text, type, base_conf, base_reason.
+    Output: doc_id, *keep, pat_idx, match_idx, char_start, char_end, text, type, base_conf, base_reason.
     Spans are produced per pattern with leftmost non-overlapping semantics;
     matches whose trimmed text is shorter than 3 characters are dropped.
-    ``with_context`` adds ``ctx_o``/``ctx``: the whitespace-free runs around
-    the span, cut while the document is at hand (map side), so later
-    shuffles move spans and not documents.  All patterns compile into one
-    projection and one generator, written as SQL text (one call into the
-    JVM instead of one per function).
+    ``with_context`` adds ``ctx_o``/``ctx``: the tokens that the span touches
+    and where they start, cut while the document is at hand (map side), so
+    later shuffles move spans and not documents.
     """
-    text = f"`{text_col}`"
-    arrays = [_pattern_array_sql(text, i, regex, ptype, conf, reason, with_context)
-              for i, (name, regex, ptype, conf, reason) in enumerate(_pattern_rows(patterns))]
-    all_spans = F.expr(f"concat({', '.join(arrays)})" if len(arrays) > 1 else arrays[0])
-    ctx = ["ctx_o", "ctx"] if with_context else []
-    return (docs.select(F.col(id_col).alias("doc_id"), *keep, F.inline(all_spans))
-            .select("doc_id", *keep, "pat_idx", "match_idx",
-                    F.col("s").cast("bigint").alias("char_start"), F.col("e").cast("bigint").alias("char_end"),
-                    F.col("m").alias("text"), "type", "base_conf", "base_reason", *ctx))
+    rows = _pattern_rows(patterns)
+    make = matcher(patterns)
+    src = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text"))
+    n = 1 + len(keep)
+    fields = _SPAN_FIELDS + ([("ctx_o", pa.int32()), ("ctx", pa.string())] if with_context else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = make()
+        for batch in batches:
+            at, out = [], []
+            for i, text in enumerate(batch.column(n).to_pylist()):
+                tokens = None
+                for p, j, s, e, m in found.find(text) if text else ():
+                    at.append(i)
+                    row = (p, j, s, e, m, *rows[p][2:5])
+                    if with_context:
+                        tokens = tokens or ds.Tokens(text)
+                        cover = tokens.cover(s, e) or [(s, e)]
+                        lo = min(s, cover[0][0])
+                        row += (lo, text[lo:max(e, cover[-1][1])])
+                    out.append(row)
+            spans = _rows_batch([(*r[:6], float(r[6]), *r[7:]) for r in out], pa.schema(fields))
+            kept = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:n]]
+            yield pa.RecordBatch.from_arrays([*kept, *spans.columns], names=[*batch.schema.names[:n], *spans.schema.names])
+    schema = StructType(src.schema.fields[:-1])
+    for f in StructType.fromDDL(_SPAN_SQL + (", ctx_o int, ctx string" if with_context else "")):
+        schema = schema.add(f)
+    return src.mapInArrow(run, schema)
 
 
 def heuristic_detections(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATTERNS,
@@ -158,6 +159,16 @@ def _view(df: DataFrame, prefix: str) -> str:
     return f"global_temp.{name}"
 
 
+def _sql(spark, query: str, **views: DataFrame) -> DataFrame:
+    """``query`` over DataFrames named in braces; the names live only until the plan is analyzed."""
+    names = {k: _view(v, k) for k, v in views.items()}
+    try:
+        return spark.sql(query.format(**names))
+    finally:
+        for name in names.values():
+            spark.catalog.dropGlobalTempView(name.split(".")[1])
+
+
 def stitch_sql(arr: str) -> str:
     """SQL text of ``spans.stitch``: join overlapping (offset, text) pieces."""
     srt = f"array_sort({arr})"
@@ -201,31 +212,28 @@ def model_reason_sql(label: str, conf: str, policy: str) -> str:
             f"ELSE {_fill_sql(tb.MODEL_REASON_DEFAULT, label=shown, pct=pct, policy=policy)} END")
 
 
-def policies_values_sql() -> str:
-    """The fixed 8-row policy table as an inline SQL table (broadcast-sized)."""
-    rows = []
-    for name, (labels, thr, rule) in tb.POLICIES.items():
-        lab = "array(" + ", ".join(sp.sql_lit(x) for x in labels) + ")"
-        rows.append(f"({sp.sql_lit(name)}, {lab}, CAST({thr} AS DOUBLE), {sp.sql_lit(rule)})")
-    return "SELECT * FROM VALUES " + ", ".join(rows) + " AS p(policy, labels, threshold, rule)"
+def _policy_map(value: Callable[[tuple], str]) -> str:
+    return "map(" + ", ".join(f"{sp.sql_lit(name)}, {value(p)}" for name, p in tb.POLICIES.items()) + ")"
 
 
-def resolve_policies(doc_policies: DataFrame, policies: DataFrame | None = None) -> DataFrame:
-    """Per document: effective policy (unknown -> mixed_general), labels
+def resolve_policies(doc_policies: DataFrame) -> DataFrame:
+    """Per document: its policy as given (null means mixed_general), and the labels
     (a non-empty custom list replaces them, C7; bad JSON means none),
-    threshold and rule.  ``doc_policies``: doc_id, policy[, custom_labels].
-    The policy table is the fixed 8-row table (``policies`` may override it)."""
-    spark = doc_policies.sparkSession
-    dp = _view(doc_policies, "dp")
-    pol = f"(SELECT * FROM {_view(policies, 'pol')})" if policies is not None else f"({policies_values_sql()})"
-    labels = "p.labels"
+    threshold and rule of that policy, or of mixed_general if it is unknown.
+    ``doc_policies``: doc_id, policy[, custom_labels].  The policies are literals in the
+    plan: no join."""
+    known = _policy_map(lambda p: "true")
+    policy = f"coalesce(policy, {sp.sql_lit(tb.DEFAULT_POLICY)})"
+    used = f"CASE WHEN try_element_at({known}, {policy}) THEN {policy} ELSE {sp.sql_lit(tb.DEFAULT_POLICY)} END"
+    labels = _policy_map(lambda p: "array(" + ", ".join(sp.sql_lit(x) for x in p[0]) + ")")
+    labels = f"try_element_at({labels}, {used})"
     if "custom_labels" in doc_policies.columns:
-        custom = "from_json(d.custom_labels, 'array<string>')"
-        labels = f"CASE WHEN size(coalesce({custom}, array())) > 0 THEN {custom} ELSE p.labels END"
-    return spark.sql(f"""
-        SELECT d.doc_id, p.policy, {labels} AS labels, p.threshold, p.rule
-        FROM {dp} d JOIN {pol} p
-          ON p.policy = CASE WHEN d.policy IN (SELECT policy FROM {pol}) THEN d.policy ELSE {sp.sql_lit(tb.DEFAULT_POLICY)} END""")
+        custom = "from_json(custom_labels, 'array<string>')"
+        labels = f"CASE WHEN size(coalesce({custom}, array())) > 0 THEN {custom} ELSE {labels} END"
+    return doc_policies.selectExpr(
+        "doc_id", f"{policy} AS policy", f"{labels} AS labels",
+        f"try_element_at({_policy_map(lambda p: f'double({p[1]})')}, {used}) AS threshold",
+        f"try_element_at({_policy_map(lambda p: sp.sql_lit(p[2]))}, {used}) AS rule")
 
 
 def policy_filter(raw_entities: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -233,17 +241,16 @@ def policy_filter(raw_entities: DataFrame, resolved: DataFrame) -> DataFrame:
 
     Equi join on doc_id with the per-document policy rows (shuffle by
     doc_id, or a broadcast when AQE measures that side small)."""
-    spark = raw_entities.sparkSession
-    raw, res = _view(raw_entities, "raw"), _view(resolved, "res")
     ctx = ", r.ctx_o, r.ctx" if "ctx" in raw_entities.columns else ""
     conf = "round(r.score, 2)"
-    return spark.sql(f"""
+    reason = model_reason_sql("r.label", conf, "p.policy").replace("{", "{{").replace("}", "}}")
+    return _sql(raw_entities.sparkSession, f"""
         SELECT r.doc_id, r.text, r.char_start, r.char_end, upper(r.label) AS type, {conf} AS confidence,
                CASE WHEN {conf} >= {tb.REDACT_AT} THEN 'redacted' ELSE 'missed' END AS status,
-               {model_reason_sql('r.label', conf, 'p.policy')} AS reason,
+               {reason} AS reason,
                {sp.sql_lit(tb.MODEL_SOURCE)} AS source, p.policy, p.rule{ctx}
-        FROM {raw} r JOIN {res} p ON r.doc_id = p.doc_id
-        WHERE array_contains(p.labels, r.label) AND r.score >= p.threshold""")
+        FROM {{raw}} r JOIN {{res}} p ON r.doc_id = p.doc_id
+        WHERE array_contains(p.labels, r.label) AND r.score >= p.threshold""", raw=raw_entities, res=resolved)
 
 
 def label_groups(spark, raw_entities: DataFrame) -> DataFrame:
@@ -261,76 +268,97 @@ def label_groups(spark, raw_entities: DataFrame) -> DataFrame:
 def attach_context(spans: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``ctx_o``/``ctx`` to spans produced elsewhere (e.g. a model hook).
 
-    This joins on doc_id and therefore moves documents; spans produced by
-    this package get their context map side instead.
+    This joins on doc_id and therefore moves documents, each once with all its spans; spans
+    produced by this package get their context map side instead.
     """
-    d = docs.select("doc_id", F.col(text_col).alias("_doc"))
-    lo = run_start_sql("_doc", "CAST(char_start AS INT)")
-    hi = run_end_sql("_doc", "CAST(char_end AS INT)")
-    return (spans.join(d, "doc_id").withColumn("ctx_o", F.expr(lo)).withColumn("_hi", F.expr(hi))
-            .withColumn("ctx", sp.cut(F.col("_doc"), F.col("ctx_o"), F.col("_hi"))).drop("_doc", "_hi"))
+    rows = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*spans.columns)).alias("_spans"))
+    joined = rows.join(docs.select("doc_id", F.col(text_col).alias("_doc")), "doc_id").select("_spans", "_doc")
+    names = spans.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ctx = []
+            for found, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = ds.Tokens(text or "")
+                for s in found:
+                    lo, hi = s["char_start"], min(s["char_end"], len(text or ""))
+                    cover = tokens.cover(lo, hi) or [(lo, hi)]
+                    lo = min(lo, cover[0][0])
+                    ctx.append((lo, text[lo:max(hi, cover[-1][1])] if text else ""))
+            flat = batch.column(0).flatten()
+            tail = _rows_batch(ctx, pa.schema([("ctx_o", pa.int32()), ("ctx", pa.string())]))
+            yield pa.RecordBatch.from_arrays([*(flat.field(n) for n in names), *tail.columns], names=[*names, "ctx_o", "ctx"])
+    return joined.mapInArrow(run, StructType(list(spans.schema.fields)).add("ctx_o", "int").add("ctx", "string"))
 
 
 # ---------------------------------------------------------------------------
 # Merge of model and heuristic spans
 # ---------------------------------------------------------------------------
 
-RANGE_BIN = 4096
+_MERGED = [("doc_id", pa.int64()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("type", pa.string()), ("confidence", pa.float64()),
+           ("status", pa.string()), ("reason", pa.string()), ("source", pa.string()), ("policy", pa.string()), ("rule", pa.string()),
+           ("grp", pa.int32()), ("ord", pa.int64()), ("ctx_o", pa.int32()), ("ctx", pa.string())]
+_MERGED_SQL = ("doc_id bigint, char_start bigint, char_end bigint, type string, confidence double, status string, reason string, "
+               "source string, policy string, rule string, grp int, ord bigint, ctx_o int, ctx string")
+
+
+def _stitched(members: list[tuple[int, str]], start: int, end: int) -> tuple[int, str]:
+    """The text pieces that lie around [start, end) as one: members of a merged span overlap, so no gap is left."""
+    o, t = None, ""
+    for po, pt in sorted(members):
+        if o is None:
+            o, t = po, pt
+        elif po + len(pt) > o + len(t):
+            t += pt[o + len(t) - po:]
+    return o, t
 
 
 def merge_sources(model: DataFrame, heuristic: DataFrame) -> DataFrame:
-    """Each heuristic span joins the first overlapping model span (by model
-    order): union of bounds, max confidence, one reason suffix per strict
-    raise, source ``dual``, promotion to redacted.  Heuristic spans without
-    an overlapping model span are appended.  Output carries ``grp``/``ord``:
+    """Each heuristic span, in order, joins the first overlapping entry of the growing list
+    (model spans, then heuristic spans appended before): union of bounds, max confidence, one
+    reason suffix per strict raise, source ``dual``, promotion to redacted.
+    Without an overlap it is appended.  Output carries ``grp``/``ord``:
     the stable list order (model spans first, then appended heuristics).
 
     Both inputs carry ``ctx_o``/``ctx``; a merged span's context is the
-    stitched union of its members' contexts.  The interval join is a binned
-    range join: both sides are keyed by (doc_id, 4096-character bin), so a
-    document with very many spans compares only spans that share a bin, not
-    all pairs of the document (exact: overlapping spans always share a bin;
-    pairs met in several bins are de-duplicated).  All windows are
-    partitioned by doc_id.
+    stitched union of its members' contexts.  One exchange gathers the spans of a document; the fold works on
+    islands of overlapping spans, so it is linear in the spans of a document but for such islands.
     """
-    spark = model.sparkSession
-    m, h = _view(model, "model"), _view(heuristic, "heur")
-    BIN = RANGE_BIN  # noqa: N806 (used in the SQL text)
-    hctx = "named_struct('o', ctx_o, 't', ctx)"
-    return spark.sql(f"""
-    WITH M AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY char_start, char_end, type, text) AS m_ord FROM {m}),
-    HB AS (SELECT *, explode(sequence(CAST(floor(char_start / {BIN}) AS BIGINT),
-                                      CAST(floor(greatest(char_end - 1, char_start) / {BIN}) AS BIGINT))) AS _bin FROM {h}),
-    MB AS (SELECT *, explode(sequence(CAST(floor(char_start / {BIN}) AS BIGINT),
-                                      CAST(floor(greatest(char_end - 1, char_start) / {BIN}) AS BIGINT))) AS _bin FROM M),
-    P AS (SELECT DISTINCT h.doc_id, h.h_rank, h.char_start AS hs, h.char_end AS he, h.confidence AS hc, h.status AS hst,
-                 h.ctx_o AS hco, h.ctx AS hct, m.m_ord, m.confidence AS mc
-          FROM HB h JOIN MB m ON h.doc_id = m.doc_id AND h._bin = m._bin
-                             AND h.char_start < m.char_end AND m.char_start < h.char_end),
-    F1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, h_rank ORDER BY m_ord) AS _r FROM P) WHERE _r = 1),
-    F2 AS (SELECT *, hc > greatest(mc, coalesce(max(hc) OVER (PARTITION BY doc_id, m_ord ORDER BY h_rank
-                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), mc)) AS rz FROM F1),
-    PM AS (SELECT doc_id, m_ord, min(hs) AS hmin, max(he) AS hmax, max(hc) AS hcmax, count_if(rz) AS nr,
-                  bool_or(rz AND hst = 'redacted') AS pr, collect_list(named_struct('o', hco, 't', hct)) AS hctx
-           FROM F2 GROUP BY doc_id, m_ord),
-    MM AS (SELECT m.*, pm.hmin, pm.hmax, pm.hcmax, pm.nr, pm.pr, pm.hctx,
-                  CASE WHEN pm.hmin IS NULL THEN named_struct('o', m.ctx_o, 't', m.ctx)
-                       ELSE {stitch_sql("concat(array(named_struct('o', m.ctx_o, 't', m.ctx)), pm.hctx)")} END AS _c
-           FROM M m LEFT JOIN PM pm ON m.doc_id = pm.doc_id AND m.m_ord = pm.m_ord)
-    SELECT doc_id,
-           CASE WHEN hmin IS NULL THEN char_start ELSE least(char_start, hmin) END AS char_start,
-           CASE WHEN hmin IS NULL THEN char_end ELSE greatest(char_end, hmax) END AS char_end,
-           type,
-           CASE WHEN hmin IS NULL THEN confidence ELSE greatest(confidence, hcmax) END AS confidence,
-           CASE WHEN coalesce(pr, false) THEN 'redacted' ELSE status END AS status,
-           concat(reason, repeat({sp.sql_lit(tb.MERGE_REASON_SUFFIX)}, CAST(coalesce(nr, 0) AS INT))) AS reason,
-           CASE WHEN hmin IS NULL THEN coalesce(source, {sp.sql_lit(tb.MODEL_SOURCE)}) ELSE 'dual' END AS source,
-           policy, rule, 0 AS grp, CAST(m_ord AS BIGINT) AS ord, _c.o AS ctx_o, _c.t AS ctx
-    FROM MM
-    UNION ALL
-    SELECT h.doc_id, h.char_start, h.char_end, h.type, h.confidence, h.status, h.reason, h.source,
-           CAST(NULL AS STRING) AS policy, CAST(NULL AS STRING) AS rule, 1 AS grp, h.h_rank AS ord, h.ctx_o, h.ctx
-    FROM {h} h LEFT ANTI JOIN F1 f ON h.doc_id = f.doc_id AND h.h_rank = f.h_rank""")
+    cols = ["char_start", "char_end", "type", "confidence", "status", "reason", "source", "policy", "rule", "grp", "ord", "ctx_o", "ctx", "text"]
+    m = model.selectExpr("doc_id", "char_start", "char_end", "type", "confidence", "status", "reason",
+                         f"coalesce(source, {sp.sql_lit(tb.MODEL_SOURCE)}) AS source", "policy", "rule", "0 AS grp",
+                         "CAST(0 AS BIGINT) AS ord", "CAST(ctx_o AS INT) AS ctx_o", "ctx", "text")
+    h = heuristic.selectExpr("doc_id", "char_start", "char_end", "type", "confidence", "status", "reason", "source",
+                             "CAST(NULL AS STRING) AS policy", "CAST(NULL AS STRING) AS rule", "1 AS grp", "h_rank AS ord",
+                             "CAST(ctx_o AS INT) AS ctx_o", "ctx", "text")
+    gathered = m.unionByName(h).groupBy("doc_id").agg(F.collect_list(F.struct(*cols)).alias("_spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                mine = sorted((s for s in spans if s["grp"] == 0), key=_model_order)
+                for i, s in enumerate(mine):
+                    s["ord"] = i + 1
+                pieces = sorted((s["char_start"], s["ctx_o"], s["ctx"]) for s in spans)
+                at = 0
+                merged = ds.merge_sources(mine, sorted((s for s in spans if s["grp"]), key=lambda s: s["ord"]))
+                for s in sorted(merged, key=lambda s: (s["char_start"], s["char_end"])):
+                    while at < len(pieces) and pieces[at][0] < s["char_start"]:
+                        at += 1
+                    members = []
+                    for k in range(at, len(pieces)):
+                        if pieces[k][0] >= s["char_end"]:
+                            break
+                        members.append(pieces[k][1:])
+                    o, t = _stitched(members, s["char_start"], s["char_end"])
+                    rows.append((doc, *(s[c] for c in cols[:11]), o, t))
+            yield _rows_batch(rows, pa.schema(_MERGED))
+    return gathered.mapInArrow(run, _MERGED_SQL)
+
+
+def _model_order(s: dict) -> tuple:
+    return s["char_start"], s["char_end"], s["type"], s["text"]
 
 
 # ---------------------------------------------------------------------------
@@ -346,23 +374,22 @@ def align_words(dets: DataFrame) -> DataFrame:
     tokenising the whole document.  Spans without tokens keep their bounds.
     ``pre_start`` keeps the start before alignment (the stable sort key).
     """
-    spark = dets.sparkSession
-    v = _view(dets, "algn")
     punct = ", ".join(sp.sql_lit(x) for x in tb.TRAILING_PUNCTUATION)
-    toks = (f"filter({sp.regex_spans_sql('ctx', tb.TOKEN_PATTERN)}, "
+    toks = (f"filter({sp.regex_spans_sql('ctx', tb.TOKEN_PATTERN_POSSESSIVE)}, "
             f"_t -> _t.s + ctx_o < char_end AND _t.e + ctx_o > char_start)")
     cols = [c for c in dets.columns if c not in ("char_start", "char_end", "text")]
     keep = ", ".join(cols)
-    return spark.sql(f"""
-    WITH T AS (SELECT *, char_start AS pre_start, {toks} AS _t FROM {v}),
-    T2 AS (SELECT *, CASE WHEN size(_t) > 1 AND element_at(_t, -1).m IN ({punct}) THEN slice(_t, 1, size(_t) - 1)
+    brace = lambda x: x.replace("{", "{{").replace("}", "}}")
+    return _sql(dets.sparkSession, f"""
+    WITH T AS (SELECT *, char_start AS pre_start, {brace(toks)} AS _t FROM {{v}}),
+    T2 AS (SELECT *, CASE WHEN size(_t) > 1 AND element_at(_t, -1).m IN ({brace(punct)}) THEN slice(_t, 1, size(_t) - 1)
                           ELSE _t END AS _u FROM T),
     T3 AS (SELECT *, CAST(CASE WHEN size(_u) > 0 THEN element_at(_u, 1).s + ctx_o ELSE char_start END AS BIGINT) AS _s,
                      CAST(CASE WHEN size(_u) > 0 THEN element_at(_u, -1).e + ctx_o ELSE char_end END AS BIGINT) AS _e
            FROM T2)
     SELECT {keep}, pre_start, _s AS char_start, _e AS char_end,
            CASE WHEN _e > _s THEN substring(ctx, CAST(_s - ctx_o AS INT) + 1, CAST(_e - _s AS INT)) ELSE '' END AS text
-    FROM T3""")
+    FROM T3""", v=dets)
 
 
 def merge_overlaps(dets: DataFrame, order_cols: Iterable[str] = ("grp", "ord")) -> DataFrame:
@@ -374,61 +401,99 @@ def merge_overlaps(dets: DataFrame, order_cols: Iterable[str] = ("grp", "ord"))
     Touching spans stay apart.  The text of an island is stitched from its
     members' texts (they overlap, so their union is contiguous).
     """
-    spark = dets.sparkSession
     order_cols = list(order_cols)
-    v = _view(dets, "isl")
     order = ", ".join(["char_start"] + order_cols)
     skip = {"doc_id", "char_start", "char_end", "confidence", "type", "text", "ctx", "ctx_o", *order_cols}
     other = [c for c in dets.columns if c not in skip]
     firsts = ", ".join(f"min_by({c}, _rn) AS {c}" for c in other + order_cols)
     firsts = (", " + firsts) if firsts else ""
-    return spark.sql(f"""
+    return _sql(dets.sparkSession, f"""
     WITH A AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS _rn,
                       max(char_end) OVER (PARTITION BY doc_id ORDER BY {order}
-                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _pe FROM {v}),
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _pe FROM {{v}}),
     B AS (SELECT *, sum(CASE WHEN _pe IS NULL OR char_start >= _pe THEN 1 ELSE 0 END)
                     OVER (PARTITION BY doc_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _isl
           FROM A)
     SELECT doc_id, min(char_start) AS char_start, max(char_end) AS char_end, max(confidence) AS confidence,
            max_by(type, named_struct('c', confidence, 'r', -_rn)) AS type,
            {stitch_sql("collect_list(named_struct('o', CAST(char_start AS INT), 't', text))")}.t AS text{firsts}
-    FROM B GROUP BY doc_id, _isl""")
-
-
-def candidate_spans(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATTERNS, text_col: str = "text",
-                    with_standin: bool = True) -> DataFrame:
-    """One map-side pass over the documents: every heuristic pattern and
-    (optionally) every stand-in entity pattern, with span contexts.
-    ``pat_idx`` < len(patterns) marks heuristic spans."""
-    pats = list(_pattern_rows(patterns)) + (STANDIN_PATTERNS if with_standin else [])
-    return pattern_spans(docs, pats, text_col, with_context=True)
-
-
-def detect_pipeline(docs: DataFrame, doc_policies: DataFrame, policies: DataFrame | None = None,
-                    raw_entities: DataFrame | None = None, patterns: Sequence = tb.HEURISTIC_PATTERNS,
-                    text_col: str = "text", materialize: bool = True) -> DataFrame:
+    FROM B GROUP BY doc_id, _isl""", v=dets)
+
+
+def document_detections(doc_id: int, text: str, policy: str | None, custom: str | None, raw: list[dict] | None, found: ds.Matcher,
+                        rows: list[tuple]) -> list[dict]:
+    """All steps of the pipeline for one document: ``rows`` are the heuristic patterns, then the stand-in's if
+    ``raw`` (entities: label, text, char_start, char_end, score) is None."""
+    policy = tb.DEFAULT_POLICY if policy is None else policy
+    labels, threshold, rule = tb.POLICIES.get(policy, tb.POLICIES[tb.DEFAULT_POLICY])
+    try:
+        labels = [x for x in json.loads(custom or "[]") if isinstance(x, str)] or labels
+    except (ValueError, TypeError):
+        pass
+    heuristic, entities = [], list(raw or ())
+    for p, j, s, e, m in found.find(text):
+        _, _, kind, conf, reason = rows[p][:5]
+        if raw is None and p >= len(rows) - len(STANDIN_PATTERNS):
+            score = round(0.40 + ((doc_id or 0) * 37 + s) % 60 / 100, 2)
+            entities.append({"label": kind, "text": m, "char_start": s, "char_end": e, "score": score})
+        else:
+            heuristic.append({"char_start": s, "char_end": e, "type": kind, "confidence": float(conf), "status": ds.heuristic_status(conf),
+                              "reason": tb.HEURISTIC_REASON_PREFIX + reason, "source": "heuristic", "policy": None, "rule": None, "ord": (p << 32) + j})
+    model = []
+    for x in entities:
+        if x["label"] in labels and x["score"] >= threshold:
+            conf = round(x["score"], 2)
+            model.append({"char_start": x["char_start"], "char_end": x["char_end"], "type": x["label"].upper(), "confidence": conf, "text": x["text"],
+                          "status": "redacted" if conf >= tb.REDACT_AT else "missed", "reason": ds.model_reason(x["label"], conf, policy),
+                          "source": tb.MODEL_SOURCE, "policy": policy, "rule": rule})
+    model.sort(key=_model_order)
+    for i, s in enumerate(model):
+        s["ord"] = i + 1
+    merged = ds.merge_sources(model, heuristic)
+    if not merged:
+        return []
+    tokens = ds.Tokens(text)
+    for s in merged:
+        s["pre"] = s["char_start"]
+        s["char_start"], s["char_end"] = tokens.align(s["char_start"], min(s["char_end"], len(text)))
+    merged.sort(key=lambda s: (s["char_start"], s["pre"], s["grp"], s["ord"]))
+    return ds.union(merged, text)
+
+
+_DETECTED = ["text", "char_start", "char_end", "type", "confidence", "status", "reason", "source", "policy", "rule"]
+
+
+def detect_pipeline(docs: DataFrame, doc_policies: DataFrame | None = None, raw_entities: DataFrame | None = None,
+                    patterns: Sequence = tb.HEURISTIC_PATTERNS, text_col: str = "text") -> DataFrame:
     """Model spans, pattern spans, merge, align, union (C17) -> detections.
 
-    One map-side pass over the documents extracts all spans with their
-    contexts; with ``materialize`` that small span table is written to the
-    shared checkpoint folder, so the scan and the regex work run once
-    although the merge reads the spans several times.  Everything
-    after the scan shuffles spans only.
+    One narrow stage over the documents: no exchange and no table in between.  A document's policy (and
+    custom_labels) are columns of ``docs``, or come as ``doc_policies`` (doc_id, policy[, custom_labels]), joined on doc_id.
+    ``raw_entities`` (doc_id, label, text, char_start, char_end, score) from a model are gathered per
+    document and joined; without them the stand-in patterns give reproducible ones.
     """
-    from ..session import cut_lineage
-    n_heur = len(_pattern_rows(patterns))
-    cands = candidate_spans(docs, patterns, text_col, with_standin=raw_entities is None)
-    if materialize:
-        cands = cut_lineage(cands)
-    heur = heuristic_from_spans(cands.filter(F.col("pat_idx") < n_heur))
-    if raw_entities is None:
-        raw = standin_from_spans(cands.filter(F.col("pat_idx") >= n_heur))
-    elif "ctx" not in raw_entities.columns:
-        raw = attach_context(raw_entities, docs, text_col)
-    else:
-        raw = raw_entities
-    model = policy_filter(raw, resolve_policies(doc_policies, policies))
-    merged = merge_sources(model, heur)
-    aligned = align_words(merged)
-    final = merge_overlaps(aligned, ("pre_start", "grp", "ord"))
-    return with_det_id(final).select(*DETECTION_COLUMNS)
+    rows = list(_pattern_rows(patterns)) + ([] if raw_entities is not None else STANDIN_PATTERNS)
+    make = matcher(rows)
+    if doc_policies is not None:
+        docs = docs.drop("policy", "custom_labels").join(doc_policies, "doc_id", "left")
+    pick = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
+    src = docs.select("doc_id", F.col(text_col).alias("_text"), pick("policy").alias("_policy"), pick("custom_labels").alias("_custom"))
+    if raw_entities is not None:
+        fields = ["label", "text", "char_start", "char_end", "score"]
+        src = src.join(raw_entities.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("_raw")), "doc_id", "left")
+    given = raw_entities is not None
+    schema = pa.schema([("doc_id", pa.int64())] + [(c, dict([*_SPAN_FIELDS, *_MERGED])[c]) for c in _DETECTED])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = make()
+        for batch in batches:
+            out = []
+            raws = batch.column(4).to_pylist() if given else [None] * batch.num_rows
+            for doc, text, policy, custom, raw in zip(*(c.to_pylist() for c in batch.columns[:4]), raws, strict=True):
+                if text:
+                    found_here = document_detections(doc, text, policy, custom, (raw or []) if given else None, found, rows)
+                    out += [(doc, *(s[c] for c in _DETECTED)) for s in found_here]
+            yield _rows_batch(out, schema)
+    spans = src.mapInArrow(run, "doc_id bigint, text string, char_start bigint, char_end bigint, type string, confidence double, "
+                                "status string, reason string, source string, policy string, rule string")
+    return with_det_id(spans).select(*DETECTION_COLUMNS)

@@ -3,7 +3,7 @@ derived tables every query builds on (policies per document, detections)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tables as tb
@@ -21,50 +21,34 @@ def measured_broadcasts_only(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text.  A scan with fewer splits than cores (small inputs, one
-    parquet row group) is spread over the cores by doc_id; large inputs
-    already have many splits and are not shuffled."""
+    """doc_id, text."""
     measured_broadcasts_only(spark)
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spread(docs, "doc_id")
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition by ``key`` only when the input is small (under one split
-    per core by the optimizer's size estimate); large inputs keep their
-    scan splits and are never shuffled here."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) < split * cores:
-        return df.repartition(cores, key)
-    return df
+def policy_of(doc_id: Column) -> Column:
+    """Policy derived from doc_id; the ninth name is unknown on purpose (mixed_general's rules hold for it)."""
+    names = tb.POLICY_NAMES + ["unknown_policy"]
+    return F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(doc_id, F.lit(len(names))) + 1).cast("int"))
 
 
 def doc_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-document policy derived from doc_id; the ninth name is unknown on
-    purpose (falls back to mixed_general)."""
-    names = tb.POLICY_NAMES + ["unknown_policy"]
-    arr = F.array(*[F.lit(n) for n in names])
-    return read_table(spark, sf_dir, "documents").select(
-        "doc_id", F.element_at(arr, (F.pmod(F.col("doc_id"), F.lit(len(names))) + 1).cast("int")).alias("policy"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", policy_of(F.col("doc_id")).alias("policy"))
 
 
 def model_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     raw = dt.standin_raw_entities(docs)
-    return dt.policy_filter(raw, dt.resolve_policies(doc_policies(spark, sf_dir), None))
+    return dt.policy_filter(raw, dt.resolve_policies(doc_policies(spark, sf_dir)))
 
 
 def detections(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
-    """Full detection pipeline output over the documents table.  The text
-    scan and regex work are always materialized inside the pipeline
-    (candidate spans).  Queries that read the detections in many branches
+    """Full detection pipeline output over the documents table, one narrow stage.
+    Queries that read the detections in many branches
     (review log replay, reports) pass ``materialize`` to write the small
     detection table once to the shared checkpoint folder."""
-    docs = documents(spark, sf_dir)
-    out = dt.detect_pipeline(docs, doc_policies(spark, sf_dir), None)
+    docs = documents(spark, sf_dir).withColumn("policy", policy_of(F.col("doc_id")))
+    out = dt.detect_pipeline(docs)
     return cut_lineage(out, "detections") if materialize else out
 
 

@@ -94,7 +94,7 @@ def _custom_src_sql() -> str:
 
 
 @register("custom_labels", f"""
-    SELECT r.doc_id, r.label, r.char_start, r.char_end, p.policy, p.threshold
+    SELECT r.doc_id, r.label, r.char_start, r.char_end, d.policy, p.threshold
     FROM ({sk.standin_sql()}) r
     JOIN ({sk.doc_policy_sql()}) d ON r.doc_id = d.doc_id
     JOIN ({_custom_src_sql()}) c ON c.doc_id = r.doc_id
@@ -110,7 +110,7 @@ def custom_labels(spark, sf_dir):
                          .when(F.pmod("doc_id", F.lit(3)) == 1, F.lit("[]")).otherwise(F.lit("not json"))
                          .alias("custom_labels"))
     dp = cm.doc_policies(spark, sf_dir).join(custom, "doc_id")
-    resolved = dt.resolve_policies(dp, None)
+    resolved = dt.resolve_policies(dp)
     raw = dt.standin_raw_entities(docs)
     j = raw.join(resolved, "doc_id").filter(F.array_contains("labels", F.col("label")) & (F.col("score") >= F.col("threshold")))
     return j.select("doc_id", "label", "char_start", "char_end", "policy", "threshold")
@@ -140,7 +140,7 @@ def model_reason(spark, sf_dir):
 def _model_and_heur(spark, sf_dir):
     docs = cm.documents(spark, sf_dir)
     raw = dt.standin_raw_entities(docs, with_context=True)
-    model = dt.policy_filter(raw, dt.resolve_policies(cm.doc_policies(spark, sf_dir), None))
+    model = dt.policy_filter(raw, dt.resolve_policies(cm.doc_policies(spark, sf_dir)))
     heur = dt.heuristic_detections(docs, with_context=True)
     return model, heur
 

@@ -129,8 +129,8 @@ def model_sql() -> str:
     SELECT r.doc_id, r.text, r.char_start, r.char_end, upper(r.label) AS type,
            round(r.score, 2) AS confidence,
            CASE WHEN round(r.score, 2) >= 0.85 THEN 'redacted' ELSE 'missed' END AS status,
-           {model_reason_sql('r.label', 'round(r.score, 2)', 'p.policy')} AS reason,
-           {q(tb.MODEL_SOURCE)} AS source, p.policy, p.rule
+           {model_reason_sql('r.label', 'round(r.score, 2)', 'd.policy')} AS reason,
+           {q(tb.MODEL_SOURCE)} AS source, d.policy, p.rule
     FROM ({standin_sql()}) r
     JOIN ({doc_policy_sql()}) d ON r.doc_id = d.doc_id
     JOIN ({policies_sql()}) p ON p.policy = CASE WHEN d.policy IN (SELECT policy FROM ({policies_sql()})) THEN d.policy ELSE {q(tb.DEFAULT_POLICY)} END

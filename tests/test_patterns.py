@@ -11,8 +11,10 @@ from spanveil.operators import detect as dt
 
 def _spans(spark, texts, pattern):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = df.select("doc_id", sp.regex_spans(F.col("text"), pattern).alias("s")).collect()
-    return {r.doc_id: [(x.s, x.e, x.m) for x in r.s] for r in rows}
+    out = {i: [] for i in range(len(texts))}
+    for r in dt.pattern_spans(df, [("p", pattern, "T", 0.9, "")]).orderBy("doc_id", "match_idx").collect():
+        out[r.doc_id].append((r.char_start, r.char_end, r.text))
+    return out
 
 
 def _py(texts, pattern):
