@@ -157,3 +157,15 @@ def heuristic_status(confidence: float) -> str:
     return "redacted" if confidence >= tb.REDACT_AT else "missed" if confidence >= tb.REVIEW_AT else "false_positive"
 
 
+
+
+def rewrite(text: str, spans: Iterable[tuple[int, int, str]]) -> str:
+    """The text with every span replaced.  Of spans that overlap the first (by start, then the longest) gives the
+    replacement for all they cover together, so no character of any of them is left."""
+    out, done = [], 0
+    for start, end, new in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
+        if start >= done:
+            out += [text[done:start], new]
+        done = max(done, end)
+    out.append(text[done:])
+    return "".join(out)

@@ -463,26 +463,27 @@ def document_detections(doc_id: int, text: str, policy: str | None, custom: str
 _DETECTED = ["text", "char_start", "char_end", "type", "confidence", "status", "reason", "source", "policy", "rule"]
 
 
-def detect_pipeline(docs: DataFrame, doc_policies: DataFrame | None = None, raw_entities: DataFrame | None = None,
-                    patterns: Sequence = tb.HEURISTIC_PATTERNS, text_col: str = "text") -> DataFrame:
-    """Model spans, pattern spans, merge, align, union (C17) -> detections.
+def detect_arrays(docs: DataFrame, doc_policies: DataFrame | None = None, raw_entities: DataFrame | None = None,
+                  patterns: Sequence = tb.HEURISTIC_PATTERNS, text_col: str = "text") -> DataFrame:
+    """doc_id, text, dets: each document with the array of its detections (C17), in text order.
 
     One narrow stage over the documents: no exchange and no table in between.  A document's policy (and
     custom_labels) are columns of ``docs``, or come as ``doc_policies`` (doc_id, policy[, custom_labels]), joined on doc_id.
     ``raw_entities`` (doc_id, label, text, char_start, char_end, score) from a model are gathered per
     document and joined; without them the stand-in patterns give reproducible ones.
     """
-    rows = list(_pattern_rows(patterns)) + ([] if raw_entities is not None else STANDIN_PATTERNS)
+    given = raw_entities is not None
+    rows = list(_pattern_rows(patterns)) + ([] if given else STANDIN_PATTERNS)
     make = matcher(rows)
     if doc_policies is not None:
         docs = docs.drop("policy", "custom_labels").join(doc_policies, "doc_id", "left")
     pick = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
     src = docs.select("doc_id", F.col(text_col).alias("_text"), pick("policy").alias("_policy"), pick("custom_labels").alias("_custom"))
-    if raw_entities is not None:
+    if given:
         fields = ["label", "text", "char_start", "char_end", "score"]
         src = src.join(raw_entities.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("_raw")), "doc_id", "left")
-    given = raw_entities is not None
-    schema = pa.schema([("doc_id", pa.int64())] + [(c, dict([*_SPAN_FIELDS, *_MERGED])[c]) for c in _DETECTED])
+    types = dict([*_SPAN_FIELDS, *_MERGED])
+    struct = pa.struct([(c, types[c]) for c in _DETECTED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = make()
@@ -490,10 +491,16 @@ def detect_pipeline(docs: DataFrame, doc_policies: DataFrame | None = None, raw_
             out = []
             raws = batch.column(4).to_pylist() if given else [None] * batch.num_rows
             for doc, text, policy, custom, raw in zip(*(c.to_pylist() for c in batch.columns[:4]), raws, strict=True):
-                if text:
-                    found_here = document_detections(doc, text, policy, custom, (raw or []) if given else None, found, rows)
-                    out += [(doc, *(s[c] for c in _DETECTED)) for s in found_here]
-            yield _rows_batch(out, schema)
-    spans = src.mapInArrow(run, "doc_id bigint, text string, char_start bigint, char_end bigint, type string, confidence double, "
-                                "status string, reason string, source string, policy string, rule string")
-    return with_det_id(spans).select(*DETECTION_COLUMNS)
+                dets = document_detections(doc, text, policy, custom, (raw or []) if given else None, found, rows) if text else []
+                out.append([{c: d[c] for c in _DETECTED} for d in dets])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(struct))], names=["doc_id", "text", "dets"])
+    schema = StructType.fromDDL("text string, dets array<struct<text:string,char_start:bigint,char_end:bigint,type:string,confidence:double,"
+                                "status:string,reason:string,source:string,policy:string,rule:string>>")
+    return src.mapInArrow(run, StructType([src.schema["doc_id"], *schema.fields]))
+
+
+def detect_pipeline(docs: DataFrame, doc_policies: DataFrame | None = None, raw_entities: DataFrame | None = None,
+                    patterns: Sequence = tb.HEURISTIC_PATTERNS, text_col: str = "text") -> DataFrame:
+    """Model spans, pattern spans, merge, align, union (C17) -> one row per detection."""
+    found = detect_arrays(docs, doc_policies, raw_entities, patterns, text_col)
+    return with_det_id(found.select("doc_id", F.inline("dets"))).select(*DETECTION_COLUMNS)

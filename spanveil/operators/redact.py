@@ -1,21 +1,26 @@
 """Redaction and anonymization.
 
-The rewrite of a document needs its text and its confirmed spans.  Spans are
-grouped per document into a small sorted array (one shuffle of spans), then
-joined to the documents on doc_id.  Spark broadcasts the span side when AQE
-measures it under ``spark.sql.autoBroadcastJoinThreshold``; otherwise it is a
-sort-merge join.  Storing documents bucketed by doc_id
+The rewrite of a document needs its text and its confirmed spans.  Where the
+spans come straight from detection, they are still in the document's row
+(``detect.detect_arrays``) and nothing is shuffled.  Spans that went through a
+review are grouped per document (one shuffle of spans) and joined to the
+documents on doc_id.  Storing documents bucketed by doc_id
 (``sources.io.write_bucketed``) makes that join co-located, so the document
 text is never shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import docspans as ds
 from ..functions import spans as sp
 from ..functions import tables as tb
+from .detect import matcher
 
 CONFIRMED = ("redacted", "added")
 
@@ -26,14 +31,21 @@ def confirmed(dets: DataFrame) -> DataFrame:
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without blanks at both ends; no-break, ideographic and the other Unicode blanks count, too."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def title(c: Column) -> Column:
+    """Every run of letters starts with a capital, whatever stands before it (``api-key`` -> ``Api-Key``)."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}]+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
 
 
 def anonymized_label(type_: Column) -> Column:
     """Fixed label for known types, else '[Title Case]' of the type without
     a country prefix."""
     clean = F.regexp_replace(F.regexp_replace(type_, tb.COUNTRY_PREFIX_PATTERN, ""), "_", " ")
-    generic = F.concat(F.lit("["), F.initcap(clean), F.lit("]"))
+    generic = F.concat(F.lit("["), title(clean), F.lit("]"))
     return F.coalesce(sp.safe_lookup(tb.ANONYMIZED_REPLACEMENTS, type_), generic)
 
 
@@ -63,11 +75,12 @@ def replacement_text(text: Column, type_: Column, action_mode: Column, custom: C
 
 
 def mask_by_rule(text: Column, rule: Column, keep_last: int = 4) -> Column:
-    """F8 (opt-in): mask_partial keeps the last 4 characters, mask_full blocks all."""
+    """F8 (opt-in): mask_partial keeps the last 4 characters of a longer text; a text of up to 4 characters
+    and mask_full are blocked whole."""
     n = F.length(text)
     partial = F.concat(F.repeat(F.lit(tb.BLOCK_CHAR), F.greatest(n - keep_last, F.lit(0))),
                        F.substring(text, -keep_last, keep_last))
-    return F.when(rule == "mask_partial", F.when(n > keep_last, partial).otherwise(text)).otherwise(block(text))
+    return F.when((rule == "mask_partial") & (n > keep_last), partial).otherwise(block(text))
 
 
 def span_arrays(spans: DataFrame, rep_col: str = "rep") -> DataFrame:
@@ -77,27 +90,54 @@ def span_arrays(spans: DataFrame, rep_col: str = "rep") -> DataFrame:
         F.col(rep_col).alias("rep")))).alias("_spans"))
 
 
-def rewrite(text: Column, spans: Column) -> Column:
-    """replace sorted, non-overlapping spans in one left-to-right pass.
-
-    Piece i is the gap since the previous span end plus the replacement;
-    the previous end is read by index, so the pass is linear.
-    """
-    def piece(x, i):
-        prev = F.when(i == 0, F.lit(0)).otherwise(F.element_at(spans, i)["e"])
-        return F.concat(sp.cut(text, prev, x["s"]), x["rep"])
+def apply_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with ``text_col`` rewritten by its array column ``_spans`` (structs s, e, rep; null or empty:
+    unchanged), which is dropped.  Spans may overlap: all they cover is replaced."""
+    names = [c for c in df.columns if c != "_spans"]
+    at = names.index(text_col)
 
-    last = F.coalesce(F.element_at(spans, -1)["e"], F.lit(0))
-    tail = sp.cut(text, last, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(spans, piece), ""), tail)).otherwise(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(len(names)).to_pylist()
+            text = batch.column(at)
+            if any(spans):
+                text = pa.array([t if not x or t is None else ds.rewrite(t, ((i["s"], i["e"], i["rep"]) for i in x))
+                                 for t, x in zip(text.to_pylist(), spans, strict=True)], text.type)
+            yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(batch.columns[:-1])], names=names)
+    return df.select(*names, "_spans").mapInArrow(run, df.select(*names).schema)
 
 
 def redact_documents(docs: DataFrame, spans: DataFrame, rep_col: str = "rep", text_col: str = "text") -> DataFrame:
     """Documents with every span rewritten; documents without spans pass unchanged."""
     arr = span_arrays(spans, rep_col)
     j = docs.join(arr, "doc_id", "left")
-    return j.select("doc_id", F.when(F.col("_spans").isNull(), F.col(text_col))
-                    .otherwise(rewrite(F.col(text_col), F.col("_spans"))).alias("text"))
+    return apply_spans(j.select("doc_id", F.col(text_col).alias("text"), "_spans"))
+
+
+def redact_detected(detected: DataFrame, rep, text_col: str = "text") -> DataFrame:
+    """Detection and rewrite in one row: ``detected`` (from ``detect.detect_arrays``) holds the detections in
+    the array ``dets``; ``rep`` gives the replacement of one of them (a struct column)."""
+    live = F.filter("dets", lambda x: x["status"].isin(*CONFIRMED))
+    spans = F.transform(live, lambda x: F.struct(x["char_start"].cast("int").alias("s"), x["char_end"].cast("int").alias("e"), rep(x).alias("rep")))
+    return apply_spans(detected.select("doc_id", F.col(text_col).alias("text"), spans.alias("_spans")))
+
+
+def redact_cells(cells: DataFrame, text_col: str = "text", patterns=tb.HEURISTIC_PATTERNS) -> DataFrame:
+    """``cells`` with the pattern matches of each cell blocked out; one narrow stage, every row comes back."""
+    names, at = cells.columns, cells.columns.index(text_col)
+    make = matcher(patterns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = make()
+        for batch in batches:
+            out = []
+            for text in batch.column(at).to_pylist():
+                spans = [{"char_start": s, "char_end": e, "confidence": 0.0, "type": ""} for _, _, s, e, _ in found.find(text or "")]
+                spans = ds.union(sorted(spans, key=lambda s: s["char_start"]), text) if spans else []
+                out.append(ds.rewrite(text, ((s["char_start"], s["char_end"], tb.BLOCK_CHAR * max(len(s["text"]), tb.MIN_BLOCK)) for s in spans))
+                           if spans else text)
+            yield pa.RecordBatch.from_arrays([pa.array(out, c.type) if i == at else c for i, c in enumerate(batch.columns)], names=names)
+    return cells.mapInArrow(run, cells.schema)
 
 
 def redact_by_value(units: DataFrame, values: DataFrame, unit_keys=("doc_id",), text_col: str = "text") -> DataFrame:
@@ -157,8 +197,9 @@ def clean_metadata(meta: Column, kind: Column, engine: str = "Spanveil") -> Colu
                        F.lit("producer"), F.lit(engine), F.lit("title"), F.lit("Redacted Document"),
                        F.lit("subject"), F.lit(""), F.lit("keywords"), F.lit(""),
                        F.lit("creationDate"), F.lit(""), F.lit("modDate"), F.lit(""))
-    emptied = F.transform_values(meta, lambda k, v: F.when(k == "title", F.lit("Redacted Document"))
-                                 .when(k == "revision", F.lit("1")).otherwise(F.lit("")))
+    listed = [f for f, _ in tb.DOCX_METADATA_AUDIT]
+    emptied = F.transform_values(meta, lambda k, v: F.when(~k.isin(*listed, "revision") | (F.coalesce(F.length(v), F.lit(0)) == 0), v)
+                                 .when(k == "title", F.lit("Redacted Document")).when(k == "revision", F.lit("1")).otherwise(F.lit("")))
     return F.when(kind == "pdf", pdf).otherwise(emptied)
 
 

@@ -11,18 +11,8 @@ from ..operators import detect as dt
 from ..session import cut_lineage, read_table
 
 
-def measured_broadcasts_only(spark: SparkSession) -> None:
-    """Join sides are broadcast only when AQE has measured them small: a
-    static estimate (string widths are guessed) once chose to broadcast the
-    corpus-sized word table."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) in (None, "", "-1"):
-        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10485760")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text."""
-    measured_broadcasts_only(spark)
     return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
@@ -42,13 +32,16 @@ def model_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dt.policy_filter(raw, dt.resolve_policies(doc_policies(spark, sf_dir)))
 
 
+def documents_with_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).withColumn("policy", policy_of(F.col("doc_id")))
+
+
 def detections(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
     """Full detection pipeline output over the documents table, one narrow stage.
     Queries that read the detections in many branches
     (review log replay, reports) pass ``materialize`` to write the small
     detection table once to the shared checkpoint folder."""
-    docs = documents(spark, sf_dir).withColumn("policy", policy_of(F.col("doc_id")))
-    out = dt.detect_pipeline(docs)
+    out = dt.detect_pipeline(documents_with_policy(spark, sf_dir))
     return cut_lineage(out, "detections") if materialize else out
 
 
@@ -59,14 +52,16 @@ GLOBAL_MODES = ["redact", "anonymize", "highlight"]
 def with_review_modes(dets: DataFrame) -> DataFrame:
     """Derive per-detection action modes, custom replacements and the
     document's export mode from the offsets (reproducible scenario data)."""
-    k4 = F.pmod(F.col("char_start"), F.lit(4))
-    k7 = F.pmod(F.col("char_start"), F.lit(7))
-    k3 = F.pmod(F.col("doc_id"), F.lit(3))
-    return dets.select(
-        "*",
-        F.when(k4 == 0, "redact").when(k4 == 1, "anonymize").when(k4 == 2, "highlight_red").alias("action_mode"),
-        F.when(k7 == 0, "  [Hidden]  ").when(k7 == 1, "   ").alias("custom_replacement"),
-        F.when(k3 == 0, "redact").when(k3 == 1, "anonymize").otherwise("highlight").alias("global_mode"))
+    action, custom, whole = review_modes(F.col("doc_id"), F.col("char_start"))
+    return dets.select("*", action.alias("action_mode"), custom.alias("custom_replacement"), whole.alias("global_mode"))
+
+
+def review_modes(doc_id: Column, char_start: Column) -> tuple[Column, Column, Column]:
+    """(action_mode, custom_replacement, global_mode)"""
+    k4, k7, k3 = F.pmod(char_start, F.lit(4)), F.pmod(char_start, F.lit(7)), F.pmod(doc_id, F.lit(3))
+    return (F.when(k4 == 0, "redact").when(k4 == 1, "anonymize").when(k4 == 2, "highlight_red"),
+            F.when(k7 == 0, "  [Hidden]  ").when(k7 == 1, "   "),
+            F.when(k3 == 0, "redact").when(k3 == 1, "anonymize").otherwise("highlight"))
 
 
 MODES_SQL = """CASE char_start % 4 WHEN 0 THEN 'redact' WHEN 1 THEN 'anonymize' WHEN 2 THEN 'highlight_red' END AS action_mode,

@@ -30,11 +30,9 @@ def replacement_text(spark, sf_dir):
 
 
 def _redact(spark, sf_dir, mode: str):
-    docs = cm.documents(spark, sf_dir)
-    d = rd.confirmed(cm.detections(spark, sf_dir))
-    d = d.withColumn("rep", rd.replacement_text(F.col("text"), F.col("type"), F.lit(None).cast("string"),
-                                                F.lit(None).cast("string"), F.lit(mode)))
-    return rd.redact_documents(docs, d)
+    none = F.lit(None).cast("string")
+    return rd.redact_detected(dt.detect_arrays(cm.documents_with_policy(spark, sf_dir)),
+                              lambda x: rd.replacement_text(x["text"], x["type"], none, none, F.lit(mode)))
 
 
 def _redact_sql(mode: str) -> str:
@@ -62,17 +60,15 @@ def anonymize_documents(spark, sf_dir):
     {sk.rewrite_sql('RS')}""")
 def redact_mixed_modes(spark, sf_dir):
     """F3 with per-span modes and custom replacements (F12: from stored text)."""
-    docs = cm.documents(spark, sf_dir)
-    d = rd.confirmed(cm.with_review_modes(cm.detections(spark, sf_dir)))
-    d = d.withColumn("rep", rd.replacement_text(F.col("text"), F.col("type"), F.col("action_mode"),
-                                                F.col("custom_replacement"), F.col("global_mode")))
-    return rd.redact_documents(docs, d)
+    def rep(x):
+        action, custom, whole = cm.review_modes(F.col("doc_id"), x["char_start"])
+        return rd.replacement_text(x["text"], x["type"], action, custom, whole)
+    return rd.redact_detected(dt.detect_arrays(cm.documents_with_policy(spark, sf_dir)), rep)
 
 
 @register("mask_by_rule", f"""{_DET}
     SELECT doc_id, det_id, rule,
-           CASE WHEN rule = 'mask_partial' THEN
-                CASE WHEN length(text) > 4 THEN repeat({sk.q(tb.BLOCK_CHAR)}, length(text) - 4) || right(text, 4) ELSE text END
+           CASE WHEN rule = 'mask_partial' AND length(text) > 4 THEN repeat({sk.q(tb.BLOCK_CHAR)}, length(text) - 4) || right(text, 4)
                 ELSE {sk.block_sql('text')} END AS masked
     FROM DET WHERE rule IS NOT NULL""")
 def mask_by_rule(spark, sf_dir):
@@ -129,7 +125,7 @@ _CELLS_SQL = """SELECT doc_id || ':' || (i - 1) AS doc_id, doc_id AS src_doc, i
     RS AS (SELECT doc_id, char_start, char_end, {sk.block_sql('text')} AS rep FROM FI),
     OUT AS (SELECT c.doc_id, c.src_doc, c.cell_idx,
                    CASE WHEN g.doc_id IS NULL THEN c.text ELSE g.body || substr(c.text, CAST(g.last_e AS INTEGER) + 1) END AS text
-            FROM CE c JOIN (
+            FROM CE c LEFT JOIN (
               SELECT r.doc_id, string_agg(substr(c2.text, CAST(r.prev AS INTEGER) + 1, CAST(r.char_start - r.prev AS INTEGER)) || r.rep, '' ORDER BY r.char_start) AS body,
                      max(r.char_end) AS last_e
               FROM (SELECT *, coalesce(lag(char_end) OVER (PARTITION BY doc_id ORDER BY char_start), 0) AS prev FROM RS) r
@@ -137,17 +133,10 @@ _CELLS_SQL = """SELECT doc_id || ':' || (i - 1) AS doc_id, doc_id AS src_doc, i
     SELECT src_doc AS doc_id, CAST(cell_idx AS INTEGER) AS cell_idx, text FROM OUT""")
 def redact_table_cells(spark, sf_dir):
     """F7 re-aimed: detect and redact per cell (line), so offsets always
-    refer to the cell they were found in.  Only changed cells are returned."""
+    refer to the cell they were found in.  Every cell of the file comes back."""
     docs = read_table(spark, sf_dir, "documents")
-    cells = docs.select(F.col("doc_id").alias("src_doc"), F.posexplode(F.split("text", "\n", -1)).alias("cell_idx", "text"))
-    cells = cells.withColumn("doc_id", F.concat_ws(":", F.col("src_doc").cast("string"), F.col("cell_idx").cast("string")))
-    h = dt.heuristic_detections(cells)
-    u = dt.merge_overlaps(h.withColumnRenamed("h_rank", "ord"), ("ord",))
-    u = u.withColumn("rep", rd.block(F.col("text")))
-    arr = rd.span_arrays(u)
-    j = cells.join(arr, "doc_id")
-    return j.select(F.col("src_doc").alias("doc_id"), F.col("cell_idx").cast("int").alias("cell_idx"),
-                    rd.rewrite(F.col("text"), F.col("_spans")).alias("text"))
+    cells = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("cell_idx", "text"))
+    return rd.redact_cells(cells, "text")
 
 
 def _meta_cols(pages):

@@ -262,12 +262,15 @@ def replacement_sql(text: str, t: str, am: str, custom: str, gm: str) -> str:
 
 
 def rewrite_sql(spans_cte: str) -> str:
-    """Documents with sorted, non-overlapping spans (doc_id, char_start, char_end, rep) rewritten."""
+    """Documents with their spans (doc_id, char_start, char_end, rep) rewritten; of overlapping ones the first stands for all."""
+    order = "PARTITION BY doc_id ORDER BY char_start, char_end DESC, rep"
     return f"""
     SELECT d.doc_id, CASE WHEN g.doc_id IS NULL THEN d.text ELSE g.body || substr(d.text, CAST(g.last_e AS INTEGER) + 1) END AS text
     FROM documents d LEFT JOIN (
-      SELECT r.doc_id, string_agg(substr(d2.text, CAST(r.prev AS INTEGER) + 1, CAST(r.char_start - r.prev AS INTEGER)) || r.rep, '' ORDER BY r.char_start) AS body,
+      SELECT r.doc_id, string_agg(CASE WHEN r.char_start >= r.prev THEN
+                 substr(d2.text, CAST(r.prev AS INTEGER) + 1, CAST(r.char_start - r.prev AS INTEGER)) || r.rep ELSE '' END, '' ORDER BY r.n) AS body,
              max(r.char_end) AS last_e
-      FROM (SELECT *, coalesce(lag(char_end) OVER (PARTITION BY doc_id ORDER BY char_start), 0) AS prev FROM {spans_cte}) r
+      FROM (SELECT *, row_number() OVER ({order}) AS n,
+                   coalesce(max(char_end) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM {spans_cte}) r
       JOIN documents d2 ON d2.doc_id = r.doc_id GROUP BY r.doc_id) g ON g.doc_id = d.doc_id
     """
