@@ -13,7 +13,9 @@ log of the whole corpus is processed with one shuffle by session.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans as sp
@@ -53,14 +55,12 @@ def bulk_update(dets: DataFrame, status: str, doc_id=None) -> DataFrame:
     return dets.withColumn("status", F.when(cond, F.lit(status)).otherwise(F.col("status")))
 
 
-def threshold_sweep(dets: DataFrame, grid: DataFrame) -> DataFrame:
-    """How many missed items each threshold would accept, per document.
-
-    ``grid`` (threshold double) is a small fixed table: broadcast it.
-    """
-    missed = dets.filter(F.col("status") == "missed").select("doc_id", "confidence")
-    j = missed.join(F.broadcast(grid), F.col("confidence") >= F.col("threshold"))
-    return j.groupBy("doc_id", "threshold").agg(F.count(F.lit(1)).alias("would_accept"))
+def threshold_sweep(dets: DataFrame, grid: Sequence[float]) -> DataFrame:
+    """How many missed items each threshold would accept, per document with detections (0 where it
+    accepts none).  One aggregation, no join."""
+    counts = [F.struct(F.lit(float(t)).alias("threshold"),
+                       F.count_if((F.col("status") == "missed") & (F.col("confidence") >= t)).alias("would_accept")) for t in grid]
+    return dets.groupBy("doc_id").agg(F.array(*counts).alias("_c")).select("doc_id", F.inline("_c"))
 
 
 # ---------------------------------------------------------------------------
@@ -72,8 +72,8 @@ def manual_detections(adds: DataFrame) -> DataFrame:
     return adds.select(
         "doc_id", sp.det_id(F.col("doc_id"), F.col("char_start"), F.col("char_end"), F.col("type")).alias("det_id"),
         "text", "char_start", "char_end", "type", F.lit(1.0).alias("confidence"), F.lit("redacted").alias("status"),
-        F.coalesce(F.col("reason"), F.lit("Manually added by user")).alias("reason") if "reason" in adds.columns
-        else F.lit("Manually added by user").alias("reason"),
+        F.coalesce(F.col("reason"), F.lit(tb.MANUAL_REASON)).alias("reason") if "reason" in adds.columns
+        else F.lit(tb.MANUAL_REASON).alias("reason"),
         F.lit("manual").alias("source"))
 
 
@@ -87,28 +87,32 @@ def delete_detections(dets: DataFrame, deletes: DataFrame) -> tuple[DataFrame, D
 
 def upsert_detections(dets: DataFrame, patches: DataFrame) -> DataFrame:
     """A patch (seq, doc_id, det_id, char_start, char_end, status, text,
-    type, confidence) updates the detection with the same id, else the first
-    detection (list order) with the same (start, end) in the document, else
+    type, confidence) gives its status to the detection with the same id, else it replaces (id, text,
+    type, confidence, status) the first detection with the same (start, end) in the document, else
     it is appended.  The OR condition is written as two equi joins (id,
     then span); when several patches hit one detection the latest seq wins.
     """
     ids = dets.select("det_id", F.lit(True).alias("_known"))
     by_id = patches.join(ids, "det_id", "left")
-    hit_id = by_id.filter(F.col("_known")).select("seq", "det_id", "status", F.lit("id").alias("matched_by"))
+    copy = ["det_id", "text", "type", "confidence"]
+    none = F.lit(None).cast("struct<det_id:string,text:string,type:string,confidence:double>")
+    hit_id = by_id.filter(F.col("_known")).select("seq", F.col("det_id").alias("_tid"), "status", F.lit("id").alias("_by"), none.alias("_copy"))
     rest = by_id.filter(F.col("_known").isNull()).drop("_known")
     first_span = dets.groupBy("doc_id", "char_start", "char_end").agg(F.min("det_id").alias("_tid"))
     by_span = rest.join(first_span, ["doc_id", "char_start", "char_end"], "left")
-    hit_span = by_span.filter(F.col("_tid").isNotNull()).select(
-        "seq", F.col("_tid").alias("det_id"), "status", F.lit("span").alias("matched_by"))
+    hit_span = by_span.filter(F.col("_tid").isNotNull()).select("seq", "_tid", "status", F.lit("span").alias("_by"),
+                                                                F.struct(*copy).alias("_copy"))
     appended = by_span.filter(F.col("_tid").isNull()).select(
         "doc_id", "det_id", "text", "char_start", "char_end", "type", "confidence", "status",
         F.lit("appended").alias("matched_by"))
-    hits = hit_id.unionByName(hit_span).groupBy("det_id").agg(
-        F.max_by("status", "seq").alias("_new"), F.max_by("matched_by", "seq").alias("_by"))
-    updated = dets.join(hits, "det_id", "left").select(
-        "doc_id", "det_id", "text", "char_start", "char_end", "type", "confidence",
-        F.coalesce(F.col("_new"), F.col("status")).alias("status"),
-        F.coalesce(F.col("_by"), F.lit("unchanged")).alias("matched_by"))
+    hits = hit_id.unionByName(hit_span).groupBy("_tid").agg(
+        F.max_by(F.struct("status", "_by", "_copy"), "seq").alias("_hit"))
+    joined = dets.join(hits, F.col("det_id") == F.col("_tid"), "left")
+    new = lambda c: F.coalesce(F.col(f"_hit._copy.{c}"), F.col(c)).alias(c)
+    updated = joined.select(
+        "doc_id", new("det_id"), new("text"), "char_start", "char_end", new("type"), new("confidence"),
+        F.coalesce(F.col("_hit.status"), F.col("status")).alias("status"),
+        F.coalesce(F.col("_hit._by"), F.lit("unchanged")).alias("matched_by"))
     return updated.unionByName(appended)
 
 
@@ -116,16 +120,7 @@ def upsert_detections(dets: DataFrame, patches: DataFrame) -> DataFrame:
 # Undo (D10) and log replay
 # ---------------------------------------------------------------------------
 
-def _view(df: DataFrame, prefix: str) -> str:
-    import uuid
-    name = f"_sv_{prefix}_{uuid.uuid4().hex[:10]}"
-    # global: visible from every session of the application (a foreachBatch
-    # micro-batch runs in a cloned session)
-    df.createOrReplaceGlobalTempView(name)
-    return f"global_temp.{name}"
-
-
-def _cancelled_sql(log_view: str, depth: int) -> str:
+def _cancelled_sql(log: str, depth: int) -> str:
     kinds = ", ".join(f"'{a}'" for a in (*UNDOABLE, "undo"))
     step = (f"CASE WHEN _x.action = 'undo' THEN "
             f"CASE WHEN size(_acc.st) > 0 THEN named_struct('st', slice(_acc.st, 1, size(_acc.st) - 1), "
@@ -136,7 +131,7 @@ def _cancelled_sql(log_view: str, depth: int) -> str:
         SELECT session_id, aggregate(acts, named_struct('st', CAST(array() AS array<bigint>), 'cx', CAST(array() AS array<bigint>)),
                                      (_acc, _x) -> {step}).cx AS cx
         FROM (SELECT session_id, array_sort(collect_list(named_struct('seq', CAST(seq AS BIGINT), 'action', action))) AS acts
-              FROM {log_view} WHERE action IN ({kinds}) GROUP BY session_id)) LATERAL VIEW explode(cx) t AS _c"""
+              FROM {log} WHERE action IN ({kinds}) GROUP BY session_id)) LATERAL VIEW explode(cx) t AS _c"""
 
 
 def cancelled_actions(log: DataFrame, depth: int = tb.UNDO_DEPTH) -> DataFrame:
@@ -148,58 +143,60 @@ def cancelled_actions(log: DataFrame, depth: int = tb.UNDO_DEPTH) -> DataFrame:
     no-op; add and delete are not undoable.  A session is one reviewer's
     work, so the folded array is bounded.
     """
-    return log.sparkSession.sql(_cancelled_sql(_view(log, "log"), depth))
+    return log.sparkSession.sql(_cancelled_sql("{log}", depth), log=log)
 
 
 def replay(dets: DataFrame, log: DataFrame, doc_sessions: DataFrame) -> DataFrame:
     """Apply the corrections log to the detections.
 
-    * manual adds are appended first, deletes removed (neither is undoable);
+    * manual adds are appended; a delete removes what is there at its time, so an add after it stays
+      (neither is undoable);
     * status actions not cancelled by an undo are folded per detection in
       seq order (bulk actions test the status current at their time);
     * action_mode and custom_replacement replay from the full log (undo
       restores the status only); the last non-null value wins.
 
     ``doc_sessions`` (doc_id, session_id) says which session reviews which
-    document; session-wide bulk actions apply to all its documents.  One
-    Spark SQL statement over temporary views.
+    document (of several the first by name); session-wide bulk actions apply to all its documents.
+    Each action reaches its detections by an equi join (detection, document or
+    session), so a detection's fold holds only the actions that apply to it.
     """
-    spark = dets.sparkSession
-    dv = _view(dets.select("doc_id", "det_id", "text", "char_start", "char_end", "type", "confidence", "status",
-                           "reason", "source"), "dets")
-    lv, sv = _view(log, "log"), _view(doc_sessions.select("doc_id", "session_id"), "sess")
     status_kinds = ", ".join(f"'{a}'" for a in STATUS_ACTIONS)
-    applies = ("(_a.action = 'update' AND _a.det_id = b.det_id) "
-               "OR (_a.action IN ('bulk_accept', 'bulk_update') AND _a.doc_id = b.doc_id) "
-               "OR _a.action IN ('bulk_accept_global', 'bulk_reject_global')")
     step = ("CASE WHEN _a.action = 'update' THEN _a.status "
             "WHEN _a.action IN ('bulk_accept', 'bulk_accept_global') THEN "
-            "CASE WHEN _s = 'missed' AND b.confidence >= _a.threshold THEN 'redacted' ELSE _s END "
+            "CASE WHEN _s = 'missed' AND R.confidence >= _a.threshold THEN 'redacted' ELSE _s END "
             "WHEN _a.action = 'bulk_update' THEN CASE WHEN _s IN ('missed', 'false_positive') THEN _a.status ELSE _s END "
             "WHEN _a.action = 'bulk_reject_global' THEN CASE WHEN _s IN ('missed', 'false_positive') THEN 'dismissed' ELSE _s END "
             "ELSE _s END")
-    return spark.sql(f"""
+    act = "named_struct('seq', CAST(l.seq AS BIGINT), 'action', l.action, 'status', l.status, 'threshold', l.threshold) AS act"
+    base = dets.select("doc_id", "det_id", "text", "char_start", "char_end", "type", "confidence", "status", "reason", "source")
+    return dets.sparkSession.sql(f"""
     WITH ADDS AS (SELECT doc_id, {sp.DET_ID_SQL} AS det_id, text, char_start, char_end, type, 1.0D AS confidence,
-                         'redacted' AS status, 'Manually added by user' AS reason, 'manual' AS source
-                  FROM {lv} WHERE action = 'add'),
-    BASE AS (SELECT * FROM (SELECT * FROM {dv} UNION ALL SELECT * FROM ADDS) x
-             LEFT ANTI JOIN (SELECT DISTINCT det_id FROM {lv} WHERE action = 'delete') d ON x.det_id = d.det_id),
-    CX AS ({_cancelled_sql(lv, tb.UNDO_DEPTH)}),
-    LIVE AS (SELECT l.* FROM {lv} l LEFT ANTI JOIN CX c ON l.session_id = c.session_id AND l.seq = c.seq
+                         'redacted' AS status, {sp.sql_lit(tb.MANUAL_REASON)} AS reason, 'manual' AS source, CAST(seq AS BIGINT) AS born
+                  FROM {{log}} WHERE action = 'add'),
+    GONE AS (SELECT det_id, CAST(max(seq) AS BIGINT) AS last FROM {{log}} WHERE action = 'delete' GROUP BY det_id),
+    SESS AS (SELECT doc_id, min(session_id) AS session_id FROM {{sess}} GROUP BY doc_id),
+    R AS (SELECT x.* EXCEPT (born), s.session_id
+          FROM (SELECT *, CAST(NULL AS BIGINT) AS born FROM {{base}} UNION ALL SELECT * FROM ADDS) x
+          LEFT JOIN GONE g ON x.det_id = g.det_id LEFT JOIN SESS s ON x.doc_id = s.doc_id
+          WHERE g.last IS NULL OR coalesce(x.born > g.last, false)),
+    CX AS ({_cancelled_sql("{log}", tb.UNDO_DEPTH)}),
+    LIVE AS (SELECT l.* FROM {{log}} l LEFT ANTI JOIN CX c ON l.session_id = c.session_id AND l.seq = c.seq
              WHERE l.action IN ({status_kinds})),
-    SA AS (SELECT session_id, array_sort(collect_list(named_struct('seq', CAST(seq AS BIGINT), 'action', action,
-                  'doc_id', doc_id, 'det_id', det_id, 'status', status, 'threshold', threshold))) AS acts
-           FROM LIVE GROUP BY session_id),
+    ACTS AS (SELECT det_id, {act} FROM LIVE l WHERE action = 'update'
+             UNION ALL SELECT R.det_id, {act} FROM R JOIN LIVE l ON l.doc_id = R.doc_id AND l.session_id = R.session_id
+                       WHERE l.action IN ('bulk_accept', 'bulk_update')
+             UNION ALL SELECT R.det_id, {act} FROM R JOIN LIVE l ON l.session_id = R.session_id
+                       WHERE l.action IN ('bulk_accept_global', 'bulk_reject_global')),
+    MINE AS (SELECT det_id, array_sort(collect_set(act)) AS acts FROM ACTS GROUP BY det_id),
     MODES AS (SELECT det_id, max_by(action_mode, CASE WHEN action_mode IS NOT NULL THEN seq END) AS action_mode,
                      max_by(custom_replacement, CASE WHEN custom_replacement IS NOT NULL THEN seq END) AS custom_replacement
-              FROM {lv} WHERE action = 'update' GROUP BY det_id),
-    R AS (SELECT b.*, s.session_id, b.status AS status_before_review,
-                 CASE WHEN sa.acts IS NULL THEN b.status
-                      ELSE aggregate(filter(sa.acts, _a -> {applies}), b.status, (_s, _a) -> {step}) END AS _new
-          FROM BASE b LEFT JOIN {sv} s ON b.doc_id = s.doc_id LEFT JOIN SA sa ON s.session_id = sa.session_id)
-    SELECT R.det_id, R.doc_id, R.text, R.char_start, R.char_end, R.type, R.confidence, R._new AS status, R.reason,
-           R.source, R.session_id, R.status_before_review, m.action_mode, m.custom_replacement
-    FROM R LEFT JOIN MODES m ON R.det_id = m.det_id""")
+              FROM {{log}} WHERE action = 'update' GROUP BY det_id)
+    SELECT R.det_id, R.doc_id, R.text, R.char_start, R.char_end, R.type, R.confidence,
+           CASE WHEN a.acts IS NULL THEN R.status ELSE aggregate(a.acts, R.status, (_s, _a) -> {step}) END AS status, R.reason,
+           R.source, R.session_id, R.status AS status_before_review, m.action_mode, m.custom_replacement
+    FROM R LEFT JOIN MINE a ON R.det_id = a.det_id LEFT JOIN MODES m ON R.det_id = m.det_id""",
+                                 base=base, log=log, sess=doc_sessions.select("doc_id", "session_id"))
 
 
 def correction_errors(dets: DataFrame, log: DataFrame) -> DataFrame:

@@ -84,18 +84,13 @@ def with_review_status(dets: DataFrame) -> DataFrame:
 def corrections_log(spark: SparkSession, sf_dir: str, dets: DataFrame | None = None) -> DataFrame:
     """Reproducible corrections log derived from the detections and documents.
 
-    Written as one Spark SQL statement over two temporary views (few calls
-    into the JVM).  Per detection: accept, dismiss, mark false positive with
+    Actions of a session are numbered by document and place.  Per detection: accept, dismiss, mark false positive with
     a mode, delete, update-then-undo, or a bare undo; per document: bulk
     accept, a manual add of its first long word, bulk update, session-wide
     bulk accept or reject, a delete of a missing id, an undo.
     """
-    import uuid
     dets = dets if dets is not None else with_review_status(detections(spark, sf_dir))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    dv, tv = f"_sv_rd_{uuid.uuid4().hex[:10]}", f"_sv_docs_{uuid.uuid4().hex[:10]}"
-    dets.select("doc_id", "det_id", "char_start").createOrReplaceTempView(dv)
-    docs.createOrReplaceTempView(tv)
     sess = "concat('s', CAST(floor(doc_id / 10) AS STRING))"
     add_id = ("substring(sha2(concat_ws('|', CAST(doc_id AS STRING), CAST(ws AS STRING), "
               "CAST(ws + length(w) AS STRING), 'CUSTOM'), 256), 1, 16)")
@@ -103,16 +98,17 @@ def corrections_log(spark: SparkSession, sf_dir: str, dets: DataFrame | None = N
         ["bulk_accept", "add", "bulk_update", "bulk_accept_global", "bulk_reject_global", "delete", "undo"]))
     return spark.sql(f"""
     WITH PD AS (SELECT doc_id, det_id, pmod(char_start + doc_id, 10) AS h,
-                       doc_id * 1000000 + char_start * 10 AS bseq FROM {dv}),
+                       char_start AS at FROM {{dets}}),
     DW AS (SELECT doc_id, w, CAST(instr(text, w) - 1 AS BIGINT) AS ws
-           FROM (SELECT doc_id, text, regexp_extract(text, '[A-Za-z]{{6,}}', 0) AS w FROM {tv})),
+           FROM (SELECT doc_id, text, regexp_extract(text, '[A-Za-z]{{{{6,}}}}', 0) AS w FROM {{docs}})),
     DA AS (SELECT doc_id, w, ws, x.k AS k, x.a AS a FROM DW LATERAL VIEW explode(array({kinds})) t AS x
            WHERE (x.k = 0 AND pmod(doc_id, 5) = 0) OR (x.k = 1 AND pmod(doc_id, 7) = 0 AND length(w) > 0)
               OR (x.k = 2 AND pmod(doc_id, 11) = 0)
               OR (x.k = 3 AND pmod(doc_id, 10) = 9 AND pmod(floor(doc_id / 10), 3) = 0)
               OR (x.k = 4 AND pmod(doc_id, 10) = 9 AND pmod(floor(doc_id / 10), 3) = 1)
               OR (x.k = 5 AND pmod(doc_id, 13) = 0) OR (x.k = 6 AND pmod(doc_id, 17) = 0))
-    SELECT {sess} AS session_id, bseq AS seq, doc_id,
+    SELECT * EXCEPT (at, nth), row_number() OVER (PARTITION BY session_id ORDER BY doc_id, at, nth) AS seq FROM (
+    SELECT {sess} AS session_id, at, 0 AS nth, doc_id,
            CASE WHEN h = 5 THEN 'delete' WHEN h = 7 THEN 'undo' ELSE 'update' END AS action,
            CASE WHEN h <> 7 THEN det_id END AS det_id,
            CASE WHEN h <= 2 THEN 'redacted' WHEN h = 3 THEN 'dismissed' WHEN h = 4 THEN 'false_positive'
@@ -123,15 +119,15 @@ def corrections_log(spark: SparkSession, sf_dir: str, dets: DataFrame | None = N
            CAST(NULL AS STRING) AS text, CAST(NULL AS STRING) AS type
     FROM PD WHERE h <= 7
     UNION ALL
-    SELECT {sess}, bseq + 1, doc_id, 'undo', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM PD WHERE h = 6
+    SELECT {sess}, at, 1, doc_id, 'undo', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM PD WHERE h = 6
     UNION ALL
-    SELECT {sess}, doc_id * 1000000 + 999000 + k, doc_id, a,
+    SELECT {sess}, 9223372036854775807, k, doc_id, a,
            CASE WHEN a = 'delete' THEN concat('missing-', CAST(doc_id AS STRING)) WHEN a = 'add' THEN {add_id} END,
            CASE WHEN a = 'bulk_update' THEN 'dismissed' END, NULL, NULL,
            CAST(CASE WHEN a = 'bulk_accept' THEN 0.5 WHEN a = 'bulk_accept_global' THEN 0.45 END AS DOUBLE),
            CASE WHEN a = 'add' THEN ws END, CASE WHEN a = 'add' THEN ws + length(w) END,
            CASE WHEN a = 'add' THEN w END, CASE WHEN a = 'add' THEN 'CUSTOM' END
-    FROM DA""")
+    FROM DA)""", dets=dets.select("doc_id", "det_id", "char_start"), docs=docs)
 
 
 def reviewed_detections(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tables as tb
 from ..operators import review as rv
 from . import common as cm
 from . import sqlkit as sk
@@ -16,7 +17,7 @@ _RD = f"""WITH {sk.pipeline_sql()},
 
 _LOG_SQL = f"""
     PD AS (SELECT doc_id, det_id, char_start, (char_start + doc_id) % 10 AS h,
-                  doc_id * 1000000 + char_start * 10 AS bseq FROM RD),
+                  char_start AS place FROM RD),
     DW AS (SELECT doc_id, regexp_extract(text, '[A-Za-z]{{6,}}', 0) AS w,
                   CAST(instr(text, regexp_extract(text, '[A-Za-z]{{6,}}', 0)) - 1 AS BIGINT) AS ws FROM documents),
     DA AS (SELECT doc_id, w, ws, k, a FROM DW, (VALUES (0, 'bulk_accept'), (1, 'add'), (2, 'bulk_update'),
@@ -25,8 +26,8 @@ _LOG_SQL = f"""
               OR (k = 2 AND doc_id % 11 = 0) OR (k = 3 AND doc_id % 10 = 9 AND (doc_id // 10) % 3 = 0)
               OR (k = 4 AND doc_id % 10 = 9 AND (doc_id // 10) % 3 = 1) OR (k = 5 AND doc_id % 13 = 0)
               OR (k = 6 AND doc_id % 17 = 0)),
-    CLOG AS (
-      SELECT 's' || CAST(doc_id // 10 AS VARCHAR) AS session_id, bseq AS seq, doc_id,
+    CLOG AS (SELECT * EXCLUDE (place, nth), row_number() OVER (PARTITION BY session_id ORDER BY doc_id, place, nth) AS seq FROM (
+      SELECT 's' || CAST(doc_id // 10 AS VARCHAR) AS session_id, place, 0 AS nth, doc_id,
              CASE WHEN h = 5 THEN 'delete' WHEN h = 7 THEN 'undo' ELSE 'update' END AS action,
              CASE WHEN h <> 7 THEN det_id END AS det_id,
              CASE WHEN h <= 2 THEN 'redacted' WHEN h = 3 THEN 'dismissed' WHEN h = 4 THEN 'false_positive'
@@ -36,17 +37,17 @@ _LOG_SQL = f"""
              CAST(NULL AS VARCHAR) AS text, CAST(NULL AS VARCHAR) AS type
       FROM PD WHERE h <= 7
       UNION ALL
-      SELECT 's' || CAST(doc_id // 10 AS VARCHAR), bseq + 1, doc_id, 'undo', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+      SELECT 's' || CAST(doc_id // 10 AS VARCHAR), place, 1, doc_id, 'undo', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
       FROM PD WHERE h = 6
       UNION ALL
-      SELECT 's' || CAST(doc_id // 10 AS VARCHAR), doc_id * 1000000 + 999000 + k, doc_id, a,
+      SELECT 's' || CAST(doc_id // 10 AS VARCHAR), 9223372036854775807, k, doc_id, a,
              CASE WHEN a = 'delete' THEN 'missing-' || CAST(doc_id AS VARCHAR)
                   WHEN a = 'add' THEN {sk.det_id_sql('doc_id', 'ws', 'ws + length(w)', "'CUSTOM'")} END,
              CASE WHEN a = 'bulk_update' THEN 'dismissed' END, NULL, NULL,
              CASE WHEN a = 'bulk_accept' THEN 0.5 WHEN a = 'bulk_accept_global' THEN 0.45 END,
              CASE WHEN a = 'add' THEN ws END, CASE WHEN a = 'add' THEN ws + length(w) END,
              CASE WHEN a = 'add' THEN w END, CASE WHEN a = 'add' THEN 'CUSTOM' END
-      FROM DA)
+      FROM DA))
 """
 
 _LOG_COLS = ("session_id, seq, doc_id, action, det_id, status, action_mode, custom_replacement, threshold, "
@@ -72,20 +73,69 @@ def correction_errors(spark, sf_dir):
     return rv.correction_errors(d, cm.corrections_log(spark, sf_dir, d))
 
 
-@register("apply_corrections")
-def apply_corrections(spark, sf_dir):
-    """D1+D3+D4+D10: replay of the whole log with undo (rows-only check; the
-    undo fold is tested against a Python stack in tests)."""
+#: the undo stack (the last 20 undoable actions) carried along each session's actions
+_UNDO_SQL = f"""
+    UA AS (SELECT session_id, seq, action, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i FROM CLOG
+           WHERE action IN ('update', 'bulk_accept', 'bulk_update', 'bulk_accept_global', 'bulk_reject_global', 'undo')),
+    UW(session_id, i, st, cx) AS (
+      SELECT DISTINCT session_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM UA
+      UNION ALL
+      SELECT w.session_id, w.i + 1,
+             CASE WHEN a.action = 'undo' THEN w.st[1:greatest(len(w.st) - 1, 0)]
+                  ELSE list_append(CASE WHEN len(w.st) >= {tb.UNDO_DEPTH} THEN w.st[2:] ELSE w.st END, a.seq) END,
+             CASE WHEN a.action = 'undo' AND len(w.st) > 0 THEN list_append(w.cx, w.st[-1]) ELSE w.cx END
+      FROM UW w JOIN UA a ON a.session_id = w.session_id AND a.i = w.i + 1),
+    UX AS (SELECT session_id, unnest(arg_max(cx, i)) AS seq FROM UW GROUP BY session_id)"""
+
+_REPLAY_SQL = f"""
+    ADDED AS (SELECT doc_id, {sk.det_id_sql()} AS det_id, text, char_start, char_end, type, 1.0::DOUBLE AS confidence, 'redacted' AS status,
+                     'manual' AS source, seq AS born FROM CLOG WHERE action = 'add'),
+    GONE AS (SELECT det_id, max(seq) AS last FROM CLOG WHERE action = 'delete' GROUP BY det_id),
+    RB AS (SELECT x.*, 's' || CAST(x.doc_id // 10 AS VARCHAR) AS session_id FROM (
+             SELECT doc_id, det_id, text, char_start, char_end, type, confidence, status, source, NULL::BIGINT AS born FROM RD
+             UNION ALL SELECT * FROM ADDED) x LEFT JOIN GONE g ON g.det_id = x.det_id
+           WHERE g.last IS NULL OR coalesce(x.born > g.last, false)),
+    LIVE AS (SELECT * FROM CLOG WHERE action NOT IN ('undo', 'add', 'delete') AND (session_id, seq) NOT IN (SELECT (session_id, seq) FROM UX)),
+    AC AS (SELECT DISTINCT b.det_id, l.seq, l.action, l.status, l.threshold FROM RB b JOIN LIVE l ON l.session_id = b.session_id
+           AND ((l.action = 'update' AND l.det_id = b.det_id) OR (l.action IN ('bulk_accept', 'bulk_update') AND l.doc_id = b.doc_id)
+                OR l.action IN ('bulk_accept_global', 'bulk_reject_global'))),
+    AN AS (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY seq) AS i FROM AC),
+    RF(det_id, confidence, i, s) AS (
+      SELECT DISTINCT det_id, confidence, 0::BIGINT, status FROM RB
+      UNION ALL
+      SELECT f.det_id, f.confidence, f.i + 1, CASE
+               WHEN a.action = 'update' THEN a.status
+               WHEN a.action IN ('bulk_accept', 'bulk_accept_global') THEN CASE WHEN f.s = 'missed' AND f.confidence >= a.threshold THEN 'redacted' ELSE f.s END
+               WHEN a.action = 'bulk_update' THEN CASE WHEN f.s IN ('missed', 'false_positive') THEN a.status ELSE f.s END
+               ELSE CASE WHEN f.s IN ('missed', 'false_positive') THEN 'dismissed' ELSE f.s END END
+      FROM RF f JOIN AN a ON a.det_id = f.det_id AND a.i = f.i + 1),
+    RL AS (SELECT det_id, arg_max(s, i) AS s FROM RF GROUP BY det_id),
+    MO AS (SELECT det_id, arg_max(action_mode, seq) FILTER (WHERE action_mode IS NOT NULL) AS action_mode,
+                  arg_max(custom_replacement, seq) FILTER (WHERE custom_replacement IS NOT NULL) AS custom_replacement
+           FROM CLOG WHERE action = 'update' GROUP BY det_id),
+    RPL AS (SELECT b.doc_id, b.det_id, b.text, b.char_start, b.char_end, b.type, b.confidence, l.s AS status, b.status AS status_before_review,
+                   m.action_mode, m.custom_replacement, b.source
+            FROM RB b JOIN RL l ON l.det_id = b.det_id LEFT JOIN MO m ON m.det_id = b.det_id)"""
+_RD_RECURSIVE = _RD.replace("WITH", "WITH RECURSIVE", 1)
+REPLAYED_SQL = f"{_RD_RECURSIVE}, {_LOG_SQL}, {_UNDO_SQL}, {_REPLAY_SQL}"
+
+
+def replayed(spark, sf_dir):
     d = _rd(spark, sf_dir)
-    log = cm.corrections_log(spark, sf_dir, d)
-    r = rv.replay(d, log, cm.doc_sessions(spark, sf_dir))
-    return r.select("doc_id", "det_id", "char_start", "char_end", "type", "status", "status_before_review",
-                    "action_mode", "custom_replacement", "source")
+    return rv.replay(d, cm.corrections_log(spark, sf_dir, d), cm.doc_sessions(spark, sf_dir))
+
+
+@register("apply_corrections", f"""{REPLAYED_SQL}
+    SELECT doc_id, det_id, char_start, char_end, type, status, status_before_review, action_mode, custom_replacement, source FROM RPL""")
+def apply_corrections(spark, sf_dir):
+    """D1+D3+D4+D10: replay of the whole log with undo."""
+    return replayed(spark, sf_dir).select("doc_id", "det_id", "char_start", "char_end", "type", "status", "status_before_review",
+                                          "action_mode", "custom_replacement", "source")
 
 
-@register("replay_with_undo")
+@register("replay_with_undo", f"""{_RD_RECURSIVE}, {_LOG_SQL}, {_UNDO_SQL} SELECT session_id, seq FROM UX""")
 def replay_with_undo(spark, sf_dir):
-    """Actions whose status effect is undone, per session (rows-only)."""
+    """Actions whose status effect is undone, per session."""
     d = _rd(spark, sf_dir)
     return rv.cancelled_actions(cm.corrections_log(spark, sf_dir, d))
 
@@ -138,14 +188,11 @@ _GRID = [round(0.40 + 0.05 * i, 2) for i in range(12)]
 
 
 @register("threshold_sweep", f"""{_RD}
-    SELECT r.doc_id, g.threshold, count(*) AS would_accept
-    FROM RD r JOIN (SELECT unnest([{', '.join(str(x) for x in _GRID)}]) AS threshold) g ON r.confidence >= g.threshold
-    WHERE r.status = 'missed' GROUP BY r.doc_id, g.threshold""")
+    SELECT r.doc_id, g.threshold, count(*) FILTER (WHERE r.status = 'missed' AND r.confidence >= g.threshold) AS would_accept
+    FROM RD r, (SELECT unnest([{', '.join(str(x) for x in _GRID)}])::DOUBLE AS threshold) g GROUP BY r.doc_id, g.threshold""")
 def threshold_sweep(spark, sf_dir):
     """Per document, how many missed items each threshold would accept."""
-    from ..functions.tables import literal_table
-    grid = literal_table(spark, ["threshold"], [(float(x),) for x in _GRID])
-    return rv.threshold_sweep(_rd(spark, sf_dir), grid)
+    return rv.threshold_sweep(_rd(spark, sf_dir), _GRID)
 
 
 @register("manual_add", f"""{_RD}, {_LOG_SQL}
@@ -207,12 +254,14 @@ def _patches(d):
     REST AS (SELECT p.* FROM PATCH p WHERE p.det_id NOT IN (SELECT det_id FROM RD)),
     FS AS (SELECT doc_id, char_start, char_end, min(det_id) AS tid FROM RD GROUP BY ALL),
     BYSPAN AS (SELECT r.*, fs.tid FROM REST r LEFT JOIN FS fs USING (doc_id, char_start, char_end)),
-    HITS AS (SELECT det_id, arg_max(status, seq) AS new_status, arg_max(mby, seq) AS mby FROM (
-               SELECT seq, det_id, status, 'id' AS mby FROM BYID
-               UNION ALL SELECT seq, tid, status, 'span' FROM BYSPAN WHERE tid IS NOT NULL) GROUP BY det_id)
-    SELECT r.doc_id, r.det_id, r.text, r.char_start, r.char_end, r.type, r.confidence,
+    HITS AS (SELECT * FROM (
+               SELECT seq, det_id AS tid, NULL AS new_id, NULL AS new_text, NULL AS new_type, NULL AS new_conf, status AS new_status, 'id' AS mby FROM BYID
+               UNION ALL SELECT seq, tid, det_id, text, type, confidence, status, 'span' FROM BYSPAN WHERE tid IS NOT NULL)
+             QUALIFY row_number() OVER (PARTITION BY tid ORDER BY seq DESC) = 1)
+    SELECT r.doc_id, coalesce(h.new_id, r.det_id) AS det_id, coalesce(h.new_text, r.text) AS text, r.char_start, r.char_end,
+           coalesce(h.new_type, r.type) AS type, coalesce(h.new_conf, r.confidence) AS confidence,
            coalesce(h.new_status, r.status) AS status, coalesce(h.mby, 'unchanged') AS matched_by
-    FROM RD r LEFT JOIN HITS h ON h.det_id = r.det_id
+    FROM RD r LEFT JOIN HITS h ON h.tid = r.det_id
     UNION ALL
     SELECT doc_id, det_id, text, char_start, char_end, type, confidence, status, 'appended' FROM BYSPAN WHERE tid IS NULL""")
 def upsert_detections(spark, sf_dir):

@@ -48,12 +48,12 @@ def doc_records(spark, sf_dir):
 
 @register("state_merge", f"""{_RV},
     SNAP AS (SELECT det_id, doc_id, status, 0 AS snap FROM RD UNION ALL SELECT det_id, doc_id, status, 1 FROM RV)
-    SELECT det_id, doc_id, status FROM SNAP QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY snap DESC) = 1""")
+    SELECT det_id, doc_id, status FROM SNAP QUALIFY snap = max(snap) OVER (PARTITION BY doc_id)""")
 def state_merge(spark, sf_dir):
-    """Reload merges the stored snapshot with the newer one by key; new wins."""
+    """Reload merges the stored snapshot with the newer one by document; new wins."""
     old = cm.with_review_status(cm.detections(spark, sf_dir)).select("det_id", "doc_id", "status")
     new = cm.reviewed_detections(spark, sf_dir).select("det_id", "doc_id", "status")
-    return io.latest_per_key(old, new, key="det_id")
+    return io.latest_per_key(old, new, key="doc_id")
 
 
 def _modes_records(spark, sf_dir):

@@ -46,7 +46,8 @@ def build_session(master: str | None = None, app: str = "spanveil", shuffle_part
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder; create a local one only when none is configured."""
+    """The shared folder named by ``spark.checkpoint.dir``.  Only a session in local mode may do without: it
+    gets a folder of its own; on a cluster every executor would write to its own disk, so that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -56,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="spanveil-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)

@@ -9,10 +9,15 @@ the text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SUPPORTED = ("txt", "pdf", "docx", "csv")
+_NAMES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in suffix) for suffix in SUPPORTED) + "}"
 
 
 def decode_utf8(content: Column) -> Column:
@@ -39,15 +44,15 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True, max_files
     their ``text`` is the decoded bytes (A6 fallback) and ``parsed`` is false.
     """
     reader = spark.readStream if stream else spark.read
+    # the name filter is the source's own, so that other files are never read
     r = reader.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()) \
-        .option("ignoreCorruptFiles", "true")
+        .option("ignoreCorruptFiles", "true").option("pathGlobFilter", _NAMES)
     if stream and max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     if stream:
         r = r.schema("path string, modificationTime timestamp, length long, content binary")
     df = r.load(path)
     name = F.element_at(F.split(F.col("path"), "/"), -1)
-    df = df.filter(F.lower(name).rlike(r"\.(txt|pdf|docx|csv)$"))
     ftype = file_type(name)
     text = decode_utf8(F.col("content"))
     return df.select("path", name.alias("filename"), ftype.alias("file_type"), "length", "content",
@@ -60,28 +65,21 @@ def flatten_cells(cells: Column) -> Column:
     return F.array_join(F.filter(trimmed, lambda c: c != ""), " | ")
 
 
-def flatten_csv_text(text: Column) -> Column:
-    """A3 over a decoded CSV file: every line parsed as CSV (quotes honoured),
-    flattened, lines joined by newline.  One file is one row, so this is a
-    per-row expression (no grouping)."""
-    # line breaks as in Python's str.splitlines (no trailing empty line)
-    breaks = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
-    body = F.regexp_replace(text, f"({breaks})$", "")
-    lines = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(body, breaks, -1))
-    return F.array_join(F.transform(lines, _csv_line), "\n")
-
-
-def _csv_line(line: Column) -> Column:
-    """Split one CSV line into cells: quoted cells may hold commas and
-    doubled quotes."""
-    cells = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),'), F.lit(1))
+def flatten_csv(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """A3: ``df`` with the CSV text of ``text_col`` flattened: every record's cells trimmed, empty ones dropped, joined
+    with ' | '; records joined by newline.  Quoted cells may hold commas, doubled quotes and line
+    breaks (which vanish); cells may be of any length."""
+    names, at = df.columns, df.columns.index(text_col)
 
-    def unquote(c):
-        inner = F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
-        return F.when(c.startswith('"') & c.endswith('"') & (F.length(c) >= 2), inner).otherwise(c)
+    def flat(text: str) -> str:
+        return "\n".join(" | ".join(c.strip() for c in row if c.strip()) for row in csv.reader(text.splitlines()))
 
-    unq = F.transform(cells, unquote)
-    return flatten_cells(unq)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(2**31 - 1)
+        for batch in batches:
+            text = pa.array([None if t is None else flat(t) for t in batch.column(at).to_pylist()], batch.column(at).type)
+            yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(batch.columns)], names=names)
+    return df.mapInArrow(run, df.schema)
 
 
 def doc_records(docs: DataFrame, default_mode: str = "redact", default_policy: str = "mixed_general") -> DataFrame:
@@ -93,19 +91,19 @@ def doc_records(docs: DataFrame, default_mode: str = "redact", default_policy: s
         F.lit(default_policy).alias("policy"))
 
 
-def latest_per_key(*snapshots: DataFrame, key: str | list[str], order_col: str = "_snap") -> DataFrame:
-    """Reload merges snapshots by key, the newest snapshot wins.
+def latest_per_key(*snapshots: DataFrame, key: str | list[str]) -> DataFrame:
+    """Reload merges snapshots by key: of each key all rows of the last snapshot that has it.
 
-    Snapshots are tagged with their position; one row_number per key.
+    With key ``doc_id`` a document's detections are those of its newest snapshot; what that one
+    deleted does not come back.  The snapshot to win is given last.
     """
-    from pyspark.sql import Window
     keys = [key] if isinstance(key, str) else list(key)
     tagged = None
     for i, s in enumerate(snapshots):
-        t = s.withColumn(order_col, F.lit(i))
+        t = s.withColumn("_snap", F.lit(i))
         tagged = t if tagged is None else tagged.unionByName(t, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
-    return tagged.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", order_col)
+    last = Window.partitionBy(*keys)
+    return tagged.withColumn("_last", F.max("_snap").over(last)).filter("_snap = _last").drop("_snap", "_last")
 
 
 def export_manifest(records: DataFrame, processed: DataFrame) -> DataFrame:

@@ -3,8 +3,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from spanveil.sources import io
 
 
@@ -25,14 +23,15 @@ def test_read_files_decode_and_filter(spark):
     assert rows["B.CSV"].file_type == "csv" and rows["c.pdf"].file_type == "pdf"
     assert bytes(rows["c.pdf"].content) == b"%PDF-1.4 raw"            # raw bytes kept
     assert rows["c.pdf"].parsed is False
-    flat = spark.createDataFrame([(rows["B.CSV"].text,)], "t string").select(io.flatten_csv_text(F.col("t")).alias("f"))
+    flat = io.flatten_csv(spark.createDataFrame([(rows["B.CSV"].text,)], "f string"), "f")
     import csv
     expected = "\n".join(" | ".join(c.strip() for c in row if c.strip())
                          for row in csv.reader(rows["B.CSV"].text.splitlines()))
     # Python's csv reader sees no quoting after a leading blank
     assert flat.first().f == expected
-    quoted = spark.createDataFrame([('a,"x, ""y""",b',)], "t string").select(io.flatten_csv_text(F.col("t")).alias("f"))
-    assert quoted.first().f == 'a | x, "y" | b'
+    texts = ['a,"x, ""y""",b', 'a,"x\ny",b', 'q,"' + "z" * 300_000 + '"', "", None]
+    quoted = [r.f for r in io.flatten_csv(spark.createDataFrame([(t,) for t in texts], "f string"), "f").collect()]
+    assert quoted[:2] == ['a | x, "y" | b', "a | xy | b"] and len(quoted[2]) == 300_004 and quoted[3:] == ["", None]
 
 
 def test_latest_per_key(spark):
@@ -40,3 +39,7 @@ def test_latest_per_key(spark):
     new = spark.createDataFrame([("a", "redacted"), ("c", "added")], "det_id string, status string")
     got = {r.det_id: r.status for r in io.latest_per_key(old, new, key="det_id").collect()}
     assert got == {"a": "redacted", "b": "missed", "c": "added"}
+    # by document: what the newer snapshot of a document deleted does not come back
+    old = spark.createDataFrame([(1, "a"), (1, "b"), (2, "x")], "doc_id long, det_id string")
+    new = spark.createDataFrame([(1, "a"), (1, "c")], "doc_id long, det_id string")
+    assert sorted(map(tuple, io.latest_per_key(old, new, key="doc_id").collect())) == [(1, "a"), (1, "c"), (2, "x")]
