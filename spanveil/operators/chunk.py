@@ -1,75 +1,81 @@
 """Overlapping chunking of long documents.
 
 The cut positions of one document depend on each other (each start is the
-previous end minus the overlap), so they are computed with one ``aggregate``
-fold per document row: a narrow, map-side transformation with no shuffle.
-Chunks then become rows with ``inline``; a long document turns into many rows
-that later stages can spread over the cluster (``repartition`` by chunk).
+previous end minus the overlap), so a document is cut in one pass over its
+text, map side and without a shuffle.  Chunks are rows: a long document turns into many that later
+stages can spread over the cluster (``repartition`` by chunk).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import tables as tb
+from .detect import merge_overlaps
 
-_CUTS = "array<struct<s:int,e:int>>"
+#: chunks put into one output batch
+_BATCH = 2000
 
 
-def chunk_bounds_sql(text: str, max_chars: int = tb.CHUNK_MAX_CHARS, overlap: int = tb.CHUNK_OVERLAP,
-                     nl_window: int = tb.CHUNK_NEWLINE_WINDOW, sp_window: int = tb.CHUNK_SPACE_WINDOW) -> str:
-    """array<struct<s int, e int>> of chunk bounds, as SQL text.
+def chunk_bounds(text: str | None, max_chars: int = tb.CHUNK_MAX_CHARS, overlap: int = tb.CHUNK_OVERLAP,
+                 nl_window: int = tb.CHUNK_NEWLINE_WINDOW, sp_window: int = tb.CHUNK_SPACE_WINDOW) -> list[tuple[int, int]]:
+    """(start, end) of the chunks of a text.
 
     Length <= max_chars: one chunk (also for empty text).  Otherwise cut at
     start+max_chars, moved back to the last newline when it lies less than
     ``nl_window`` before the cut, else to the last space when less than
-    ``sp_window`` before; next start = end - overlap; stop at the end.  The
-    last newline/space is found by ``instr`` on the reversed tail window.
-    """
-    n = f"coalesce(length({text}), 0)"
-    # each step advances by at least max_chars - nl_window + 1 - overlap characters
-    step_min = max_chars - nl_window + 1 - overlap
-    e0 = f"least(_a.st + {max_chars}, {n})"
-    wn, ws = nl_window - 1, sp_window - 1
-    nl = f"instr(reverse(substring({text}, {e0} - {wn} + 1, {wn})), '\n')"
-    spc = f"instr(reverse(substring({text}, {e0} - {ws} + 1, {ws})), ' ')"
-    end = f"(CASE WHEN {e0} >= {n} THEN {e0} WHEN {nl} > 0 THEN {e0} - {nl} WHEN {spc} > 0 THEN {e0} - {spc} ELSE {e0} END)"
-    # the cut is bound once to _v (a one-element transform), not recomputed per use
-    step = (f"CASE WHEN _a.done THEN _a ELSE element_at(transform(array({end}), _v -> named_struct("
-            f"'st', greatest(_v - {overlap}, 0), 'done', _v >= {n}, "
-            f"'out', array_append(_a.out, named_struct('s', _a.st, 'e', _v)))), 1) END")
-    folded = (f"aggregate(sequence(1, greatest(1, CAST(ceil({n} / {step_min}) AS INT) + 1)), "
-              f"named_struct('st', 0, 'done', false, 'out', CAST(array() AS {_CUTS})), (_a, _i) -> {step}, _a -> _a.out)")
-    return f"(CASE WHEN {n} <= {max_chars} THEN array(named_struct('s', 0, 'e', CAST({n} AS INT))) ELSE {folded} END)"
-
-
-def chunk_bounds(text: str = "text", **kw) -> Column:
-    """Column of chunk bounds for the text column named ``text``."""
-    return F.expr(chunk_bounds_sql(f"`{text}`", **kw))
-
-
-def chunk_documents(docs: DataFrame, text_col: str = "text", keep_text: bool = True, neighbours: bool = False,
-                    **kw) -> DataFrame:
-    """chunks(doc_id, chunk_idx, start_offset, end_offset, n_chunks[, text][, prev_char, next_char]).
-
-    The bounds array is bound once and turned into chunk rows in the same
-    projection, so the generator carries only the chunk columns (the
-    document text is not copied per output row).  ``neighbours`` adds the
-    document characters just before and after the chunk (needed by
-    ``drop_cut_spans``), cut in the same map-side pass.
+    ``sp_window`` before; next start = end - overlap; stop at the end.  Only the window before a cut is searched.
     """
-    t = f"`{text_col}`"
-    fields = ["'chunk_idx', _i", "'start_offset', CAST(_c.s AS BIGINT)", "'end_offset', CAST(_c.e AS BIGINT)",
-              "'n_chunks', size(_bb)"]
+    n = len(text or "")
+    if n <= max_chars:
+        return [(0, n)]
+    out, start = [], 0
+    while True:
+        end = min(start + max_chars, n)
+        if end < n:
+            for blank, window in (("\n", nl_window), (" ", sp_window)):
+                at = text.rfind(blank, max(start, end - window + 1), end)
+                if at >= 0:
+                    end = at
+                    break
+        out.append((start, end))
+        if end >= n:
+            return out
+        start = max(end - overlap, 0)
+
+
+def chunk_documents(docs: DataFrame, text_col: str = "text", keep_text: bool = True, keep: Sequence[str] = (), **kw) -> DataFrame:
+    """chunks(doc_id, *keep, chunk_idx, start_offset, end_offset, n_chunks[, text])."""
+    src = docs.select("doc_id", *keep, F.col(text_col).alias("_text"))
+    n = 1 + len(keep)
+    fields = [("chunk_idx", pa.int32()), ("start_offset", pa.int64()), ("end_offset", pa.int64()), ("n_chunks", pa.int32())]
+    ddl = "chunk_idx int, start_offset bigint, end_offset bigint, n_chunks int"
     if keep_text:
-        fields.append(f"'text', substring({t}, _c.s + 1, _c.e - _c.s)")
-    if neighbours:
-        fields.append(f"'prev_char', CASE WHEN _c.s > 0 THEN substring({t}, _c.s, 1) END")
-        fields.append(f"'next_char', substring({t}, _c.e + 1, 1)")
-    rows = (f"element_at(transform(array({chunk_bounds_sql(t, **kw)}), "
-            f"_bb -> transform(_bb, (_c, _i) -> named_struct({', '.join(fields)}))), 1)")
-    return docs.select("doc_id", F.inline(F.expr(rows)))
+        fields.append(("text", pa.string()))
+        ddl += ", text string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(at, rows):
+            kept = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:n]]
+            made = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [[]] * len(fields), fields, strict=True)]
+            return pa.RecordBatch.from_arrays([*kept, *made], names=[*batch.schema.names[:n], *(f for f, _ in fields)])
+        for batch in batches:
+            at, rows = [], []
+            for i, text in enumerate(batch.column(n).to_pylist()):
+                bounds = chunk_bounds(text, **kw)
+                for k, (s, e) in enumerate(bounds):
+                    at.append(i)
+                    rows.append((k, s, e, len(bounds), *([(text or "")[s:e]] if keep_text else [])))
+                    if len(rows) == _BATCH:
+                        yield out(at, rows)
+                        at, rows = [], []
+            yield out(at, rows)
+    return src.mapInArrow(run, StructType([*src.schema.fields[:-1], *StructType.fromDDL(ddl).fields]))
 
 
 def to_document_offsets(spans: DataFrame) -> DataFrame:
@@ -78,17 +84,10 @@ def to_document_offsets(spans: DataFrame) -> DataFrame:
             .withColumn("char_end", F.col("char_end") + F.col("start_offset")))
 
 
-def drop_cut_spans(spans: DataFrame) -> DataFrame:
-    """Drop spans that touch a cut inside a word.
-
-    A span that starts at a chunk start (not the first chunk) or ends at a
-    chunk end (not the last chunk) may be a fragment of a longer token; it is
-    dropped unless the neighbouring document character is whitespace.  The
-    whole token is found in the neighbouring chunk when it is shorter than
-    the overlap.  Needs chunk-relative offsets, ``chunk_len`` and the
-    neighbour characters ``prev_char`` / ``next_char`` of the chunk.
-    """
-    at_start = (F.col("char_start") == 0) & (F.col("chunk_idx") > 0) & ~F.coalesce(F.col("prev_char").rlike(r"^\s$"), F.lit(True))
-    at_end = (F.col("char_end") == F.col("chunk_len")) & (F.col("chunk_idx") < F.col("n_chunks") - 1) & \
-        ~F.coalesce(F.col("next_char").rlike(r"^\s$"), F.lit(True))
-    return spans.filter(~(at_start | at_end))
+def union_across_chunks(entities: DataFrame) -> DataFrame:
+    """Entities found in the overlap of two chunks, whole or as fragments, become one (C14): nothing is
+    dropped at a cut.  ``entities``: doc_id, label, text, char_start, char_end (document offsets), score."""
+    spans = entities.distinct().select("doc_id", "char_start", "char_end", "text", F.col("label").alias("type"),
+                                       F.col("score").alias("confidence"), F.col("char_end").alias("_o1"), F.col("label").alias("_o2"))
+    return merge_overlaps(spans, ("_o1", "_o2")).select(
+        "doc_id", F.col("type").alias("label"), "char_start", "char_end", "text", F.col("confidence").alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as tb
 from ..operators import chunk as ch
 from ..operators import detect as dt
+from ..operators import model_hook as mh
 from . import common as cm
 from . import sqlkit as sk
 from .registry import register
@@ -61,51 +62,44 @@ def _chunk_spans_sql() -> str:
     pats = [(label, regex, label, 0.0, "") for label, regex in tb.STANDIN_ENTITY_PATTERNS]
     src = "SELECT k, text FROM CK"
     return f"""
-    CK AS (SELECT *, row_number() OVER () AS k,
-                  CASE WHEN start_offset > 0 THEN substr(doc, CAST(start_offset AS INTEGER), 1) END AS prev_char,
-                  substr(doc, CAST(end_offset AS INTEGER) + 1, 1) AS next_char FROM CH),
-    SP AS (SELECT c.doc_id, x.type AS label, x.s, x.e, x.m, c.chunk_idx, c.n_chunks, c.start_offset, c.text,
-                  c.prev_char, c.next_char
-           FROM ({sk.pattern_spans_sql(src, pats, 'k', 'text')}) x JOIN CK c ON c.k = x.doc_id),
-    KEEP AS (SELECT DISTINCT doc_id, label, CAST(s + start_offset AS BIGINT) AS char_start,
-                    CAST(e + start_offset AS BIGINT) AS char_end, m AS text
-             FROM SP
-             WHERE NOT ((s = 0 AND chunk_idx > 0 AND NOT coalesce(regexp_matches(prev_char, '^\\s$'), true))
-                     OR (e = length(text) AND chunk_idx < n_chunks - 1 AND NOT coalesce(regexp_matches(next_char, '^\\s$'), true))))
+    CK AS (SELECT *, row_number() OVER () AS k FROM CH),
+    RAW AS (SELECT DISTINCT c.doc_id, x.type AS label, CAST(x.s + c.start_offset AS BIGINT) AS char_start,
+                   CAST(x.e + c.start_offset AS BIGINT) AS char_end, x.m AS text,
+                   CAST(round(0.40 + ((c.doc_id * 37 + x.s + c.start_offset) % 60) / 100.0, 2) AS DOUBLE) AS score
+            FROM ({sk.pattern_spans_sql(src, pats, 'k', 'text')}) x JOIN CK c ON c.k = x.doc_id),
+    RK AS (SELECT r.doc_id, r.char_start, r.char_end, r.label AS type, r.score AS confidence, '' AS status, '' AS reason, '' AS source,
+                  NULL AS policy, NULL AS rule, r.char_end AS o1, r.label AS o2, d.text AS doc
+           FROM RAW r JOIN documents d ON d.doc_id = r.doc_id),
+    {sk.islands_sql('RK', 'o1, o2')}
     """
 
 
 ORACLE_DETECT_CHUNKED = f"""WITH {chunks_sql()}, {_chunk_spans_sql()}
-    SELECT doc_id, label, char_start, char_end, text,
-           CAST(round(0.40 + ((doc_id * 37 + char_start) % 60) / 100.0, 2) AS DOUBLE) AS score FROM KEEP"""
+    SELECT doc_id, type AS label, char_start, char_end, text, confidence AS score FROM FI"""
 
 
 @register("detect_chunked", ORACLE_DETECT_CHUNKED)
 def detect_chunked(spark, sf_dir):
-    """C15 / I1 on chunks: the entity hook runs per chunk, offsets move to the
-    document (B2), cut fragments are dropped and overlap duplicates removed."""
-    docs = cm.documents(spark, sf_dir)
-    chunks = ch.chunk_documents(docs, neighbours=True)
-    chunks = chunks.withColumn("chunk_len", F.col("end_offset") - F.col("start_offset"))
+    """C15 on chunks: entity patterns run per chunk, offsets move to the
+    document (B2), and what overlaps across chunks is united (C14)."""
+    chunks = ch.chunk_documents(cm.documents(spark, sf_dir))
     pats = [(label, regex, label, 0.0, "") for label, regex in tb.STANDIN_ENTITY_PATTERNS]
-    spans = dt.pattern_spans(chunks, pats, keep=["chunk_idx", "n_chunks", "start_offset", "prev_char",
-                                                   "next_char", "chunk_len"])
-    shifted = ch.to_document_offsets(ch.drop_cut_spans(spans))
-    out = shifted.select("doc_id", F.col("type").alias("label"), "char_start", "char_end", "text").distinct()
-    score = F.round(F.lit(0.40) + F.pmod(F.col("doc_id") * 37 + F.col("char_start"), F.lit(60)) / 100.0, 2)
-    return out.withColumn("score", score.cast("double"))
+    spans = ch.to_document_offsets(dt.pattern_spans(chunks, pats, keep=["start_offset"]))
+    return ch.union_across_chunks(dt.standin_from_spans(spans))
 
 
 @register("model_hook", ORACLE_DETECT_CHUNKED)
 def model_hook(spark, sf_dir):
-    """The model hook (mapInPandas over chunks, scorer loaded once per
-    worker) with the stand-in scorer; after offsets, cut filter and
-    de-duplication it equals the SQL form of chunked detection."""
-    from ..operators import model_hook as mh
-    docs = cm.documents(spark, sf_dir)
-    chunks = ch.chunk_documents(docs, neighbours=True)
-    raw = mh.score_chunks(chunks)
-    shifted = ch.to_document_offsets(ch.drop_cut_spans(raw))
-    out = shifted.select("doc_id", "label", "char_start", "char_end", "text").distinct()
-    score = F.round(F.lit(0.40) + F.pmod(F.col("doc_id") * 37 + F.col("char_start"), F.lit(60)) / 100.0, 2)
-    return out.withColumn("score", score.cast("double"))
+    """The model hook (Arrow batches of chunks, scorer loaded once per
+    task) with the stand-in scorer equals the pattern form of chunked detection."""
+    return ch.union_across_chunks(mh.score_chunks(ch.chunk_documents(cm.documents(spark, sf_dir))))
+
+
+@register("detect_with_hook", f"WITH {sk.pipeline_sql()} SELECT * FROM DET")
+def detect_with_hook(spark, sf_dir):
+    """I1 -> C17: each document's labels and threshold go to the model, its entities through the pipeline;
+    with the stand-in scorer this equals the pipeline over whole documents."""
+    docs = cm.documents_with_policy(spark, sf_dir)
+    asked = docs.join(dt.resolve_policies(docs.select("doc_id", "policy")).drop("policy", "rule"), "doc_id")
+    raw = mh.score_chunks(ch.chunk_documents(asked, keep=["labels", "threshold"]))
+    return dt.detect_pipeline(docs, raw_entities=raw)
