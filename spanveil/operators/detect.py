@@ -12,7 +12,6 @@ those gather the spans (never the text) of a document.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -23,6 +22,7 @@ from pyspark.sql.types import StructType
 from ..functions import docspans as ds
 from ..functions import spans as sp
 from ..functions import tables as tb
+from ..session import sql_over
 
 DETECTION_COLUMNS = [
     "doc_id", "det_id", "text", "char_start", "char_end", "type", "confidence", "status",
@@ -150,25 +150,6 @@ def standin_from_spans(s: DataFrame) -> DataFrame:
                         *[c for c in ("ctx_o", "ctx") if c in s.columns])
 
 
-def _view(df: DataFrame, prefix: str) -> str:
-    """Register ``df`` under a unique temporary name (for SQL-text operators)."""
-    name = f"_sv_{prefix}_{uuid.uuid4().hex[:10]}"
-    # global: visible from every session of the application (a foreachBatch
-    # micro-batch runs in a cloned session)
-    df.createOrReplaceGlobalTempView(name)
-    return f"global_temp.{name}"
-
-
-def _sql(spark, query: str, **views: DataFrame) -> DataFrame:
-    """``query`` over DataFrames named in braces; the names live only until the plan is analyzed."""
-    names = {k: _view(v, k) for k, v in views.items()}
-    try:
-        return spark.sql(query.format(**names))
-    finally:
-        for name in names.values():
-            spark.catalog.dropGlobalTempView(name.split(".")[1])
-
-
 def stitch_sql(arr: str) -> str:
     """SQL text of ``spans.stitch``: join overlapping (offset, text) pieces."""
     srt = f"array_sort({arr})"
@@ -244,7 +225,7 @@ def policy_filter(raw_entities: DataFrame, resolved: DataFrame) -> DataFrame:
     ctx = ", r.ctx_o, r.ctx" if "ctx" in raw_entities.columns else ""
     conf = "round(r.score, 2)"
     reason = model_reason_sql("r.label", conf, "p.policy").replace("{", "{{").replace("}", "}}")
-    return _sql(raw_entities.sparkSession, f"""
+    return sql_over(raw_entities.sparkSession, f"""
         SELECT r.doc_id, r.text, r.char_start, r.char_end, upper(r.label) AS type, {conf} AS confidence,
                CASE WHEN {conf} >= {tb.REDACT_AT} THEN 'redacted' ELSE 'missed' END AS status,
                {reason} AS reason,
@@ -380,7 +361,7 @@ def align_words(dets: DataFrame) -> DataFrame:
     cols = [c for c in dets.columns if c not in ("char_start", "char_end", "text")]
     keep = ", ".join(cols)
     brace = lambda x: x.replace("{", "{{").replace("}", "}}")
-    return _sql(dets.sparkSession, f"""
+    return sql_over(dets.sparkSession, f"""
     WITH T AS (SELECT *, char_start AS pre_start, {brace(toks)} AS _t FROM {{v}}),
     T2 AS (SELECT *, CASE WHEN size(_t) > 1 AND element_at(_t, -1).m IN ({brace(punct)}) THEN slice(_t, 1, size(_t) - 1)
                           ELSE _t END AS _u FROM T),
@@ -407,7 +388,7 @@ def merge_overlaps(dets: DataFrame, order_cols: Iterable[str] = ("grp", "ord"))
     other = [c for c in dets.columns if c not in skip]
     firsts = ", ".join(f"min_by({c}, _rn) AS {c}" for c in other + order_cols)
     firsts = (", " + firsts) if firsts else ""
-    return _sql(dets.sparkSession, f"""
+    return sql_over(dets.sparkSession, f"""
     WITH A AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS _rn,
                       max(char_end) OVER (PARTITION BY doc_id ORDER BY {order}
                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _pe FROM {{v}}),

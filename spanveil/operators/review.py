@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as sp
 from ..functions import tables as tb
+from ..session import sql_over
 
 UNDOABLE = ("update", "bulk_accept", "bulk_update", "bulk_accept_global", "bulk_reject_global")
 STATUS_ACTIONS = UNDOABLE
@@ -143,7 +144,7 @@ def cancelled_actions(log: DataFrame, depth: int = tb.UNDO_DEPTH) -> DataFrame:
     no-op; add and delete are not undoable.  A session is one reviewer's
     work, so the folded array is bounded.
     """
-    return log.sparkSession.sql(_cancelled_sql("{log}", depth), log=log)
+    return sql_over(log.sparkSession, _cancelled_sql("{log}", depth), log=log)
 
 
 def replay(dets: DataFrame, log: DataFrame, doc_sessions: DataFrame) -> DataFrame:
@@ -170,7 +171,7 @@ def replay(dets: DataFrame, log: DataFrame, doc_sessions: DataFrame) -> DataFram
             "ELSE _s END")
     act = "named_struct('seq', CAST(l.seq AS BIGINT), 'action', l.action, 'status', l.status, 'threshold', l.threshold) AS act"
     base = dets.select("doc_id", "det_id", "text", "char_start", "char_end", "type", "confidence", "status", "reason", "source")
-    return dets.sparkSession.sql(f"""
+    return sql_over(log.sparkSession, f"""
     WITH ADDS AS (SELECT doc_id, {sp.DET_ID_SQL} AS det_id, text, char_start, char_end, type, 1.0D AS confidence,
                          'redacted' AS status, {sp.sql_lit(tb.MANUAL_REASON)} AS reason, 'manual' AS source, CAST(seq AS BIGINT) AS born
                   FROM {{log}} WHERE action = 'add'),

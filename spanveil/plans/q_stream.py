@@ -7,23 +7,34 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..streaming import stream as sm
+from ..operators import chunk as ch
 from ..session import read_table
+from ..streaming import stream as sm
 from . import q_detect
+from .q_chunk import chunks_sql
 from .registry import ORACLES, register
 
-_PROGRESS_SQL = """SELECT user_id AS doc_id,
-           CASE WHEN count_if(event_type = 'error') > 0 THEN 'ERROR'
-                WHEN count_if(event_type <> 'error') >= count(*) THEN 'COMPLETED' ELSE 'PROCESSING' END AS status,
-           count_if(event_type <> 'error') AS chunks_processed, count(*) AS total_chunks, min(ts) AS start_time,
-           'chunk ' || CAST(arg_min(CASE WHEN event_type = 'error' THEN event_id END, CASE WHEN event_type = 'error' THEN (ts, event_id) END) AS VARCHAR) || ' failed' AS error
-    FROM events GROUP BY user_id"""
+#: the chunks a document was cut into (B1), not the events seen so far
+_TOTALS_SQL = f"""WITH {chunks_sql()}, T AS (SELECT doc_id, max(n_chunks) AS total_chunks FROM CH GROUP BY doc_id)"""
+_PROGRESS_SQL = f"""{_TOTALS_SQL},
+    E AS (SELECT user_id AS doc_id, count_if(event_type <> 'error') AS done, min(ts) AS start_time,
+                 arg_min(CASE WHEN event_type = 'error' THEN event_id END, CASE WHEN event_type = 'error' THEN (ts, event_id) END) AS bad
+          FROM events GROUP BY user_id)
+    SELECT t.doc_id, CASE WHEN bad IS NOT NULL THEN 'ERROR' WHEN coalesce(done, 0) >= total_chunks THEN 'COMPLETED'
+                          WHEN done > 0 THEN 'PROCESSING' ELSE 'QUEUED' END AS status,
+           coalesce(done, 0) AS chunks_processed, total_chunks, start_time, 'chunk ' || CAST(bad AS VARCHAR) || ' failed' AS error
+    FROM T t LEFT JOIN E e ON e.doc_id = t.doc_id"""
+
+
+def _totals(spark, sf_dir):
+    chunks = ch.chunk_documents(read_table(spark, sf_dir, "documents"), keep_text=False)
+    return chunks.filter("chunk_idx = 0").select("doc_id", F.col("n_chunks").alias("total_chunks"))
 
 
 @register("batch_progress", _PROGRESS_SQL)
 def batch_progress(spark, sf_dir):
-    """H2+H3: progress roll-up per document from chunk events (sticky errors)."""
-    return sm.progress_rollup(read_table(spark, sf_dir, "events"))
+    """H2+H3: progress of every document from chunk events (sticky errors) against its number of chunks."""
+    return sm.progress_status(_totals(spark, sf_dir), sm.progress_counts(read_table(spark, sf_dir, "events")))
 
 
 @register("lost_documents", """
@@ -31,8 +42,16 @@ def batch_progress(spark, sf_dir):
     WHERE doc_id NOT IN (SELECT DISTINCT user_id FROM events)""")
 def lost_documents(spark, sf_dir):
     """H5: submitted documents the progress tracker never saw."""
-    prog = sm.progress_rollup(read_table(spark, sf_dir, "events"))
-    return sm.lost_documents(read_table(spark, sf_dir, "documents"), prog)
+    return sm.lost_documents(read_table(spark, sf_dir, "documents"), sm.progress_counts(read_table(spark, sf_dir, "events")))
+
+
+@register("sliding_windows", """
+    WITH W AS (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS window_start
+               FROM events)
+    SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM W GROUP BY ALL""")
+def sliding_windows(spark, sf_dir):
+    """H8 (extension): hourly windows of events per type, one every half hour."""
+    return sm.activity_windows(read_table(spark, sf_dir, "events"), slide="30 minutes")[0]
 
 
 @register("activity_windows", """
@@ -67,7 +86,7 @@ def stream_detect(spark, sf_dir):
     """H1: the pattern detector as a Structured Streaming query over the
     documents files (availableNow trigger, file sink); equals the batch result."""
     base = _run_dir(spark, "stream_detect")
-    docs = sm.read_documents_stream(spark, sf_dir, glob="documents.parquet")
+    docs = sm.read_documents_stream(spark, os.path.join(sf_dir, "documents.parquet"))
     q = (sm.detect_stream(docs).writeStream.format("parquet").option("path", os.path.join(base, "out"))
          .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -76,16 +95,12 @@ def stream_detect(spark, sf_dir):
 
 @register("stream_progress", _PROGRESS_SQL)
 def stream_progress(spark, sf_dir):
-    """H2 streamed: the progress roll-up as a stateful streaming aggregation
-    (complete mode, each micro-batch rewrites the table); equals the batch result."""
+    """H2 streamed: chunk events counted per document in update mode (only changed documents are written, as a
+    keyed table); the view over it equals the batch result."""
     base = _run_dir(spark, "stream_progress")
-    events = sm.read_table_stream(spark, sf_dir, sm.EVENT_SCHEMA, glob="events.parquet")
+    events = sm.read_table_stream(spark, os.path.join(sf_dir, "events.parquet"), sm.EVENT_SCHEMA)
     out = os.path.join(base, "out")
-
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(out)
-
-    q = (sm.progress_rollup(events).writeStream.outputMode("complete").foreachBatch(write)
+    q = (sm.progress_counts(events).writeStream.outputMode("update").foreachBatch(sm.upsert_batch(out))
          .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return sm.progress_status(_totals(spark, sf_dir), sm.read_upserts(spark, out))

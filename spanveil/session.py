@@ -79,3 +79,16 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def sql_over(spark: SparkSession, query: str, **views: DataFrame) -> DataFrame:
+    """``query`` over DataFrames named in braces.  The names are global, so DataFrames of several sessions (a
+    micro-batch runs in a cloned one) can meet, and live only until the plan is analyzed."""
+    names = {k: f"_sv_{k}_{uuid.uuid4().hex}" for k in views}
+    for k, v in views.items():
+        v.createOrReplaceGlobalTempView(names[k])
+    try:
+        return spark.sql(query.format(**{k: f"global_temp.{n}" for k, n in names.items()}))
+    finally:
+        for n in names.values():
+            spark.catalog.dropGlobalTempView(n)

@@ -29,8 +29,28 @@ def test_handover_is_idempotent(spark):
     write(prog, 7)
     write(prog, 7)                     # a replayed batch rewrites its own partition only
     write(prog.filter(F.col("doc_id") == 3), 8)
-    got = sorted((r.doc_id, r.batch_id) for r in spark.read.parquet(out).collect())
-    assert got == [(1, 7), (3, 7), (3, 8)]
+    got = sorted(r.doc_id for r in sm.read_upserts(spark, out).collect())
+    assert got == [1, 3]               # document 3 came twice and stands once
+
+
+def test_streams_read_a_folder_of_part_files(spark, tmp_path):
+    """Three part files, three micro-batches, each document's state visible between them."""
+    from pyspark.sql import functions as F
+    from spanveil.streaming import stream as sm
+    for t in ("documents", "events"):
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    q = entry.queries()
+    for name, batch in (("stream_detect", "detect_patterns"), ("stream_progress", "batch_progress")):
+        assert _rows(q[name](spark, str(tmp_path))) == _rows(q[batch](spark, SF_SMALL))
+    totals = spark.createDataFrame([(1, 2), (2, 0), (3, 1)], "doc_id long, total_chunks int")
+    event = lambda i, d, k: (i, d, k)
+    seen = []
+    for n in range(4):
+        events = spark.createDataFrame([event(1, 1, "view"), event(2, 1, "view"), event(3, 3, "error")][:n], "event_id long, user_id long, event_type string") \
+            .withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+        seen.append(tuple(r.status for r in sm.progress_status(totals, sm.progress_counts(events)).orderBy("doc_id").collect()))
+    assert seen == [("QUEUED", "COMPLETED", "QUEUED"), ("PROCESSING", "COMPLETED", "QUEUED"), ("COMPLETED", "COMPLETED", "QUEUED"),
+                    ("COMPLETED", "COMPLETED", "ERROR")]
 
 
 def test_corrections_stream_equals_batch(spark):
