@@ -67,59 +67,34 @@ def flagged_explanation(text: Column, type_: Column, conf: Column, reason: Colum
                   F.concat(base, F.lit(" Detection basis: "), reason)).otherwise(base)
 
 
-def first_overlapping(words: DataFrame, dets: DataFrame, bin_width: int = 4096) -> DataFrame:
-    """For every word, the first detection (list order = start order)
-    that strictly overlaps it.
-
-    Binned range join: both sides are keyed by (doc_id, character bin), so
-    a long document compares a word only with detections in the same bin,
-    not with every detection of the document (exact: overlapping spans
-    always share a bin; a pair met in several bins gives the same minimum).
-    """
-    def binned(df, s, e):
-        lo = F.floor(F.col(s) / bin_width).cast("bigint")
-        hi = F.floor(F.greatest(F.col(e) - 1, F.col(s)) / bin_width).cast("bigint")
-        return df.withColumn("_bin", F.explode(F.sequence(lo, hi)))
-
-    d = binned(dets.select("doc_id", F.col("det_id"), F.col("char_start").alias("ds"), F.col("char_end").alias("de"),
-                           F.col("type").alias("d_type"), F.col("confidence").alias("d_conf"),
-                           F.col("reason").alias("d_reason")), "ds", "de") \
-        .withColumnRenamed("doc_id", "_dd").withColumnRenamed("_bin", "_dbin")
-    w = binned(words.select("doc_id", "word_idx", "char_start", "char_end"), "char_start", "char_end")
-    j = w.join(d, (F.col("doc_id") == F.col("_dd")) & (F.col("_bin") == F.col("_dbin"))
-               & (F.col("char_start") < F.col("de")) & (F.col("char_end") > F.col("ds")))
-    firsts = j.groupBy("doc_id", "word_idx").agg(F.min_by(F.struct("det_id", "d_type", "d_conf", "d_reason"),
-                                                          F.struct("ds", "det_id")).alias("det"))
-    return words.join(firsts, ["doc_id", "word_idx"], "left")
-
-
-def explain_words(words: DataFrame, dets: DataFrame, external: DataFrame | None = None) -> DataFrame:
+def explain_words(words: DataFrame, external: DataFrame | None = None) -> DataFrame:
     """E1+E2+E5: flagged words explain from the stored detection ('cached');
     others from an external explanation table when given (source as named
     there), else from the rules ('rules').
 
-    The rule is computed in its own projection and referenced by name, so
-    the explanation templates do not repeat the rule expression.
+    ``words`` comes from ``structure.words_with_detections``: the lookup of a word's detection is done in the
+    document's row, so no word is shuffled (but for ``external``: doc_id, word_idx, explanation, risk_level, source).
     """
-    x = first_overlapping(words, dets)
     if external is not None:
-        x = x.join(external.select("doc_id", "word_idx", F.col("explanation").alias("_ext"),
-                                   F.col("risk_level").alias("_erisk"), F.col("source").alias("_esrc")),
-                   ["doc_id", "word_idx"], "left")
+        x = words.join(external.select("doc_id", "word_idx", F.col("explanation").alias("_ext"),
+                                       F.col("risk_level").alias("_erisk"), F.col("source").alias("_esrc")),
+                       ["doc_id", "word_idx"], "left")
     else:
-        x = x.select("*", F.lit(None).cast("string").alias("_ext"), F.lit(None).cast("string").alias("_erisk"),
-                     F.lit(None).cast("string").alias("_esrc"))
+        x = words.select("*", F.lit(None).cast("string").alias("_ext"), F.lit(None).cast("string").alias("_erisk"),
+                         F.lit(None).cast("string").alias("_esrc"))
     is_det = F.col("det").isNotNull()
+    # the rule is computed in its own projection and referenced by name
     x = x.withColumn("rule", F.when(is_det, F.lit("detection")).when(F.col("_ext").isNotNull(), F.lit("external"))
                      .otherwise(unflagged_rule(F.col("word"))))
-    conf = F.coalesce(F.col("det.d_conf"), F.lit(0.0))
-    cached = F.coalesce(F.col("det.d_reason"), F.concat(F.lit("Detected as "), F.coalesce(F.col("det.d_type"), F.lit("UNKNOWN")),
-                                                          F.lit(" with "), sp.pct0(conf), F.lit(" confidence.")))
+    conf = F.coalesce(F.col("det.confidence"), F.lit(0.0))
+    cached = F.coalesce(F.col("det.reason"), F.concat(F.lit("Detected as "), F.coalesce(F.col("det.type"), F.lit("UNKNOWN")),
+                                                      F.lit(" with "), sp.pct0(conf), F.lit(" confidence.")))
     rule = F.col("rule")
     rtext, rrisk = unflagged_explanation(F.col("word"), rule)
+    key = sp.det_id(F.col("doc_id"), F.col("det.char_start"), F.col("det.char_end"), F.col("det.type"))
     return x.select(
         "doc_id", "word_idx", "char_start", "char_end", "word",
-        is_det.alias("is_detection"), F.col("det.det_id").alias("det_id"),
+        is_det.alias("is_detection"), F.when(is_det, key).alias("det_id"),
         F.when(is_det, F.lit("cached")).when(rule == "external", F.col("_esrc")).otherwise(F.lit("rules")).alias("source"),
         rule,
         F.when(is_det, sp.risk_level(conf)).when(rule == "external", F.col("_erisk")).otherwise(rrisk).alias("risk_level"),

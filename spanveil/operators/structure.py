@@ -8,8 +8,14 @@ ordered string aggregate per document.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import spans as sp
 
@@ -52,52 +58,97 @@ def span_to_node(spans: DataFrame, nodes: DataFrame, bin_width: int = 4096) -> D
                     (F.least("char_end", "ne") - F.col("ns")).alias("local_end"))
 
 
+def _flat_map(src: DataFrame, width: int, make, fields: str) -> DataFrame:
+    """Rows made from each row of ``src`` by ``make(values of the columns after the first ``width``)``, tuples of
+    ``fields``; the first ``width`` columns are repeated.  One narrow stage."""
+    schema = StructType.fromDDL(fields)
+    types = [f.type for f in to_arrow_schema(schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+
+            def out():
+                kept = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:width]]
+                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)]
+                return pa.RecordBatch.from_arrays([*kept, *made], names=[*batch.schema.names[:width], *schema.names])
+            for i, values in enumerate(zip(*(c.to_pylist() for c in batch.columns[width:]), strict=True)):
+                for row in make(*values):
+                    at.append(i)
+                    rows.append(row)
+                    if len(rows) == 50_000:
+                        yield out()
+                        at, rows = [], []
+            yield out()
+    return src.mapInArrow(run, StructType([*src.schema.fields[:width], *schema.fields]))
+
+
+def _words(text: str | None, dets: list[dict] | None) -> Iterator[tuple]:
+    """(word_idx, start, end, word, the first detection that overlaps it); ``dets`` ascending by start."""
+    dets, first = dets or [], 0
+    for i, m in enumerate(_WORD.finditer(text or "")):
+        s, e = m.span()
+        while first < len(dets) and dets[first]["char_end"] <= s:
+            first += 1
+        hit = next((d for d in dets[first:first + 1] if d["char_start"] < e), None)
+        if hit is None:  # a detection that ended before may hide a longer one that starts after it
+            k = first + 1
+            while k < len(dets) and dets[k]["char_start"] < e and hit is None:
+                hit = dets[k] if dets[k]["char_end"] > s else None
+                k += 1
+        yield i, s, e, m.group(), hit
+
+
+_WORD = re.compile(r"\S+")
+_WORD_FIELDS = "word_idx int, char_start bigint, char_end bigint, word string"
+DET_FIELDS = "struct<text:string,char_start:bigint,char_end:bigint,type:string,confidence:double,reason:string>"
+
+
 def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Non-whitespace pieces with offsets: doc_id, word_idx, char_start, char_end, word.
+    """Non-blank pieces with offsets: doc_id, word_idx, char_start, char_end, word.
 
-    Words and the whitespace runs before them are exploded to rows and the
-    offsets are a running sum per document (linear in the words; a fold
-    over an array would be quadratic for long documents).  The window
-    hash-partitions by doc_id, which the joins with detections on doc_id
-    reuse.
+    Blanks are all Unicode white space.  Offsets come with the words from one pass over the text: no word is shuffled.
     """
-    t = F.col(text_col)
-    words = F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0))
-    gaps = F.split(t, r"\S+", -1)
-    pairs = F.zip_with(gaps, words, lambda g, w: F.struct(F.length(g).alias("g"), w.alias("w")))
-    x = docs.select("doc_id", F.posexplode(pairs).alias("word_idx", "p")).filter(F.col("p.w").isNotNull())
-    w = Window.partitionBy("doc_id").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("p.g") + F.length("p.w")).over(w)
-    return x.select("doc_id", F.col("word_idx").cast("int").alias("word_idx"),
-                    (end - F.length("p.w")).cast("bigint").alias("char_start"), end.cast("bigint").alias("char_end"),
-                    F.col("p.w").alias("word"))
+    return _flat_map(docs.select("doc_id", F.col(text_col).alias("_t")), 1, lambda t: (w[:4] for w in _words(t, None)), _WORD_FIELDS)
+
+
+def words_with_detections(docs: DataFrame, text_col: str = "text", dets_col: str = "dets") -> DataFrame:
+    """``word_table`` with ``det``, the first detection (by start) that strictly overlaps the word; the
+    detections are an array of the document's row (``detect.detect_arrays``, ``gather_detections``)."""
+    fields = ["text", "char_start", "char_end", "type", "confidence", "reason"]
+    dets = F.transform(dets_col, lambda d: F.struct(*[d[f].alias(f) for f in fields]))
+    return _flat_map(docs.select("doc_id", F.col(text_col).alias("_t"), F.array_sort(dets, lambda a, b: F.when(a["char_start"] < b["char_start"], -1).when(
+        a["char_start"] > b["char_start"], 1).otherwise(0)).alias("_d")), 1, _words, f"{_WORD_FIELDS}, det {DET_FIELDS}")
+
+
+def gather_detections(docs: DataFrame, dets: DataFrame) -> DataFrame:
+    """``docs`` with the array ``dets`` of each document's rows in ``dets`` (reviewed ones, say): spans are shuffled
+    by document, and joined to the text."""
+    fields = ["text", "char_start", "char_end", "type", "confidence", "reason"]
+    rows = dets.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("dets"))
+    return docs.join(rows, "doc_id", "left")
+
+
+def _segments(text: str | None, dets: list[dict] | None) -> Iterator[tuple]:
+    text, at, n = text or "", 0, 0
+    for d in sorted(dets or [], key=lambda d: d["s"]):
+        for kind, s, e, key in (("plain", at, d["s"], None), ("detection", d["s"], d["e"], d["id"])):
+            if e > s:
+                yield n, kind, s, e, key, text[s:e]
+                n += 1
+        at = max(at, d["e"])
+    if len(text) > at:
+        yield n, "plain", at, len(text), None, text[at:]
 
 
 def segments(docs: DataFrame, dets: DataFrame, text_col: str = "text") -> DataFrame:
     """Alternating plain and detection segments in start order (spans must
     not overlap).  Every document yields at least its plain text; the
     concatenation of a document's segments equals the document."""
-    arr = dets.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("char_start").cast("int").alias("s"), F.col("char_end").cast("int").alias("e"),
-        F.col("det_id").alias("id")))).alias("_d"))
-    j = docs.select("doc_id", F.col(text_col).alias("_t")).join(arr, "doc_id", "left")
-    d = F.coalesce(F.col("_d"), F.array().cast("array<struct<s:int,e:int,id:string>>"))
-    t = F.col("_t")
-
-    def pieces(x, i):
-        prev = F.when(i == 0, F.lit(0)).otherwise(F.element_at(d, i)["e"])
-        gap = F.struct(F.lit("plain").alias("kind"), prev.alias("s"), x["s"].alias("e"), F.lit(None).cast("string").alias("id"))
-        span = F.struct(F.lit("detection").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"))
-        return F.array(gap, span)
-
-    last = F.coalesce(F.try_element_at(d, F.lit(-1))["e"], F.lit(0))
-    tail = F.array(F.struct(F.lit("plain").alias("kind"), last.alias("s"), F.length(t).alias("e"),
-                            F.lit(None).cast("string").alias("id")))
-    segs = F.filter(F.concat(F.flatten(F.transform(d, pieces)), tail), lambda x: x["e"] > x["s"])
-    out = j.select("doc_id", "_t", F.posexplode(segs).alias("seg_idx", "g"))
-    return out.select("doc_id", F.col("seg_idx").cast("int").alias("seg_idx"), F.col("g.kind").alias("kind"),
-                      F.col("g.s").cast("bigint").alias("char_start"), F.col("g.e").cast("bigint").alias("char_end"),
-                      F.col("g.id").alias("det_id"), sp.cut(t, F.col("g.s"), F.col("g.e")).alias("text"))
+    arr = dets.groupBy("doc_id").agg(F.collect_list(F.struct(
+        F.col("char_start").alias("s"), F.col("char_end").alias("e"), F.col("det_id").alias("id"))).alias("_d"))
+    j = docs.select("doc_id", F.col(text_col).alias("_t")).join(arr, "doc_id", "left").select("doc_id", "_t", "_d")
+    return _flat_map(j, 1, _segments, "seg_idx int, kind string, char_start bigint, char_end bigint, det_id string, text string")
 
 
 def first_occurrence(text: Column, selection: Column) -> Column:
@@ -105,32 +156,20 @@ def first_occurrence(text: Column, selection: Column) -> Column:
     return F.instr(text, selection) - 1
 
 
-def quote_literal(s: Column) -> Column:
-    """Regex literal for a user string (\\Q..\\E, with \\E inside handled)."""
-    return F.concat(F.lit("\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-
-
-def search_highlight(docs: DataFrame, queries: DataFrame, text_col: str = "text") -> DataFrame:
-    """All case-insensitive literal occurrences of each document's
-    query string with offsets.  ``queries``: doc_id, query."""
-    j = docs.select("doc_id", F.col(text_col).alias("_t")).join(queries, "doc_id")
-    pat = F.concat(F.lit("(?i)"), quote_literal(F.col("query")))
-    ms = F.regexp_extract_all(F.col("_t"), pat, F.lit(0))
-    gs = F.split(F.col("_t"), pat, -1)
-    pairs = F.zip_with(gs, ms, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast(sp.SPAN_TYPE).alias("out"))
-
-    def step(acc, x):
-        s = acc["pos"] + F.length(x["g"])
-        e = s + F.length(x["m"])
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(
-            e.alias("pos"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))).alias("out")))
-
-    found = F.aggregate(pairs, init, step, lambda a: a["out"])
-    out = j.select("doc_id", "query", F.posexplode(found).alias("match_idx", "x"))
-    return out.select("doc_id", "query", F.col("match_idx").cast("int").alias("match_idx"),
-                      F.col("x.s").cast("bigint").alias("char_start"), F.col("x.e").cast("bigint").alias("char_end"),
-                      F.col("x.m").alias("match"))
+def _found(query: str | None, text: str | None, whole_words: bool) -> Iterator[tuple]:
+    if query and text:
+        pattern = re.escape(query)
+        if whole_words:
+            pattern = rf"(?<!\S){pattern}(?!\S)"
+        for i, m in enumerate(re.finditer(pattern, text, re.IGNORECASE)):
+            yield i, m.start(), m.end(), m.group()
+
+
+def search_highlight(docs: DataFrame, queries: DataFrame, text_col: str = "text", whole_words: bool = False) -> DataFrame:
+    """All occurrences of each document's query string, ignoring case, with offsets; with ``whole_words``
+    only words equal to it.  ``queries``: doc_id, query."""
+    j = docs.select("doc_id", F.col(text_col).alias("_t")).join(queries, "doc_id").select("doc_id", "query", F.col("query").alias("_q"), "_t")
+    return _flat_map(j, 2, lambda q, t: _found(q, t, whole_words), "match_idx int, char_start bigint, char_end bigint, match string")
 
 
 def context_window(docs: DataFrame, spans: DataFrame, radius: int = 200, limit: int | None = None,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tables as tb
+from ..operators import detect as dt
 from ..operators import explain as ex
 from ..operators import structure as st
 from ..session import read_table
@@ -12,13 +13,12 @@ from . import common as cm
 from . import sqlkit as sk
 from .registry import register
 
-_WORDS_SQL = """WT AS (
-    SELECT doc_id, CAST(i - 1 AS INTEGER) AS word_idx, ws[i] AS word,
-           CAST(sum(length(gs[i]) + CASE WHEN i > 1 THEN length(ws[i - 1]) ELSE 0 END)
-                OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS char_start
-    FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS ws, string_split_regex(text, '\\S+') AS gs,
-                 generate_series(1, len(regexp_extract_all(text, '\\S+'))) AS ii FROM documents), unnest(ii) AS t(i)),
-  W AS (SELECT doc_id, word_idx, char_start, char_start + length(word) AS char_end, word FROM WT)"""
+_WORDS_SQL = """WX AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS ws, string_split_regex(text, '\\S+') AS gs FROM documents),
+  WU AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word, unnest(gs[1:len(ws)]) AS gap FROM WX),
+  WT AS (SELECT doc_id, i, word, sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS char_end
+         FROM WU),
+  W AS MATERIALIZED (SELECT doc_id, CAST(i AS INTEGER) AS word_idx, CAST(char_end - length(word) AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end, word
+        FROM WT)"""
 
 
 @register("word_table", f"WITH {_WORDS_SQL} SELECT * FROM W")
@@ -72,8 +72,26 @@ _EXPLAIN_SQL = f"""WITH {sk.pipeline_sql()}, {_WORDS_SQL},
 def explain_words(spark, sf_dir):
     """E1+E2+E4+E5: every word explained: flagged words from the cached
     detection, the rest by the rule cascade."""
-    docs = cm.documents(spark, sf_dir)
-    return ex.explain_words(st.word_table(docs), cm.detections(spark, sf_dir))
+    return ex.explain_words(_words(spark, sf_dir))
+
+
+def _words(spark, sf_dir):
+    return st.words_with_detections(dt.detect_arrays(cm.documents_with_policy(spark, sf_dir)))
+
+
+@register("explain_external", f"""{_EXPLAIN_SQL}
+    SELECT * REPLACE (CASE WHEN source = 'rules' AND word_idx % 7 = 0 THEN 'model' ELSE source END AS source,
+                      CASE WHEN source = 'rules' AND word_idx % 7 = 0 THEN 'external' ELSE rule END AS rule,
+                      CASE WHEN source = 'rules' AND word_idx % 7 = 0 THEN 'medium' ELSE risk_level END AS risk_level,
+                      CASE WHEN source = 'rules' AND word_idx % 7 = 0 THEN 'The model on "' || word || '".' ELSE explanation END AS explanation)
+    FROM EXW""")
+def explain_external(spark, sf_dir):
+    """E5: the cascade with a table of external explanations (here of every seventh word): a stored detection comes
+    first, then the external text, then the rules."""
+    external = st.word_table(cm.documents(spark, sf_dir)).filter("word_idx % 7 = 0").select(
+        "doc_id", "word_idx", F.concat(F.lit('The model on "'), "word", F.lit('".')).alias("explanation"),
+        F.lit("medium").alias("risk_level"), F.lit("model").alias("source"))
+    return ex.explain_words(_words(spark, sf_dir), external)
 
 
 @register("explain_unflagged", f"""{_EXPLAIN_SQL}
@@ -81,8 +99,7 @@ def explain_words(spark, sf_dir):
     FROM EXW WHERE NOT is_detection GROUP BY rule, risk_level""")
 def explain_unflagged(spark, sf_dir):
     """How the rule cascade classifies every unflagged word."""
-    docs = cm.documents(spark, sf_dir)
-    e = ex.explain_words(st.word_table(docs), cm.detections(spark, sf_dir)).filter(~F.col("is_detection"))
+    e = ex.explain_words(_words(spark, sf_dir)).filter(~F.col("is_detection"))
     return e.groupBy("rule", "risk_level").agg(F.count(F.lit(1)).alias("n_words"),
                                                F.countDistinct(F.lower("word")).alias("n_distinct"))
 
@@ -165,6 +182,17 @@ def search_highlight(spark, sf_dir):
     return st.search_highlight(docs, qs)
 
 
+@register("search_words", f"""WITH Q AS ({_QUERY_SQL}), {_WORDS_SQL}
+    SELECT w.doc_id, q.query, CAST(row_number() OVER (PARTITION BY w.doc_id ORDER BY w.char_start) - 1 AS INTEGER) AS match_idx,
+           w.char_start, w.char_end, w.word AS match
+    FROM W w JOIN Q q ON q.doc_id = w.doc_id AND lower(q.query) = lower(w.word)""")
+def search_words(spark, sf_dir):
+    """The words equal to each document's search string, ignoring case."""
+    docs = cm.documents(spark, sf_dir)
+    qs = docs.select("doc_id", F.regexp_extract("text", "[A-Za-z]{6,}", 0).alias("query")).filter(F.length("query") > 0)
+    return st.search_highlight(docs, qs, whole_words=True)
+
+
 @register("segments", f"""WITH {sk.pipeline_sql()},
     SG AS (SELECT doc_id, char_start, char_end, det_id,
                   coalesce(lag(char_end) OVER (PARTITION BY doc_id ORDER BY char_start), 0) AS prev FROM DET),
@@ -222,7 +250,6 @@ _CROSS = r"[a-z]+\.\n[A-Z][a-z]+"
 def span_to_node(spark, sf_dir):
     """Spans over assembled conversations mapped to the turns they touch,
     with offsets inside each turn (spans here cross turn boundaries)."""
-    from ..operators import detect as dt
     placed, docs = _nodes(spark, sf_dir)
     spans = dt.pattern_spans(docs, [("cross", _CROSS, "CROSS", 0.0, "")]).select(
         "doc_id", F.col("match_idx").cast("int").alias("span_idx"), "char_start", "char_end")
