@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shingles import mix64, shingle_sets
+from .shingles import mix64, shingle_sets, slices
 from .util import col, cut_lineage, only_ids
 
 #: shingle length and similarity in percent
@@ -76,7 +76,7 @@ def set_node(tokens: np.ndarray) -> int:
 def _sketches(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             nodes, sizes, sketches = [], [], []
             for id_, tokens in zip(batch.column(0), shingle_sets(batch.column(1), words), strict=True):
                 n = len(tokens)
@@ -96,7 +96,7 @@ def _sketches(words: int, percent: int):
 
 def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             sets = [s for s in shingle_sets(batch.column(0), words) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_node(s) for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int32()),
                                               pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=_SETS)
@@ -155,11 +155,14 @@ def _chunk_links(percent: int):
         left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
         out = []
         if len(left) and len(right):
-            flat = np.concatenate(right["tokens"].to_list())
+            known, flat = np.unique(np.concatenate(right["tokens"].to_list()), return_inverse=True)
             at = np.concatenate(([0], np.cumsum(right["n"].to_numpy())))[:-1]
             sizes, comps, ids = right["n"].to_numpy(), right["comp"].to_numpy(), right["node"].to_numpy()
             for node, comp, n, tokens in zip(left["node"], left["comp"], left["n"], left["tokens"], strict=True):
-                shared = np.add.reduceat(np.isin(flat, tokens).astype(np.int64), at)
+                place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                held = np.zeros(len(known), dtype=np.int64)
+                held[place[known[place] == tokens]] = 1
+                shared = np.add.reduceat(held[flat], at)
                 hit = np.flatnonzero((comps != comp) & (100 * shared >= percent * (sizes + n - shared)))
                 out += [(node, ids[hit[k]]) for k in np.unique(comps[hit], return_index=True)[1]]
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
@@ -253,7 +256,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _with_nodes(words: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
             sets = shingle_sets(b.column(b.num_columns - 1), words)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(map(set_node, sets), pa.int64()), pa.array(map(len, sets), pa.int32())],
                                              names=[*names, "_node", "_n"])
