@@ -22,7 +22,7 @@ from .util import col, cut_lineage, small
 #: fixed values: usual licence statements, by SPDX id where there is one
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License)"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Licensed under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -39,9 +39,6 @@ TEMPLATES = [
 ]
 #: least cosine of a statement
 LEAST_COSINE = 0.75
-#: words too common to look for
-STOP = frozenset("the this is under into to and in or of a any with without are be by you may not use file work source all terms free person copy "
-                 "forms version general public".split())
 TERM = r"[\p{L}0-9]+(?:[.-][\p{L}0-9]+)*"
 _TERM = re.compile(TERM.replace(r"\p{L}", "a-zA-Z"))
 #: resolved directories of at most so many rows are broadcast
@@ -64,14 +61,27 @@ def template_vectors(templates=TEMPLATES) -> tuple[dict[str, float], float, list
     return idf, math.log(1 + len(terms)) + 1, rows
 
 
+def telling_terms(rows: list[tuple[int, str, str, float]]) -> list[str]:
+    """Terms of which a statement that reaches the cosine with any template holds one: of each template the longest (most telling)
+    terms, until what is left of its vector is shorter than the least cosine."""
+    out = set()
+    for i in {r[0] for r in rows}:
+        left = 1.0
+        for _, term, weight in sorted(((len(w), w, v) for t, _, w, v in rows if t == i), reverse=True):
+            if left < LEAST_COSINE ** 2 - 1e-9:
+                break
+            out.add(term)
+            left -= weight * weight
+    return sorted(out)
+
+
 def statements(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     """file, n (its words), part, words (of the statement), license, cosine: the best template of every
     statement whose cosine reaches ``LEAST_COSINE``.  ``files``: file, text."""
     spark: SparkSession = files.sparkSession
     idf, other, rows = template_vectors(templates)
-    looked = "|".join(sorted(re.escape(w) for w in idf if w not in STOP and len(w) > 2))
-    some = f"(?i)\\b(?:{looked})\\b"
-    # a statement that reaches the cosine holds a term that is not a stop word: look for these before taking words apart
+    # look for these terms before taking words apart
+    some = f"(?i)\\b(?:{'|'.join(map(re.escape, telling_terms(rows)))})\\b"
     holding = files.filter(F.col("text").rlike(some))
     parts = holding.select("file", F.regexp_count("text", F.lit(TERM)).alias("n"), F.posexplode(F.split("text", r"[\n\r]+|(?<=[.!?;])[ \t]+")).alias(
         "part", "s")).filter(F.col("s").rlike(some))

@@ -145,7 +145,7 @@ def _feature_rows(sample: DataFrame, lexicon: dict[str, float]) -> tuple[np.ndar
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
     rows = sample.select(F.col("id").cast("string").alias("id"), "y", "text").mapInArrow(make, "id string, y int, x array<double>").toPandas()
     rows = rows.sort_values(["id", "y"], kind="stable")
-    return rows["id"].to_numpy(), rows["y"].to_numpy(dtype=float), np.array(rows["x"].to_list(), dtype=float).reshape(len(rows), -1)
+    return rows["id"].to_numpy(), rows["y"].to_numpy(dtype=float), np.array(rows["x"].to_list(), dtype=float).reshape(len(rows), -1 if len(rows) else 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, held_out: int = 0, limit: int = SAMPLE,
