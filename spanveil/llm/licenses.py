@@ -39,6 +39,8 @@ TEMPLATES = [
 ]
 #: least cosine of a statement
 LEAST_COSINE = 0.75
+#: looked for last, being in every other sentence
+COMMON = frozenset("the this is under into to and in or of a any with without are be by you may not use file work source all terms free person copy forms".split())
 TERM = r"[\p{L}0-9]+(?:[.-][\p{L}0-9]+)*"
 _TERM = re.compile(TERM.replace(r"\p{L}", "a-zA-Z"))
 #: resolved directories of at most so many rows are broadcast
@@ -67,7 +69,7 @@ def telling_terms(rows: list[tuple[int, str, str, float]]) -> list[str]:
     out = set()
     for i in {r[0] for r in rows}:
         left = 1.0
-        for _, term, weight in sorted(((len(w), w, v) for t, _, w, v in rows if t == i), reverse=True):
+        for _, _, term, weight in sorted(((w not in COMMON, len(w), w, v) for t, _, w, v in rows if t == i), reverse=True):
             if left < LEAST_COSINE ** 2 - 1e-9:
                 break
             out.add(term)
