@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import docspans as ds
 from ..functions import spans as sp
 from ..functions import tables as tb
+from ..session import cut_lineage
 from .detect import matcher
 
 CONFIRMED = ("redacted", "added")
@@ -107,9 +108,16 @@ def apply_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select(*names, "_spans").mapInArrow(run, df.select(*names).schema)
 
 
+#: spans of at most so many documents are broadcast to the texts; of more, both are shuffled
+MOST_TOUCHED = 200_000
+
+
 def redact_documents(docs: DataFrame, spans: DataFrame, rep_col: str = "rep", text_col: str = "text") -> DataFrame:
-    """Documents with every span rewritten; documents without spans pass unchanged."""
-    arr = span_arrays(spans, rep_col)
+    """Documents with every span rewritten; documents without spans pass unchanged.  The span table is
+    written once and counted, so that with few touched documents no text is shuffled."""
+    arr = cut_lineage(span_arrays(spans, rep_col), "spans")
+    if arr.limit(MOST_TOUCHED + 1).count() <= MOST_TOUCHED:
+        arr = F.broadcast(arr)
     j = docs.join(arr, "doc_id", "left")
     return apply_spans(j.select("doc_id", F.col(text_col).alias("text"), "_spans"))
 

@@ -188,6 +188,46 @@ def strip_metadata(spark, sf_dir):
     return m.select("page_id", "kind", rd.metadata_audit(F.col("meta"), F.col("kind")).alias("audit"))
 
 
+_LISTED = ", ".join(sk.q(f) for f, _ in tb.DOCX_METADATA_AUDIT)
+
+
+@register("clean_metadata", f"""
+    WITH M AS ({_meta_sql()}),
+    K AS (SELECT page_id, kind, unnest(map_keys(meta)) AS k, unnest(map_values(meta)) AS v FROM M WHERE kind = 'docx'),
+    P AS (SELECT page_id, kind, unnest(['author', 'creator', 'producer', 'title', 'subject', 'keywords', 'creationDate', 'modDate']) AS field,
+                 unnest(['', 'Spanveil Redaction Engine', 'Spanveil', 'Redacted Document', '', '', '', '']) AS value FROM M WHERE kind = 'pdf')
+    SELECT page_id, kind, k AS field, CASE WHEN k NOT IN ({_LISTED}, 'revision') OR coalesce(length(v), 0) = 0 THEN v
+           WHEN k = 'title' THEN 'Redacted Document' WHEN k = 'revision' THEN '1' ELSE '' END AS value FROM K
+    UNION ALL SELECT * FROM P""")
+def clean_metadata(spark, sf_dir):
+    """the metadata that an exported file carries, one row per field."""
+    m = _meta_cols(read_table(spark, sf_dir, "pages"))
+    return m.select("page_id", "kind", F.explode(rd.clean_metadata(F.col("meta"), F.col("kind"))).alias("field", "value"))
+
+
+@register("redact_nodes", f"""WITH RECURSIVE {sk.pipeline_sql()},
+    V AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY char_start, det_id) AS i, text AS v,
+                 {sk.block_sql('text')} AS rep
+          FROM DET WHERE status IN ('redacted', 'added') AND NOT contains(text, chr(10))),
+    N AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS node_ord, unnest(string_split(text, chr(10))) AS text FROM documents),
+    RV(doc_id, node_ord, i, t) AS (
+      SELECT doc_id, node_ord, 0, text FROM N WHERE doc_id IN (SELECT doc_id FROM V)
+      UNION ALL
+      SELECT rv.doc_id, rv.node_ord, rv.i + 1, CASE WHEN length(v.v) > 0 THEN replace(rv.t, v.v, v.rep) ELSE rv.t END
+      FROM RV rv JOIN V v ON v.doc_id = rv.doc_id AND v.i = rv.i + 1)
+    SELECT n.doc_id, CAST(n.node_ord AS INTEGER) AS node_ord, coalesce(r.t, n.text) AS text
+    FROM N n LEFT JOIN (SELECT doc_id, node_ord, arg_max(t, i) AS t FROM RV GROUP BY ALL) r ON r.doc_id = n.doc_id AND r.node_ord = n.node_ord""")
+def redact_nodes(spark, sf_dir):
+    """F4/F5 node scope: each confirmed text replaced in every node (here: line) of its document, as in
+    paragraphs, table cells, headers and footers."""
+    docs = cm.documents(spark, sf_dir)
+    nodes = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("node_ord", "text"))
+    d = rd.confirmed(cm.detections(spark, sf_dir)).filter(~F.contains("text", F.lit("\n")))
+    d = d.select("doc_id", "text", rd.block(F.col("text")).alias("rep"),
+                 F.row_number().over(Window.partitionBy("doc_id").orderBy("char_start", "det_id")).cast("bigint").alias("ord"))
+    return rd.redact_by_value(nodes, d).select("doc_id", F.col("node_ord").cast("int").alias("node_ord"), "text")
+
+
 @register("detach_links", f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS link_idx, uris[i] AS uri,
            {sk.q(tb.LINK_AUDIT.split('{v}')[0])} || uris[i] || {sk.q(tb.LINK_AUDIT.split('{v}')[1])} AS audit,
            n_after

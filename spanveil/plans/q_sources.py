@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import redact as rd
+from ..operators import reports as rp
+from ..session import cut_lineage, read_table
 from ..sources import io
-from ..session import read_table
 from . import common as cm
+from . import sqlkit as sk
 from .q_reports import _RV
-from .q_review import _RD
+from .q_review import REPLAYED_SQL, replayed
 from .registry import register
 
 
@@ -94,3 +97,40 @@ def doc_with_detections(spark, sf_dir):
     j = docs.join(g, "doc_id", "left")
     return j.select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_detections"),
                     F.coalesce(F.transform("a", lambda x: x["det_id"]), F.array().cast("array<string>")).alias("det_ids"))
+
+
+@register("decode_text", """
+    SELECT page_id, html AS text, CAST(length(html) AS BIGINT) AS n_chars FROM pages""")
+def decode_text(spark, sf_dir):
+    """Stored bytes (here with bytes mixed in that are not UTF-8) decoded to text; the bytes stay as they are."""
+    raw = read_table(spark, sf_dir, "pages").select("page_id", F.concat(F.unhex(F.lit("FF")), F.col("html").cast("binary"),
+                                                                        F.unhex(F.lit("C3"))).alias("content"))
+    text = io.decode_utf8(F.col("content"))
+    return raw.select("page_id", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
+
+
+_EXPORT_MODE_SQL = "CASE WHEN doc_id % 3 = 1 THEN 'anonymize' ELSE 'redact' END"
+
+
+@register("reviewed_export", f"""{REPLAYED_SQL},
+    OPEN AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM RPL WHERE status = 'missed')),
+    RS AS (SELECT doc_id, char_start, char_end,
+                  {sk.replacement_sql('text', 'type', 'action_mode', 'custom_replacement', _EXPORT_MODE_SQL)} AS rep
+           FROM RPL WHERE status IN ('redacted', 'added') AND doc_id IN (SELECT doc_id FROM OPEN)),
+    TX AS ({sk.rewrite_sql('RS')})
+    SELECT t.doc_id, {_EXPORT_MODE_SQL} AS export_mode,
+           CASE WHEN doc_id % 3 = 1 THEN 'anonymized_' ELSE 'redacted_' END || 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS out_name,
+           CASE WHEN length(text) > 0 THEN text END AS text,
+           CASE WHEN coalesce(length(text), 0) = 0 THEN 'Original document not found in session memory.' END AS error
+    FROM TX t WHERE doc_id IN (SELECT doc_id FROM OPEN)""")
+def reviewed_export(spark, sf_dir):
+    """D1 -> G5 -> F2 -> F3 -> A9: the corrections log replayed, documents with nothing missed selected, their
+    confirmed spans replaced by the reviewer's modes, one named output per document."""
+    dets = cut_lineage(replayed(spark, sf_dir), "replayed")
+    docs = cm.documents(spark, sf_dir)
+    mode = F.when(F.pmod("doc_id", F.lit(3)) == 1, F.lit("anonymize")).otherwise(F.lit("redact"))
+    gate = rp.export_gate(rp.status_counts(dets, docs))
+    manifest = io.export_manifest(_modes_records(spark, sf_dir).join(gate, "doc_id"), gate.withColumn("processed", F.lit(True))).drop("processed")
+    spans = rd.confirmed(dets).join(gate, "doc_id").withColumn("rep", rd.replacement_text(
+        F.col("text"), F.col("type"), F.col("action_mode"), F.col("custom_replacement"), mode))
+    return io.export_files(rd.redact_documents(docs, spans), manifest)

@@ -124,11 +124,20 @@ def export_selection(docs: DataFrame, dets: DataFrame) -> DataFrame:
         "doc_id", F.coalesce("processed", F.lit(True)).alias("processed"))
 
 
-def write_export(redacted: DataFrame, manifest: DataFrame, path: str) -> None:
-    """A9 sink: redacted texts partitioned by export mode; a document whose
-    text is null (failed) is skipped, the others are written."""
-    out = redacted.join(manifest, "doc_id").filter(F.col("text").isNotNull())
-    out.select("export_mode", "out_name", "text").write.mode("overwrite").partitionBy("export_mode").parquet(path)
+def export_files(redacted: DataFrame, manifest: DataFrame, originals: bool = False, docs: DataFrame | None = None) -> DataFrame:
+    """doc_id, export_mode, out_name, text, error: one row per selected document (``manifest``).  With
+    ``originals`` the unchanged texts of ``docs`` are exported under the same names.  A document without
+    text gets an error row and no text (F12)."""
+    text = (docs if originals else redacted).select("doc_id", "text")
+    j = manifest.join(text, "doc_id", "left")
+    empty = F.coalesce(F.length("text"), F.lit(0)) == 0
+    return j.select("doc_id", "export_mode", "out_name", F.when(~empty, F.col("text")).alias("text"),
+                    F.when(empty, F.lit("Original document not found in session memory.")).alias("error"))
+
+
+def write_export(files: DataFrame, path: str) -> None:
+    """A9 sink: the texts of ``export_files`` partitioned by export mode; rows with an error are left out, the others are written."""
+    files.filter("error IS NULL").select("export_mode", "out_name", "text").write.mode("overwrite").partitionBy("export_mode").parquet(path)
 
 
 def write_bucketed(docs: DataFrame, table: str, buckets: int, key: str = "doc_id") -> None:
