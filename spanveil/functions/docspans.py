@@ -17,18 +17,45 @@ _TOKEN = re.compile(tb.TOKEN_PATTERN_POSSESSIVE)
 _BLANK = re.compile(r"\s")
 
 
+_CLASS = re.compile(r"\[(?:\\.|[^\]\\])*\]")
+_MAY_BE_BLANK = re.compile(r"\\[sSWDnrtfvAZ]|[\s^$]|(?<!\\)\.")
+
+
+def blank_free(pattern: str) -> bool:
+    """No match of the pattern can hold a blank (said only when its text makes that plain)."""
+    inside = any(c.startswith("[^") or re.search(r"\\[sSWDnrtfv]|\s", c) for c in _CLASS.findall(pattern))
+    return not inside and not _MAY_BE_BLANK.search(_CLASS.sub("", pattern))
+
+
 class Matcher:
     """Compiled patterns (regex, literals that every match contains)."""
 
     def __init__(self, patterns: Sequence[tuple[str, list[str]]]):
-        self.patterns = [(re.compile(p), literals) for p, literals in patterns]
+        self.patterns = [(re.compile(p), literals, bool(literals) and blank_free(p)) for p, literals in patterns]
+
+    @staticmethod
+    def _matches(pattern: re.Pattern, literals: list[str], runs_only: bool, text: str) -> Iterable[re.Match]:
+        if not runs_only:
+            yield from pattern.finditer(text)
+            return
+        # matches lie within blank-free runs that hold the literals: long runs without them are not tried at each place
+        rare = min(literals, key=text.count)
+        at = text.find(rare)
+        while at >= 0:
+            a, b = at, _BLANK.search(text, at)
+            b = b.start() if b else len(text)
+            while a > 0 and not text[a - 1].isspace():
+                a -= 1
+            if all(text.find(x, a, b) >= 0 for x in literals):
+                yield from pattern.finditer(text, a, b)
+            at = text.find(rare, b)
 
     def find(self, text: str) -> Iterable[tuple[int, int, int, int, str]]:
         """(pattern, match, start, end, text) per pattern, leftmost and non-overlapping; matches whose
         trimmed text is shorter than the least length keep their number but are left out."""
-        for i, (pattern, literals) in enumerate(self.patterns):
+        for i, (pattern, literals, runs_only) in enumerate(self.patterns):
             if all(x in text for x in literals):
-                for j, m in enumerate(pattern.finditer(text)):
+                for j, m in enumerate(self._matches(pattern, literals, runs_only, text)):
                     if len(m.group().strip()) >= tb.HEURISTIC_MIN_TRIMMED_LENGTH:
                         yield i, j, m.start(), m.end(), m.group()
 
@@ -39,20 +66,19 @@ class Tokens:
     def __init__(self, text: str):
         self.text, self.runs = text, {}
 
-    def _run(self, pos: int) -> list[tuple[int, int]]:
-        """Tokens of the blank-free run around ``pos``."""
-        for (a, b), tokens in self.runs.items() if len(self.runs) <= 4 else ():
+    def _run(self, pos: int) -> tuple[int, list[tuple[int, int]]]:
+        """End and tokens of the blank-free run around ``pos``."""
+        for (a, b), tokens in self.runs.items():
             if a <= pos < b:
-                return tokens
+                return b, tokens
         a, b = pos, _BLANK.search(self.text, pos)
         b = b.start() if b else len(self.text)
         while a > 0 and not self.text[a - 1].isspace():
             a -= 1
-        if (a, b) not in self.runs:
-            if len(self.runs) > 4:
-                self.runs.clear()
-            self.runs[(a, b)] = [m.span() for m in _TOKEN.finditer(self.text, a, b)]
-        return self.runs[(a, b)]
+        if len(self.runs) > 4:
+            self.runs.clear()
+        self.runs[(a, b)] = [m.span() for m in _TOKEN.finditer(self.text, a, b)]
+        return b, self.runs[(a, b)]
 
     def cover(self, start: int, end: int) -> list[tuple[int, int]]:
         """The tokens that overlap [start, end)."""
@@ -62,15 +88,13 @@ class Tokens:
             if self.text[pos].isspace():
                 pos += 1
                 continue
-            run = self._run(pos)
-            i = bisect_right(run, (pos, len(self.text))) - 1
-            i = max(i, 0)
+            after, run = self._run(pos)
+            i = max(bisect_right(run, (pos, len(self.text))) - 1, 0)
             while i < len(run) and run[i][0] < end:
-                if run[i][1] > start and (not out or run[i][0] >= out[-1][1]):
+                if run[i][1] > start:
                     out.append(run[i])
                 i += 1
-            blank = _BLANK.search(self.text, pos)
-            pos = blank.start() if blank else end
+            pos = after
         return out
 
     def align(self, start: int, end: int) -> tuple[int, int]:

@@ -43,7 +43,7 @@ def matcher(patterns: Sequence) -> Callable[[], ds.Matcher]:
     """A maker of the compiled patterns (compiled once per task).  A pattern that matches the empty
     string, or none at all, is refused (I2)."""
     rows = [(r[1], sp.required_literals(r[1])) for r in _pattern_rows(patterns)]
-    for (compiled, _), row in zip(ds.Matcher(rows).patterns, rows, strict=True):
+    for (compiled, *_), row in zip(ds.Matcher(rows).patterns, rows, strict=True):
         if compiled.match(""):
             raise ValueError(f"pattern matches the empty string: {row[0]}")
     return lambda: ds.Matcher(rows)
@@ -269,7 +269,7 @@ def attach_context(spans: DataFrame, docs: DataFrame, text_col: str = "text") ->
             flat = batch.column(0).flatten()
             tail = _rows_batch(ctx, pa.schema([("ctx_o", pa.int32()), ("ctx", pa.string())]))
             yield pa.RecordBatch.from_arrays([*(flat.field(n) for n in names), *tail.columns], names=[*names, "ctx_o", "ctx"])
-    return joined.mapInArrow(run, StructType(list(spans.schema.fields)).add("ctx_o", "int").add("ctx", "string"))
+    return joined.mapInArrow(run, StructType([*spans.schema.fields, *StructType.fromDDL("ctx_o int, ctx string").fields]))
 
 
 # ---------------------------------------------------------------------------

@@ -33,3 +33,44 @@ def test_rewrite_and_segments(spark):
     for d in (1, 2):
         parts = sorted((r.seg_idx, r.text) for r in segs if r.doc_id == d)
         assert "".join(p for _, p in parts) == (text if d == 1 else "no spans here")
+
+
+def test_no_confirmed_character_is_left(spark):
+    import random
+    from spanveil.functions import docspans as ds
+    rnd = random.Random(2)
+    for _ in range(300):
+        text = "".join(rnd.choice("abcdefgh ") for _ in range(60))
+        spans = [(s, s + rnd.randrange(1, 12), "#") for s in (rnd.randrange(0, 50) for _ in range(rnd.randrange(8)))]
+        covered = {i for s, e, _ in spans for i in range(s, e)}
+        kept = "".join(c for i, c in enumerate(text) if i not in covered)
+        assert ds.rewrite(text, spans).replace("#", "") == kept
+    docs = spark.createDataFrame([(1, "call John Smith today")], "doc_id long, text string")
+    dets = spark.createDataFrame([(1, 5, 15, "A"), (1, 7, 9, "B")], "doc_id long, char_start long, char_end long, rep string")
+    assert rd.redact_documents(docs, dets).first().text == "call A today"
+
+
+def test_short_values_are_masked_whole(spark):
+    df = spark.createDataFrame([("123", "mask_partial"), ("4111111111111111", "mask_partial"), ("abc", "mask_full")], "t string, r string")
+    got = [r.m for r in df.select(rd.mask_by_rule(F.col("t"), F.col("r")).alias("m")).collect()]
+    assert got == ["█" * 6, "█" * 12 + "1111", "█" * 6]
+
+
+def test_unicode_blanks_and_title_case(spark):
+    df = spark.createDataFrame([("  x　", "api-key2b")], "c string, t string")
+    r = df.select(rd._strip(F.col("c")).alias("c"), rd.title(F.col("t")).alias("t")).first()
+    assert (r.c, r.t) == ("x", "api-key2b".title())
+    words = st.word_table(spark.createDataFrame([(1, "ab cd　ef")], "doc_id long, text string")).collect()
+    assert [(w.word, w.char_start) for w in words] == [("ab", 0), ("cd", 3), ("ef", 6)]
+
+
+def test_export_sink_and_error_rows(spark, tmp_path):
+    from spanveil.sources import io
+    docs = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "doc_id long, text string")
+    manifest = spark.createDataFrame([(1, "redact", "redacted_1"), (2, "redact", "redacted_2"), (3, "anonymize", "anonymized_3")],
+                                     "doc_id long, export_mode string, out_name string")
+    files = io.export_files(docs.withColumn("text", F.upper("text")), manifest)
+    assert [r.doc_id for r in files.filter("error IS NOT NULL").collect()] == [2]
+    io.write_export(files, str(tmp_path / "out"))
+    assert {(r.out_name, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("redacted_1", "A"), ("anonymized_3", "C")}
+    assert {r.text for r in io.export_files(None, manifest, originals=True, docs=docs).collect()} == {"a", None, "c"}

@@ -99,3 +99,30 @@ def test_replay_status_and_modes(spark):
     assert out["d2"].action_mode == "anonymize"       # undo restores the status only
     assert out["d3"].status == "dismissed"
     assert out["d6"].status == "false_positive"      # bulk accept touches missed only
+
+
+def test_add_after_delete_stays(spark):
+    d = _mock(spark).limit(0)
+    rows = [("s", 1, 1, "add", None, 0, 3, "abc", "CUSTOM"), ("s", 2, 1, "delete", "?", None, None, None, None), ("s", 3, 1, "add", None, 0, 3, "abc", "CUSTOM")]
+    log = spark.createDataFrame(rows, "session_id string, seq long, doc_id long, action string, det_id string, char_start long, char_end long, text string, type string")
+    for c, t in (("status", "string"), ("action_mode", "string"), ("custom_replacement", "string"), ("threshold", "double")):
+        log = log.withColumn(c, F.lit(None).cast(t))
+    sess = spark.createDataFrame([(1, "s"), (1, "t")], "doc_id long, session_id string")
+    added = rv.replay(d, log.filter("seq = 1"), sess).first().det_id
+    log = log.withColumn("det_id", F.when(F.col("action") == "delete", F.lit(added)))
+    assert rv.replay(d, log.filter("seq < 3"), sess).count() == 0
+    out = rv.replay(d, log, sess).collect()
+    assert [(r.det_id, r.status, r.session_id) for r in out] == [(added, "redacted", "s")]
+
+
+def test_sweep_has_every_threshold(spark):
+    out = {r.threshold: r.would_accept for r in rv.threshold_sweep(_mock(spark), [0.3, 0.5]).collect()}
+    assert out == {0.3: 1, 0.5: 0}
+
+
+def test_upsert_replaces_by_span(spark):
+    patch = spark.createDataFrame([(1, 1, "mine", 70, 80, "redacted", "98765", "CELL", 1.0), (2, 1, "d3", 0, 0, "dismissed", "x", "y", 0.1)],
+                                  "seq long, doc_id long, det_id string, char_start long, char_end long, status string, text string, type string, confidence double")
+    out = {r.det_id: r for r in rv.upsert_detections(_mock(spark), patch).collect()}
+    assert "d2" not in out and (out["mine"].text, out["mine"].type, out["mine"].status, out["mine"].confidence) == ("98765", "CELL", "redacted", 1.0)
+    assert (out["d3"].text, out["d3"].status) == ("Monday", "dismissed")

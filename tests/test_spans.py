@@ -91,3 +91,76 @@ def test_align_expands_and_drops_punctuation(spark):
     spans2 = spans.withColumn("char_start", F.lit(s2).cast("long")).withColumn("char_end", F.lit(s2 + 20).cast("long"))
     a2 = dt.align_words(dt.attach_context(spans2, docs)).collect()[0]
     assert a2.text == "john.smith@mail.com"
+
+
+def py_merge(model, heur):
+    """One heuristic span at a time into the growing list, as a plain loop."""
+    out = [dict(m) for m in model]
+    for h in heur:
+        for m in out:
+            if h["char_start"] < m["char_end"] and m["char_start"] < h["char_end"]:
+                m["char_start"], m["char_end"] = min(m["char_start"], h["char_start"]), max(m["char_end"], h["char_end"])
+                if h["confidence"] > m["confidence"]:
+                    m["confidence"] = h["confidence"]
+                    m["reason"] += " | Also matched by heuristic pattern."
+                    if h["status"] == "redacted":
+                        m["status"] = "redacted"
+                m["source"] = "dual"
+                break
+        else:
+            out.append(dict(h))
+    return out
+
+
+def test_merge_equals_a_sequential_model():
+    from spanveil.functions import docspans as ds
+    rnd = random.Random(11)
+
+    def span(source, i):
+        s = rnd.randrange(0, 120)
+        c = round(rnd.random(), 1)
+        return {"char_start": s, "char_end": s + rnd.randrange(1, 15), "confidence": c, "type": rnd.choice("AB"), "reason": f"{source}{i}",
+                "status": "redacted" if c > 0.6 else "missed", "source": source, "ord": i}
+    for _ in range(300):
+        model = sorted((span("model", i) for i in range(rnd.randrange(6))), key=lambda s: s["char_start"])
+        for i, m in enumerate(model):
+            m["ord"] = i
+        heur = [span("heuristic", i) for i in range(rnd.randrange(10))]
+        got = [{k: v for k, v in s.items() if k != "grp"} for s in ds.merge_sources(model, heur)]
+        assert got == py_merge(model, heur)
+
+
+def test_two_heuristics_in_one_run_become_dual(spark):
+    docs = spark.createDataFrame([(1, "mail ann@10.0.0.1.example.com now")], "doc_id long, text string")
+    out = dt.detect_pipeline(docs).collect()
+    assert [(r.text, r.source) for r in out] == [("ann@10.0.0.1.example.com", "dual")]
+
+
+def test_unknown_policy_keeps_its_name(spark):
+    docs = spark.createDataFrame([(0, "write to ann@x.org", "of_our_own")], "doc_id long, text string, policy string")
+    assert {r.policy for r in dt.detect_pipeline(docs).collect()} <= {"of_our_own", None}
+    r = dt.resolve_policies(docs.select("doc_id", "policy")).first()
+    assert (r.policy, r.threshold, r.rule) == ("of_our_own", 0.5, "mask_full")
+
+
+def test_pipeline_is_one_narrow_stage(spark):
+    docs = spark.createDataFrame([(0, "write to ann@x.org", "finance")], "doc_id long, text string, policy string")
+    assert "Exchange" not in dt.detect_pipeline(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_documents(spark):
+    import time
+    spans = " ".join(f"a{i}@x.org" for i in range(40_000))
+    texts = [spans, "a." * 500_000 + " ann@x.org", "x" * 1_000_000, ",".join(f"a{i}@x.org" for i in range(1000)) * 10,
+             "mail ann@x." + "org." * 40_000 + "com"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5, "doc_id").cache()
+    docs.count()
+    t = time.time()
+    n = {r.doc_id: r.n for r in dt.detect_pipeline(docs).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert n[0] == 40_000 and n[1] == 1 and 2 not in n and time.time() - t < 60
+
+
+def test_patterns_that_match_nothing_are_refused():
+    import pytest
+    with pytest.raises(ValueError, match="empty string"):
+        dt.matcher([("bad", "a*", "T", 0.9, "")])
