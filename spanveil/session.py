@@ -42,6 +42,7 @@ def build_session(master: str | None = None, app: str = "spanveil", shuffle_part
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    share_package(spark)
     return spark
 
 
@@ -71,13 +72,24 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     compute it twice), the lineage is cut, and the files survive the loss of
     any executor.  Never a local checkpoint."""
     spark = df.sparkSession
+    share_package(spark)
     path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     # the schema is known: reading it back needs no footer-inference job
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share_package(spark: SparkSession) -> None:
+    """Python workers find this package where the driver has it (a cluster gets it by ``--py-files`` or an
+    installed package; then this path is simply not there)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 

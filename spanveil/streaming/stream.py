@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detect as dt
 from ..operators import review as rv
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, share_package
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -32,6 +32,7 @@ def read_table_stream(spark: SparkSession, path: str, schema: str, max_files_per
     """H1 + H6: the parquet files of a table, a folder of part files (new ones may arrive) or a single file;
     ``maxFilesPerTrigger`` bounds each micro-batch (the back-pressure of a
     bounded queue)."""
+    share_package(spark)
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", str(max_files_per_trigger))
     file = spark._jvm.org.apache.hadoop.fs.Path(path)
     if file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file).isFile():
