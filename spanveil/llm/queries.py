@@ -124,11 +124,11 @@ WITH dw AS (
 iw AS (
   SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
-ip AS (SELECT item_id, w, len(w) AS m, unnest(range(0, len(w) - 4)) AS at FROM iw WHERE len(w) >= 5),
-i AS (SELECT item_id, m, at, array_to_string(w[at + 1:at + 5], ' ') AS shingle FROM ip),
+ip AS (SELECT item_id, w, len(w) AS m, unnest(range(0, len(w) - 4)) AS off FROM iw WHERE len(w) >= 5),
+i AS (SELECT item_id, m, off, array_to_string(w[off + 1:off + 5], ' ') AS shingle FROM ip),
 dp AS (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS pos FROM dw WHERE len(w) >= 5),
 d AS (SELECT doc_id, pos, array_to_string(w[pos + 1:pos + 5], ' ') AS shingle FROM dp),
-v AS (SELECT DISTINCT doc_id, item_id, m, greatest(0, pos - at) AS start FROM d JOIN i USING (shingle)),
+v AS (SELECT DISTINCT doc_id, item_id, m, greatest(0, pos - off) AS start FROM d JOIN i USING (shingle)),
 c AS (SELECT v.doc_id, v.item_id, v.start, v.m, d.shingle, count(*) AS c
       FROM v JOIN d ON d.doc_id = v.doc_id AND d.pos >= v.start AND d.pos <= v.start + v.m - 5 GROUP BY ALL),
 n AS (SELECT doc_id, item_id, start, m, sum(c) AS size FROM c GROUP BY ALL),
