@@ -170,22 +170,29 @@ def training_chunks(column: pa.Array, most: int = TRAIN_CHUNKS) -> list[bytes]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 3, held_out: int = 1, limit: int = SAMPLE,
         id_col: str = "doc_id", text_col: str = "text") -> ByteConv:
     """Fits on at most ``limit`` labelled rows whose crc32(id) mod ``mod`` is not ``held_out``; of
-    each, up to ``TRAIN_CHUNKS`` chunks spread over the whole text come to the driver
-    (12,000 * 3 * 516 bytes at most).  Without labels every score is near one half."""
+    each, up to ``TRAIN_CHUNKS`` chunks spread over the whole text go to one training task
+    (12,000 * 3 * 516 bytes at most); only the parameters come to the driver.  Without labels every score is near one half."""
     sample = sample_rows(docs.select(col(id_col), col(text_col).alias("text")), sample_ids(labels, label, mod, held_out, limit), id_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(training_chunks(b.column(2)), pa.binary())],
                                              names=["id", "y", "chunks"])
-    rows = sample.select(F.col("id").cast("string").alias("id"), "y", "text").mapInArrow(cut, "id string, y int, chunks binary").toPandas()
-    rows = rows.sort_values(["id", "y", "chunks"], kind="stable")
-    if not len(rows):
-        return ByteConv.start()
-    width = (2 * BLOCK + 1) * UNIT
-    data = np.frombuffer(b"".join(rows["chunks"]), np.uint8).reshape(-1, 2 * BLOCK + 1, UNIT)
-    doc = np.repeat(np.arange(len(rows)), [len(c) // width for c in rows["chunks"]])
-    return train(data, doc, rows["y"].to_numpy(dtype=float))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        if rows:
+            width = (2 * BLOCK + 1) * UNIT
+            data = np.frombuffer(b"".join(c for _, _, c in rows), np.uint8).reshape(-1, 2 * BLOCK + 1, UNIT)
+            doc = np.repeat(np.arange(len(rows)), [len(c) // width for _, _, c in rows])
+            net = train(data, doc, np.array([y for _, y, _ in rows], dtype=float))
+            parts = [getattr(net, k).astype(np.float32).tobytes() for k in net.NAMES]
+            yield pa.RecordBatch.from_arrays([pa.array(net.NAMES), pa.array(parts, pa.binary())], names=["name", "data"])
+    cuts = sample.select(F.col("id").cast("string").alias("id"), "y", "text").mapInArrow(cut, "id string, y int, chunks binary")
+    net = ByteConv.start()
+    for r in cuts.repartition(1).mapInArrow(learn, "name string, data binary").collect():
+        setattr(net, r["name"], np.frombuffer(r["data"], np.float32).reshape(getattr(net, r["name"]).shape))
+    return net
 
 
 def score_documents(df: DataFrame, model: ByteConv, text_col: str = "text", keep_text: bool = True, out: str = "score") -> DataFrame:
