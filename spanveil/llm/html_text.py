@@ -3,7 +3,7 @@
 A forgiving reader: raw-text elements, comments, missing end tags and truncated
 pages are handled as browsers do; what a page's markup says about an element
 (tag, role, class and id words) marks menus, headers, footers, sidebars, notices,
-adverts, forms and comments.
+adverts, forms and comments.  Marks are evidence: marked blocks are read like all others.
 """
 
 from __future__ import annotations
@@ -27,9 +27,12 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
         "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 CONTAINERS = frozenset("table ul ol dl select div article section body main".split())
-#: elements that are never the article's text
-OUTSIDE = frozenset("head nav footer aside form button select option label fieldset menu dialog svg canvas object audio video map "
-                    "datalist meter progress".split()) | RAW
+#: elements whose text is no text of the page
+NEVER = frozenset("head button select option label svg canvas object audio video map datalist meter progress".split()) | RAW
+#: elements that are seldom the article's text: evidence against a slot
+OUTSIDE = frozenset("nav footer aside form fieldset menu dialog".split())
+#: elements that make a slot; the text of others belongs to the nearest one around them
+SECTIONS = frozenset("html body div section article main td th aside nav header footer form fieldset ul ol dl table center blockquote".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 #: words of a class or id that mark an element outside the article
 OUTSIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies "
@@ -46,12 +49,14 @@ class Block(NamedTuple):
     article: bool   # in an article element
     main: bool      # in a main element
     linked: int     # characters within links
+    marks: int      # elements around it that the markup puts outside the article
 
 
 class _Open(NamedTuple):
     tag: str
     path: str
-    outside: bool
+    never: bool
+    marks: int
     article: bool
     main: bool
     link: bool
@@ -77,7 +82,8 @@ def _open(parent: _Open, tag: str, attributes: str) -> _Open:
     words = {w.lower() for w in _PARTS.findall(klass + " " + ident)} if klass or ident else frozenset()
     article = parent.article or tag == "article" or item == "articlebody"
     main = parent.main or tag == "main" or role == "main"
-    outside = parent.outside or tag in OUTSIDE or hidden or role in OUTSIDE_ROLES
+    never = parent.never or tag in NEVER or hidden
+    outside = tag in OUTSIDE or role in OUTSIDE_ROLES
     if not outside and words:
         if tag == "article":
             outside = bool(words & COMMENT_WORDS)
@@ -85,38 +91,44 @@ def _open(parent: _Open, tag: str, attributes: str) -> _Open:
             outside = bool(words & OUTSIDE_WORDS) or "header" in words and not article and tag not in ("h1", "h2")
     # a header within an article is its title
     outside = outside or tag == "header" and not parent.article
-    step = tag + "." + ".".join(sorted(words)) if words else tag
-    return _Open(tag, f"{parent.path}/{step}", outside, article, main, parent.link or tag == "a")
+    # numbers in a class or id tell pages apart, not places
+    names = sorted(w for w in words if not w.isdigit())
+    step = tag + "." + ".".join(names) if names else tag
+    return _Open(tag, f"{parent.path}/{step}", never, parent.marks + outside, article, main, parent.link or tag == "a")
 
 
 def read_page(html: str | None) -> tuple[list[Block], dict[str, int]]:
-    """The blocks outside menus and the like, in page order, and how often each element path occurs."""
+    """All blocks in page order, and how often each element path occurs."""
     html = html or ""
-    root = _Open("", "", False, False, False, False)
+    root = _Open("", "", False, 0, False, False, False)
     stack, blocks, paths = [root], [], {}
-    text: list[str] = []
-    place, linked, at, end = root, 0, 0, len(html)
+    #: what is read of the block, by marks: text in a marked element within a line is a block of its own
+    text: dict[int, list] = {}
+    at, end = 0, len(html)
 
     def flush() -> None:
-        nonlocal linked
-        if text:
-            joined = " ".join("".join(text).split())
+        for marks, (place, linked, raw) in text.items():
+            joined = " ".join("".join(raw).split())
             if joined:
-                blocks.append(Block(joined, place.path, place.article, place.main, linked))
-            text.clear()
-        linked = 0
+                blocks.append(Block(joined, place.path, place.article, place.main, linked, marks))
+        text.clear()
 
     def say(raw: str) -> None:
-        nonlocal place, linked
         top = stack[-1]
-        if raw and not top.outside:
+        if raw and not top.never:
             raw = unescape(raw)
-            if not text:
+            part = text.get(top.marks)
+            if part is None:
                 # the block belongs to the nearest element that is not within a line
                 place = next((o for o in reversed(stack) if o.tag in BLOCK or o.tag in ("td", "th")), root)
-            text.append(raw)
+                part = text[top.marks] = [place, 0, []]
+            part[2].append(raw)
             if top.link:
-                linked += len(raw.strip())
+                part[1] += len(raw.strip())
+
+    def blank() -> None:
+        for part in text.values():
+            part[2].append(" ")
 
     while at < end:
         lt = html.find("<", at)
@@ -142,8 +154,8 @@ def read_page(html: str | None) -> tuple[list[Block], dict[str, int]]:
                     pass
             continue
         if tag in VOID:
-            if tag == "br" and text:
-                text.append(" ")
+            if tag == "br":
+                blank()
             elif tag == "hr":
                 flush()
             continue
@@ -155,8 +167,8 @@ def read_page(html: str | None) -> tuple[list[Block], dict[str, int]]:
                     break
                 if stack[k].tag in BLOCK or stack[k].tag in ("td", "th", "button"):
                     break
-        elif tag in ("td", "th") and text:
-            text.append(" ")
+        elif tag in ("td", "th"):
+            blank()
         for k in range(len(stack) - 1, 0, -1) if tag in ENDS else ():
             if stack[k].tag in ENDS[tag]:
                 del stack[k:]
@@ -173,11 +185,38 @@ def read_page(html: str | None) -> tuple[list[Block], dict[str, int]]:
     return blocks, paths
 
 
-def main_blocks(blocks: list[Block], drop: set, menus: set) -> list[str]:
-    """The article's blocks: those in article elements, else in a main element, else those that the host's
-    template does not explain: neither its fixed texts (``drop``: (path, text)) nor its menus (paths)."""
+def slot_of(path: str, slots) -> str | None:
+    """The nearest of ``slots`` at or around a path."""
+    while path and path not in slots:
+        path = path.rpartition("/")[0]
+    return path or None
+
+
+def kind(article: bool, main: bool) -> int:
+    """0 in an article element, 1 in a main element, 2 elsewhere."""
+    return 0 if article else 1 if main else 2
+
+
+def by_markup(blocks: list[Block], drop: set) -> list[str]:
+    """Without a template: the unmarked blocks in article elements, else in a main element, else all but ``drop``."""
+    blocks = [b for b in blocks if not b.marks]
     for inside in ("article", "main"):
         found = [b.text for b in blocks if getattr(b, inside)]
         if found:
             return found
-    return [b.text for b in blocks if (b.path, b.text) not in drop and b.path not in menus]
+    return [b.text for b in blocks if (b.path, b.text) not in drop]
+
+
+def main_blocks(blocks: list[Block], drop: set, slots: dict | set = frozenset()) -> list[str]:
+    """The article's blocks: those in the slots that the host's template has chosen (``slots``: by path, the marks up to which
+    blocks of each kind are text, -1 for none) but its fixed texts (``drop``: (path, text)).  Without a template, or on a page
+    with none of the slots, the markup decides."""
+    if slots:
+        found = []
+        for b in blocks:
+            at = slot_of(b.path, slots)
+            if at is not None and b.marks <= slots[at][kind(b.article, b.main)] and (b.path, b.text) not in drop:
+                found.append(b.text)
+        if found:
+            return found
+    return by_markup(blocks, drop)

@@ -179,3 +179,37 @@ def test_salted_templates_give_the_same_text(spark, monkeypatch):
     broad = sorted(map(tuple, extraction.extract_text(pages).collect()))
     monkeypatch.setattr(extraction, "MOST_HOSTS", 0)
     assert sorted(map(tuple, extraction.extract_text(pages).collect())) == broad
+
+
+def varied_pages(page, n=12):
+    r = random.Random(2)
+    words = lambda k: " ".join(r.choices(["alpha", "beta", "gamma", "delta", "eps"], k=k))
+    return [(i, f"http://h.org/{i}", page(i, words)) for i in range(n)]
+
+
+def extracted(spark, rows):
+    return {x.page_id: x.text for x in extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize(("outer", "teaser"), [('<div class="body">', '<article class="card">'), ('<div class="social-legal">', '<article class="related">'),
+                                               ('<form>', '<article>')])
+def test_template_prefers_the_body_to_a_teaser_article(spark, outer, teaser):
+    want = {}
+
+    def page(i, words):
+        want[i] = f"{words(400)} {i}"
+        end = outer.split()[0].strip("<>")
+        return (f"<html><body><nav><a href='/'>Home</a></nav>{outer}<p>{want[i]}</p></{end}>{teaser}<p>{words(8)} {i}</p></article>"
+                f"<footer>ours {i}</footer></body></html>")
+    assert extracted(spark, varied_pages(page)) == want
+
+
+def test_template_counts_tokens_inside_articles(spark):
+    want = {}
+
+    def page(i, words):
+        body = [f"{words(40)} {i} {k}" for k in range(i % 3 + 2)]
+        want[i] = "\n\n".join(["Title " + str(i), *body])
+        return (f"<html><body><article><h1>Title {i}</h1>{''.join(f'<p>{b}</p>' for b in body)}<div class='tools'><p>Print this page</p></div>"
+                f"<ul><li><a href='/a'>{words(3)}</a></ul></article></body></html>")
+    assert extracted(spark, varied_pages(page)) == want
