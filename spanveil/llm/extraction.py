@@ -3,7 +3,7 @@
 Tokens of a page are its element paths and its texts in their places, inside article elements as elsewhere.  Tokens that
 occur equally often on every page of the host share an occurrence vector and form an equivalence class.  Vectors are
 compared by an additive fingerprint, so they are built by plain aggregation: no
-page meets another, however many a host has.  Classes that are frequent
+page meets another, however many a host has.  Pages of equal text are one page of evidence.  Classes that are frequent
 (on most pages of the host) and hold elements are valid; their element paths, nested by
 path, are the host's template, and its sections are slots.  A slot holds the text whose nearest section it is.
 
@@ -15,23 +15,24 @@ Texts on most pages are the template's own words if they share their vector with
 else), if they are mostly links, if their slot holds little else, or
 if they are short and in no article or main element: a long text among changing ones is the article's.
 
-A host with fewer than ``LEAST_PAGES`` pages has no template; its pages are read by their markup alone.
+A host with fewer than ``LEAST_PAGES`` different pages has no template; its pages are read by their markup alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .html_text import SECTIONS, kind, main_blocks, read_page, slot_of
+from .html_text import SECTIONS, by_markup, kind, main_blocks, read_page, slot_of
 from .shingles import mix64
-from .util import col, cut_lineage, small
+from .util import col, cut_lineage, only_ids, small
 
-#: pages of a host, and the share of them that a valid class must cover
+#: different pages of a host, and the share of them that a valid class must cover
 LEAST_PAGES, LEAST_SHARE = 4, 0.6
 #: a slot with such a share of its characters in links is a menu
 LINK_SHARE = 0.6
@@ -53,6 +54,19 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit(""))
 
 
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page a fingerprint of its text by markup, or of all its text where that is empty."""
+    for batch in batches:
+        hosts, keys, pages = (c.to_pylist() for c in batch.columns)
+        prints = []
+        for html in pages:
+            blocks = read_page(html)[0]
+            text = "\n".join(by_markup(blocks, set()) or [b.text for b in blocks])
+            prints.append(int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(prints, pa.int64())],
+                                         names=["host", "key", "content"])
+
+
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch and host, the tokens' share of their occurrence vectors."""
     for batch in batches:
@@ -157,15 +171,29 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(slots, pa.list_(pa.struct([("path", pa.string()), ("marks", pa.list_(pa.int32()))])))], names=["host", "fixed", "slots"])
 
 
+def different_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One of the pages of equal text of every host, and (host, n): their number where there are ``LEAST_PAGES`` at least.
+
+    Only keys are grouped; html is moved for rows that are repeated whole, one copy a task."""
+    pages = pages.filter("host <> ''")
+    by_key = cut_lineage(pages.select("host", "key", "html").mapInArrow(_contents, "host string, key long, content long").groupBy(
+        "host", "content", "key").agg(F.count("*").alias("c")), "page-contents")
+    firsts = cut_lineage(by_key.groupBy("host", "content").agg(F.min(F.struct("key", "c")).alias("f")).select("host", "f.key", "f.c"), "page-firsts")
+    size = firsts.groupBy("host").agg(F.count("*").alias("n")).filter(f"n >= {LEAST_PAGES}")
+    others = by_key.select("key").join(firsts.filter("c = 1").select("key"), "key", "left_anti")
+    single = only_ids(pages, others, "key", "left_anti")
+    repeated = only_ids(pages, firsts.filter("c > 1").select("key"), "key").groupBy("host", "key").agg(F.any_value("html").alias("html"))
+    return single.select("host", "key", "html").unionAll(repeated.select("host", "key", "html")), size
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """One row per host with a template: host, fixed (array of path and words), slots (array of path and marks).
 
     ``pages``: host, key (a number for the page), html.  Both lists hold tokens on most of the host's
     pages only, so they are no longer than one page.
     """
-    pages = pages.filter("host <> ''")
-    size = pages.groupBy("host").agg(F.count("*").alias("n")).filter(f"n >= {LEAST_PAGES}")
-    tokens = pages.select("host", "key", "html").mapInArrow(_count_tokens, _TOKENS).groupBy("host", "path", "words").agg(
+    different, size = different_pages(pages)
+    tokens = different.mapInArrow(_count_tokens, _TOKENS).groupBy("host", "path", "words").agg(
         F.bit_xor("vector").alias("vector"), *[F.sum(c).alias(c) for c in ("weight", "pages", *_MASS)])
     frequent = cut_lineage(tokens.join(small(size), "host").filter(f"pages >= {LEAST_SHARE} * n"), "template-tokens")
     return frequent.groupBy("host").agg(F.collect_list(F.struct("path", "words", "vector", "weight", "pages", *_MASS)).alias("tokens")).mapInArrow(

@@ -213,3 +213,24 @@ def test_template_counts_tokens_inside_articles(spark):
         return (f"<html><body><article><h1>Title {i}</h1>{''.join(f'<p>{b}</p>' for b in body)}<div class='tools'><p>Print this page</p></div>"
                 f"<ul><li><a href='/a'>{words(3)}</a></ul></article></body></html>")
     assert extracted(spark, varied_pages(page)) == want
+
+
+def test_copies_of_one_article_are_no_template(spark):
+    html = "<html><body><div><p>One article on all pages of the host.</p><p>Its second paragraph.</p></div></body></html>"
+    rows = [(i, f"http://mirror.org/a?utm={i}", html) for i in range(8)] + [(8, "http://mirror.org/a?utm=0", html)] * 2
+    assert set(extracted(spark, rows).values()) == {"One article on all pages of the host.\n\nIts second paragraph."}
+    # a page that is repeated whole counts once, also with enough others
+    other = varied_pages(lambda i, words: f"<div><p>Welcome</p><p>{words(30)} {i}</p></div>")
+    got = extracted(spark, other + [other[0]] * 3)
+    assert all("Welcome" not in t and t.endswith(f" {i}") for i, t in got.items()) and len(got) == 12
+
+
+def test_long_texts_need_evidence_to_be_the_template(spark):
+    shared, notice, want = "A paragraph that all pages of the host share. " * 8, "We are closed on the days before and after the holiday. " * 8, {}
+
+    def page(i, words):
+        body = [f"{words(40)} {i} {k}" for k in range(i % 3 + 1)]
+        want[i] = "\n\n".join([body[0], shared.strip(), *body[1:]])
+        closed = f"<div class='hours'><p>{notice}</p></div>" if i % 4 else ""
+        return f"<html><body>{closed}<div><p>{body[0]}</p><p>{shared}</p>{''.join(f'<p>{b}</p>' for b in body[1:])}</div></body></html>"
+    assert extracted(spark, varied_pages(page)) == want
