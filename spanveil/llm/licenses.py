@@ -2,9 +2,8 @@
 (DataFrame functions only).
 
 Statements (lines and sentences) of a file are compared with licence templates as
-sparse TF-IDF vectors: one row per term, joined on the term, summed to cosines.  A file
-is a licence file if a licence statement makes up at least half of its words; it licenses its
-directory.  A file without a statement of its own takes the licence of the nearest
+sparse TF-IDF vectors: one row per term, joined on the term, summed to cosines.  A file is a licence file if as a whole it is like a licence's text, or if a licence
+statement makes up at least half of its words; it licenses its directory.  A file without a statement of its own takes the licence of the nearest
 ancestor directory that has one: directories, not files, are joined with their ancestors.
 """
 
@@ -17,6 +16,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
 from .util import col, cut_lineage, small
 
 #: fixed values: usual licence statements, by SPDX id where there is one
@@ -37,10 +37,14 @@ TEMPLATES = [
     ("CC0-1.0", "Released into the public domain under CC0 1.0"),
     ("LicenseRef-all-rights-reserved", "All rights reserved"),
 ]
+#: every licence's text has one of these; files without are not compared as a whole
+ANCHORS = r"(?i)licen[cs]e|copyright|warrant"
 #: least cosine of a statement
 LEAST_COSINE = 0.75
 #: looked for last, being in every other sentence
-COMMON = frozenset("the this is under into to and in or of a any with without are be by you may not use file work source all terms free person copy forms".split())
+COMMON = frozenset("the this is under into to and in or of a any with without are be by you may not use file work source all terms free person copy forms that it was can be one at if as either found its my your later except code 2 3 program form published".split())
+#: of these the last
+EVERYWHERE = frozenset("the this that with into to and in or of a any it was be by you may not can one at if as are all".split())
 TERM = r"[\p{L}0-9]+(?:[.-][\p{L}0-9]+)*"
 _TERM = re.compile(TERM.replace(r"\p{L}", "a-zA-Z"))
 #: resolved directories of at most so many rows are broadcast
@@ -63,13 +67,43 @@ def template_vectors(templates=TEMPLATES) -> tuple[dict[str, float], float, list
     return idf, math.log(1 + len(terms)) + 1, rows
 
 
+def text_vectors(texts=TEXTS) -> tuple[dict[str, float], float, list[tuple[int, str, str, float]]]:
+    """As ``template_vectors``, of whole texts, without the common words; a word's count counts by 1 + ln."""
+    terms = [{w: int(n or 1) for w, _, n in (x.partition(":") for x in t.split()) if w not in COMMON} for _, t in texts]
+    df = Counter(w for t in terms for w in t)
+    idf = {w: math.log((1 + len(terms)) / (1 + n)) + 1 for w, n in df.items()}
+    rows = []
+    for i, (t, (name, _)) in enumerate(zip(terms, texts, strict=True)):
+        weights = {w: (1 + math.log(n)) * idf[w] for w, n in t.items()}
+        norm = math.sqrt(sum(v * v for v in weights.values()))
+        rows += [(i, name, w, v / norm) for w, v in weights.items()]
+    return idf, math.log(1 + len(terms)) + 1, rows
+
+
+def whole_texts(files: DataFrame, texts=TEXTS) -> DataFrame:
+    """file, license, cosine: the licence whose text a file is, where its cosine reaches ``LEAST_COSINE``.  ``files``: file, text."""
+    spark: SparkSession = files.sparkSession
+    idf, other, rows = text_vectors(texts)
+    tf = files.filter(F.col("text").rlike(ANCHORS)).select("file", F.explode(F.filter(
+        F.regexp_extract_all(_lower(F.col("text")), F.lit(TERM), 0), lambda x: ~x.isin(*sorted(COMMON)))).alias("term")).groupBy("file", "term").agg(
+        F.count("*").alias("tf"))
+    idfs = F.broadcast(spark.createDataFrame([(w, v) for w, v in idf.items()], "term string, idf double"))
+    vectors = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, weight double"))
+    weighed = cut_lineage(tf.join(idfs, "term", "left").select("file", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(other))).alias("w")), "license-words")
+    norms = weighed.groupBy("file").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(vectors, "term").groupBy("file", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, "file").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= LEAST_COSINE)
+    best = scored.groupBy("file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "template", "license")).alias("b"))
+    return best.select("file", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+
+
 def telling_terms(rows: list[tuple[int, str, str, float]]) -> list[str]:
     """Terms of which a statement that reaches the cosine with any template holds one: of each template the longest (most telling)
     terms, until what is left of its vector is shorter than the least cosine."""
     out = set()
     for i in {r[0] for r in rows}:
         left = 1.0
-        for _, _, term, weight in sorted(((w not in COMMON, len(w), w, v) for t, _, w, v in rows if t == i), reverse=True):
+        for _, _, _, term, weight in sorted(((w not in COMMON, w not in EVERYWHERE, len(w), w, v) for t, _, w, v in rows if t == i), reverse=True):
             if left < LEAST_COSINE ** 2 - 1e-9:
                 break
             out.add(term)
@@ -108,7 +142,7 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     """id, path, license, found ('header', 'file', 'inherited', or null with a null license),
     licensed_by (the directory it is inherited from), cosine (of an own statement).
 
-    Of a file's statements the one of largest cosine counts, then the first.  Of a directory's licence files the one of
+    A file that is a licence's text has that licence.  Else, of a file's statements the one of largest cosine counts, then the first.  Of a directory's licence files the one of
     largest cosine counts, then the smallest path.  A file with a statement of its own inherits nothing.  Null texts hold no statement; a null path
     has no directory.  Rows that repeat id and path are one file each and get the same answer; other columns are ignored.
     """
@@ -118,6 +152,11 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     own = own.groupBy("file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "part", "license", "words", "n")).alias("b")).select(
         F.col("file.id").alias("id"), F.col("file.path").alias("path"), F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"),
         F.expr("2 * b.words >= b.n").alias("whole"))
+    texts = whole_texts(keyed.select("file", "text").filter("text IS NOT NULL")).select(
+        F.col("file.id").alias("id"), F.col("file.path").alias("path"), "license", "cosine", F.lit(True).alias("whole"))
+    texts = cut_lineage(texts, "license-texts")
+    own = cut_lineage(own, "license-own")
+    own = own.alias("o").join(small(texts.alias("t"), MOST_DIRECTORIES), F.expr("o.id <=> t.id AND o.path <=> t.path"), "left_anti").unionAll(texts)
     own = cut_lineage(own, "license-statements")
     of_dir = own.filter("whole AND path IS NOT NULL").groupBy(directory(F.col("path")).alias("dir")).agg(
         F.min(F.struct((-F.col("cosine")).alias("c"), "path", "license")).alias("b")).select("dir", F.col("b.license").alias("license"))

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from spanveil.llm import licenses, mixing, sharding, url_rules
+from spanveil.llm import license_texts, licenses, mixing, sharding, url_rules
 
 from . import brute
 
@@ -158,3 +158,44 @@ def test_licenses_cosine_by_hand():
         # no template can be reached without a term that is looked for
         assert sum(v * v for w, v in mine.items() if w not in licenses.telling_terms(rows)) < licenses.LEAST_COSINE ** 2, text
         assert set(mine) == set(tf) and other >= max(idf.values())
+
+
+def counted(name):
+    """A text with the words of a licence's text as often as they stand there, in lines of ten."""
+    words = [w for x in dict(license_texts.TEXTS)[name].split() for w, _, n in [x.partition(":")] for _ in range(int(n or 1))]
+    random.Random(3).shuffle(words)
+    return "\n".join(" ".join(words[i:i + 10]) for i in range(0, len(words), 10))
+
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+def test_whole_licence_texts_license_their_directory(spark):
+    names = [n for n, _ in license_texts.TEXTS]
+    prose = "The copyright of this story is with its teller, who went to the market and bought bread for the way. " * 30
+    rows = [(0, "m/LICENSE", MIT_TEXT), (1, "m/src/a.c", "int a;"), (2, "p/story.txt", prose), (3, "p/b.c", "int b;")]
+    rows += [(10 + i, f"{n}/LICENSE", counted(n)) for i, n in enumerate(names)] + [(100 + i, f"{n}/x/y.c", "int x;") for i, n in enumerate(names)]
+    got = {x.doc_id: (x.license, x.found, x.licensed_by) for x in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    want = {0: ("MIT", "file", None), 1: ("MIT", "inherited", "m"), 2: (None, None, None), 3: (None, None, None)}
+    want |= {10 + i: (n, "file", None) for i, n in enumerate(names)} | {100 + i: (n, "inherited", n) for i, n in enumerate(names)}
+    assert got == want
