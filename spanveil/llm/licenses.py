@@ -1,8 +1,9 @@
 """License scan by sparse TF-IDF cosine, with inheritance along directories
 (DataFrame functions only).
 
-Statements (lines and sentences) of a file are compared with licence templates as
-sparse TF-IDF vectors: one row per term, joined on the term, summed to cosines.  A file is a licence file if as a whole it is like a licence's text, or if a licence
+Statements (lines and sentences, and up to ``WINDOW`` of them together, so that headers may be wrapped) of a file are
+compared with licence templates as sparse TF-IDF vectors: one row per term, joined on the term, summed to cosines; an SPDX tag
+counts as it stands.  A file is a licence file if as a whole it is like a licence's text, or if a licence
 statement makes up at least half of its words; it licenses its directory.  A file without a statement of its own takes the licence of the nearest
 ancestor directory that has one: directories, not files, are joined with their ancestors.
 """
@@ -36,7 +37,28 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "Released into the public domain under CC0 1.0"),
     ("LicenseRef-all-rights-reserved", "All rights reserved"),
+    ("MIT", "Licensed under the terms of the MIT license"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+                "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+                "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                 "published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                 "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("LicenseRef-GPL", "GNU General Public License"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+                "this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    ("BSD-3-Clause", "Source code is governed by a BSD-style license found in the LICENSE file"),
 ]
+#: statements that are compared together, at most
+WINDOW = 5
+#: an SPDX tag with its expression
+SPDX = r"(?i)\bSPDX-License-Identifier:[ \t]*\(*([a-z0-9][a-z0-9.+-]*(?:[ \t()]+(?:AND|OR|WITH)[ \t(]+[a-z0-9][a-z0-9.+-]*)*)"
 #: every licence's text has one of these; files without are not compared as a whole
 ANCHORS = r"(?i)licen[cs]e|copyright|warrant"
 #: least cosine of a statement
@@ -117,12 +139,25 @@ def statements(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     spark: SparkSession = files.sparkSession
     idf, other, rows = template_vectors(templates)
     # look for these terms before taking words apart
-    some = f"(?i)\\b(?:{'|'.join(map(re.escape, telling_terms(rows)))})\\b"
+    some = f"(?i)\\b(?:spdx-license-identifier|{'|'.join(map(re.escape, telling_terms(rows)))})\\b"
     holding = files.filter(F.col("text").rlike(some))
-    parts = holding.select("file", F.regexp_count("text", F.lit(TERM)).alias("n"), F.posexplode(F.split("text", r"[\n\r]+|(?<=[.!?;])[ \t]+")).alias(
-        "part", "s")).filter(F.col("s").rlike(some))
-    tf = parts.select("file", "n", "part", F.explode(F.regexp_extract_all(_lower(F.col("s")), F.lit(TERM), 0)).alias("term")).groupBy(
-        "file", "n", "part", "term").agg(F.count("*").alias("tf"))
+    lines = holding.select("file", F.regexp_count("text", F.lit(TERM)).alias("n"), F.split("text", r"[\n\r]+|(?<=[.!?;])[ \t]+").alias("s"))
+    # the windows around every line that holds one of the terms, of one line and more
+    hits = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.get("s", i).rlike(some))
+    starts = lines.select("file", "n", "s", F.explode(F.array_distinct(F.flatten(F.transform(
+        hits, lambda i: F.sequence(F.greatest(F.lit(0), i - (WINDOW - 1)), i))))).alias("start"))
+    lower = F.transform(F.slice("s", F.col("start") + 1, WINDOW), lambda x: F.regexp_extract_all(_lower(x), F.lit(TERM), 0))
+    near = starts.select("file", "n", "start", F.get("s", F.col("start")).alias("s"), lower.alias("w"))
+    parts = near.select("file", "n", "start", "s", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("k")).select(
+        "file", "n", ((F.col("start") + 1) * WINDOW - F.col("k")).alias("part"), "s", "k", F.flatten(F.slice("w", F.lit(1), F.col("k"))).alias("terms"))
+    tags = parts.filter("k = 1").withColumn("license", F.regexp_extract("s", SPDX, 1)).filter("license <> ''").select(
+        "file", "n", "part", F.size("terms").cast("long").alias("words"), "license", F.lit(1.0).alias("cosine"))
+    # a cosine c needs c^2 of the squared length on the templates' terms: no more than the square of their count, while each other term, of
+    # the largest idf, adds one at least
+    known = F.size(F.filter("terms", lambda x: x.isin(*sorted(idf))))
+    unknown = F.size(F.filter(F.array_distinct("terms"), lambda x: ~x.isin(*sorted(idf))))
+    able = parts.filter(known * known * (1 - LEAST_COSINE ** 2) >= unknown * LEAST_COSINE ** 2)
+    tf = able.select("file", "n", "part", F.explode("terms").alias("term")).groupBy("file", "n", "part", "term").agg(F.count("*").alias("tf"))
     idfs = F.broadcast(spark.createDataFrame([(w, v) for w, v in idf.items()], "term string, idf double"))
     vectors = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, weight double"))
     weighed = cut_lineage(tf.join(idfs, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other))).drop("idf"), "license-terms")
@@ -130,7 +165,7 @@ def statements(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     dots = weighed.join(vectors, "term").groupBy("file", "n", "part", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, ["file", "part"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= LEAST_COSINE)
     best = scored.groupBy("file", "n", "part", "words").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "template", "license")).alias("b"))
-    return best.select("file", "n", "part", "words", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+    return best.select("file", "n", "part", "words", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine")).unionAll(tags)
 
 
 def directory(path: Column) -> Column:
@@ -142,7 +177,7 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     """id, path, license, found ('header', 'file', 'inherited', or null with a null license),
     licensed_by (the directory it is inherited from), cosine (of an own statement).
 
-    A file that is a licence's text has that licence.  Else, of a file's statements the one of largest cosine counts, then the first.  Of a directory's licence files the one of
+    A file that is a licence's text has that licence.  Else, of a file's statements the one of largest cosine counts, then the first, then the longest.  Of a directory's licence files the one of
     largest cosine counts, then the smallest path.  A file with a statement of its own inherits nothing.  Null texts hold no statement; a null path
     has no directory.  Rows that repeat id and path are one file each and get the same answer; other columns are ignored.
     """

@@ -199,3 +199,18 @@ def test_whole_licence_texts_license_their_directory(spark):
     want = {0: ("MIT", "file", None), 1: ("MIT", "inherited", "m"), 2: (None, None, None), 3: (None, None, None)}
     want |= {10 + i: (n, "file", None) for i, n in enumerate(names)} | {100 + i: (n, "inherited", n) for i, n in enumerate(names)}
     assert got == want
+
+
+@pytest.mark.parametrize(("license", "header"), [
+    ("GPL-3.0", " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+                " * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version."),
+    ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n"
+                " * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"),
+    ("Apache-2.0", '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.'),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"), ("LicenseRef-GPL", "GNU GENERAL PUBLIC LICENSE"),
+    ("MIT", "// SPDX-License-Identifier: MIT"), ("Apache-2.0 OR MIT", "# SPDX-License-Identifier: (Apache-2.0 OR MIT)"),
+    ("MIT", "licensed under the terms of the MIT license")])
+def test_usual_headers(spark, license, header):
+    text = "first line of code\n" + header + "\n" + "code that goes on for a while yet\n" * 20
+    x, = licenses.scan_licenses(spark.createDataFrame([(1, "a/b.c", text)], "doc_id long, path string, text string")).collect()
+    assert (x.license, x.found) == (license, "header")
