@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extraction, jaccard_join, licenses, mixing, neighbours, quality, sharding, toxicity, url_rules
+from . import collocations, decontaminate, extraction, jaccard_join, licenses, mixing, neighbours, quality, sharding, toxicity, url_rules
 from .labelled import crc_mod
 from .util import read_table
 
@@ -185,3 +185,31 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.expr("cast(doc_id div 100 AS string)"),
         F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
     return licenses.scan_licenses(docs)
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+      FROM w, (VALUES (1), (2), (3), (4), (5)) AS s(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+x AS (SELECT lang, phrase, f, k, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+h AS (SELECT x.*, string_split(phrase, ' ') AS ws FROM x),
+c AS (SELECT h.lang, h.phrase, h.f AS a, h.k, h.cut, l.f AS l, r.f AS r, t.n,
+        ((1000::HUGEINT * h.f * t.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM h JOIN f AS l ON l.lang = h.lang AND l.phrase = array_to_string(h.ws[:h.cut], ' ')
+      JOIN f AS r ON r.lang = h.lang AND r.phrase = array_to_string(h.ws[h.cut + 1:], ' ') JOIN t ON t.lang = h.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS i FROM c),
+k AS (SELECT * FROM b WHERE i = 1 AND NOT EXISTS (SELECT 1 FROM f AS o WHERE o.lang = b.lang AND o.k > b.k
+        AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * o.f >= 100 * b.a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+"""
+
+
+@register("op12_collocations", OP12_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("text", "lang")
+    return collocations.collocations(docs).drop("cut")
