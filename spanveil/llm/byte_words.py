@@ -12,16 +12,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from .shingles import _BASE, _BYTE, _INVERSE, _cuts, _power, _row_groups, mix64, text_bytes
+from .shingles import _BASE, _INVERSE, _cuts, _power, _row_groups, mix64, text_bytes
 
 #: A-Z as a-z
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-#: a second family of hashes, independent of the first
+#: two independent families of hashes
 _BASE2 = np.uint64(0xD1342543DE82EF95)
 _INVERSE2 = np.uint64(pow(int(_BASE2), -1, 1 << 64))
-_BYTE2 = np.random.Generator(np.random.PCG64(20251103)).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BYTE1, _BYTE2 = np.random.Generator(np.random.PCG64(20251103)).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 
 
 def byte_class(members: str) -> np.ndarray:
@@ -43,7 +43,7 @@ def spans(inside: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
     """A 64-bit hash of each span of ``data``: a polynomial over its bytes by prefix sums, mixed with the length."""
     table, up, down = (_BYTE2, _power("up2", _BASE2, len(data)), _power("down2", _INVERSE2, len(data) + 1)) if second else (
-        _BYTE, _power("up", _BASE, len(data)), _power("down", _INVERSE, len(data) + 1))
+        _BYTE1, _power("up", _BASE, len(data)), _power("down", _INVERSE, len(data) + 1))
     value = table[data]
     value *= up[:len(data)]
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))

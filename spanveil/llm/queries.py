@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, extraction, jaccard_join, licenses, mixing, neighbours, quality, sharding, toxicity, url_rules
+from . import collocations, decontaminate, extraction, jaccard_join, licenses, mixing, neighbours, packing, quality, sharding, toxicity, url_rules
 from .labelled import crc_mod
 from .util import read_table
 
@@ -213,3 +213,15 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("text", "lang")
     return collocations.collocations(docs).drop("cut")
+
+
+#: a public vocabulary: byte pairs with word ends, 49,408 ids
+TOKENIZER = "word_bpe_49k.json"
+
+
+@register("op13_packing")
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, public_tokenizers.path(TOKENIZER), keep_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -25,6 +25,16 @@ def keep_columns(df: DataFrame, added: list[str]) -> list[Column]:
     return [col(c) for c in df.columns if c.lower() not in taken]
 
 
+def carried(names: list[str]) -> Column:
+    """The named columns as one struct with fields of our own naming: it passes through any step whatever the columns are called."""
+    return F.struct(F.lit(0).alias("none"), *(col(c).alias(f"c{i}") for i, c in enumerate(names)))
+
+
+def restored(names: list[str], struct: str) -> list[Column]:
+    """The columns carried in ``struct``, under their names again."""
+    return [F.col(struct).getField(f"c{i}").alias(c) for i, c in enumerate(names)]
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it
     is (the join then shuffles).  ``df`` should be cheap to count: a table
