@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, extraction, jaccard_join, licenses, mixing, neighbours, packing, quality, sharding, toxicity, url_rules
+from . import collocations, decontaminate, extraction, jaccard_join, licenses, mixing, neighbours, packing, quality, sharding, toxicity, url_rules, whitening
 from .labelled import crc_mod
 from .util import read_table
 
@@ -225,3 +225,8 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     packed = packing.pack(docs, public_tokenizers.path(TOKENIZER), keep_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@register("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
