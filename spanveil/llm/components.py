@@ -2,8 +2,8 @@
 
 Each round hangs every node's larger neighbours, then its smaller ones, under the
 smallest node of its neighbourhood (Kiveris et al.); the number of rounds grows
-with the logarithm of the component size.  All state is an edge table written
-to the shared checkpoint folder; nothing is collected.
+with the logarithm of the component size.  All state is an edge table written once
+a round to the shared checkpoint folder; nothing is collected but its number of rows and a checksum.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import cut_lineage
+from .util import cut_measured
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,12 +31,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``edges`` (u, v) undirected, any order, repeats and self-loops allowed; gives
     (node, root) for every node that has an edge to another, the root being the
     smallest node of the component."""
-    state = cut_lineage(edges.filter("u <> v").select("u", "v").distinct(), name)
-    seen = None
+    state, seen = edges.filter("u <> v").select("u", "v").distinct(), None
     while True:
-        state = cut_lineage(_small_star(cut_lineage(_large_star(state), name)), name)
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
+        state, now = cut_measured(_small_star(_large_star(state)), name, check=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        if now == seen or not now["rows"]:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = tuple(now)
+        seen = now

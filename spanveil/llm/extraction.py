@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .html_text import SECTIONS, by_markup, kind, main_blocks, read_page, slot_of
 from .shingles import mix64
-from .util import col, cut_lineage, only_ids, small
+from .util import col, cut_lineage, only_ids, sheltered, small
 
 #: different pages of a host, and the share of them that a valid class must cover
 LEAST_PAGES, LEAST_SHARE = 4, 0.6
@@ -224,6 +224,12 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     Null html and pages without an article give an empty text; a null URL has no host, so no template.
     Rows may repeat.  Input columns named like a result column (in any case) are replaced.
     """
+    shelter, names, back = sheltered(pages, url_col, html_col)
+    return back(_extract_text(shelter, *names), ADDED)
+
+
+def _extract_text(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """``extract_text`` of a table whose columns are called c0, c1, ..."""
     keyed = pages.select(col(html_col).alias("html"), host_of(col(url_col)).alias("host"), F.xxhash64(*map(col, pages.columns)).alias("key"))
     found = cut_lineage(templates(keyed), "templates").filter("size(slots) > 0")
     names = [c for c in pages.columns if c.lower() not in (*ADDED, html_col.lower())]

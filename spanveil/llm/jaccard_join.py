@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import mix64, shingle_sets, slices
-from .util import col, cut_lineage, only_ids
+from .util import col, cut_lineage, cut_measured, only_ids, sheltered
 
 #: shingle length and similarity in percent
 WORDS, PERCENT = 4, 85
@@ -173,8 +173,7 @@ def _large_bucket_links(buckets: DataFrame, sets: DataFrame, percent: int) -> Da
     """Links across components within large buckets (sig, node, comp).  Buckets that
     share nodes form one family, so that a pair is verified once, not once a bucket."""
     hub = buckets.groupBy("sig").agg(F.min("node").alias("hub"))
-    star = cut_lineage(buckets.join(hub, "sig").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "families")
-    family = components(star, "families")
+    family = components(buckets.join(hub, "sig").select(F.col("node").alias("u"), F.col("hub").alias("v")), "families")
     members = cut_lineage(buckets.select("node", "comp").distinct().join(family, "node"), "family-members")
     chunks = members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     largest = members.groupBy("root", "comp").agg(F.count("*").alias("c")).groupBy("root").agg(F.max(F.struct("c", "comp")).alias("m"))
@@ -212,16 +211,20 @@ def jaccard_links(docs: DataFrame, sketch: DataFrame, id_col: str, text_col: str
 
     roots = components(links, "jaccard-components")
     placed = buckets.select("sig", "node", "n", "c").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    placed = cut_lineage(placed, "jaccard-placed")
     split = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
-    unsure = cut_lineage(placed.join(split, "sig"), "jaccard-unsure")
+    unsure, found = cut_measured(placed.join(split, "sig"), "jaccard-unsure", large=F.count_if(F.col("c") > small_bucket))
+    if not found["rows"]:
+        return roots
     few = unsure.filter(f"c <= {small_bucket}")
     pairs = few.alias("l").join(few.alias("r"), F.expr(
         f"l.sig = r.sig AND l.node < r.node AND l.comp <> r.comp AND {_compatible('l.n', 'r.n', percent)}")).select(
         F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _linked(pairs, nodes, sets, percent).unionByName(
-        _large_bucket_links(unsure.filter(f"c > {small_bucket}"), sets, percent))
-    more = cut_lineage(more, "jaccard-links")
+    more = _linked(pairs, nodes, sets, percent)
+    if found["large"]:
+        more = more.unionByName(_large_bucket_links(unsure.filter(f"c > {small_bucket}"), sets, percent))
+    more, found = cut_measured(more, "jaccard-links")
+    if not found["rows"]:
+        return roots
     return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "jaccard-components")
 
 
@@ -254,32 +257,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return _answer(rows, label).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def _with_nodes(words: int, names: list[str]):
+def _with_nodes(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
-            sets = shingle_sets(b.column(b.num_columns - 1), words)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(map(set_node, sets), pa.int64()), pa.array(map(len, sets), pa.int32())],
-                                             names=[*names, "_node", "_n"])
+        for b in (part for whole in batches for part in slices(whole, 1)):
+            sets = shingle_sets(b.column(1), words)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_node, sets), pa.int64()), pa.array(map(len, sets), pa.int32())],
+                                             names=["kept", "node", "n"])
     return run
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT,
                 **limits) -> DataFrame:
-    """``docs`` (its columns unchanged) with one row of each component: that of the smallest id.
+    """``docs`` (its columns unchanged, whatever they are called) with one row of each component: that of the smallest id.
 
     Of rows that repeat an id and a shingle set one stays; an id with several texts stays with those that are not in a component
-    of a smaller id.  Rows without words and rows with a null id all stay.
+    of a smaller id.  Rows without words and rows with a null id all stay.  An empty table stays empty.
     """
     rows, label = _labels(docs, id_col, text_col, words, percent, limits)
     answer = cut_lineage(_answer(rows, label), "jaccard-answer")
-    repeated = cut_lineage(answer.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "jaccard-repeated")
-    gone = answer.filter("component_id <> doc_id").select("doc_id").unionByName(repeated)
-    once = only_ids(docs, cut_lineage(gone, "jaccard-gone"), id_col, "left_anti")
-    many = only_ids(docs, repeated, id_col)
-    names = many.columns
-    schema = many.withColumns({"_node": F.lit(0).cast("long"), "_n": F.lit(0)}).schema
-    many = many.select(*map(col, names), col(text_col).alias("_text")).mapInArrow(_with_nodes(words, names), schema)
-    kept = answer.filter("component_id = doc_id").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_knode")).distinct()
-    many = many.join(kept, (col(id_col) == F.col("_doc")) & (F.col("_node") == F.col("_knode"))).drop("_doc", "_knode")
-    worded = many.filter("_n > 0").dropDuplicates([id_col, "_node"])
-    return once.unionByName(worded.unionByName(many.filter("_n = 0")).select(*map(col, names)))
+    # ids that go, or come more than once: their rows are looked at one by one
+    touched = answer.filter("doc_id IS NOT NULL").groupBy("doc_id").agg((F.count("*") > 1).alias("repeated"), F.max(F.expr("component_id <> doc_id")).alias("goes"))
+    touched = cut_lineage(touched.filter("repeated OR goes"), "jaccard-touched")
+    shelter, (key, text), back = sheltered(docs, id_col, text_col)
+    once = only_ids(shelter, touched.select("doc_id"), key, "left_anti")
+    names = shelter.columns
+    many = only_ids(shelter, touched.filter("repeated").select("doc_id"), key).select(F.struct(*names).alias("kept"), F.col(text).alias("text"))
+    schema = many.select("kept").withColumns({"node": F.lit(0).cast("long"), "n": F.lit(0)}).schema
+    many = many.mapInArrow(_with_nodes(words), schema).withColumn("own", F.col(f"kept.{key}"))
+    kept = answer.filter("component_id = doc_id").select("doc_id", F.col("node").alias("kept_node")).distinct()
+    many = many.join(kept, F.expr("own = doc_id AND node = kept_node"))
+    worded = many.filter("n > 0").dropDuplicates(["own", "node"])
+    return back(once.unionByName(worded.unionByName(many.filter("n = 0")).select("kept.*")), [])

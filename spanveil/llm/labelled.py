@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import slices
-from .util import col, cut_lineage
+from .util import col, cut_lineage, sheltered
 
 
 def crc_mod(id_: Column, m: int) -> Column:
@@ -28,20 +28,24 @@ def sample_ids(labels: DataFrame, label: str, m: int, held_out: int, limit: int,
 
 
 def sample_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", name: str = "labelled-sample") -> DataFrame:
-    """Rows (id, y, text) of the sampled ids.  ``ids`` holds no more rows than its limit, so it is broadcast."""
-    return cut_lineage(docs.join(F.broadcast(ids), col(id_col) == F.col("id")).select("id", "y", "text"), name)
+    """One row (id, y, text) of each sampled id that ``docs`` holds, however often it repeats there: the text whose hash is least.  ``ids`` holds no more rows
+    than its limit, so it is broadcast."""
+    found = docs.join(F.broadcast(ids), col(id_col) == F.col("id")).groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return cut_lineage(found.select("id", "y", "t.text"), name)
 
 
 def score_rows(df: DataFrame, text_col: str, scorer: Callable[[], Callable[[pa.Array], np.ndarray]], keep_text: bool = True,
                out: str = "score") -> DataFrame:
     """``df`` (without its text if not ``keep_text``) with a column ``out``; ``scorer()`` makes, once a
     task, the function from a batch of texts to scores.  An input column of that name (in any case) is replaced."""
-    names = [c for c in df.columns if c.lower() != out.lower() and (keep_text or c.lower() != text_col.lower())]
-    schema = df.select(*map(col, names)).withColumn(out, F.lit(0.0)).schema
+    shelter, (text,), back = sheltered(df, text_col)
+    names = [c for c in shelter.columns if keep_text or c != text]
+    rows = shelter.select(*names, F.col(text).alias("text"))
+    schema = shelter.select(*names).withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
         for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
             got = pa.array(score(batch.column(batch.num_columns - 1)), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], names=[*names, out])
-    return df.select(*map(col, names), col(text_col).alias("_text_to_score")).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], names=[*names, "score"])
+    return back(rows.mapInArrow(run, schema).withColumnRenamed("score", out), [out])

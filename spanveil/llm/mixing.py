@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import WORD, col, cut_lineage, keep_columns, small
+from .util import WORD, col, cut_lineage, keep_columns, sheltered, small
 
 #: source weights in code-point order of the source, repeating
 WEIGHTS = (5, 2, 1)
@@ -87,6 +87,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     source and size share a key and are taken alike.  Input columns named like a
     result column (in any case) are replaced.  Same input, same result.
     """
+    shelter, names, back = sheltered(df, id_col, source_col, text_col)
+    return back(_mix(shelter, *names, weights, max_epochs, seed, blocks), ADDED)
+
+
+def _mix(df: DataFrame, id_col: str, source_col: str, text_col: str, weights, max_epochs: int, seed: str, blocks: int) -> DataFrame:
+    """``mix`` of a table whose columns are called c0, c1, ..."""
     text = col(text_col)
     keyed = df.withColumns({
         "_mx_size": word_count(text),
@@ -138,3 +144,10 @@ def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each row of a mixed table as often as the mix takes it."""
     return mixed.filter("copies > 0").select(
         *[col(c) for c in columns], F.explode(F.expr("sequence(1L, copies)")).alias("_epoch")).drop("_epoch")
+
+
+def repeated(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """Each row of ``df``, its columns unchanged whatever they are called, as often as the mix takes it."""
+    shelter, names, back = sheltered(df, id_col, source_col, text_col)
+    mixed = _mix(shelter, *names, WEIGHTS, MAX_EPOCHS, "mix-1", BLOCKS).filter("copies > 0")
+    return back(mixed.withColumn("epoch", F.explode(F.expr("sequence(1L, copies)"))), [])

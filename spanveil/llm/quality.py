@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .labelled import sample_ids, sample_rows, score_rows
 from .shingles import text_bytes
-from .util import col
+from .util import col, sheltered
 
 #: labelled rows fitted on, at most, and chunks of a text seen in one training step
 SAMPLE, TRAIN_CHUNKS = 12_000, 3
@@ -67,6 +67,14 @@ class ByteConv:
         return ByteConv(embed, f(2 * UNIT * EMBED, FILTERS, scale=0.25), np.zeros(FILTERS, np.float32), f(FILTERS + 1, HIDDEN, scale=0.3),
                         np.zeros(HIDDEN, np.float32), f(HIDDEN, scale=0.3), np.zeros(1, np.float32))
 
+    def snapped(self) -> ByteConv:
+        """Parameters on binary grids so coarse that every sum of products in ``score`` is exact: scores then do not depend on what else
+        is in a batch, nor on the order in which a library adds.  A response is a multiple of 2**-15 below 2**9 (24 bits), a hidden value one
+        of 2**-25 below 2**18, rounded to 2**-16, a logit one of 2**-26 below 2**25."""
+        on = lambda x, bits, top: np.clip(np.round(x.astype(np.float64) * 2 ** bits) / 2 ** bits, -top, top).astype(np.float32)
+        return ByteConv(on(self.embed, 7, 4), on(self.filters, 8, 4), on(self.shift, 15, 256), on(self.hidden, 10, 8), on(self.hidden_shift, 15, 256),
+                        on(self.out, 10, 8), on(self.out_shift, 15, 256))
+
     def responses(self, units: np.ndarray) -> np.ndarray:
         """Filter values at each unit but the last of (..., units, UNIT) bytes."""
         x = self.embed[units].reshape(*units.shape[:-1], UNIT * EMBED)
@@ -76,8 +84,9 @@ class ByteConv:
 
     def chunk_logits(self, pooled: np.ndarray, fill: np.ndarray) -> np.ndarray:
         """``fill``: the share of a chunk that holds text, so that a short text is not taken for a monotonous one."""
-        h = np.maximum(np.column_stack((np.maximum(pooled + self.shift, 0), fill)) @ self.hidden + self.hidden_shift, 0)
-        return h @ self.out + self.out_shift[0]
+        wide = [x.astype(np.float64) for x in (self.hidden, self.hidden_shift, self.out, self.out_shift)]
+        h = np.maximum(np.column_stack((np.maximum(pooled + self.shift, 0), fill)).astype(np.float64) @ wide[0] + wide[1], 0)
+        return (np.round(h * 65536) / 65536) @ wide[2] + wide[3][0]
 
     def score(self, column: pa.Array) -> np.ndarray:
         """One probability per text; a piece of the bytes at a time, whatever the length of a text."""
@@ -95,7 +104,7 @@ class ByteConv:
             pooled[b:e] = self.responses(part).reshape(e - b, BLOCK, FILTERS).max(axis=1)
             fill[b:e] = (part[:-1] != 0).reshape(e - b, -1).mean(axis=1)
         # a chunk is two neighbouring blocks of one text
-        logits = self.chunk_logits(np.maximum(pooled[:-1], pooled[1:]), (fill[:-1] + fill[1:]) / 2).astype(np.float64)
+        logits = self.chunk_logits(np.maximum(pooled[:-1], pooled[1:]), (fill[:-1] + fill[1:]) / 2)
         logits[upto[1:-1] - 1] = 0
         mean = np.add.reduceat(np.append(logits, 0.0), upto[:-1]) / (np.diff(upto) - 1)
         return 1 / (1 + np.exp(-np.clip(mean, -30, 30)))
@@ -171,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 3
         id_col: str = "doc_id", text_col: str = "text") -> ByteConv:
     """Fits on at most ``limit`` labelled rows whose crc32(id) mod ``mod`` is not ``held_out``; of
     each, up to ``TRAIN_CHUNKS`` chunks spread over the whole text go to one training task
-    (12,000 * 3 * 516 bytes at most); only the parameters come to the driver.  Without labels every score is near one half."""
+    (12,000 * 3 * 516 bytes at most); only the parameters come to the driver.  An id that repeats is fitted on once.  Without labels every score is near one half."""
     sample = sample_rows(docs.select(col(id_col), col(text_col).alias("text")), sample_ids(labels, label, mod, held_out, limit), id_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,10 +201,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 3
     net = ByteConv.start()
     for r in cuts.repartition(1).mapInArrow(learn, "name string, data binary").collect():
         setattr(net, r["name"], np.frombuffer(r["data"], np.float32).reshape(getattr(net, r["name"]).shape))
-    return net
+    return net.snapped()
 
 
 def score_documents(df: DataFrame, model: ByteConv, text_col: str = "text", keep_text: bool = True, out: str = "score") -> DataFrame:
     """``df`` with ``out``, the probability of label 1: null and empty texts count as zero bytes; each row by
-    itself, so repeated rows agree.  An input column of that name (in any case) is replaced."""
+    itself, so repeated rows agree exactly.  An input column of that name (in any case) is replaced."""
     return score_rows(df, text_col, lambda: model.score, keep_text, out)
+
+
+def keep_documents(df: DataFrame, model: ByteConv, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, its columns unchanged whatever they are called, whose score is ``least`` or more."""
+    shelter, (text,), back = sheltered(df, text_col)
+    return back(score_documents(shelter, model, text).filter(F.col("score") >= least), [])

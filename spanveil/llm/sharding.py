@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import col, cut_lineage, keep_columns
+from .util import col, cut_lineage, keep_columns, sheltered
 
 #: bytes that a row takes besides its text
 ROW_BYTES = 16
@@ -37,6 +37,12 @@ def shard_by_bytes(df: DataFrame, n_shards: int = 40, id_col: str = "doc_id", te
     case) are replaced.  ``keep_text=False`` leaves the text out, so that only
     narrow rows are shuffled.
     """
+    shelter, names, back = sheltered(df, id_col, text_col)
+    return back(_shard_by_bytes(shelter, n_shards, *names, row_bytes, keep_text), ADDED)
+
+
+def _shard_by_bytes(df: DataFrame, n_shards: int, id_col: str, text_col: str, row_bytes: int, keep_text: bool) -> DataFrame:
+    """``shard_by_bytes`` of a table whose columns are called c0, c1, ..."""
     kept = df.columns if keep_text else [c for c in df.columns if c.lower() != text_col.lower()]
     text = F.coalesce(col(text_col), F.lit(""))
     keyed = df.select(

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import col, cut_lineage, keep_columns
+from .util import col, cut_lineage, keep_columns, sheltered
 
 DEFAULT_VERDICT = "allow"
 
@@ -115,6 +115,12 @@ def judge_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default: s
     repeat.  Input columns named like a result column (in any case) are replaced.
     Columns besides the URL take no part in the sweep and are joined to its result.
     """
+    shelter, (url,), back = sheltered(df, url_col)
+    return back(_judge_urls(shelter, rules, url, default), ADDED)
+
+
+def _judge_urls(df: DataFrame, rules: DataFrame, url_col: str, default: str) -> DataFrame:
+    """``judge_urls`` of a table whose columns are called c0, c1, ..."""
     url = col(url_col)
     keyed = df.select(*keep_columns(df, ADDED), url_host(url).alias("host"), url_path(url).alias("path"))
     keyed = keyed.withColumns({"_key": host_key(F.col("host")), "_row": F.monotonically_increasing_id()})

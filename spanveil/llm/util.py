@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, read_table  # noqa: F401  (re-exported)
@@ -35,6 +37,26 @@ def restored(names: list[str], struct: str) -> list[Column]:
     return [F.col(struct).getField(f"c{i}").alias(c) for i, c in enumerate(names)]
 
 
+def sheltered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], Callable[[DataFrame, list[str]], DataFrame]]:
+    """``df`` with its columns renamed c0, c1, ..., so that an operator's own names meet none of them; what ``names`` are called
+    there; and a function (result, added) that gives the result's remaining columns their names back, followed by the added
+    ones.  An input column named like an added one (in any case) gives way."""
+    given = df.columns
+    lower = [c.lower() for c in given]
+
+    def back(out: DataFrame, added: list[str]) -> DataFrame:
+        taken = {a.lower() for a in added}
+        return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(given) if f"c{i}" in out.columns and c.lower() not in taken), *added)
+    return df.toDF(*(f"c{i}" for i in range(len(given)))), [f"c{lower.index(n.lower())}" for n in names], back
+
+
+def cut_measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``cut_lineage`` and some aggregates of its rows (``rows``: how many), taken while it is written."""
+    seen = Observation()
+    table = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(m.alias(k) for k, m in measures.items())), name)
+    return table, seen.get
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it
     is (the join then shuffles).  ``df`` should be cheap to count: a table

@@ -105,7 +105,25 @@ def test_scores_of_awkward_tables(spark):
         assert toxicity.score_documents(docs.limit(0), fitted).count() == 0
     for net in (quality.fit(docs, labels), quality.fit(docs, labels.limit(0))):
         out = {r.doc_id: r.score for r in quality.score_documents(docs, net).collect()}
-        assert len(out) == 7 and all(0 <= s <= 1 for s in out.values()) and abs(out[2] - out[6]) < 1e-9
+        assert len(out) == 7 and all(0 <= s <= 1 for s in out.values()) and out[2] == out[6]
+
+
+def test_scores_do_not_depend_on_the_batch(spark):
+    """Equal texts get equal scores to the last bit, alone or beside any others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(120)
+    net = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    texts = [r.text for r in docs.collect()] + ["", None, "é" * 5000]
+    together = net.score(pa.array(texts))
+    assert [net.score(pa.array([t], pa.string()))[0] for t in texts] == together.tolist()
+    assert net.score(pa.array(texts[::-1]))[::-1].tolist() == together.tolist()
+
+
+def test_a_repeated_id_is_fitted_on_once(spark):
+    rows = [(i, f"text {i}", None) for i in range(20)]
+    docs = spark.createDataFrame(rows + [(3, "text 3", None)] * 2000 + [(4, "other text", None)], "doc_id long, text string, `a.b` int")
+    ids = spark.createDataFrame([(i, i % 2) for i in range(10)], "id long, y int")
+    got = labelled.sample_rows(docs, ids).collect()
+    assert sorted(r.id for r in got) == list(range(10)) and all(r.text == f"text {r.id}" or r.id == 4 for r in got)
 
 
 def test_sample_is_bounded_and_leaves_the_held_out_rows(spark):

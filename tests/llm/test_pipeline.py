@@ -21,7 +21,7 @@ def test_oracle(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def plan(df):
@@ -37,12 +37,24 @@ def test_native_operators_run_no_python(spark):
         assert "CartesianProduct" not in plan(df)
 
 
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, Score int, _node string, `copies` int, C0 string, kept string"
+
+
+def awkward(spark, near: str):
+    """Rows that every stage must take: nulls, an empty text, a repeated id and row, a near copy."""
+    rest = (7, 1, "n", 5, "c", "k")
+    rows = [(9001, None, "en", "src1", 0, *rest), (9002, "", None, None, None, None, None, None, None, None, None), (3, "words of a repeated id", "en", "src3", 5, *rest),
+            (None, "an id that is missing", "en", "src1", 5, *rest), (9003, near, "en", "src1", 5, *rest), (9003, near, "en", "src1", 5, *rest)]
+    return spark.createDataFrame(rows, AWKWARD)
+
+
 def test_stages(spark):
-    docs = spark.read.parquet(SF + "/documents.parquet").selectExpr("*", "1 AS `Score`", "'x' AS slotted").filter("doc_id < 300")
-    extra = spark.createDataFrame([(9001, None, "en", "src1", 0, 1, "x"), (9002, "", None, None, None, None, None), (3, "words of a repeated id", "en", "src3", 5, 1, "x"),
-                                   (None, "an id that is missing", "en", "src1", 5, 1, "x")], docs.schema)
-    docs = docs.unionAll(extra)
+    docs = spark.read.parquet(SF + "/documents.parquet").filter("doc_id < 300")
+    near = docs.filter("doc_id = 5").first().text
+    docs = docs.selectExpr("*", "1 AS `a.b`", "2 AS Score", "'x' AS _node", "3 AS `copies`", "'y' AS C0", "'z' AS kept")
     for name, stage in corpus_pipeline.STAGES:
+        # what an earlier stage dropped comes again, so that each stage meets it
+        docs = docs.unionByName(awkward(spark, near)).dropDuplicates() if name != "quality" else docs.unionByName(awkward(spark, near))
         rows = [r.asDict() for r in docs.collect()]
         out = corpus_pipeline.cut_lineage(stage(spark, docs, SF), "test-stage")
         got = [r.asDict() for r in out.collect()]
@@ -53,6 +65,7 @@ def test_stages(spark):
             score = {(r.doc_id, r.text): r.score for r in quality.score_documents(docs.select("doc_id", "text"), net).collect()}
             assert {(r["doc_id"], r["text"]) for r in got} == {k for k, s in score.items() if s >= 0.5} and 0 < len(got) < len(rows)
         elif name == "near_duplicates":
+            assert all(r["a.b"] in (1, 7, None) and r["copies"] in (3, 5, None) for r in got)
             want = brute.jaccard_components([(r["doc_id"], r["text"]) for r in rows])
             ids = {d for d, n, c in want if d == c}
             assert {r["doc_id"] for r in got} == ids and len(got) < len(rows)
