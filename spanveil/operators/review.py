@@ -6,9 +6,9 @@ status, action_mode, custom_replacement, threshold, char_start, char_end,
 text, type.  Actions: update, add, delete, bulk_accept, bulk_update,
 bulk_accept_global, bulk_reject_global, undo.
 
-A review session covers a bounded set of documents (what one reviewer has
-open), so per-session folds stay bounded however large the corpus is; the
-log of the whole corpus is processed with one shuffle by session.
+Undo and status actions are associative summaries, merged in a tree: a hot
+session or a detection with very many actions is split over tasks, and no
+session's log lies in one array.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as sp
 from ..functions import tables as tb
-from ..session import sql_over
+from ..session import cut_lineage, sql_over
+from .compose import fold_tree
 
 UNDOABLE = ("update", "bulk_accept", "bulk_update", "bulk_accept_global", "bulk_reject_global")
 STATUS_ACTIONS = UNDOABLE
@@ -121,83 +122,102 @@ def upsert_detections(dets: DataFrame, patches: DataFrame) -> DataFrame:
 # Undo (D10) and log replay
 # ---------------------------------------------------------------------------
 
-def _cancelled_sql(log: str, depth: int) -> str:
-    kinds = ", ".join(f"'{a}'" for a in (*UNDOABLE, "undo"))
-    step = (f"CASE WHEN _x.action = 'undo' THEN "
-            f"CASE WHEN size(_acc.st) > 0 THEN named_struct('st', slice(_acc.st, 1, size(_acc.st) - 1), "
-            f"'cx', concat(_acc.cx, array(element_at(_acc.st, -1)))) ELSE _acc END "
-            f"ELSE named_struct('st', slice(concat(_acc.st, array(_x.seq)), greatest(1, size(_acc.st) + 1 - {depth - 1}), "
-            f"{depth}), 'cx', _acc.cx) END")
-    return f"""SELECT session_id, _c AS seq FROM (
-        SELECT session_id, aggregate(acts, named_struct('st', CAST(array() AS array<bigint>), 'cx', CAST(array() AS array<bigint>)),
-                                     (_acc, _x) -> {step}).cx AS cx
-        FROM (SELECT session_id, array_sort(collect_list(named_struct('seq', CAST(seq AS BIGINT), 'action', action))) AS acts
-              FROM {log} WHERE action IN ({kinds}) GROUP BY session_id)) LATERAL VIEW explode(cx) t AS _c"""
+def _undo_merge(depth: int) -> tuple[str, str]:
+    """Undo as summaries of runs of actions: ``pops`` of the stack before the run, then ``keep`` of its top entries that the run's
+    pushes leave in the bounded stack (the popped ones among them), the run's own entries (``tail``, the last on top), and the actions undone by the merge."""
+    n, p = "size(_a.tail)", "least(_x.pops, size(_a.tail))"
+    drop = f"greatest(0, {n} - _x.keep)"
+    pops = f"least(_a.pops + _x.pops - {p}, _a.keep)"
+    merge = (f"named_struct('pops', {pops}, 'keep', greatest({pops}, least(_a.keep, _a.pops + greatest(0, _x.keep - {n}))), "
+             f"'tail', concat(slice(_a.tail, {drop} + 1, {n} - {p} - {drop}), _x.tail), 'undone', concat(_a.undone, slice(_a.tail, {n} - {p} + 1, {p}), _x.undone))")
+    none = "CAST(array() AS array<bigint>)"
+    return merge, f"named_struct('pops', 0, 'keep', {depth}, 'tail', {none}, 'undone', {none})"
 
 
 def cancelled_actions(log: DataFrame, depth: int = tb.UNDO_DEPTH) -> DataFrame:
     """Seqs whose status effect is undone, per session.
 
-    Fold over the session's actions in seq order carrying (stack, cancelled):
-    undoable actions push their seq (the stack keeps the last ``depth``);
-    an undo pops the top into ``cancelled``; undo of an empty stack is a
-    no-op; add and delete are not undoable.  A session is one reviewer's
-    work, so the folded array is bounded.
+    Undoable actions push their seq on a stack that keeps the last ``depth``; an undo pops the top; undo of an
+    empty stack is a no-op; add and delete are not undoable.  Runs of a session's actions are summarized apart
+    and merged in a tree, so a session may have any number of actions.
     """
-    return sql_over(log.sparkSession, _cancelled_sql("{log}", depth), log=log)
+    merge, zero = _undo_merge(depth)
+    acts = log.filter(F.col("action").isin(*UNDOABLE, "undo") & F.col("seq").isNotNull())
+    none = "CAST(array() AS array<bigint>)"
+    step = F.expr(f"named_struct('pops', int(action = 'undo'), 'keep', {depth} - int(action <> 'undo'), "
+                  f"'tail', CASE WHEN action = 'undo' THEN {none} ELSE array(CAST(seq AS bigint)) END, 'undone', {none})")
+    _, undone = fold_tree(acts.select("session_id", F.col("seq").cast("bigint").alias("place"), step.alias("e")), ["session_id"], merge, zero, "undone")
+    return undone.select("session_id", F.col("value").alias("seq"))
+
+
+#: status actions as functions on the status: what missed (m), false_positive (f) and any other status (o) become (null: they stay)
+_STATUS_ZERO = "named_struct('m', CAST(NULL AS string), 'f', CAST(NULL AS string), 'o', CAST(NULL AS string))"
+
+
+def _after(field: str) -> str:
+    """``_x`` after ``_a`` for one kind of status."""
+    came = f"_a.{field}"
+    on = f"CASE {came} WHEN 'missed' THEN _x.m WHEN 'false_positive' THEN _x.f ELSE _x.o END"
+    return f"CASE WHEN {came} IS NULL THEN _x.{field} ELSE coalesce({on}, {came}) END"
+
+
+_STATUS_MERGE = f"named_struct('m', {_after('m')}, 'f', {_after('f')}, 'o', {_after('o')})"
 
 
 def replay(dets: DataFrame, log: DataFrame, doc_sessions: DataFrame) -> DataFrame:
     """Apply the corrections log to the detections.
 
-    * manual adds are appended; a delete removes what is there at its time, so an add after it stays
-      (neither is undoable);
-    * status actions not cancelled by an undo are folded per detection in
-      seq order (bulk actions test the status current at their time);
-    * action_mode and custom_replacement replay from the full log (undo
-      restores the status only); the last non-null value wins.
-
-    ``doc_sessions`` (doc_id, session_id) says which session reviews which
-    document (of several the first by name); session-wide bulk actions apply to all its documents.
-    Each action reaches its detections by an equi join (detection, document or
-    session), so a detection's fold holds only the actions that apply to it.
+    * a document is reviewed by one session (``doc_sessions``: doc_id, session_id; of several the first by name); actions of
+      other sessions do not reach its detections, so only numbers of one session are compared;
+    * manual adds are appended; the same span added again is the same detection, its latest add counts; a delete removes what is
+      there at its time, so an add after it stays (neither is undoable);
+    * status actions that no undo cancelled are applied in seq order, from the detection's add on (bulk actions test the status
+      current at their time, session-wide ones reach all documents of the session; an update without a status leaves it);
+    * action_mode and custom_replacement replay from the full log (undo restores the status only); the last non-null value wins.
+
+    Each action reaches its detections by an equi join (detection, document or session).  A detection's actions are functions on the
+    status, merged in a tree (``fold_tree``), so no detection or session is gathered in one array.
     """
-    status_kinds = ", ".join(f"'{a}'" for a in STATUS_ACTIONS)
-    step = ("CASE WHEN _a.action = 'update' THEN _a.status "
-            "WHEN _a.action IN ('bulk_accept', 'bulk_accept_global') THEN "
-            "CASE WHEN _s = 'missed' AND R.confidence >= _a.threshold THEN 'redacted' ELSE _s END "
-            "WHEN _a.action = 'bulk_update' THEN CASE WHEN _s IN ('missed', 'false_positive') THEN _a.status ELSE _s END "
-            "WHEN _a.action = 'bulk_reject_global' THEN CASE WHEN _s IN ('missed', 'false_positive') THEN 'dismissed' ELSE _s END "
-            "ELSE _s END")
-    act = "named_struct('seq', CAST(l.seq AS BIGINT), 'action', l.action, 'status', l.status, 'threshold', l.threshold) AS act"
     base = dets.select("doc_id", "det_id", "text", "char_start", "char_end", "type", "confidence", "status", "reason", "source")
-    return sql_over(log.sparkSession, f"""
-    WITH ADDS AS (SELECT doc_id, {sp.DET_ID_SQL} AS det_id, text, char_start, char_end, type, 1.0D AS confidence,
-                         'redacted' AS status, {sp.sql_lit(tb.MANUAL_REASON)} AS reason, 'manual' AS source, CAST(seq AS BIGINT) AS born
-                  FROM {{log}} WHERE action = 'add'),
-    GONE AS (SELECT det_id, CAST(max(seq) AS BIGINT) AS last FROM {{log}} WHERE action = 'delete' GROUP BY det_id),
-    SESS AS (SELECT doc_id, min(session_id) AS session_id FROM {{sess}} GROUP BY doc_id),
-    R AS (SELECT x.* EXCEPT (born), s.session_id
-          FROM (SELECT *, CAST(NULL AS BIGINT) AS born FROM {{base}} UNION ALL SELECT * FROM ADDS) x
-          LEFT JOIN GONE g ON x.det_id = g.det_id LEFT JOIN SESS s ON x.doc_id = s.doc_id
-          WHERE g.last IS NULL OR coalesce(x.born > g.last, false)),
-    CX AS ({_cancelled_sql("{log}", tb.UNDO_DEPTH)}),
-    LIVE AS (SELECT l.* FROM {{log}} l LEFT ANTI JOIN CX c ON l.session_id = c.session_id AND l.seq = c.seq
-             WHERE l.action IN ({status_kinds})),
-    ACTS AS (SELECT det_id, {act} FROM LIVE l WHERE action = 'update'
-             UNION ALL SELECT R.det_id, {act} FROM R JOIN LIVE l ON l.doc_id = R.doc_id AND l.session_id = R.session_id
-                       WHERE l.action IN ('bulk_accept', 'bulk_update')
-             UNION ALL SELECT R.det_id, {act} FROM R JOIN LIVE l ON l.session_id = R.session_id
-                       WHERE l.action IN ('bulk_accept_global', 'bulk_reject_global')),
-    MINE AS (SELECT det_id, array_sort(collect_set(act)) AS acts FROM ACTS GROUP BY det_id),
-    MODES AS (SELECT det_id, max_by(action_mode, CASE WHEN action_mode IS NOT NULL THEN seq END) AS action_mode,
-                     max_by(custom_replacement, CASE WHEN custom_replacement IS NOT NULL THEN seq END) AS custom_replacement
-              FROM {{log}} WHERE action = 'update' GROUP BY det_id)
+    status_kinds = ", ".join(f"'{a}'" for a in STATUS_ACTIONS)
+    held = sql_over(log.sparkSession, f"""
+    WITH SESS AS (SELECT doc_id, min(session_id) AS session_id FROM {{sess}} GROUP BY doc_id),
+    ADDS AS (SELECT doc_id, {sp.DET_ID_SQL} AS det_id, text, char_start, char_end, type, 1.0D AS confidence,
+                    'redacted' AS status, {sp.sql_lit(tb.MANUAL_REASON)} AS reason, 'manual' AS source, CAST(seq AS BIGINT) AS born, session_id AS by
+             FROM {{log}} WHERE action = 'add'),
+    LATEST AS (SELECT x.*, s.session_id, row_number() OVER (PARTITION BY det_id ORDER BY coalesce(born, -1) DESC) AS nth
+               FROM (SELECT *, CAST(NULL AS BIGINT) AS born, CAST(NULL AS string) AS by FROM {{base}} UNION ALL SELECT * FROM ADDS) x
+               LEFT JOIN SESS s ON x.doc_id = s.doc_id WHERE x.by IS NULL OR x.by = s.session_id),
+    GONE AS (SELECT session_id AS in_session, det_id AS gone_id, CAST(max(seq) AS BIGINT) AS last FROM {{log}} WHERE action = 'delete'
+             GROUP BY session_id, det_id)
+    SELECT r.doc_id, r.det_id, r.text, r.char_start, r.char_end, r.type, r.confidence, r.status, r.reason, r.source, r.born, r.session_id
+    FROM LATEST r LEFT JOIN GONE g ON r.det_id = g.gone_id AND r.session_id = g.in_session
+    WHERE r.nth = 1 AND (g.last IS NULL OR coalesce(r.born > g.last, false))""", base=base, log=log, sess=doc_sessions.select("doc_id", "session_id"))
+    held = cut_lineage(held, "reviewed-rows")  # used four times
+    said = "CASE WHEN l.action IN ('update', 'bulk_update') THEN l.status WHEN l.action = 'bulk_reject_global' THEN 'dismissed' END"
+    effect = (f"CASE WHEN l.action = 'update' THEN named_struct('m', {said}, 'f', {said}, 'o', {said}) "
+              "WHEN l.action IN ('bulk_accept', 'bulk_accept_global') THEN named_struct('m', CASE WHEN R.confidence >= l.threshold THEN 'redacted' END, "
+              "'f', CAST(NULL AS string), 'o', CAST(NULL AS string)) "
+              f"ELSE named_struct('m', {said}, 'f', {said}, 'o', CAST(NULL AS string)) END")
+    pick = f"SELECT R.det_id, CAST(l.seq AS BIGINT) AS place, {effect} AS e FROM {{held}} R JOIN LIVE l ON"
+    later = "l.seq > coalesce(R.born, l.seq - 1)"
+    steps = sql_over(log.sparkSession, f"""
+    WITH LIVE AS (SELECT DISTINCT l.session_id, l.seq, l.doc_id, l.action, l.det_id, l.status, l.threshold FROM {{log}} l
+                  LEFT ANTI JOIN {{undone}} c ON l.session_id = c.session_id AND l.seq = c.seq WHERE l.action IN ({status_kinds}))
+    {pick} l.det_id = R.det_id AND l.session_id = R.session_id AND l.action = 'update' AND {later}
+    UNION ALL {pick} l.doc_id = R.doc_id AND l.session_id = R.session_id AND l.action IN ('bulk_accept', 'bulk_update') AND {later}
+    UNION ALL {pick} l.session_id = R.session_id AND l.action IN ('bulk_accept_global', 'bulk_reject_global') AND {later}""",
+                     held=held, log=log, undone=cancelled_actions(log))
+    folded, _ = fold_tree(steps, ["det_id"], _STATUS_MERGE, _STATUS_ZERO)
+    return sql_over(log.sparkSession, """
+    WITH MODES AS (SELECT session_id, det_id, max_by(action_mode, CASE WHEN action_mode IS NOT NULL THEN seq END) AS action_mode,
+                          max_by(custom_replacement, CASE WHEN custom_replacement IS NOT NULL THEN seq END) AS custom_replacement
+                   FROM {log} WHERE action = 'update' GROUP BY session_id, det_id)
     SELECT R.det_id, R.doc_id, R.text, R.char_start, R.char_end, R.type, R.confidence,
-           CASE WHEN a.acts IS NULL THEN R.status ELSE aggregate(a.acts, R.status, (_s, _a) -> {step}) END AS status, R.reason,
+           coalesce(CASE R.status WHEN 'missed' THEN a.e.m WHEN 'false_positive' THEN a.e.f ELSE a.e.o END, R.status) AS status, R.reason,
            R.source, R.session_id, R.status AS status_before_review, m.action_mode, m.custom_replacement
-    FROM R LEFT JOIN MINE a ON R.det_id = a.det_id LEFT JOIN MODES m ON R.det_id = m.det_id""",
-                                 base=base, log=log, sess=doc_sessions.select("doc_id", "session_id"))
+    FROM {held} R LEFT JOIN {folded} a ON R.det_id = a.det_id LEFT JOIN MODES m ON R.det_id = m.det_id AND R.session_id = m.session_id""",
+                    held=held, folded=folded, log=log)
 
 
 def correction_errors(dets: DataFrame, log: DataFrame) -> DataFrame:

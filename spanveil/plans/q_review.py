@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as tb
 from ..operators import review as rv
+from ..session import cut_lineage
 from . import common as cm
 from . import sqlkit as sk
 from .registry import register
@@ -58,6 +59,11 @@ def _rd(spark, sf_dir):
     return cm.with_review_status(cm.detections(spark, sf_dir, materialize=True))
 
 
+def _log(spark, sf_dir, dets):
+    """The log, derived from the texts once."""
+    return cut_lineage(cm.corrections_log(spark, sf_dir, dets), "corrections-log")
+
+
 @register("corrections_log", f"{_RD}, {_LOG_SQL} SELECT {_LOG_COLS} FROM CLOG")
 def corrections_log(spark, sf_dir):
     """The reproducible corrections log every review query replays."""
@@ -91,12 +97,13 @@ _REPLAY_SQL = f"""
     ADDED AS (SELECT doc_id, {sk.det_id_sql()} AS det_id, text, char_start, char_end, type, 1.0::DOUBLE AS confidence, 'redacted' AS status,
                      'manual' AS source, seq AS born FROM CLOG WHERE action = 'add'),
     GONE AS (SELECT det_id, max(seq) AS last FROM CLOG WHERE action = 'delete' GROUP BY det_id),
-    RB AS (SELECT x.*, 's' || CAST(x.doc_id // 10 AS VARCHAR) AS session_id FROM (
+    RA AS (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY coalesce(born, -1) DESC) AS latest FROM (
              SELECT doc_id, det_id, text, char_start, char_end, type, confidence, status, source, NULL::BIGINT AS born FROM RD
-             UNION ALL SELECT * FROM ADDED) x LEFT JOIN GONE g ON g.det_id = x.det_id
-           WHERE g.last IS NULL OR coalesce(x.born > g.last, false)),
+             UNION ALL SELECT * FROM ADDED)),
+    RB AS (SELECT x.* EXCLUDE (latest), 's' || CAST(x.doc_id // 10 AS VARCHAR) AS session_id FROM RA x LEFT JOIN GONE g ON g.det_id = x.det_id
+           WHERE x.latest = 1 AND (g.last IS NULL OR coalesce(x.born > g.last, false))),
     LIVE AS (SELECT * FROM CLOG WHERE action NOT IN ('undo', 'add', 'delete') AND (session_id, seq) NOT IN (SELECT (session_id, seq) FROM UX)),
-    AC AS (SELECT DISTINCT b.det_id, l.seq, l.action, l.status, l.threshold FROM RB b JOIN LIVE l ON l.session_id = b.session_id
+    AC AS (SELECT DISTINCT b.det_id, l.seq, l.action, l.status, l.threshold FROM RB b JOIN LIVE l ON l.session_id = b.session_id AND l.seq > coalesce(b.born, -1)
            AND ((l.action = 'update' AND l.det_id = b.det_id) OR (l.action IN ('bulk_accept', 'bulk_update') AND l.doc_id = b.doc_id)
                 OR l.action IN ('bulk_accept_global', 'bulk_reject_global'))),
     AN AS (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY seq) AS i FROM AC),
@@ -122,7 +129,7 @@ REPLAYED_SQL = f"{_RD_RECURSIVE}, {_LOG_SQL}, {_UNDO_SQL}, {_REPLAY_SQL}"
 
 def replayed(spark, sf_dir):
     d = _rd(spark, sf_dir)
-    return rv.replay(d, cm.corrections_log(spark, sf_dir, d), cm.doc_sessions(spark, sf_dir))
+    return rv.replay(d, _log(spark, sf_dir, d), cm.doc_sessions(spark, sf_dir))
 
 
 @register("apply_corrections", f"""{REPLAYED_SQL}
@@ -137,7 +144,7 @@ def apply_corrections(spark, sf_dir):
 def replay_with_undo(spark, sf_dir):
     """Actions whose status effect is undone, per session."""
     d = _rd(spark, sf_dir)
-    return rv.cancelled_actions(cm.corrections_log(spark, sf_dir, d))
+    return rv.cancelled_actions(_log(spark, sf_dir, d))
 
 
 _SEL = "doc_id, det_id, char_start, confidence, status"

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import chunk as ch
 from ..session import read_table
+from ..streaming import live_review as lr
 from ..streaming import stream as sm
-from . import q_detect
+from . import common as cm
+from . import q_detect, q_review
 from .q_chunk import chunks_sql
 from .registry import ORACLES, register
 
@@ -104,3 +106,23 @@ def stream_progress(spark, sf_dir):
          .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
     return sm.progress_status(_totals(spark, sf_dir), sm.read_upserts(spark, out))
+
+
+@register("stream_corrections", f"""{q_review.REPLAYED_SQL}
+    SELECT doc_id, det_id, char_start, char_end, type, status, status_before_review, action_mode, custom_replacement, source FROM RPL""")
+def stream_corrections(spark, sf_dir):
+    """H7: the corrections log as a stream of five files, some actions sent again, applied by the stateful operator: updates, bulk
+    actions, undo, adds and deletes; the table of changes over the detections equals the batch replay."""
+    base = _run_dir(spark, "stream_corrections")
+    dets, sessions = q_review._rd(spark, sf_dir), cm.doc_sessions(spark, sf_dir)
+    log = q_review._log(spark, sf_dir, dets)
+    log = log.unionByName(log.filter("seq % 7 = 3")).withColumn("event_time", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("seq")))
+    log.repartitionByRange(5, "seq").write.parquet(os.path.join(base, "in"))
+    own = spark.newSession()  # the state store is chosen for this stream only
+    own.conf.set("spark.sql.shuffle.partitions", str(min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    stream = own.readStream.schema(log.schema).option("maxFilesPerTrigger", "1").parquet(os.path.join(base, "in"))
+    q = (lr.live_corrections(stream, dets, sessions).writeStream.outputMode("update").foreachBatch(sm.upsert_batch(os.path.join(base, "out")))
+         .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = lr.reviewed(dets, lr.read_changes(spark, os.path.join(base, "out")))
+    return out.select("doc_id", "det_id", "char_start", "char_end", "type", "status", "status_before_review", "action_mode", "custom_replacement", "source")
