@@ -126,3 +126,38 @@ def stream_corrections(spark, sf_dir):
     q.awaitTermination()
     out = lr.reviewed(dets, lr.read_changes(spark, os.path.join(base, "out")))
     return out.select("doc_id", "det_id", "char_start", "char_end", "type", "status", "status_before_review", "action_mode", "custom_replacement", "source")
+
+
+#: the files of the event stream: four stretches of time; some events come one file late, a few two files
+_LATE_SQL = """
+    F AS (SELECT *, least(3, CAST(floor(4.0 * (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / greatest(1, (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events))) AS INT)) AS q
+          FROM events),
+    B AS (SELECT * EXCLUDE (q), least(3, q + CASE WHEN event_id % 53 = 0 THEN 2 WHEN event_id % 50 = 0 THEN 1 ELSE 0 END) AS batch FROM F)"""
+
+
+@register("stream_windows", f"""
+    WITH {_LATE_SQL},
+    M AS (SELECT k.batch, max(b.ts) AS top FROM range(4) AS k(batch) JOIN B b ON b.batch <= k.batch GROUP BY k.batch),
+    W AS (SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS window_start FROM B),
+    K AS (SELECT w.* FROM W w LEFT JOIN M m ON m.batch = w.batch - 2
+          WHERE m.top IS NULL OR window_start + INTERVAL 1 HOUR > date_trunc('millisecond', m.top) - INTERVAL 2 HOUR)
+    SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM K
+    WHERE window_start + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM B) GROUP BY ALL""")
+def stream_windows(spark, sf_dir):
+    """H8 on a stream in append mode: sliding windows with a watermark of two hours.  A window comes out once, when the watermark has
+    passed it; an event counts unless its window was passed by the watermark of the micro-batch before."""
+    base = _run_dir(spark, "stream_windows")
+    events = read_table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(micros), F.max(micros)).first()
+    place = F.floor(F.lit(4.0) * (micros - F.lit(low)) / F.lit(max(1, (high or 0) - (low or 0))))
+    late = F.when(F.expr("event_id % 53 = 0"), 2).when(F.expr("event_id % 50 = 0"), 1).otherwise(0)
+    dealt = events.withColumn("file", F.least(F.lit(3), F.least(F.lit(3), place.cast("int")) + late))
+    for k in range(4):  # the order of the files is that of their writing
+        dealt.filter(F.col("file") == k).select(*events.columns).repartition(1).write.mode("append").parquet(os.path.join(base, "in"))
+    stream = sm.read_table_stream(spark, os.path.join(base, "in"), sm.EVENT_SCHEMA)
+    windows, _ = sm.activity_windows(stream, watermark="2 hours", slide="30 minutes")
+    q = (windows.writeStream.format("parquet").outputMode("append").option("path", os.path.join(base, "out"))
+         .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(windows.schema).parquet(os.path.join(base, "out"))

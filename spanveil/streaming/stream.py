@@ -82,15 +82,17 @@ def lost_documents(submitted: DataFrame, progress: DataFrame) -> DataFrame:
 def activity_windows(events: DataFrame, size: str = "1 hour", gap: str = "10 minutes",
                      watermark: str | None = None, slide: str | None = None) -> tuple[DataFrame, DataFrame]:
     """H8 (extension): tumbling-window counts per event type (sliding ones with ``slide``) and session
-    windows per document; with ``watermark`` for streams."""
-    ev = events.withWatermark("ts", watermark) if watermark else events
+    windows per document; with ``watermark`` for streams.  A watermark needs an instant, so a time without zone is taken
+    in the session's zone; windows come out in the type of ``ts``."""
+    kind = events.schema["ts"].dataType
+    ev = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark) if watermark else events
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
     counts = ev.groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+    counts = counts.select(F.col("w.start").cast(kind).alias("window_start"), F.col("w.end").cast(kind).alias("window_end"),
                            "event_type", "n")
     sess = ev.groupBy(F.session_window("ts", gap).alias("w"), F.col("user_id").alias("doc_id")).agg(
         F.count(F.lit(1)).alias("n_events"))
-    sess = sess.select("doc_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
+    sess = sess.select("doc_id", F.col("w.start").cast(kind).alias("session_start"), F.col("w.end").cast(kind).alias("session_end"), "n_events")
     return counts, sess
 
 

@@ -86,3 +86,21 @@ def test_corrections_stream_equals_batch(spark):
                                                    sess).collect()}
     assert streamed == batch
     assert streamed["d3"] == "false_positive" and streamed["d2"] == "redacted"
+
+
+def test_session_windows_with_a_watermark(spark, tmp_path):
+    """Append mode: a session comes out once, when the watermark has passed its end, and equals the batch's."""
+    from pyspark.sql import functions as F
+    from spanveil.streaming import stream as sm
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    days = [r[0] for r in events.select(F.to_date("ts")).distinct().orderBy(F.to_date("ts")).collect()]
+    for part in (days[:10], days[10:20], days[20:]):
+        events.filter(F.to_date("ts").isin(part)).repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+    _, sessions = sm.activity_windows(sm.read_table_stream(spark, str(tmp_path / "in"), sm.EVENT_SCHEMA), watermark="3 hours")
+    sessions.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination()
+    top = events.agg(F.max("ts")).first()[0]
+    _, batch = sm.activity_windows(events)
+    want = batch.filter(F.col("session_end") <= F.date_trunc("millisecond", F.lit(top)).cast("timestamp_ntz") - F.expr("INTERVAL 3 HOURS"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert _rows(got) == _rows(want) and 0 < got.count() < batch.count()
