@@ -60,6 +60,82 @@ class Matcher:
                         yield i, j, m.start(), m.end(), m.group()
 
 
+def longest_literal(pattern: str) -> str:
+    """The longest string that every match of ``pattern`` surely holds, or '' (read off the parsed pattern)."""
+    tree = re._parser.parse(pattern)
+    if tree.state.flags & re.IGNORECASE:
+        return ""
+    found, run = [""], []
+
+    def walk(items) -> None:
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                run.append(chr(arg))
+                continue
+            if name == "SUBPATTERN" and not arg[1] and not arg[2]:
+                walk(arg[3])
+                continue
+            stop()
+            if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+                walk(arg[2])
+                stop()
+
+    def stop() -> None:
+        found.append("".join(run))
+        run.clear()
+    walk(tree)
+    stop()
+    return max(found, key=len)
+
+
+class AutomatonMatcher:
+    """Many patterns at once: one pass of an Aho-Corasick automaton over the literals that their matches must hold tells
+    which patterns a text can match, and where; only those are tried.  Gives what ``Matcher`` gives."""
+
+    def __init__(self, patterns: Sequence[str]):
+        import ahocorasick
+        self.patterns = [re.compile(p) for p in patterns]
+        self.runs_only = [blank_free(p) for p in patterns]
+        literals = [longest_literal(p) for p in patterns]
+        self.always = [i for i, x in enumerate(literals) if not x]
+        self.of: dict[str, list[int]] = {}
+        for i, x in enumerate(literals):
+            if x:
+                self.of.setdefault(x, []).append(i)
+        self.automaton = ahocorasick.Automaton()
+        for x in self.of:
+            self.automaton.add_word(x, x)
+        if self.of:
+            self.automaton.make_automaton()
+
+    def _matches(self, pattern: re.Pattern, places: list[int], text: str) -> Iterable[re.Match]:
+        """Matches in the blank-free runs around ``places`` (ascending)."""
+        done = 0
+        for at in places:
+            if at < done:
+                continue
+            a, b = at, _BLANK.search(text, at)
+            done = b.start() if b else len(text)
+            while a > 0 and not text[a - 1].isspace():
+                a -= 1
+            yield from pattern.finditer(text, a, done)
+
+    def find(self, text: str) -> Iterable[tuple[int, int, int, int, str]]:
+        """(pattern, match, start, end, text), as ``Matcher.find``."""
+        places: dict[str, list[int]] = {}
+        if self.of:
+            for end, x in self.automaton.iter(text):
+                places.setdefault(x, []).append(end - len(x) + 1)
+        tried = {i: x for x in places for i in self.of[x]} | dict.fromkeys(self.always, "")
+        for i in sorted(tried):
+            inside = tried[i] and self.runs_only[i] and not any(c.isspace() for c in tried[i])
+            hits = self._matches(self.patterns[i], places[tried[i]], text) if inside else self.patterns[i].finditer(text)
+            for j, m in enumerate(hits):
+                if len(m.group().strip()) >= tb.HEURISTIC_MIN_TRIMMED_LENGTH:
+                    yield i, j, m.start(), m.end(), m.group()
+
+
 class Tokens:
     """The tokens of a text, found for one blank-free run at a time and kept."""
 

@@ -12,6 +12,7 @@ those gather the spans (never the text) of a document.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -49,6 +50,37 @@ def matcher(patterns: Sequence) -> Callable[[], ds.Matcher]:
     return lambda: ds.Matcher(rows)
 
 
+#: patterns of a pattern table, at most: it is configuration, held by every task
+MOST_PATTERNS = 20_000
+
+
+def pattern_rows(patterns: DataFrame) -> list[tuple]:
+    """A pattern table (pattern_id, name, regex, type, confidence, reason) as rows in the order of pattern_id.  Null or empty patterns, ones that do not
+    compile or match the empty string, and more than ``MOST_PATTERNS`` are refused with the ids they have."""
+    rows = patterns.select("pattern_id", "name", "regex", "type", F.col("confidence").cast("double"), F.coalesce("reason", F.lit(""))).orderBy(
+        "pattern_id", "name", "regex").limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+    bad = []
+    for r in rows:
+        try:
+            if not r["regex"] or re.compile(r["regex"]).match(""):
+                bad.append(r["pattern_id"])
+        except re.error:
+            bad.append(r["pattern_id"])
+    if bad:
+        raise ValueError(f"patterns that cannot be used: {bad}")
+    return [tuple(r)[1:] for r in rows]
+
+
+def table_spans(docs: DataFrame, patterns: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """All matches of the patterns of a table (I2, C1), as ``pattern_spans``; pat_idx counts the table's rows from 0 in the order of pattern_id.  All patterns are
+    looked for in one pass over a text (``docspans.AutomatonMatcher``)."""
+    rows = pattern_rows(patterns)
+    regexes = [r[1] for r in rows]
+    return pattern_spans(docs, rows, text_col, id_col, keep=keep, make=lambda: ds.AutomatonMatcher(regexes))
+
+
 def _rows_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -61,7 +93,8 @@ _SPAN_SQL = ("pat_idx int, match_idx int, char_start bigint, char_end bigint, te
 
 
 def pattern_spans(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATTERNS, text_col: str = "text",
-                  id_col: str = "doc_id", with_context: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+                  id_col: str = "doc_id", with_context: bool = False, keep: Sequence[str] = (),
+                  make: Callable[[], object] | None = None) -> DataFrame:
     """All matches of every pattern (C1, C2): one row per span.
 
     Output: doc_id, *keep, pat_idx, match_idx, char_start, char_end, text, type, base_conf, base_reason.
@@ -72,7 +105,7 @@ def pattern_spans(docs: DataFrame, patterns: Sequence = tb.HEURISTIC_PATTERNS, t
     later shuffles move spans and not documents.
     """
     rows = _pattern_rows(patterns)
-    make = matcher(patterns)
+    make = make or matcher(patterns)
     src = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text"))
     n = 1 + len(keep)
     fields = _SPAN_FIELDS + ([("ctx_o", pa.int32()), ("ctx", pa.string())] if with_context else [])

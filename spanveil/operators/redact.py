@@ -211,8 +211,12 @@ def clean_metadata(meta: Column, kind: Column, engine: str = "Spanveil") -> Colu
     return F.when(kind == "pdf", pdf).otherwise(emptied)
 
 
+#: an href attribute in any case, its value in either quotes or in none
+_HREF = r"""(?i)(?<![\w-])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def detach_links(html: Column) -> tuple[Column, Column]:
-    """F11 re-aimed to HTML: (list of detached URIs, html with href removed)."""
-    uris = F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), F.lit(1))
-    cleaned = F.regexp_replace(html, r'\s*href="[^"]*"', "")
-    return uris, cleaned
+    """F11 re-aimed to HTML: (list of detached URIs, html with every href removed)."""
+    values = F.regexp_extract_all(html, F.lit(_HREF), F.lit(1))
+    uris = F.transform(values, lambda v: F.when(v.rlike("^[\"']"), F.substring(v, 2, F.length(v) - 2)).otherwise(v))
+    return uris, F.regexp_replace(html, r"(?i)\s*" + _HREF[4:], "")

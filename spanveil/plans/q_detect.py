@@ -258,3 +258,24 @@ def action_mode(spark, sf_dir):
     pick = lambda k: F.nullif(F.element_at(modes, k), F.lit(""))
     dm = docs.select("doc_id", F.coalesce(pick(idx), pick(name), F.lit("redact")).alias("action_mode"))
     return cm.detections(spark, sf_dir).select("doc_id", "det_id").join(dm, "doc_id")
+
+
+#: one pattern for each benchmark item: its first two words of three letters and more, and the rest of the second one's line of letters
+_TABLE_SQL = """PT AS (SELECT item_id AS pattern_id, regexp_extract(text, '[A-Za-z]{3,} [A-Za-z]{3,}', 0) AS lit FROM benchmark)"""
+
+
+@register("detect_pattern_table", f"""WITH {_TABLE_SQL},
+    H AS (SELECT d.doc_id, p.pattern_id, string_split_regex(d.text, p.lit || '[a-z]* [a-z]+') AS parts, regexp_extract_all(d.text, p.lit || '[a-z]* [a-z]+') AS ms
+          FROM documents d JOIN PT p ON p.lit <> '' AND contains(d.text, p.lit)),
+    S AS (SELECT doc_id, pattern_id, CAST(i - 1 AS INTEGER) AS match_idx, ms[i] AS text,
+                 CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS char_start
+          FROM H, unnest(generate_series(1, len(ms))) AS t(i))
+    SELECT doc_id, pattern_id, match_idx, char_start, char_start + length(text) AS char_end, text, 'ITEM' AS type, CAST(0.9 AS DOUBLE) AS confidence FROM S""")
+def detect_pattern_table(spark, sf_dir):
+    """User patterns from a table, one for each benchmark item, all looked for in one pass over each document."""
+    items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.regexp_extract("text", "[A-Za-z]{3,} [A-Za-z]{3,}", 0).alias("lit"))
+    table = items.filter("lit <> ''").select("pattern_id", F.lit("item").alias("name"), F.concat("lit", F.lit("[a-z]* [a-z]+")).alias("regex"),
+                                             F.lit("ITEM").alias("type"), F.lit(0.9).alias("confidence"), F.lit("").alias("reason"))
+    ids = table.select("pattern_id", (F.row_number().over(Window.orderBy("pattern_id")) - 1).alias("pat_idx"))  # a pattern table is small by contract
+    found = dt.table_spans(cm.documents(spark, sf_dir), table)
+    return found.join(F.broadcast(ids), "pat_idx").select("doc_id", "pattern_id", "match_idx", "char_start", "char_end", "text", "type", F.col("base_conf").alias("confidence"))

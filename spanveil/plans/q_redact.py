@@ -228,19 +228,27 @@ def redact_nodes(spark, sf_dir):
     return rd.redact_by_value(nodes, d).select("doc_id", F.col("node_ord").cast("int").alias("node_ord"), "text")
 
 
-@register("detach_links", f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS link_idx, uris[i] AS uri,
-           {sk.q(tb.LINK_AUDIT.split('{v}')[0])} || uris[i] || {sk.q(tb.LINK_AUDIT.split('{v}')[1])} AS audit,
-           n_after
-    FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS uris,
-                 len(regexp_extract_all(regexp_replace(html, '\\s*href="[^"]*"', '', 'g'), 'href="', 0)) AS n_after
-          FROM pages), unnest(generate_series(1, len(uris))) AS t(i)""")
+#: read without a pattern for the whole attribute: cut at the word, look at the ends of the pieces on both sides
+_LINKS_SQL = f"""
+    C AS (SELECT page_id, string_split_regex(html, '[hH][rR][eE][fF]') AS parts FROM pages),
+    L AS (SELECT page_id, i, right(parts[i], 1) AS before, ltrim(parts[i + 1], chr(32) || chr(9) || chr(10) || chr(13)) AS rest
+          FROM C, unnest(generate_series(1, len(parts) - 1)) AS t(i)),
+    V AS (SELECT page_id, i, ltrim(substr(rest, 2), chr(32) || chr(9) || chr(10) || chr(13)) AS v FROM L
+          WHERE left(rest, 1) = '=' AND NOT regexp_matches(before, '[A-Za-z0-9_-]')),
+    U AS (SELECT page_id, i, CASE WHEN left(v, 1) IN ('"', chr(39)) THEN split_part(substr(v, 2), left(v, 1), 1)
+                                  ELSE regexp_extract(v, '^[^ \\t\\n\\r"''>]+', 0) END AS uri FROM V)
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS link_idx, uri,
+           {sk.q(tb.LINK_AUDIT.split('{v}')[0])} || uri || {sk.q(tb.LINK_AUDIT.split('{v}')[1])} AS audit, CAST(0 AS BIGINT) AS n_after FROM U"""
+
+
+@register("detach_links", f"WITH {_LINKS_SQL}")
 def detach_links(spark, sf_dir):
     """F11 re-aimed to HTML pages: one audit row per detached URI; the
     cleaned page keeps no href (n_after = 0)."""
     pages = read_table(spark, sf_dir, "pages")
     uris, cleaned = rd.detach_links(F.col("html"))
     p = pages.select("page_id", uris.alias("uris"),
-                     F.size(F.regexp_extract_all(cleaned, F.lit('href="'), F.lit(0))).alias("n_after"))
+                     F.size(F.regexp_extract_all(cleaned, F.lit(r"(?i)(?<![\w-])href\s*="), F.lit(0))).alias("n_after"))
     parts = tb.LINK_AUDIT.split("{v}")
     return p.select("page_id", F.posexplode("uris").alias("link_idx", "uri"), "n_after").select(
         "page_id", F.col("link_idx").cast("int").alias("link_idx"), "uri",

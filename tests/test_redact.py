@@ -74,3 +74,14 @@ def test_export_sink_and_error_rows(spark, tmp_path):
     io.write_export(files, str(tmp_path / "out"))
     assert {(r.out_name, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("redacted_1", "A"), ("anonymized_3", "C")}
     assert {r.text for r in io.export_files(None, manifest, originals=True, docs=docs).collect()} == {"a", None, "c"}
+
+
+def test_every_form_of_href_is_detached(spark):
+    from pyspark.sql import functions as F
+    from spanveil.operators import redact as rd
+    html = ("<a href=\"http://a\">a</a> <a HREF='http://b?x=1'>b</a> <a class=k href = http://c/d>c</a> <a class=\"k\"href=\"e\">e</a> "
+            "<div data-href=\"kept\">the word href</div> <area Href=\"\">")
+    uris, cleaned = rd.detach_links(F.col("html"))
+    r = spark.createDataFrame([(html,), ("no links",), (None,)], "html string").select(uris.alias("u"), cleaned.alias("c")).collect()
+    assert r[0].u == ["http://a", "http://b?x=1", "http://c/d", "e", ""] and r[1].u == [] and r[2].u is None
+    assert r[0].c == "<a>a</a> <a>b</a> <a class=k>c</a> <a class=\"k\">e</a> <div data-href=\"kept\">the word href</div> <area>"
