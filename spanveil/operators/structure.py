@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,33 +84,113 @@ def _flat_map(src: DataFrame, width: int, make, fields: str) -> DataFrame:
     return src.mapInArrow(run, StructType([*src.schema.fields[:width], *schema.fields]))
 
 
-def _words(text: str | None, dets: list[dict] | None) -> Iterator[tuple]:
-    """(word_idx, start, end, word, the first detection that overlaps it); ``dets`` ascending by start."""
-    dets, first = dets or [], 0
-    for i, m in enumerate(_WORD.finditer(text or "")):
-        s, e = m.span()
-        while first < len(dets) and dets[first]["char_end"] <= s:
-            first += 1
-        hit = next((d for d in dets[first:first + 1] if d["char_start"] < e), None)
-        if hit is None:  # a detection that ended before may hide a longer one that starts after it
-            k = first + 1
-            while k < len(dets) and dets[k]["char_start"] < e and hit is None:
-                hit = dets[k] if dets[k]["char_end"] > s else None
-                k += 1
-        yield i, s, e, m.group(), hit
-
-
-_WORD = re.compile(r"\S+")
+#: code points up to this one may be blank (Python's \s); characters of a piece of text looked at together
+_LAST_BLANK, _PIECE = 0x3000, 1 << 20
+_BLANKS = np.array([chr(c).isspace() for c in range(_LAST_BLANK + 1)])
+_BLANK = re.compile(r"\s")
 _WORD_FIELDS = "word_idx int, char_start bigint, char_end bigint, word string"
 DET_FIELDS = "struct<text:string,char_start:bigint,char_end:bigint,type:string,confidence:double,reason:string>"
 
 
+def _text_pieces(texts: list[str | None]) -> Iterator[list[tuple[int, int, str]]]:
+    """Groups of (row, characters before, text) of about ``_PIECE`` characters; a longer text is cut after a blank."""
+    group, size = [], 0
+    for row, text in enumerate(texts):
+        at = 0
+        while text and at < len(text):
+            end = len(text)
+            if end - at > _PIECE:
+                blank = _BLANK.search(text, at + _PIECE)
+                end = blank.end() if blank else end
+            part = text if end - at == len(text) else text[at:end]
+            if group and size + len(part) > _PIECE:
+                yield group
+                group, size = [], 0
+            group.append((row, at, part))
+            size += len(part)
+            at = end
+    if group:
+        yield group
+
+
+def _group_words(group: list[tuple[int, int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The words of a group of texts: place in the group's list, start, end (characters of the whole text), and the words: their bytes are those
+    of the texts without the blanks, end to end."""
+    joined = "".join(t for _, _, t in group)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    first = np.concatenate(([0], np.cumsum([len(t) for _, _, t in group])))
+    word = ~_BLANKS[np.minimum(points, _LAST_BLANK)] | (points > _LAST_BLANK)
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    begins[first[:-1]] = word[first[:-1]]
+    ends[first[1:] - 1] = word[first[1:] - 1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+    upto = np.concatenate(([0], np.cumsum(np.where(word, width, 0))))
+    data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+    if len(data) > len(points):
+        data = data[np.repeat(word, width)]
+    else:
+        data = data[word]
+    offsets = np.append(upto[start], upto[-1]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    place = np.repeat(np.arange(len(group)), np.diff(np.searchsorted(start, first)))
+    shift = np.array([at for _, at, _ in group], dtype=np.int64)[place] - first[place]
+    return place, start + shift, end + shift, words
+
+
+def _hits(place: np.ndarray, start: np.ndarray, end: np.ndarray, group: list, offsets: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
+    """For each word the number of the first detection that overlaps it (null: none); ``offsets`` deal the detections (``low`` to
+    ``high``, ascending) to the rows."""
+    hit = np.full(len(start), -1, dtype=np.int64)
+    bounds = np.searchsorted(place, np.arange(len(group) + 1))
+    for k, (row, _, _) in enumerate(group):
+        a, b = bounds[k], bounds[k + 1]
+        for d in range(offsets[row], offsets[row + 1]):
+            i, j = a + np.searchsorted(end[a:b], low[d], side="right"), a + np.searchsorted(start[a:b], high[d], side="left")
+            if i < j:
+                part = hit[i:j]
+                part[part < 0] = d
+    return pa.array(hit, mask=hit < 0)
+
+
+def _word_rows(src: DataFrame, with_dets: bool) -> DataFrame:
+    """``src`` (doc_id, text[, detections]) as rows of words, in arrays of a whole batch."""
+    schema = StructType([src.schema.fields[0], *StructType.fromDDL(_WORD_FIELDS + (f", det {DET_FIELDS}" if with_dets else "")).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if with_dets:
+                lists = batch.column(2)
+                offsets, dets = lists.offsets.to_numpy(), lists.values
+                low, high = (dets.field(f).to_numpy(zero_copy_only=False) for f in ("char_start", "char_end"))
+            last_row, count = -1, 0
+            for group in _text_pieces(batch.column(1).to_pylist()):
+                place, start, end, words = _group_words(group)
+                bounds = np.searchsorted(place, np.arange(len(group)))
+                number = np.arange(len(start)) - bounds[place]
+                if group[0][0] == last_row:  # the text goes on from the piece before
+                    number[place == 0] += count
+                else:
+                    count = 0
+                sizes = np.bincount(place, minlength=len(group))
+                count, last_row = (count if len(group) == 1 else 0) + int(sizes[-1]), group[-1][0]
+                rows = np.array([row for row, _, _ in group])[place]
+                columns = [batch.column(0).take(pa.array(rows)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(end), words]
+                if with_dets:
+                    columns.append(dets.take(_hits(place, start, end, group, offsets, low, high)))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+    return src.mapInArrow(run, schema)
+
+
 def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Non-blank pieces with offsets: doc_id, word_idx, char_start, char_end, word.
 
-    Blanks are all Unicode white space.  Offsets come with the words from one pass over the text: no word is shuffled.
+    Blanks are all Unicode white space.  Offsets come with the words from one pass over the text: no word is shuffled, and
+    none is a Python object.
     """
-    return _flat_map(docs.select("doc_id", F.col(text_col).alias("_t")), 1, lambda t: (w[:4] for w in _words(t, None)), _WORD_FIELDS)
+    return _word_rows(docs.select("doc_id", F.col(text_col).alias("_t")), False)
 
 
 def words_with_detections(docs: DataFrame, text_col: str = "text", dets_col: str = "dets") -> DataFrame:
@@ -117,8 +198,8 @@ def words_with_detections(docs: DataFrame, text_col: str = "text", dets_col: str
     detections are an array of the document's row (``detect.detect_arrays``, ``gather_detections``)."""
     fields = ["text", "char_start", "char_end", "type", "confidence", "reason"]
     dets = F.transform(dets_col, lambda d: F.struct(*[d[f].alias(f) for f in fields]))
-    return _flat_map(docs.select("doc_id", F.col(text_col).alias("_t"), F.array_sort(dets, lambda a, b: F.when(a["char_start"] < b["char_start"], -1).when(
-        a["char_start"] > b["char_start"], 1).otherwise(0)).alias("_d")), 1, _words, f"{_WORD_FIELDS}, det {DET_FIELDS}")
+    return _word_rows(docs.select("doc_id", F.col(text_col).alias("_t"), F.array_sort(dets, lambda a, b: F.when(a["char_start"] < b["char_start"], -1).when(
+        a["char_start"] > b["char_start"], 1).otherwise(0)).alias("_d")), True)
 
 
 def gather_detections(docs: DataFrame, dets: DataFrame) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as tb
 from ..operators import detect as dt
-from ..session import cut_lineage, read_table
+from ..session import cut_lineage, read_table, spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text."""
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    """doc_id, text, spread over the cores for the work on the texts."""
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def policy_of(doc_id: Column) -> Column:

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -93,6 +94,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly where its files cannot keep the cores busy: a small table in few row groups is read by few tasks, and
+    long work on its rows would run in those alone.  A table in at least four parts a core is left where it lies, so large
+    ones are never moved; below that, counting the parts that hold rows reads only the footers of the files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= 4 * cores:
+        return df
+    busy = df.select(F.spark_partition_id().alias("part")).distinct().count()
+    return df if busy >= cores else df.repartition(cores * 2)
+
+
 def sql_over(spark: SparkSession, query: str, **views: DataFrame) -> DataFrame:
     """``query`` over DataFrames named in braces.  The names are global, so DataFrames of several sessions (a
     micro-batch runs in a cloned one) can meet, and live only until the plan is analyzed."""
