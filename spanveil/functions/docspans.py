@@ -136,6 +136,47 @@ class AutomatonMatcher:
                     yield i, j, m.start(), m.end(), m.group()
 
 
+#: so many values are replaced one after the other; more are looked for together
+FEW_VALUES = 8
+
+
+def _replacements_stay(values: list[str], reps: list[str]) -> bool:
+    """No replacement can be part of a later occurrence: none is empty, no value holds the first or last character of one, and
+    none lies within one."""
+    edges = {r[0] for r in reps if r} | {r[-1] for r in reps if r}
+    return all(reps) and not any(edges & set(v) for v in values) and not any(v in r for r in set(reps) for v in values)
+
+
+def replace_values(text: str, pairs: Sequence[tuple[str, str]]) -> str:
+    """Every occurrence of each value replaced, value after value in the given order, each over the output of the one before (empty values
+    are skipped).  Where no replacement can take part in a later occurrence, that is: every value takes its leftmost non-overlapping
+    occurrences among the characters that earlier values left, so one pass of an automaton finds all occurrences of all
+    values.  Otherwise the values are replaced one by one."""
+    first: dict[str, tuple[int, str]] = {}
+    for i, (v, r) in enumerate(pairs):
+        if v:
+            first.setdefault(v, (i, r))
+    if len(first) <= FEW_VALUES or not _replacements_stay(list(first), [r for _, r in first.values()]):
+        for v, r in pairs:
+            text = text.replace(v, r) if v else text
+        return text
+    import ahocorasick
+    automaton = ahocorasick.Automaton()
+    for v in first:
+        automaton.add_word(v, v)
+    automaton.make_automaton()
+    places: dict[str, list[int]] = {}
+    for end, v in automaton.iter(text):
+        places.setdefault(v, []).append(end - len(v) + 1)
+    taken, chosen = bytearray(len(text)), []
+    for v in sorted(places, key=lambda v: first[v][0]):
+        for at in places[v]:
+            if taken.find(1, at, at + len(v)) < 0:
+                taken[at:at + len(v)] = b"\x01" * len(v)
+                chosen.append((at, at + len(v), first[v][1]))
+    return rewrite(text, sorted(chosen))
+
+
 class Tokens:
     """The tokens of a text, found for one blank-free run at a time and kept."""
 

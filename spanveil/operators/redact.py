@@ -153,15 +153,27 @@ def redact_by_value(units: DataFrame, values: DataFrame, unit_keys=("doc_id",),
 
     ``values``: doc_id, text, rep, ord (replacement order = detection order).
     ``units``: the text units (documents or nodes/regions) keyed by doc_id.
-    Replacements run in order, each over the output of the previous one.
+    Replacements run in order, each over the output of the previous one; many values of a document are found in one
+    pass over its text (``docspans.replace_values``).  A null text stays; a null replacement makes the text null.
     """
-    vals = values.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
+    vals = values.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(
         F.col("ord").alias("o"), F.col("text").alias("v"), F.col("rep").alias("r")))).alias("_vals"))
-    j = units.join(vals, "doc_id", "left")
-    folded = F.aggregate(F.coalesce(F.col("_vals"), F.array().cast("array<struct<o:bigint,v:string,r:string>>")),
-                         F.col(text_col),
-                         lambda acc, x: F.when(F.length(x["v"]) > 0, F.replace(acc, x["v"], x["r"])).otherwise(acc))
-    return j.withColumn(text_col, folded).drop("_vals")
+    names = units.columns
+    at = names.index(text_col)
+    j = units.join(vals, "doc_id", "left").select(*names, "_vals")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, texts = batch.column(len(names)), batch.column(at)
+            out = []
+            for text, pairs in zip(texts, lists, strict=True):
+                if not text.is_valid or not pairs.is_valid:
+                    out.append(text.as_py())
+                    continue
+                pairs = [(p["v"], p["r"]) for p in pairs.as_py() if p["v"]]
+                out.append(None if any(r is None for _, r in pairs) else ds.replace_values(text.as_py(), pairs))
+            yield pa.RecordBatch.from_arrays([pa.array(out, texts.type) if i == at else c for i, c in enumerate(batch.columns[:-1])], names=names)
+    return j.mapInArrow(run, units.select(*names).schema)
 
 
 def highlight_annotations(dets: DataFrame, global_mode: Column) -> DataFrame:

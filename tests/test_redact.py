@@ -85,3 +85,45 @@ def test_every_form_of_href_is_detached(spark):
     r = spark.createDataFrame([(html,), ("no links",), (None,)], "html string").select(uris.alias("u"), cleaned.alias("c")).collect()
     assert r[0].u == ["http://a", "http://b?x=1", "http://c/d", "e", ""] and r[1].u == [] and r[2].u is None
     assert r[0].c == "<a>a</a> <a>b</a> <a class=k>c</a> <a class=\"k\">e</a> <div data-href=\"kept\">the word href</div> <area>"
+
+
+def _fold(text, pairs):
+    for v, r in pairs:
+        text = text.replace(v, r) if v else text
+    return text
+
+
+def test_simultaneous_replacement_equals_the_fold():
+    import random
+    from spanveil.functions import docspans as ds
+    r = random.Random(6)
+    for round_ in range(400):
+        alphabet = r.choice(["ab", "abcdef ", "aé█["])
+        text = "".join(r.choices(alphabet, k=r.randint(0, 200)))
+        reps = r.choice([["██████"], ["[X]", "[EMAIL]"], ["", "z"], ["ab", "b"], ["zaz"]])
+        pairs = [("".join(r.choices(alphabet, k=r.randint(0, 4))), r.choice(reps)) for _ in range(r.choice([3, 12, 60]))]
+        assert ds.replace_values(text, pairs) == _fold(text, pairs), (text, pairs)
+
+
+def test_ten_thousand_values_in_one_document(spark):
+    import random
+    import time
+    from spanveil.functions import docspans as ds
+    from spanveil.operators import redact as rd
+    r = random.Random(7)
+    values = ["".join(r.choices("abcdefghij", k=r.randint(5, 9))) for _ in range(10_000)]
+    text = " ".join(r.choice(values) if r.random() < 0.3 else "other" for _ in range(150_000))
+    pairs = [(v, "█" * max(6, len(v))) for v in values]
+    start = time.perf_counter()
+    got = ds.replace_values(text, pairs)
+    took = time.perf_counter() - start
+    few = pairs[:300]
+    start = time.perf_counter()
+    _fold(text, few)
+    assert took < (time.perf_counter() - start) * 10_000 / 300
+    units = spark.createDataFrame([(1, text, "k"), (2, text[:2000], "k"), (3, None, "k"), (4, "no values", "k")], "doc_id long, text string, key string")
+    vals = spark.createDataFrame([(d, v, rep, i) for d in (1, 3) for i, (v, rep) in enumerate(pairs)] + [(2, pairs[0][0], None, 0)], "doc_id long, text string, rep string, ord long")
+    out = {x.doc_id: x.text for x in rd.redact_by_value(units, vals).collect()}
+    assert out == {1: got, 2: None, 3: None, 4: "no values"}
+    sample = [(v, rep) for v, rep in pairs if v in text[:3000]]
+    assert ds.replace_values(text[:3000], pairs) == _fold(text[:3000], sample)
