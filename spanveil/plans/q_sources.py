@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import redact as rd
 from ..operators import reports as rp
-from ..session import cut_lineage, read_table
+from ..session import cut_lineage, ensure_checkpoint_dir, read_table
 from ..sources import io
+from ..sources import named_files as nf
 from . import common as cm
 from . import sqlkit as sk
 from .q_reports import _RV
@@ -134,3 +138,32 @@ def reviewed_export(spark, sf_dir):
     spans = rd.confirmed(dets).join(gate, "doc_id").withColumn("rep", rd.replacement_text(
         F.col("text"), F.col("type"), F.col("action_mode"), F.col("custom_replacement"), mode))
     return io.export_files(rd.redact_documents(docs, spans), manifest)
+
+
+@register("named_files", f"""{REPLAYED_SQL},
+    OPEN AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM RPL WHERE status = 'missed')),
+    RS AS (SELECT doc_id, char_start, char_end,
+                  {sk.replacement_sql('text', 'type', 'action_mode', 'custom_replacement', _EXPORT_MODE_SQL)} AS rep
+           FROM RPL WHERE status IN ('redacted', 'added') AND doc_id IN (SELECT doc_id FROM OPEN)),
+    TX AS ({sk.rewrite_sql('RS')})
+    SELECT CASE WHEN doc_id % 3 = 1 THEN 'anonymized_' ELSE 'redacted_' END || 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS out_name, text
+    FROM TX t WHERE doc_id IN (SELECT doc_id FROM OPEN) AND length(text) > 0""")
+def named_files(spark, sf_dir):
+    """The reviewed export as one named file per document, written with commit and abort, and read back by name."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "exports", uuid.uuid4().hex)
+    nf.write_files(reviewed_export(spark, sf_dir), path)
+    return nf.read_back(spark, path)
+
+
+@register("csv_records", r"""
+    WITH R AS (SELECT conv_id, turn, array_to_string(list_filter([CAST(turn AS VARCHAR), regexp_replace(role, '^\s+|\s+$', '', 'g'),
+                 regexp_replace(replace(replace(text, chr(10), ''), chr(13), ''), '^\s+|\s+$', '', 'g')], lambda c: c <> ''), ' | ') AS line FROM conversations)
+    SELECT conv_id, string_agg(line, chr(10) ORDER BY turn, line) AS text FROM R GROUP BY conv_id""")
+def csv_records(spark, sf_dir):
+    """A3: a CSV file of every conversation (number, role, quoted text with commas, quotes and line breaks) flattened to text."""
+    t = read_table(spark, sf_dir, "conversations")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = t.select("conv_id", "turn", F.concat_ws(",", F.col("turn").cast("string"), quoted("role"), F.lit(" "), quoted("text")).alias("line"))
+    files = lines.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("l")).select(
+        "conv_id", F.concat_ws("\n", F.transform("l", lambda x: x["line"])).alias("text"))
+    return io.flatten_csv(files)

@@ -43,3 +43,42 @@ def test_latest_per_key(spark):
     old = spark.createDataFrame([(1, "a"), (1, "b"), (2, "x")], "doc_id long, det_id string")
     new = spark.createDataFrame([(1, "a"), (1, "c")], "doc_id long, det_id string")
     assert sorted(map(tuple, io.latest_per_key(old, new, key="doc_id").collect())) == [(1, "a"), (1, "c"), (2, "x")]
+
+
+def test_named_files_come_back_by_name(spark, tmp_path):
+    from spanveil.sources import named_files as nf
+    rows = [(f"doc_{i}.txt", f"text é {i}\n" * 3, None) for i in range(50)] + [("bad/name.txt", "x", None), ("none.txt", None, None), ("", "x", None), ("left.txt", "x", "error")]
+    files = spark.createDataFrame(rows, "out_name string, text string, error string").repartition(3)
+    nf.write_files(files, str(tmp_path / "out"))
+    got = {r.out_name: r.text for r in nf.read_back(spark, str(tmp_path / "out")).collect()}
+    assert got == {n: t for n, t, e in rows[:50]}
+    errors = [line for d in os.listdir(tmp_path / "out") if os.path.exists(tmp_path / "out" / d / nf.ERRORS) for line in open(tmp_path / "out" / d / nf.ERRORS)]
+    assert len(errors) == 3 and not os.path.exists(tmp_path / "out" / nf.STAGING)
+    # an empty export leaves nothing
+    nf.write_files(files.limit(0), str(tmp_path / "none"))
+    assert not os.path.exists(tmp_path / "none") or os.listdir(tmp_path / "none") == []
+
+
+def test_a_failed_task_leaves_no_file(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+    from spanveil.sources import named_files as nf
+    fails = F.when(F.col("id") == 77, F.raise_error(F.lit("broken row"))).otherwise(F.lit("text"))
+    files = spark.range(0, 100, 1, 4).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("out_name"), fails.alias("text"), F.lit(None).cast("string").alias("error"))
+    with pytest.raises(Exception, match="broken row"):
+        nf.write_files(files, str(tmp_path / "out"))
+    assert not [f for _, _, names in os.walk(tmp_path / "out") for f in names]
+
+
+def test_exact_median_by_selection(spark, monkeypatch):
+    import random
+    from pyspark.sql import functions as F
+    from spanveil.operators import reports as rp
+    monkeypatch.setattr(rp, "SELECT_ROWS", 5)
+    r = random.Random(2)
+    cases = [[1.5], [1.0, 2.0], [3.0] * 40, [r.random() for _ in range(3001)], [10.0 ** r.uniform(-300, 300) for _ in range(200)], [-1e308, 1e308, 0.0, 5.0] * 9,
+             [1.0 + i * 2 ** -52 for i in range(60)], [float(r.randint(0, 5)) for _ in range(100)]]
+    for values in cases:
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        assert rp.exact_median(df, "v") == df.agg(F.percentile("v", 0.5)).first()[0], values[:5]
+    assert rp.exact_median(spark.createDataFrame([], "v double"), "v") is None
