@@ -3,7 +3,8 @@
 ``df.write.format("named_files").mode("append").save(path)`` with the columns out_name and text writes each row as a UTF-8 file
 ``path/<export>-<task>/<out_name>``.  A task writes into a folder of its own attempt under ``path/_staging``; only when all tasks
 are done does the commit move the folders of the successful attempts to their places (one rename a task, no file passes through
-the driver), so a failed or repeated task leaves nothing.  A row that cannot be written (no text, no usable
+the driver), so a failed or repeated task leaves nothing in their places (tasks
+that still run while a failed export is given up may leave files under ``_staging``, which readers pass over).  A row that cannot be written (no text, no usable
 name, a name twice in a task) is listed in the task's ``_errors.jsonl`` and the others go on.  Folders are reached through Arrow's file systems, so the path may
 name any store that they know.
 """
