@@ -20,9 +20,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by four-word shingles at a Jaccard similarity of 0.85 or more, that of the smallest id;
+    """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8 or more, that of the smallest id;
     of rows that repeat an id and a set of shingles one stays.  Texts without words and rows with a null id all stay."""
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, words=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
