@@ -66,7 +66,7 @@ def test_stages(spark):
             assert {(r["doc_id"], r["text"]) for r in got} == {k for k, s in score.items() if s >= 0.5} and 0 < len(got) < len(rows)
         elif name == "near_duplicates":
             assert all(r["a.b"] in (1, 7, None) and r["copies"] in (3, 5, None) for r in got)
-            want = brute.jaccard_components([(r["doc_id"], r["text"]) for r in rows])
+            want = brute.jaccard_components([(r["doc_id"], r["text"]) for r in rows], 5, 80)
             ids = {d for d, n, c in want if d == c}
             assert {r["doc_id"] for r in got} == ids and len(got) < len(rows)
         elif name == "decontamination":
