@@ -34,17 +34,18 @@ class Matcher:
         self.patterns = [(re.compile(p), literals, bool(literals) and blank_free(p)) for p, literals in patterns]
 
     @staticmethod
-    def _matches(pattern: re.Pattern, literals: list[str], runs_only: bool, text: str) -> Iterable[re.Match]:
+    def _matches(pattern: re.Pattern, literals: list[str], runs_only: bool, text: str, pos: int = 0) -> Iterable[re.Match]:
+        """Leftmost non-overlapping matches from ``pos`` on."""
         if not runs_only:
-            yield from pattern.finditer(text)
+            yield from pattern.finditer(text, pos)
             return
         # matches lie within blank-free runs that hold the literals: long runs without them are not tried at each place
         rare = min(literals, key=text.count)
-        at = text.find(rare)
+        at = text.find(rare, pos)
         while at >= 0:
             a, b = at, _BLANK.search(text, at)
             b = b.start() if b else len(text)
-            while a > 0 and not text[a - 1].isspace():
+            while a > pos and not text[a - 1].isspace():
                 a -= 1
             if all(text.find(x, a, b) >= 0 for x in literals):
                 yield from pattern.finditer(text, a, b)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import spans as sp
 from ..functions import tables as tb
 from ..operators import detect as dt
+from ..operators import pieces as pc
 from ..session import read_table
 from . import common as cm
 from . import sqlkit as sk
@@ -48,6 +49,17 @@ def detect_patterns(spark, sf_dir):
     return _heur(spark, sf_dir, tb.HEURISTIC_PATTERNS)
 
 
+#: characters of a piece in the registered query: long documents of the tables come in several
+SPLIT_CHARS = 1 << 14
+
+
+@register("detect_split", _heur_sql(tb.HEURISTIC_PATTERNS))
+def detect_split(spark, sf_dir):
+    """C1 with long documents in pieces over many tasks, reconciled at the cuts: equals the single pass."""
+    h = dt.heuristic_from_spans(pc.split_spans(read_table(spark, sf_dir, "documents"), piece_chars=SPLIT_CHARS))
+    return dt.with_det_id(h).select(*_HEUR_COLS)
+
+
 _EXT_RE2 = [p for p in tb.EXTENDED_PATTERNS]
 
 
