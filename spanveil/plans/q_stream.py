@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunk as ch
 from ..session import read_table
+from ..streaming import keyed_table as kt
 from ..streaming import live_review as lr
 from ..streaming import stream as sm
 from . import common as cm
@@ -108,6 +109,20 @@ def stream_progress(spark, sf_dir):
     return sm.progress_status(_totals(spark, sf_dir), sm.read_upserts(spark, out))
 
 
+@register("stream_progress_compacted", _PROGRESS_SQL)
+def stream_progress_compacted(spark, sf_dir):
+    """H2 over many micro-batches: the events come in ten files, one a micro-batch; the keyed table of counts is compacted on the
+    way, and the view over it equals the batch result."""
+    base = _run_dir(spark, "stream_progress_compacted")
+    read_table(spark, sf_dir, "events").repartitionByRange(10, "event_id").write.parquet(os.path.join(base, "in"))
+    events = sm.read_table_stream(spark, os.path.join(base, "in"), sm.EVENT_SCHEMA)
+    out = os.path.join(base, "out")
+    q = (sm.progress_counts(events).writeStream.outputMode("update").foreachBatch(kt.keyed_batch(out, every=4))
+         .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return sm.progress_status(_totals(spark, sf_dir), kt.KeyedTable(spark, out).read())
+
+
 @register("stream_corrections", f"""{q_review.REPLAYED_SQL}
     SELECT doc_id, det_id, char_start, char_end, type, status, status_before_review, action_mode, custom_replacement, source FROM RPL""")
 def stream_corrections(spark, sf_dir):
