@@ -186,6 +186,42 @@ def highlight_annotations(dets: DataFrame, global_mode: Column) -> DataFrame:
         .filter(F.col("colour").isNotNull())
 
 
+#: the metadata fields of a page and the names of <meta> elements that give them, first come first served
+META_NAMES = {"author": ("author", "dc.creator", "article:author"), "creator": ("creator", "application-name"), "title": ("og:title", "dc.title"),
+              "created": ("article:published_time", "dcterms.created", "date"), "modified": ("article:modified_time", "dcterms.modified", "last-modified"),
+              "tool": ("generator",)}
+_VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def extract_metadata(html: Column) -> Column:
+    """F10 re-aimed to HTML: struct of author, creator, title, created, modified, tool; '' where the page does not give it (or is null).
+
+    Values come from <meta> elements (any case and order of attributes, any quotes) by ``META_NAMES``; of several elements the
+    first with a value counts.  The title is that of <title>, else of a <meta>; blanks around values go.
+    """
+    def attribute(tag: Column, names: str) -> Column:
+        raw = F.regexp_extract(tag, rf"(?is)[\s\"']{names}{_VALUE}", 1)
+        return F.trim(F.when(raw.rlike("^[\"']"), F.substring(raw, 2, F.length(raw) - 2)).otherwise(raw))
+    tags = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\s(?:[^>"']|"[^"]*"|'[^']*')*+>"""), F.lit(0))
+    pairs = F.transform(tags, lambda t: F.struct(F.lower(attribute(t, "(?:name|property|http-equiv)")).alias("name"), attribute(t, "content").alias("value")))
+
+    def first(name: str) -> Column:
+        return F.get(F.filter(pairs, lambda p: (p["name"] == name) & (p["value"] != "")), F.lit(0))["value"]
+
+    def field(names) -> Column:
+        return F.coalesce(*map(first, names), F.lit(""))
+    title = F.trim(F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>([^<]*)</title", 1))
+    out = {k: field(names) for k, names in META_NAMES.items()}
+    out["title"] = F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(out["title"])
+    return F.struct(*[v.alias(k) for k, v in out.items()])
+
+
+def metadata_map(fields: Column) -> Column:
+    """The struct of ``extract_metadata`` as the map that ``metadata_audit`` reads."""
+    names = {"author": "author", "creator": "creator", "producer": "tool", "title": "title", "creationDate": "created", "modDate": "modified"}
+    return F.create_map(*[x for k, f in names.items() for x in (F.lit(k), fields[f])])
+
+
 def metadata_audit(meta: Column, kind: Column, engine: str = "Spanveil") -> Column:
     """audit strings for every non-empty metadata field, in field order.
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tables as tb
+from ..operators import detect as dt
 from ..operators import redact as rd
 from ..operators import reports as rp
 from ..session import read_table
 from . import common as cm
+from . import sqlkit as sk
 from .q_review import _LOG_SQL, _RD
 from .registry import register
 
@@ -104,6 +106,24 @@ def sanitization_audit(spark, sf_dir):
     return rp.sanitization_audit(cm.reviewed_detections(spark, sf_dir))
 
 
+_PAGE_TITLE = next(t for f, t in tb.PDF_METADATA_AUDIT if f == "title").split("{v}")
+_DETACHED = tb.DETACHED_DETECTION.split("{v}")
+
+
+@register("page_audit", f"""
+    WITH T AS (SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages),
+    S AS ({sk.pattern_spans_sql("SELECT page_id AS doc_id, html AS text FROM pages", tb.HEURISTIC_PATTERNS)})
+    SELECT page_id AS doc_id, 'metadata' AS section, {sk.q(_PAGE_TITLE[0])} || title || {sk.q(_PAGE_TITLE[1])} AS item, NULL AS type FROM T WHERE title <> ''
+    UNION ALL SELECT doc_id, 'tokens', m, type FROM S WHERE conf >= {tb.REDACT_AT}
+    UNION ALL SELECT doc_id, 'links', {sk.q(_DETACHED[0])} || m || {sk.q(_DETACHED[1])}, type FROM S WHERE conf >= {tb.REDACT_AT} AND type = 'EMAIL_ADDRESS'""")
+def page_audit(spark, sf_dir):
+    """G7 of web pages: metadata that their export strips (F10, F9), detached links and secured tokens."""
+    pages = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    meta = rd.metadata_map(rd.extract_metadata(F.col("text")))
+    audit = pages.select("doc_id", rd.metadata_audit(meta, F.lit("pdf")).alias("audit"))
+    return rp.sanitization_audit(dt.heuristic_detections(pages), audit)
+
+
 def _progress_latency(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     start = ev.agg(F.min("ts").alias("t0"))
