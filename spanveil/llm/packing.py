@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shingles import slices
-from .token_ids import Encoder
+from .token_ids import worker_encoder
 from .util import carried, col, cut_lineage, restored
 
 CAPACITY = 2048
@@ -102,7 +102,7 @@ def token_pieces(docs: DataFrame, path: str, text_col: str = "text", capacity: i
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(shared.value), np.array([end_id], dtype=np.uint32)
+        encoder, last = worker_encoder(shared.value), np.array([end_id], dtype=np.uint32)
         for batch in (part for whole in batches for part in slices(whole, 1)):
             rows, numbers, starts, parts = [], [], [], []
             for row, ids in enumerate(encoder.ids(batch.column(1))):

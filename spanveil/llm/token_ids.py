@@ -1,14 +1,16 @@
 """Token ids of whole batches of texts.
 
 Where a tokenizer's file shows that it cuts at white space and drops it, a text's ids are the ids of its words one after
-the other: each different word is then encoded once a task, and the ids of a text are gathered by numpy.  Words are told
-apart by two independent 64-bit hashes.  Other tokenizers encode whole texts.
+the other: each different word is then encoded once a worker process, and the ids of a text are gathered by numpy.  Words are told
+apart by two independent 64-bit hashes.  Words of letters are encoded many at a time, where the ids tell their ends.
+Other tokenizers encode whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,10 @@ import pyarrow as pa
 from .byte_words import byte_class, span_hashes, spans
 from .shingles import _cuts, _row_groups, text_bytes
 
-#: words kept by a task; beyond it the store starts anew
+#: words kept by a worker; beyond it the store starts anew
 KEPT_WORDS = 1_000_000
+#: words of letters encoded as one text
+JOINED = 64
 
 _BLANK = byte_class(" \t\n\x0b\x0c\r")
 _LETTER = byte_class("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -40,14 +44,34 @@ def cuts_words(spec: dict) -> bool:
             and not any(set(" \t\n\x0b\x0c\r.,;:!?") & set(t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]))
 
 
+def end_ids(spec: dict, tokenizer) -> np.ndarray | None:
+    """For each id whether it ends a word, if the tokenizer marks the last piece of every word by a suffix."""
+    suffix = spec["model"].get("end_of_word_suffix")
+    from tokenizers.pre_tokenizers import ByteLevel
+    vocab = tokenizer.get_vocab()
+    if spec["model"]["type"] != "BPE" or not suffix or not all(c + suffix in vocab for c in ByteLevel.alphabet()):
+        return None
+    ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+    ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+    return ends
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(spec: str) -> Encoder:
+    """The encoder of this Python worker: tasks that run in it one after the other share its words."""
+    return Encoder(spec)
+
+
 class Encoder:
-    """Ids of texts by a tokenizer, given as the text of its file; one per task."""
+    """Ids of texts by a tokenizer, given as the text of its file."""
 
     def __init__(self, spec: str, by_word: bool | None = None, kept: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
-        self.by_word = cuts_words(json.loads(spec)) if by_word is None else by_word
+        read = json.loads(spec)
+        self.by_word = cuts_words(read) if by_word is None else by_word
+        self.ends = end_ids(read, self.tokenizer) if self.by_word else None
         self.most = kept
         self._forget()
 
@@ -58,13 +82,39 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word, and all ids.  Letters are never parted, so a word of letters has one end."""
+        if self.ends is None or not all(map(str.isalpha, words)):
+            got = self._encode(words)
+            return np.array([len(g) for g in got], dtype=np.int64), np.concatenate(got)
+        groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        sizes, found = [], []
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            upto = np.flatnonzero(self.ends[ids]) + 1
+            if len(upto) == len(group) and upto[-1] == len(ids):
+                sizes.append(np.diff(upto, prepend=0))
+                found.append(ids)
+            else:  # lower case or NFC gave a word something else than letters
+                got = self._encode(group)
+                sizes.append(np.array([len(g) for g in got], dtype=np.int64))
+                found += got
+        return np.concatenate(sizes), np.concatenate(found)
+
     def _learn(self, keys: np.ndarray, checks: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        got = []
-        for i in range(0, len(keys), 1 << 14):
-            got += self._encode([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[i:i + (1 << 14)], end[i:i + (1 << 14)], strict=True)])
-        size = np.array([len(g) for g in got], dtype=np.int64)
-        at = len(self.pool) + np.concatenate((np.zeros(1, np.int64), np.cumsum(size)[:-1]))
-        self.pool = np.concatenate([self.pool, *got])
+        sizes, pools = [], [self.pool]
+        words = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start, end, strict=True)]
+        plain = np.array([w.isalpha() for w in words], dtype=bool)
+        first = np.argsort(~plain, kind="stable")  # words of letters before the others
+        words, keys, checks = [words[i] for i in first], keys[first], checks[first]
+        letters = int(plain.sum())
+        for low, high in ((0, letters), (letters, len(words))):
+            for i in range(low, high, 1 << 14):
+                size, ids = self._encode_words(words[i:min(i + (1 << 14), high)])
+                sizes.append(size)
+                pools.append(ids)
+        size = np.concatenate(sizes)
+        at = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate(pools)
         order = np.argsort(np.concatenate((self.keys, keys)), kind="stable")
         self.keys, self.checks = np.concatenate((self.keys, keys))[order], np.concatenate((self.checks, checks))[order]
         self.at, self.size = np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]

@@ -113,3 +113,19 @@ def test_pack(spark):
 
 def test_pack_nothing(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_tasks_of_a_worker_share_the_words_and_letters_are_encoded_together():
+    a, b = token_ids.worker_encoder(spec()), token_ids.worker_encoder("".join([spec()]))
+    assert a is b
+    words = ["plain", "Öffnung", "don't", "a1b", "x", "ﬁne", "日本語", "word", "été", "ªº", "ͅa", "ʼn", "..", "İstanbul"] * 3 + [f"w{chr(97 + i % 26)}{'z' * (i % 7)}" for i in range(200)]
+    texts = [" ".join(words[i::5]) for i in range(5)]
+    whole = token_ids.Encoder(spec(), by_word=False)
+    fresh, calls = token_ids.Encoder(spec()), []
+    encode = fresh._encode
+    fresh._encode = lambda t: calls.append(len(t)) or encode(t)
+    for _ in range(2):
+        for got, want in zip(fresh.ids(pa.array(texts)), whole.ids(pa.array(texts)), strict=True):
+            assert got.tolist() == want.tolist()
+        assert sum(calls) < len(set(words)) / 2  # the second time none
+    assert fresh._encode_words(["a", "1"])[0].tolist() == [1, 1]
