@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import tables as tb
+from ..functions.batches import small
 from .detect import merge_overlaps
 
 #: chunks put into one output batch
@@ -64,7 +65,7 @@ def chunk_documents(docs: DataFrame, text_col: str = "text", keep_text: bool = T
             kept = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:n]]
             made = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [[]] * len(fields), fields, strict=True)]
             return pa.RecordBatch.from_arrays([*kept, *made], names=[*batch.schema.names[:n], *(f for f, _ in fields)])
-        for batch in batches:
+        for batch in small(batches):
             at, rows = [], []
             for i, text in enumerate(batch.column(n).to_pylist()):
                 bounds = chunk_bounds(text, **kw)
