@@ -6,6 +6,9 @@ word-to-detection lookup is an interval join with the equi key doc_id.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,20 +32,29 @@ def fill(template: str, **vals: Column) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def unflagged_rule(word: Column) -> Column:
-    """E4 rule name, first match wins: short, legal, function, number, default."""
-    low = F.lower(F.regexp_replace(word, r"^\s+|\s+$", ""))
+def lowered(word: Column) -> Column:
+    """The word in lower case without blanks at its ends (few words have any, so the replacement is seldom tried)."""
+    return F.lower(F.when(word.rlike(r"\s"), F.regexp_replace(word, r"^\s+|\s+$", "")).otherwise(word))
+
+
+def lowered_rule(low: Column) -> Column:
+    """``unflagged_rule`` of a word that ``lowered`` gave."""
     # equality with a legal term is covered by containment
     return (F.when(F.length(low) <= 2, "short")
-            .when(low.rlike("|".join(tb.LEGAL_TERMS)), "legal")
-            .when(F.array_contains(F.array(*[F.lit(w) for w in tb.FUNCTION_WORDS]), low), "function")
-            .when(low.rlike("^[0-9]+$") & (F.length(low) <= 4), "number")
+            .when(reduce(or_, [low.contains(t) for t in tb.LEGAL_TERMS]), "legal")
+            .when(low.isin(*tb.FUNCTION_WORDS), "function")
+            .when((F.length(low) <= 4) & low.rlike("^[0-9]+$"), "number")
             .otherwise("default"))
 
 
+def unflagged_rule(word: Column) -> Column:
+    """E4 rule name, first match wins: short, legal, function, number, default."""
+    return lowered_rule(lowered(word))
+
+
 def unflagged_explanation(word: Column, rule: Column) -> tuple[Column, Column]:
     """(explanation, risk_level) for a word that overlaps no detection."""
-    n = F.length(F.lower(F.regexp_replace(word, r"^\s+|\s+$", ""))).cast("string")
+    n = F.length(lowered(word)).cast("string")
     text = (F.when(rule == "short", fill(tb.EXPLAIN_SHORT, t=word))
             .when(rule == "legal", fill(tb.EXPLAIN_LEGAL, t=word))
             .when(rule == "function", fill(tb.EXPLAIN_FUNCTION, t=word))
@@ -72,10 +84,15 @@ def explain_words(words: DataFrame, external: DataFrame | None = None) -> DataFr
     others from an external explanation table when given (source as named
     there), else from the rules ('rules').
 
-    ``words`` comes from ``structure.words_with_detections``: the lookup of a word's detection is done in the
-    document's row, so no word is shuffled (but for ``external``: doc_id, word_idx, explanation, risk_level, source).
+    ``words`` comes from ``structure.words_with_detections``: the lookup of a word's detection, and of its external
+    explanation if the words were made with them (column ``ext``), is done in the document's row, so no word is
+    shuffled.  Words made without them may be given ``external`` (doc_id, word_idx, explanation, risk_level, source) here, which
+    shuffles every word.
     """
-    if external is not None:
+    if "ext" in words.columns:
+        x = words.select("*", F.col("ext.explanation").alias("_ext"), F.col("ext.risk_level").alias("_erisk"),
+                         F.col("ext.source").alias("_esrc")).drop("ext")
+    elif external is not None:
         x = words.join(external.select("doc_id", "word_idx", F.col("explanation").alias("_ext"),
                                        F.col("risk_level").alias("_erisk"), F.col("source").alias("_esrc")),
                        ["doc_id", "word_idx"], "left")
@@ -83,9 +100,10 @@ def explain_words(words: DataFrame, external: DataFrame | None = None) -> DataFr
         x = words.select("*", F.lit(None).cast("string").alias("_ext"), F.lit(None).cast("string").alias("_erisk"),
                          F.lit(None).cast("string").alias("_esrc"))
     is_det = F.col("det").isNotNull()
-    # the rule is computed in its own projection and referenced by name
+    # the lowered word and the rule are computed in projections of their own and referenced by name
+    x = x.withColumn("_low", lowered(F.col("word")))
     x = x.withColumn("rule", F.when(is_det, F.lit("detection")).when(F.col("_ext").isNotNull(), F.lit("external"))
-                     .otherwise(unflagged_rule(F.col("word"))))
+                     .otherwise(lowered_rule(F.col("_low"))))
     conf = F.coalesce(F.col("det.confidence"), F.lit(0.0))
     cached = F.coalesce(F.col("det.reason"), F.concat(F.lit("Detected as "), F.coalesce(F.col("det.type"), F.lit("UNKNOWN")),
                                                       F.lit(" with "), sp.pct0(conf), F.lit(" confidence.")))
