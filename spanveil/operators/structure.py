@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import spans as sp
+from ..functions.batches import small
 
 
 def assemble_nodes(nodes: DataFrame, sep: str = "\n") -> tuple[DataFrame, DataFrame]:
@@ -66,7 +67,7 @@ def _flat_map(src: DataFrame, width: int, make, fields: str) -> DataFrame:
     types = [f.type for f in to_arrow_schema(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             at, rows = [], []
 
             def out():
@@ -90,6 +91,7 @@ _BLANKS = np.array([chr(c).isspace() for c in range(_LAST_BLANK + 1)])
 _BLANK = re.compile(r"\s")
 _WORD_FIELDS = "word_idx int, char_start bigint, char_end bigint, word string"
 DET_FIELDS = "struct<text:string,char_start:bigint,char_end:bigint,type:string,confidence:double,reason:string>"
+EXT_FIELDS = "struct<word_idx:int,explanation:string,risk_level:string,source:string>"
 
 
 def _text_pieces(texts: list[str | None]) -> Iterator[list[tuple[int, int, str]]]:
@@ -155,12 +157,26 @@ def _hits(place: np.ndarray, start: np.ndarray, end: np.ndarray, group: list, of
     return pa.array(hit, mask=hit < 0)
 
 
-def _word_rows(src: DataFrame, with_dets: bool) -> DataFrame:
-    """``src`` (doc_id, text[, detections]) as rows of words, in arrays of a whole batch."""
-    schema = StructType([src.schema.fields[0], *StructType.fromDDL(_WORD_FIELDS + (f", det {DET_FIELDS}" if with_dets else "")).fields])
+def _of_words(lists: pa.ListArray, key: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The words (by place in ``key``: row << 32 and number, ascending) with each element of the rows' ``lists`` that has their number
+    (field word_idx, ascending in a row): a word with several stands as often, one with none once with null."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    numbers = lists.values.field("word_idx").to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]].astype(np.int64)
+    keys = (np.repeat(np.arange(len(lists)), np.diff(offsets)) << 32) + numbers
+    low, high = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
+    times = np.maximum(high - low, 1)
+    word = np.repeat(np.arange(len(key)), times)
+    at = offsets[0] + low[word] + np.arange(len(word)) - np.repeat(np.cumsum(times) - times, times)
+    return word, pa.array(at, mask=(high == low)[word])
+
+
+def _word_rows(src: DataFrame, with_dets: bool, with_ext: bool = False) -> DataFrame:
+    """``src`` (doc_id, text[, detections[, external explanations]]) as rows of words, in arrays of a whole batch."""
+    schema = StructType([src.schema.fields[0], *StructType.fromDDL(_WORD_FIELDS + (f", det {DET_FIELDS}" if with_dets else "")
+                                                                   + (f", ext {EXT_FIELDS}" if with_ext else "")).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             if with_dets:
                 lists = batch.column(2)
                 offsets, dets = lists.offsets.to_numpy(), lists.values
@@ -180,6 +196,11 @@ def _word_rows(src: DataFrame, with_dets: bool) -> DataFrame:
                 columns = [batch.column(0).take(pa.array(rows)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(end), words]
                 if with_dets:
                     columns.append(dets.take(_hits(place, start, end, group, offsets, low, high)))
+                if with_ext:
+                    word, at = _of_words(batch.column(3), (rows << 32) + number)
+                    if len(word) > len(rows):
+                        columns = [c.take(pa.array(word)) for c in columns]
+                    columns.append(batch.column(3).values.take(at))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
     return src.mapInArrow(run, schema)
 
@@ -193,13 +214,20 @@ def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return _word_rows(docs.select("doc_id", F.col(text_col).alias("_t")), False)
 
 
-def words_with_detections(docs: DataFrame, text_col: str = "text", dets_col: str = "dets") -> DataFrame:
+def words_with_detections(docs: DataFrame, text_col: str = "text", dets_col: str = "dets", external: DataFrame | None = None) -> DataFrame:
     """``word_table`` with ``det``, the first detection (by start) that strictly overlaps the word; the
-    detections are an array of the document's row (``detect.detect_arrays``, ``gather_detections``)."""
+    detections are an array of the document's row (``detect.detect_arrays``, ``gather_detections``).  With ``external`` (doc_id, word_idx,
+    explanation, risk_level, source) also ``ext``, the external explanation of the word: those of a document are
+    gathered and joined to its row, so texts are shuffled and no word is.  A word with several stands once for each."""
     fields = ["text", "char_start", "char_end", "type", "confidence", "reason"]
     dets = F.transform(dets_col, lambda d: F.struct(*[d[f].alias(f) for f in fields]))
-    return _word_rows(docs.select("doc_id", F.col(text_col).alias("_t"), F.array_sort(dets, lambda a, b: F.when(a["char_start"] < b["char_start"], -1).when(
-        a["char_start"] > b["char_start"], 1).otherwise(0)).alias("_d")), True)
+    src = docs.select("doc_id", F.col(text_col).alias("_t"), F.array_sort(dets, lambda a, b: F.when(a["char_start"] < b["char_start"], -1).when(
+        a["char_start"] > b["char_start"], 1).otherwise(0)).alias("_d"))
+    if external is None:
+        return _word_rows(src, True)
+    said = external.filter("word_idx BETWEEN 0 AND 2147483647").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("word_idx").cast("int").alias("word_idx"), "explanation", "risk_level", "source"))).alias("_e"))
+    return _word_rows(src.join(said, "doc_id", "left").select("doc_id", "_t", "_d", "_e"), True, True)
 
 
 def gather_detections(docs: DataFrame, dets: DataFrame) -> DataFrame:

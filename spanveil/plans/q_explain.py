@@ -75,8 +75,8 @@ def explain_words(spark, sf_dir):
     return ex.explain_words(_words(spark, sf_dir))
 
 
-def _words(spark, sf_dir):
-    return st.words_with_detections(dt.detect_arrays(cm.documents_with_policy(spark, sf_dir)))
+def _words(spark, sf_dir, external=None):
+    return st.words_with_detections(dt.detect_arrays(cm.documents_with_policy(spark, sf_dir)), external=external)
 
 
 @register("explain_external", f"""{_EXPLAIN_SQL}
@@ -91,7 +91,7 @@ def explain_external(spark, sf_dir):
     external = st.word_table(cm.documents(spark, sf_dir)).filter("word_idx % 7 = 0").select(
         "doc_id", "word_idx", F.concat(F.lit('The model on "'), "word", F.lit('".')).alias("explanation"),
         F.lit("medium").alias("risk_level"), F.lit("model").alias("source"))
-    return ex.explain_words(_words(spark, sf_dir), external)
+    return ex.explain_words(_words(spark, sf_dir, external))
 
 
 @register("explain_unflagged", f"""{_EXPLAIN_SQL}
