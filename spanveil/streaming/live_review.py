@@ -113,42 +113,46 @@ class ReviewProcessor(StatefulProcessor):
             self.dets.updateValue((row["det_id"],), tuple(det[k] for k in _NAMES))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        _, last = self._undo()
+        stack, last = self._undo()
+        held, fresh = self._held(), {}
         for part in rows:
             for row in part.to_dict("records"):
                 seq, at = _plain(row["seq"]), row["event_time"]
-                if seq is None or seq <= last or self.waiting.containsKey((int(seq),)):
+                if seq is None or seq <= last or int(seq) in held or int(seq) in fresh:
                     continue
                 due = int(pd.Timestamp(at).timestamp() * 1000) + self.patience if _plain(at) is not None else 0
-                self.waiting.updateValue((int(seq),), (json.dumps({k: _plain(row[k]) for k in _ACTION}), due))
-        yield from self._advance(key, timerValues, False)
+                fresh[int(seq)] = ({k: _plain(row[k]) for k in _ACTION}, due)
+        yield from self._advance(key, timerValues, False, stack, last, held, fresh)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, timerValues, True)
+        yield from self._advance(key, timerValues, True, *self._undo(), self._held(), {})
 
     def _undo(self) -> tuple[list, int]:
-        if not self.stack.exists():
-            return [], 0
-        entries, last = self.stack.get()
-        return json.loads(entries), int(last)
+        kept = self.stack.get()
+        return (json.loads(kept[0]), int(kept[1])) if kept is not None else ([], 0)
 
-    def _advance(self, key, timerValues, late: bool) -> Iterator[pd.DataFrame]:
-        """Applies the waiting actions that follow each other; after the deadline of one, also those behind a gap."""
-        stack, last = self._undo()
-        waiting = sorted((int(k[0]), v[0], int(v[1])) for k, v in self.waiting.iterator())
+    def _held(self) -> dict[int, tuple[dict, int]]:
+        """The waiting actions of the state."""
+        return {int(k[0]): (json.loads(v[0]), int(v[1])) for k, v in self.waiting.iterator()}
+
+    def _advance(self, key, timerValues, late: bool, stack: list, last: int, held: dict, fresh: dict) -> Iterator[pd.DataFrame]:
+        """Applies the waiting actions (``held`` by the state, and ``fresh``) that follow each other; after the deadline of one, also those behind a
+        gap.  Every call of the state costs a way to the JVM and back, so only what goes on waiting is put there."""
+        waiting = [(seq, *x) for seq, x in sorted((held | fresh).items(), key=lambda x: x[0])]
         now, ready = timerValues.getCurrentWatermarkInMs() if late else 0, []
         overdue = max((seq for seq, _, due in waiting if late and due <= now), default=0)
         upto = last
         for seq, act, _ in waiting:
             if seq != upto + 1 and seq > overdue:
                 break
-            ready.append((seq, json.loads(act)))
+            ready.append((seq, act))
             upto = seq
         if ready:
             review = Review({k[0]: dict(zip(_NAMES, map(_plain, v), strict=True)) for k, v in self.dets.iterator()}, stack)
             for seq, act in ready:
                 review.apply(seq, act)
-                self.waiting.removeKey((seq,))
+                if seq in held:
+                    self.waiting.removeKey((seq,))
             for det_id in review.changed:
                 self.dets.updateValue((det_id,), tuple(review.dets[det_id][k] for k in _NAMES))
             self.stack.update((json.dumps(review.stack), upto))
@@ -156,8 +160,12 @@ class ReviewProcessor(StatefulProcessor):
             if out:
                 frame = pd.DataFrame(out, columns=["session_id", "det_id", *_NAMES, "upto"])
                 yield frame.astype({c: "Int64" for c in ("doc_id", "char_start", "char_end", "born", "upto")})
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        for seq, (act, due) in fresh.items():
+            if seq > upto:
+                self.waiting.updateValue((seq,), (json.dumps(act), due))
+        if held:  # a timer stands only where actions wait
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
         rest = [due for seq, _, due in waiting if seq > upto]
         if rest:
             self.handle.registerTimer(min(rest))
