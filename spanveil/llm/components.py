@@ -3,7 +3,7 @@
 Each round hangs every node's larger neighbours, then its smaller ones, under the
 smallest node of its neighbourhood (Kiveris et al.); the number of rounds grows
 with the logarithm of the component size.  All state is an edge table written once
-a round to the shared checkpoint folder; nothing is collected but its number of rows and a checksum.
+a round to the shared checkpoint folder, in place of the one before; nothing is collected but its number of rows and a checksum.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import cut_measured
+from .util import cut_measured, drop_tables
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     smallest node of the component."""
     state, seen = edges.filter("u <> v").select("u", "v").distinct(), None
     while True:
-        state, now = cut_measured(_small_star(_large_star(state)), name, check=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        before = state
+        state, now = cut_measured(_small_star(_large_star(before)), name, check=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        drop_tables(before)
         if now == seen or not now["rows"]:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

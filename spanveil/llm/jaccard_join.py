@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import mix64, shingle_sets, slices
-from .util import col, cut_lineage, cut_measured, only_ids, sheltered
+from .util import col, cut_lineage, cut_measured, drop_tables, only_ids, sheltered
 
 #: shingle length and similarity in percent
 WORDS, PERCENT = 4, 85
@@ -46,8 +46,9 @@ WORDS, PERCENT = 4, 85
 RARE = 64
 #: sets with at least so many shingles index frequent tokens alone
 LONG = 1000
-#: buckets up to this size are verified pair by pair, larger ones in chunks of CHUNK nodes
-SMALL_BUCKET, CHUNK = 64, 256
+#: buckets up to this size are verified pair by pair, larger ones in chunks of CHUNK nodes, or more while they hold
+#: CHUNK_TOKENS shingles: each set is sent once to every chunk of the other side
+SMALL_BUCKET, CHUNK, CHUNK_TOKENS = 64, 256, 1 << 18
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
@@ -169,40 +170,53 @@ def _chunk_links(percent: int):
     return run
 
 
-def _large_bucket_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components within large buckets (sig, node, comp).  Buckets that
-    share nodes form one family, so that a pair is verified once, not once a bucket."""
-    hub = buckets.groupBy("sig").agg(F.min("node").alias("hub"))
-    family = components(buckets.join(hub, "sig").select(F.col("node").alias("u"), F.col("hub").alias("v")), "families")
-    members = cut_lineage(buckets.select("node", "comp").distinct().join(family, "node"), "family-members")
-    chunks = members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+def _chunk_rows(members: DataFrame) -> DataFrame:
+    """The nodes of families (root, node, n, comp), dealt out in pairs of chunks (root, i, j): side 0, outside the largest component
+    of the family, against side 1, all of it."""
+    lots_of = f"cast(least(ceil(count(*) / {CHUNK}), ceil(sum(n) / {CHUNK_TOKENS})) AS int)"
+    chunks = members.groupBy("root").agg(F.expr(lots_of).alias("chunks"))
     largest = members.groupBy("root", "comp").agg(F.count("*").alias("c")).groupBy("root").agg(F.max(F.struct("c", "comp")).alias("m"))
     rest = members.join(largest.select("root", F.col("m.comp").alias("main")), "root").filter("comp <> main").drop("main")
-    parts = rest.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    parts = rest.groupBy("root").agg(F.expr(lots_of).alias("parts"))
     sizes = chunks.join(parts, "root")
     lots = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     right = members.join(sizes, "root").withColumn("j", lots).withColumn("i", F.explode(F.expr("sequence(0, parts - 1)")))
     left = rest.join(sizes, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn(
         "j", F.explode(F.expr("sequence(0, chunks - 1)")))
     cols = ["root", "i", "j", "node", "comp"]
-    rows = left.select(*cols, F.lit(0).alias("side")).unionByName(right.select(*cols, F.lit(1).alias("side")))
-    return rows.join(sets, "node").groupBy("root", "i", "j").applyInPandas(_chunk_links(percent), "u long, v long")
+    return left.select(*cols, F.lit(0).alias("side")).unionByName(right.select(*cols, F.lit(1).alias("side")))
+
+
+def _family_members(buckets: DataFrame) -> DataFrame:
+    """root, node, n, comp: large buckets (sig, node, n, comp) that share nodes form one family, so that a pair is verified
+    once, not once a bucket."""
+    hub = buckets.groupBy("sig").agg(F.min("node").alias("hub"))
+    family = components(buckets.join(hub, "sig").select(F.col("node").alias("u"), F.col("hub").alias("v")), "families")
+    return cut_lineage(buckets.select("node", "n", "comp").distinct().join(family, "node"), "family-members")
+
+
+def _large_bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components within the families of large buckets."""
+    return _chunk_rows(members).join(sets, "node").groupBy("root", "i", "j").applyInPandas(_chunk_links(percent), "u long, v long")
 
 
 def jaccard_links(docs: DataFrame, sketch: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT,
                   rare: int = RARE, long: int = LONG, small_bucket: int = SMALL_BUCKET) -> DataFrame:
-    """(node, root): the components of linked nodes, for nodes with a link to another node."""
+    """(node, root): the components of linked nodes, for nodes with a link to another node.  Its working tables are deleted when
+    nothing reads them any more."""
     nodes = cut_lineage(survivors(sketch, percent), "jaccard-nodes")
     sigs = cut_lineage(signatures(nodes, percent, rare, long).distinct(), "jaccard-signatures")
     hubs = sigs.groupBy("sig").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("hub")).filter("c > 1")
     buckets = cut_lineage(sigs.join(hubs, "sig").select("sig", "node", "n", "c", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")),
                           "jaccard-buckets")
+    drop_tables(sigs)
 
     # full sets of the nodes in buckets, made from one document of each
     wanted = buckets.select("node").distinct()
     ids = cut_lineage(sketch.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "jaccard-ids")
     sets = cut_lineage(only_ids(docs, ids, id_col).select(col(text_col)).mapInArrow(_full_sets(words), "node long, n int, tokens array<long>")
                        .join(wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
+    drop_tables(ids)
 
     stars = buckets.filter("node <> hub").filter(_compatible("n", "hub_n", percent)).select(
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
@@ -210,22 +224,28 @@ def jaccard_links(docs: DataFrame, sketch: DataFrame, id_col: str, text_col: str
     links = cut_lineage(_linked(stars, nodes, sets, percent), "jaccard-links")
 
     roots = components(links, "jaccard-components")
+    drop_tables(links)
     placed = buckets.select("sig", "node", "n", "c").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     split = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
     unsure, found = cut_measured(placed.join(split, "sig"), "jaccard-unsure", large=F.count_if(F.col("c") > small_bucket))
+    drop_tables(buckets)
     if not found["rows"]:
+        drop_tables(nodes, sets, stars, unsure)
         return roots
     few = unsure.filter(f"c <= {small_bucket}")
     pairs = few.alias("l").join(few.alias("r"), F.expr(
         f"l.sig = r.sig AND l.node < r.node AND l.comp <> r.comp AND {_compatible('l.n', 'r.n', percent)}")).select(
         F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _linked(pairs, nodes, sets, percent)
+    more, members = _linked(pairs, nodes, sets, percent), []
     if found["large"]:
-        more = more.unionByName(_large_bucket_links(unsure.filter(f"c > {small_bucket}"), sets, percent))
+        members = [_family_members(unsure.filter(f"c > {small_bucket}"))]
+        more = more.unionByName(_large_bucket_links(*members, sets, percent))
     more, found = cut_measured(more, "jaccard-links")
-    if not found["rows"]:
-        return roots
-    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "jaccard-components")
+    drop_tables(nodes, sets, stars, unsure, *members)
+    if found["rows"]:
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "jaccard-components")
+    drop_tables(more)
+    return roots
 
 
 def _labels(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, limits: dict) -> tuple[DataFrame, DataFrame]:
@@ -235,11 +255,11 @@ def _labels(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     first = cut_lineage(sketch.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("own")), "jaccard-first")
     best = first.join(roots, "node").groupBy("root").agg(F.min("own").alias("best"))
     label = first.join(roots, "node", "left").join(best, "root", "left").select("node", F.coalesce("best", "own").alias("label"))
-    return sketch.select("doc_id", "n", "node"), label
+    return sketch, label
 
 
-def _answer(rows: DataFrame, label: DataFrame) -> DataFrame:
-    return rows.join(label, "node", "left").withColumn(
+def _answer(sketch: DataFrame, label: DataFrame) -> DataFrame:
+    return sketch.select("doc_id", "n", "node").join(label, "node", "left").withColumn(
         "component_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))).drop("label")
 
 
@@ -253,8 +273,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is the smallest doc_id reachable by links, the row's own included.  Rows may
     repeat; rows with a null id link with nothing (component_id null).  Other columns are ignored.
     """
-    rows, label = _labels(docs, id_col, text_col, words, percent, limits)
-    return _answer(rows, label).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return _answer(*_labels(docs, id_col, text_col, words, percent, limits)).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def _with_nodes(words: int):
@@ -273,8 +292,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that repeat an id and a shingle set one stays; an id with several texts stays with those that are not in a component
     of a smaller id.  Rows without words and rows with a null id all stay.  An empty table stays empty.
     """
-    rows, label = _labels(docs, id_col, text_col, words, percent, limits)
-    answer = cut_lineage(_answer(rows, label), "jaccard-answer")
+    sketch, label = _labels(docs, id_col, text_col, words, percent, limits)
+    answer = cut_lineage(_answer(sketch, label), "jaccard-answer")
+    drop_tables(sketch)
     # ids that go, or come more than once: their rows are looked at one by one
     touched = answer.filter("doc_id IS NOT NULL").groupBy("doc_id").agg((F.count("*") > 1).alias("repeated"), F.max(F.expr("component_id <> doc_id")).alias("goes"))
     touched = cut_lineage(touched.filter("repeated OR goes"), "jaccard-touched")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, read_table  # noqa: F401  (re-exported)
+from ..session import cut_lineage, drop_tables, read_table  # noqa: F401  (re-exported)
 
 #: word characters of the contracts: everything but space, tab, LF, VT, FF, CR
 WORD = r"[^\x20\x09-\x0D]+"
