@@ -68,9 +68,9 @@ def _bits_of_sums() -> str:
 
 
 def simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, fingerprint of ``rows`` (keys, shingle, c), c the count of the shingle."""
+    """keys, fingerprint, total (of c) of ``rows`` (keys, shingle, c), c the count of the shingle."""
     sums = rows.groupBy(*keys).agg(*[F.expr(s) for s in bit_sums("shingle", "c")], F.sum("c").alias("total"))
-    return sums.select(*keys, F.expr(_bits_of_sums()).alias("fingerprint"))
+    return sums.select(*keys, F.expr(_bits_of_sums()).alias("fingerprint"), "total")
 
 
 def blocks(df: DataFrame, radius: int) -> DataFrame:
@@ -133,19 +133,19 @@ def _search(text: DataFrame, item: DataFrame, k: int, percent: int, radius: int)
     window = cut.select("doc_id", "row", "v.start", "v.m", F.explode(F.expr(f"slice(h, v.start + 1, v.m - {k - 1})")).alias("shingle"))
     window = cut_lineage(_counts(window, ["doc_id", "row", "start", "m"]), "decontaminate-window-shingles")
 
+    # candidates and the blocks of the items are written: a plan of the whole search would be planned anew after every stage.
+    # A window at the end of a document may be shorter than the item, so its size goes along
     prints = simhash(window, ["doc_id", "row", "start", "m"])
-    item_prints = simhash(item_counts.join(item.select("item", "m"), "item"), ["item", "m"])
+    item_prints = simhash(item_counts.join(item.select("item", "m"), "item"), ["item", "m"]).drop("total")
     left = blocks(prints, radius).alias("d")
-    right = small(blocks(item_prints, radius)).alias("i")
-    near = left.join(right, F.expr(
+    right = small(cut_lineage(blocks(item_prints, radius), "decontaminate-item-blocks")).alias("i")
+    near = cut_lineage(left.join(right, F.expr(
         f"d.block = i.block AND d.bits = i.bits AND d.m = i.m AND bit_count(d.fingerprint ^ i.fingerprint) <= {radius}")).select(
-        "doc_id", "row", "start", "d.m", "item").distinct()
+        "doc_id", "row", "start", "d.m", "item", F.col("total").alias("size")).distinct(), "decontaminate-candidates")
 
     shared = near.join(window, ["doc_id", "row", "start", "m"]).join(
         small(item_counts.withColumnRenamed("c", "ci")), ["item", "shingle"])
-    overlap = shared.groupBy("doc_id", "row", "start", "m", "item").agg(F.sum(F.least("c", "ci")).alias("common"))
-    # a window at the end of a document may be shorter than the item
-    sizes = window.groupBy("doc_id", "row", "start", "m").agg(F.sum("c").alias("size"))
-    scored = overlap.join(sizes, ["doc_id", "row", "start", "m"]).withColumn("union", F.expr(f"size + m - {k - 1} - common"))
+    overlap = shared.groupBy("doc_id", "row", "start", "m", "item", "size").agg(F.sum(F.least("c", "ci")).alias("common"))
+    scored = overlap.withColumn("union", F.expr(f"size + m - {k - 1} - common"))
     return scored.filter(f"100 * common >= {percent} * union").select(
         "doc_id", "item", "start", F.col("m").alias("n_words"), F.expr("common / union").alias("similarity"))

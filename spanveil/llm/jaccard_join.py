@@ -29,11 +29,12 @@ No bucket, partner list or candidate list is cut off.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -173,18 +174,18 @@ def _chunk_links(percent: int):
 def _chunk_rows(members: DataFrame) -> DataFrame:
     """The nodes of families (root, node, n, comp), dealt out in pairs of chunks (root, i, j): side 0, outside the largest component
     of the family, against side 1, all of it."""
-    lots_of = f"cast(least(ceil(count(*) / {CHUNK}), ceil(sum(n) / {CHUNK_TOKENS})) AS int)"
-    chunks = members.groupBy("root").agg(F.expr(lots_of).alias("chunks"))
-    largest = members.groupBy("root", "comp").agg(F.count("*").alias("c")).groupBy("root").agg(F.max(F.struct("c", "comp")).alias("m"))
-    rest = members.join(largest.select("root", F.col("m.comp").alias("main")), "root").filter("comp <> main").drop("main")
-    parts = rest.groupBy("root").agg(F.expr(lots_of).alias("parts"))
-    sizes = chunks.join(parts, "root")
-    lots = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    right = members.join(sizes, "root").withColumn("j", lots).withColumn("i", F.explode(F.expr("sequence(0, parts - 1)")))
-    left = rest.join(sizes, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn(
-        "j", F.explode(F.expr("sequence(0, chunks - 1)")))
-    cols = ["root", "i", "j", "node", "comp"]
-    return left.select(*cols, F.lit(0).alias("side")).unionByName(right.select(*cols, F.lit(1).alias("side")))
+    def lots_of(rows: str, shingles: str) -> Column:
+        return F.expr(f"cast(least(ceil(({rows}) / {CHUNK}), ceil(({shingles}) / {CHUNK_TOKENS})) AS int)")
+
+    comps = members.groupBy("root", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    roots = comps.groupBy("root").agg(F.max(F.struct("c", "comp", "s")).alias("m"), F.sum("c").alias("all_c"), F.sum("s").alias("all_s"))
+    sizes = roots.filter("all_c > m.c").select("root", F.col("m.comp").alias("main"), lots_of("all_c", "all_s").alias("chunks"),
+                                               lots_of("all_c - m.c", "all_s - m.s").alias("parts"))
+    # a node goes to its chunk of the right for each chunk of the left, and outside the largest component the other way round, too
+    right = "transform(sequence(0, parts - 1), i -> struct(i AS i, cast(pmod(xxhash64(node), chunks) AS int) AS j, 1 AS side))"
+    left = "transform(sequence(0, chunks - 1), j -> struct(cast(pmod(xxhash64(node), parts) AS int) AS i, j AS j, 0 AS side))"
+    dealt = members.join(sizes, "root").select("root", "node", "comp", F.explode(F.expr(f"IF(comp <> main, concat({left}, {right}), {right})")).alias("e"))
+    return dealt.select("root", "e.i", "e.j", "node", "comp", "e.side")
 
 
 def _family_members(buckets: DataFrame) -> DataFrame:
@@ -236,15 +237,17 @@ def jaccard_links(docs: DataFrame, sketch: DataFrame, id_col: str, text_col: str
     pairs = few.alias("l").join(few.alias("r"), F.expr(
         f"l.sig = r.sig AND l.node < r.node AND l.comp <> r.comp AND {_compatible('l.n', 'r.n', percent)}")).select(
         F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more, members = _linked(pairs, nodes, sets, percent), []
+    # each kind of links is written by itself: a plan of both would be planned anew, whole, after every stage of either
+    written = [cut_measured(_linked(pairs, nodes, sets, percent), "jaccard-links")]
     if found["large"]:
-        members = [_family_members(unsure.filter(f"c > {small_bucket}"))]
-        more = more.unionByName(_large_bucket_links(*members, sets, percent))
-    more, found = cut_measured(more, "jaccard-links")
-    drop_tables(nodes, sets, stars, unsure, *members)
-    if found["rows"]:
-        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "jaccard-components")
-    drop_tables(more)
+        members = _family_members(unsure.filter(f"c > {small_bucket}"))
+        written.append(cut_measured(_large_bucket_links(members, sets, percent), "jaccard-links"))
+        drop_tables(members)
+    drop_tables(nodes, sets, stars, unsure)
+    more = [links for links, got in written if got["rows"]]
+    if more:
+        roots = components(reduce(DataFrame.unionByName, more, roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), "jaccard-components")
+    drop_tables(*(links for links, _ in written))
     return roots
 
 
