@@ -7,6 +7,9 @@ the driver), so a failed or repeated task leaves nothing in their places (tasks
 that still run while a failed export is given up may leave files under ``_staging``, which readers pass over).  A row that cannot be written (no text, no usable
 name, a name twice in a task) is listed in the task's ``_errors.jsonl`` and the others go on.  Folders are reached through Arrow's file systems, so the path may
 name any store that they know.
+
+Reading back, the driver lists the folders of the tasks alone; each folder's files are listed and read by a task of their own, so what
+the driver holds grows with the tasks of the export, not with its files.
 """
 
 from __future__ import annotations
@@ -17,12 +20,15 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from ..functions.batches import MOST_BYTES
+from ..session import share_package, shuffles_cleared, small_batches
 from .io import decode_utf8
 
 STAGING, ERRORS = "_staging", "_errors.jsonl"
@@ -113,11 +119,57 @@ def write_files(files: DataFrame, path: str) -> None:
     """The rows of ``export_files`` (out_name, text, error) as named files; rows with an error are left out."""
     spark = files.sparkSession
     spark.dataSource.register(NamedFiles)
-    files.filter("error IS NULL").select("out_name", "text").write.format("named_files").mode("append").save(path)
+    with shuffles_cleared(spark), small_batches(spark):
+        files.filter("error IS NULL").select("out_name", "text").write.format("named_files").mode("append").save(path)
+
+
+def _hidden(name: str) -> bool:
+    """What Spark's file sources pass over: staging folders and lists of errors among them."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _listed(store: fs.FileSystem, folder: str) -> tuple[list[str], list[str]]:
+    """The files and the folders in ``folder`` that readers do not pass over."""
+    infos = [i for i in store.get_file_info(fs.FileSelector(folder)) if not _hidden(i.base_name)]
+    return [i.path for i in infos if i.type == fs.FileType.File], [i.path for i in infos if i.type == fs.FileType.Directory]
+
+
+def _contents(path: str, folder: str, deep: bool) -> Iterator[pa.RecordBatch]:
+    """Name and bytes of each file in ``folder`` (``deep``: and in the folders below it), in batches of about ``MOST_BYTES``."""
+    store, _ = _store(path)
+    folders = [folder]
+    while folders:
+        files, below = _listed(store, folders.pop())
+        folders += below if deep else []
+        names, contents, held = [], [], 0
+        for file in files:
+            with store.open_input_file(file) as f:
+                content = f.read()
+            if names and held + len(content) > MOST_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["out_name", "content"])
+                names, contents, held = [], [], 0
+            names.append(posixpath.basename(file))
+            contents.append(content)
+            held += len(content)
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["out_name", "content"])
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     """out_name, text of every file under ``path`` but the lists of errors."""
-    # Spark's reader passes over names that begin with an underscore: staging folders and lists of errors
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("out_name"), decode_utf8(F.col("content")).alias("text"))
+    share_package(spark)
+    path = path.rstrip("/")
+    store, root = _store(path)
+    files, folders = _listed(store, root)
+    # an RDD's size counts as unknown, so nobody broadcasts the texts for the few folders
+    parts = [(root, False)] * bool(files) + [(f, True) for f in sorted(folders)]
+    places = spark.createDataFrame(spark.sparkContext.parallelize(parts, max(1, len(parts))), "folder string, deep boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place in batch.to_pylist():
+                yield from _contents(path, place["folder"], place["deep"])
+    raw = places.mapInArrow(run, "out_name string, content binary")
+    return raw.select("out_name", decode_utf8(F.col("content")).alias("text"))

@@ -127,3 +127,22 @@ def test_ten_thousand_values_in_one_document(spark):
     assert out == {1: got, 2: None, 3: None, 4: "no values"}
     sample = [(v, rep) for v, rep in pairs if v in text[:3000]]
     assert ds.replace_values(text[:3000], pairs) == _fold(text[:3000], sample)
+
+
+def test_texts_of_rows_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(1, "call Ann today"), (2, None), (3, "plain"), (4, ""), (5, "not asked for"), (6, "café " * 900), (6, "twice")], "doc_id bigint, text string")
+    spans = spark.createDataFrame([(1, 5, 8, "A"), (2, 0, 1, "x"), (5, 0, 3, "y"), (6, 0, 1, "é"), (9, 0, 1, "z")], "doc_id bigint, char_start int, char_end int, rep string")
+    rows = spark.createDataFrame([(i, f"f{i}") for i in (1, 1, 2, 3, 4, 6, 7, 9)] + [(None, "f")], "doc_id bigint, out_name string")
+    apart = rows.join(rd.redact_documents(docs, spans), "doc_id", "left").select("doc_id", "out_name", "text")
+    together = rd.redact_documents(docs, spans, rows=rows)
+    assert together.columns == apart.columns and together.count() == 10
+    assert sorted(map(str, together.collect())) == sorted(map(str, apart.collect()))
+    # spans and texts meet before the one Python stage that rewrites them, none is broadcast by a hint
+    plan = together._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join") and "broadcast" not in plan
+    # with ``rows`` the texts travel packed, and come out as they were
+    packed = rd.pack_texts(docs)
+    assert dict(packed.dtypes)["text"] == "binary"
+    assert sorted(map(str, rd.apply_spans(packed.withColumn("_spans", F.lit(None).cast("array<struct<s:int,e:int,rep:string>>"))).collect())) == sorted(map(str, docs.collect()))
+    assert packed.filter("doc_id = 6").selectExpr("max(length(text))").first()[0] < 900
+    assert max(rd._whole_bytes(b).max() for b in packed._collect_as_arrow() if b.num_rows) > 900 * 6

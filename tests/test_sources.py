@@ -72,6 +72,30 @@ def test_a_failed_task_leaves_no_file(spark, tmp_path):
     assert nf.read_back(spark, str(tmp_path)).count() == 0
 
 
+def test_the_driver_lists_no_files_of_an_export(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+    from spanveil.sources import named_files as nf
+    rows = spark.range(0, 600, 1, 3).select(F.format_string("a b%% %d.txt", "id").alias("out_name"), F.repeat(F.lit("text "), 500).alias("text"), F.lit(None).cast("string").alias("error"))
+    nf.write_files(rows, str(tmp_path))
+    listed, listing = [], nf._listed
+    monkeypatch.setattr(nf, "_listed", lambda store, folder: listed.append(folder) or listing(store, folder))
+    back = nf.read_back(spark, str(tmp_path) + "/")
+    assert {r.out_name: r.text for r in back.collect()} == {f"a b% {i}.txt": "text " * 500 for i in range(600)}
+    # the driver looked at the folders of the three tasks, their files are listed by three tasks
+    assert listed == [str(tmp_path)] and back.inputFiles() == [] and back.rdd.getNumPartitions() == 3
+    # of unknown size, so that a join does not broadcast the texts
+    assert back._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 1 << 40
+    monkeypatch.undo()
+    # files in the folder itself and below folders of folders, hidden ones passed over
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    for at in ("own.txt", "_own.txt", "deep/er/low.txt", "deep/.low.txt"):
+        (tmp_path / at).write_bytes(b"caf\xc3\xa9 \xff" * 3)
+    got = {r.out_name: r.text for r in nf.read_back(spark, str(tmp_path)).collect()}
+    assert len(got) == 602 and got["own.txt"] == got["low.txt"] == "café " * 3
+    assert sum(b.num_rows for b in nf._contents(str(tmp_path), str(tmp_path), True)) == 602
+    assert max(b.nbytes for b in nf._contents(str(tmp_path), str(tmp_path), True)) < 2 * nf.MOST_BYTES
+
+
 def test_exact_median_by_selection(spark, monkeypatch):
     import random
     from pyspark.sql import functions as F
